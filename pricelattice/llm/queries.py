@@ -9,6 +9,7 @@ from .blob_ledger import scan_versions, span_digest
 from .chat_format import chat_digests, format_chats
 from .scratch import shared_folder
 from .shards import shuffled_shards
+from .suffix_search import benchmark_matches, match_digests
 from .url_filter import url_filter
 
 
@@ -45,6 +46,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(docs, found)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_digests(benchmark_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The rules of this query.
     rules = spark.createDataFrame(
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_sharding": op4_sharding,
     "op6_secret_scans": op6_secret_scans,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
 }
 
