@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .blob_ledger import scan_versions, span_digest
 from .chat_format import chat_digests, format_chats
+from .lsh_forest import near_duplicates
 from .scratch import shared_folder
 from .shards import shuffled_shards
 from .suffix_search import benchmark_matches, match_digests
@@ -40,6 +41,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_versions(docs, shared_folder(spark, "ledger"))
@@ -62,6 +67,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_sharding": op4_sharding,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
