@@ -11,6 +11,7 @@ from .lsh_forest import near_duplicates
 from .scratch import shared_folder
 from .shards import shuffled_shards
 from .suffix_search import benchmark_matches, match_digests
+from .token_store import read_documents, write_store
 from .url_filter import url_filter
 
 
@@ -51,6 +52,14 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(docs, found)
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = shared_folder(spark, "tokens")
+    write_store(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(spark, folder)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_digests(benchmark_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -69,6 +78,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
+    "op8_token_store": op8_token_store,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
 }
