@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .blob_ledger import scan_versions, span_digest
 from .chat_format import chat_digests, format_chats
+from .kd_search import top_k
 from .lsh_forest import near_duplicates
 from .scratch import shared_folder
 from .shards import shuffled_shards
@@ -19,6 +20,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame(
@@ -74,6 +80,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_sharding": op4_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -83,6 +90,17 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
 }
 
+_OP1 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT vec_id AS query_id, v AS w FROM e WHERE vec_id % 100 = 0),
+c AS (SELECT query_id, vec_id, unnest(v) AS a, unnest(w) AS b FROM q JOIN e ON vec_id <> query_id),
+s AS (SELECT query_id, vec_id, CAST(sum(a * b) AS BIGINT) AS score FROM c GROUP BY query_id, vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 _OP2 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -148,6 +166,7 @@ SELECT page_id, host, path, rule,
 """
 
 ORACLES: dict[str, str] = {
+    "op1_exact_top_k": _OP1,
     "op2_chat_formatting": _OP2,
     "op6_secret_scans": _OP6,
     "op10_url_filters": _OP10,
