@@ -13,6 +13,7 @@ from .scratch import shared_folder
 from .shards import shuffled_shards
 from .suffix_search import benchmark_matches, match_digests
 from .token_store import read_documents, write_store
+from .toxicity import held_out, toxicity, train
 from .url_filter import url_filter
 
 
@@ -34,6 +35,14 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(chats))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, _read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    return toxicity(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "matched_clauses"
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -82,6 +91,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
