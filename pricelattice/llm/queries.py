@@ -9,7 +9,8 @@ from .blob_ledger import scan_versions, span_digest
 from .chat_format import chat_digests, format_chats
 from .kd_search import top_k
 from .lsh_forest import near_duplicates
-from .scratch import shared_folder
+from .mixing import fit_domains, fit_rates, memberships, mixed_rates
+from .scratch import shared_folder, stored
 from .shards import shuffled_shards
 from .suffix_search import benchmark_matches, match_digests
 from .token_store import read_documents, write_store
@@ -17,6 +18,10 @@ from .toxicity import held_out, toxicity, train
 from .url_filter import url_filter
 
 
+#: Shares of expected tokens by quality label that mixing aims at.
+QUALITY_WEIGHTS = {"1": 0.9, "0": 0.1}
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -67,6 +72,13 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(docs, found)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_domains(docs, _read(spark, sf_dir, "labels"), label_col="quality")
+    members = stored(memberships(docs, model), "members")
+    return mixed_rates(members, fit_rates(members, model, QUALITY_WEIGHTS))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -95,6 +107,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
+    "op7_mixing": op7_mixing,
     "op8_token_store": op8_token_store,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
