@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import pieces
+from .words import SPACES, pieces, text_bytes, word_bounds, word_hashes
 
 PIECE_BYTES = 4 << 20
 #: A chunk ends where the rolling hash of the last WINDOW ids has its top bits zero (one id in 2**CUT_BITS), or at MOST ids.
@@ -21,33 +21,26 @@ WINDOW, CUT_BITS, MOST = 16, 9, 8192
 _GEAR = np.random.default_rng(8).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def chunk_ends(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream. They depend on the ids near them only, so equal passages are cut alike."""
+def chunk_ends(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of several texts' ids, one after another. A cut depends on the ids before it in its text only, so equal passages
+    are cut alike; every text ends a chunk."""
+    text_ends = np.cumsum(counts)
     sums = np.cumsum(_GEAR[ids & 0xFFFF])
     rolling = sums.copy()
     rolling[WINDOW:] -= sums[:-WINDOW]
     cut = (rolling * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CUT_BITS) == 0
-    cut[: WINDOW - 1] = False
-    ends = np.flatnonzero(cut) + 1
-    if not len(ends) or ends[-1] != len(ids):
-        ends = np.append(ends, len(ids))
+    head = np.flatnonzero(cut)
+    head = head[head - (text_ends - counts)[np.searchsorted(text_ends, head, "right")] >= WINDOW - 1]
+    ends = np.union1d(head + 1, text_ends)
     starts = np.concatenate(([0], ends[:-1]))
-    if (ends - starts).max() > MOST:
+    if len(ends) and (ends - starts).max() > MOST:
         ends = np.concatenate([np.append(np.arange(s + MOST, e, MOST), e) for s, e in zip(starts.tolist(), ends.tolist())])
     return ends
 
 
-#: White space in Unicode, and the four characters that ``str.split`` takes for it besides.
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_ODD = re.compile("[\x1c-\x1f]")
 _encoders: dict[str, WordEncoder] = {}
 
 
-def split_words(text: str) -> list[str]:
-    """The parts of a text between Unicode white space."""
-    return [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
-
-
 def encoder_for(path: str) -> WordEncoder:
     """A worker's one encoder, whose remembered words serve all its tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,86 +50,138 @@ def encoder_for(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """Whole texts to ids through a tokenizer of the ``tokenizers`` library that drops white space.
+    """Whole texts to ids through a tokenizer of the ``tokenizers`` library that lower-cases, drops white space and splits letters from signs.
 
-    For such a tokenizer the ids of a text are those of its white-space separated words in turn, so each
-    distinct word of a batch is encoded once and the ids are gathered. ``cache`` bounds the words remembered between batches.
+    For such a tokenizer the ids of a text are those of its parts between ASCII white space in turn, whatever else they hold; a single comma or
+    full stop after a Latin letter at the end of a part is a part of its own. Each distinct part is encoded once, and ids are
+    gathered by part. Parts are told apart by 64-bit hashes of their bytes with A-Z lower-cased. ``most`` bounds the parts remembered between batches.
     """
 
-    def __init__(self, path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 600_000, joined: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = cache
+        self.most, self.joined = most, joined
+        #: Tokens that end a word. A word of letters is one pre-token, so it has one of these, as its last.
+        self.ends = np.zeros(1 << 17, dtype=bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = [np.zeros(0, np.uint32)]
-        self.sizes = [np.zeros(0, np.int64)]
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by ``end_id``, and how many each text has with it."""
-        if len(self.number) > self.most:
+        if len(self.known) > self.most:
             self._clear()
-        words = [split_words(t) for t in texts]
-        fresh = list(dict.fromkeys(w for ws in words for w in ws if w not in self.number))
-        if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
-            self.sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            self.flat.append(np.fromiter((i for x in found for i in x), np.uint32))
-        flat = self.flat = [np.concatenate(self.flat)]
-        sizes = self.sizes = [np.concatenate(self.sizes)]
-        flat, sizes = flat[0], sizes[0]
-        at = np.cumsum(sizes) - sizes
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        number = self.number
-        which = np.fromiter((number[w] for ws in words for w in ws), np.int64, int(counts.sum()))
-        n = sizes[which]
-        total = int(n.sum())
-        inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        ids = flat[np.repeat(at[which], n) + inner] if total else np.zeros(0, np.uint32)
-        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(counts)]
-        return np.insert(ids, ends, np.uint32(end_id)), np.diff(np.concatenate(([0], ends))) + 1
+        data, at = text_bytes(column)
+        starts, ends, first = _parts(data, at)
+        hashes = word_hashes(data, starts, ends)
+        k = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        inside = np.flatnonzero(k < len(self.known))
+        new[inside] = self.known[k[inside]] != hashes[inside]
+        if new.any():
+            spots = np.flatnonzero(new)
+            fresh, once = np.unique(hashes[spots], return_index=True)
+            low = bytes(data).lower()
+            self._learn(fresh, [low[s:e].decode() for s, e in zip(starts[spots[once]].tolist(), ends[spots[once]].tolist())])
+            k = np.searchsorted(self.known, hashes)
+        which = self.place[k] if len(k) else k
+        n = self.sizes[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat((np.cumsum(self.sizes) - self.sizes)[which] - upto[:-1], n) + np.arange(upto[-1])]
+        stops = upto[first[1:]]
+        return np.insert(ids, stops, np.uint32(end_id)), np.diff(np.concatenate(([0], stops))) + 1
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        other = [i for i, w in enumerate(words) if not w.isalpha()]
+        order, flat, sizes = [], [], []
+        groups = [plain[i : i + self.joined] for i in range(0, len(plain), self.joined)]
+        for group, found in zip(groups, self._ids([" ".join(words[i] for i in g) for g in groups])):
+            ids = np.array(found, dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group):
+                order += group
+                flat.append(ids)
+                sizes.append(np.diff(stops, prepend=0))
+            else:  # lower-casing has made signs of a letter
+                other += group
+        order += other
+        apart = self._ids([words[i] for i in other])
+        flat.append(np.fromiter(chain.from_iterable(apart), np.uint32))
+        sizes.append(np.fromiter(map(len, apart), np.int64, len(apart)))
+        at = len(self.sizes)
+        self.flat = np.concatenate([self.flat, *flat])
+        self.sizes = np.concatenate([self.sizes, *sizes])
+        known = np.concatenate([self.known, hashes[order]])
+        place = np.concatenate([self.place, np.arange(at, at + len(order))])
+        by = np.argsort(known)
+        self.known, self.place = known[by], place[by]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_LATIN = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])  # after 0xC3
+
+
+def _parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts, and each text's first (and the end)."""
+    starts, ends, first = word_bounds(data, at, ~SPACES)
+    if not len(starts):
+        return starts, ends, first
+    size = ends - starts
+    before = data[np.maximum(ends - 2, 0)]
+    letter = _LETTER[before] | (_LATIN[before] & (data[np.maximum(ends - 3, 0)] == 0xC3) & (size > 2))
+    stop = (size > 1) & letter & np.isin(data[ends - 1], [0x2C, 0x2E])
+    own = np.repeat(np.arange(len(starts)), 1 + stop)
+    second = np.zeros(len(own), dtype=bool)
+    second[1:] = own[1:] == own[:-1]
+    lo = np.where(second, ends[own] - 1, starts[own])
+    hi = np.where(stop[own] & ~second, ends[own] - 1, ends[own])
+    return lo, hi, first + np.concatenate(([0], np.cumsum(stop)))[first]
 
 
 def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-        sent: dict[bytes, None] = {}
+        sent: set[bytes] = set()
         for batch in pieces(batches, "text", PIECE_BYTES):
-            ids, counts = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "kind", "n", "digest", "ids", "recipe")}
-            at = 0
-            for doc, n in zip(batch.column(0).to_pylist(), counts.tolist()):
-                own = ids[at : at + n]
-                at += n
-                raw = own.astype("<u4").tobytes()
-                recipe, lo = [], 0
-                for hi in chunk_ends(own).tolist():
-                    chunk = raw[4 * lo : 4 * hi]
-                    digest = hashlib.blake2b(chunk, digest_size=16).digest()
-                    recipe.append(digest)
-                    if digest not in sent:
-                        sent[digest] = None
-                        packed = own[lo:hi].astype("<u2").tobytes() if own[lo:hi].max() < 1 << 16 else chunk
-                        for k, v in (("doc_id", None), ("kind", "chunk"), ("n", hi - lo), ("digest", digest), ("ids", packed), ("recipe", None)):
-                            rows[k].append(v)
-                    lo = hi
-                key = hashlib.blake2b(b"".join(recipe), digest_size=16).digest()
-                for k, v in (("doc_id", doc), ("kind", "recipe"), ("n", n), ("digest", key), ("ids", None), ("recipe", recipe)):
-                    rows[k].append(v)
+            ids, counts = encoder.encode(batch.column(1), end_id)
+            ends = chunk_ends(ids, counts)
+            starts = np.concatenate(([0], ends[:-1]))
+            raw, short = ids.astype("<u4").tobytes(), ids.astype("<u2").tobytes()
+            narrow = np.maximum.reduceat(ids, starts) < 1 << 16
+            digests = [hashlib.blake2b(raw[4 * s : 4 * e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist())]
+            fresh = []
+            for i, digest in enumerate(digests):
+                if digest not in sent:
+                    sent.add(digest)
+                    fresh.append(i)
             if len(sent) > 200_000:  # a chunk sent twice only costs a row: duplicates go after the shuffle
                 sent.clear()
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(rows["doc_id"], pa.int64()), "kind": pa.array(rows["kind"], pa.string()), "n": pa.array(rows["n"], pa.int64()),
-                "digest": pa.array(rows["digest"], pa.binary()), "ids": pa.array(rows["ids"], pa.binary()), "recipe": pa.array(rows["recipe"], pa.list_(pa.binary())),
-            })
+            lo, hi = starts[fresh].tolist(), ends[fresh].tolist()
+            packed = [short[2 * s : 2 * e] if w else raw[4 * s : 4 * e] for s, e, w in zip(lo, hi, narrow[fresh].tolist())]
+            yield _rows("chunk", [None] * len(fresh), [e - s for s, e in zip(lo, hi)], [digests[i] for i in fresh], packed, [None] * len(fresh))
+            upto = np.searchsorted(ends, np.cumsum(counts), "left") + 1
+            recipes = [digests[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
+            roots = [hashlib.blake2b(b"".join(r), digest_size=16).digest() for r in recipes]
+            yield _rows("recipe", batch.column(0), counts, roots, [None] * len(roots), recipes)
 
     return encode
 
 
+def _rows(kind: str, doc_id, n, digest: list, ids: list, recipe: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(doc_id, pa.int64()), "kind": pa.array([kind] * len(digest), pa.string()), "n": pa.array(n, pa.int64()),
+        "digest": pa.array(digest, pa.binary()), "ids": pa.array(ids, pa.binary()), "recipe": pa.array(recipe, pa.list_(pa.binary())),
+    })
+
+
 _ROW = "doc_id long, kind string, n long, digest binary, ids binary, recipe array<binary>"
 
 
