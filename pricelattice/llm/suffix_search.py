@@ -41,7 +41,8 @@ class SuffixArray:
         key = np.zeros(n, dtype=np.int64)
         for j in range(self.packed):
             key <<= self.bits
-            key[: n - j] |= self.seq[j:]
+            if j < n:
+                key[: n - j] |= self.seq[j:]
         self.order = np.argsort(key)
         self.keys = key[self.order]
         new = np.ones(n, dtype=bool)
