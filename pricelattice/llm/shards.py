@@ -19,7 +19,7 @@ def shuffled_shards(
     """All rows and columns of ``docs`` in one uniform random order, dealt to ``n_shards`` shards.
 
     Pass one scatters rows into buckets by a seeded hash of the id; there are as many buckets as the text bytes
-    need at ``bucket_bytes`` each. Pass two puts each bucket, alone in memory, into order by (id, text digest)
+    need at ``bucket_bytes`` each. Pass two puts each bucket, alone in memory, into order by (id, hash of the row)
     and runs a seeded Fisher-Yates shuffle over it. Buckets follow one another, so a row's place in
     the whole is its bucket's offset plus its place inside; shard = place mod n_shards and slot = place div n_shards,
     so the law is ``rows``: shard sizes differ by one at most and slots have no gap.
@@ -39,7 +39,7 @@ def shuffled_shards(
         docs.withColumn("_bucket", bucket)
         .join(offsets.hint("broadcast") if n_buckets <= 100_000 else offsets, "_bucket")
         .repartition(max(1, min(n_buckets, 4000)), "_bucket")
-        .sortWithinPartitions("_bucket", id_col, F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
+        .sortWithinPartitions("_bucket", id_col, F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]))
     )
     schema = T.StructType([*docs.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_slot", T.LongType())])
     names = docs.columns
