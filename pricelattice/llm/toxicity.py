@@ -210,7 +210,7 @@ def train(
         lexicon |= {w: (symbol, 1.0) for w in words}
     lexicon |= _learned(rows.where(F.col("_place") <= lexicon_rows), lexicon)
 
-    model = ToxicityModel(lexicon, np.array([-3.0, 5.0, 6.0, 0.5, -0.5, 5.0, 0.5, 0.0]))
+    model = ToxicityModel(lexicon, np.array([-3.0, 5.0, 8.0, 0.5, -0.5, 7.0, 0.5, 0.0]))
     tables = model.tables()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
