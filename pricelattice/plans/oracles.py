@@ -156,6 +156,12 @@ WHERE NOT (product_id % 2 = 1 AND product_id % 3 <> 0)""",
 FROM an JOIN product p ON p.product_id = an.product_id, now WHERE ts >= now - INTERVAL 1 DAY""",
     "anomaly_summary": f"""WITH {_FULL}, r AS (SELECT an.* FROM an, now WHERE ts >= now - INTERVAL 7 DAY)
 SELECT 'severity' AS kind, severity AS label, count(*) AS n FROM r GROUP BY severity UNION ALL SELECT 'type', anomaly_type, count(*) FROM r GROUP BY anomaly_type""",
+    "anomaly_report_lines": f"""WITH {_FULL} SELECT strftime(ts, '%Y-%m-%d %H:%M') || ' [' || upper(severity) || '] ' || anomaly_type || ' ' || name || ' (' || category || ')' AS value
+FROM an JOIN product p ON p.product_id = an.product_id, now WHERE ts >= now - INTERVAL 1 DAY AND severity = 'high'""",
+    "anomaly_report_json": f"""WITH {_FULL} SELECT '{{"product_id":' || CAST(an.product_id AS VARCHAR) || ',"name":"' || name || '","anomaly_type":"cyclic"}}' AS value
+FROM an JOIN product p ON p.product_id = an.product_id, now WHERE ts >= now - INTERVAL 1 DAY AND anomaly_type = 'cyclic'""",
+    "changed_products_detection": f"""WITH {_FULL} SELECT product_id, anomaly_type, severity, ts FROM an
+WHERE product_id IN (SELECT user_id FROM events, now WHERE ts >= now - INTERVAL 1 DAY)""",
     "product_features": f"""WITH {_L}, r AS (SELECT *, CAST(price AS DOUBLE) AS p, lag(CAST(price AS DOUBLE)) OVER (PARTITION BY product_id ORDER BY ts, tie) AS before FROM ph),
 g AS (SELECT product_id, count(*) AS n_records, CAST(sum(price) AS DOUBLE) / count(*) AS mean, stddev_pop(p) AS std, arg_min(p, (ts, tie)) AS first, arg_max(p, (ts, tie)) AS last,
   max(CASE WHEN before IS NOT NULL THEN CASE WHEN before > 0 THEN abs((p - before) / before) ELSE 0 END END) AS step FROM r GROUP BY product_id)

@@ -14,7 +14,7 @@ from ..functions import labels, text
 from ..operators import api, detect, features, forecast, ingest, reports, sensitivity
 from ..sources import files, views
 from ..streaming import streams
-from . import snapshot
+from . import jobs, snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -179,6 +179,28 @@ def anomaly_summary(spark, d):
     return reports.anomaly_summary(found, t.now, 7)
 
 
+@query
+def anomaly_report_lines(spark, d):
+    t, found = _found(spark, d)
+    return reports.report_lines(reports.anomaly_report(found, t.product, t.now, 1, severity="high"))
+
+
+@query
+def anomaly_report_json(spark, d):
+    t, found = _found(spark, d)
+    rows = reports.anomaly_report(found, t.product, t.now, 1, kind="cyclic").select("product_id", "name", "anomaly_type")
+    return reports.report_json(rows)
+
+
+@query
+def changed_products_detection(spark, d):
+    """Detection for the products whose price the events of the last day changed."""
+    t = views.events_view(spark, d)
+    late = views.read(spark, d, "events").where(F.col("ts") >= detect.window_start(t.now, 1))
+    arrivals = late.select(F.col("user_id").alias("product_id"), F.col("value").cast("decimal(12,2)").alias("price"), F.col("event_id").alias("arrival"), "ts")
+    return jobs.detect_changed(t.history, jobs.changed_products(arrivals), None, t.now).select("product_id", "anomaly_type", "severity", "ts")
+
+
 @query
 def product_features(spark, d):
     t = views.lineitem_view(spark, d)
