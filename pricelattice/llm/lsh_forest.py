@@ -15,7 +15,7 @@ from .graph import components
 from .scratch import stored
 from .words import SPACES, mix, pieces, text_bytes, word_bounds, word_hashes
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Trees of the forest, values of a tree's signature, and those that candidates share at least. A pair of similarity 0.85
 #: shares 2 values of one tree with 0.7225, and misses all 10 trees with 3 in a million.
 TREES, DEPTH, LEAST_DEPTH = 10, 8, 2

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .scratch import stored
 from .words import SPACES, pieces, text_bytes, word_bounds, word_hashes
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 _N_FEATURES = 256 + 5
 
 

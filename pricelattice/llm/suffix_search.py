@@ -16,7 +16,7 @@ from .scratch import stored
 from .words import ALNUM, pieces, same_words, text_bytes, word_bounds, word_hashes
 
 #: Bytes of text in a shard, and of benchmark text that is searched for in one pass over the corpus.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 
 

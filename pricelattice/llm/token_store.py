@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .words import SPACES, pieces, text_bytes, word_bounds, word_hashes
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: A chunk ends where the rolling hash of the last WINDOW ids has its top bits zero (one id in 2**CUT_BITS), or at MOST ids.
 WINDOW, CUT_BITS, MOST = 16, 9, 8192
 _GEAR = np.random.default_rng(8).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

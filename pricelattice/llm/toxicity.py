@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .words import ALNUM, pieces, text_bytes, word_bounds, word_hashes
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 # The seed lexicon. Labels add insults to it and weigh all of them.
 INSULTS = (

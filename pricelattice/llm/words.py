@@ -16,6 +16,7 @@ ALNUM = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = 1 << 17
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -95,13 +96,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased, from differences of one running sum."""
+    """A 64-bit hash of each word with A-Z lower-cased, from differences of running sums over blocks of some 100 kB."""
     value = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
-    up, down = _power(len(data))
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(value[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
+        block = value[data[base : int(ends[hi - 1])]]
+        up, down = _power(len(block))
+        sums = np.zeros(len(block) + 1, dtype=np.uint64)
+        np.cumsum(block * up[: len(block)], out=sums[1:])
+        s, e = starts[lo:hi] - base, ends[lo:hi] - base
+        out[lo:hi] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        lo = hi
+    return mix(out)
 
 
 def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[bytes], which: np.ndarray) -> bool:
