@@ -25,7 +25,7 @@ LEAST_AGREEING = int(_VALUES * 0.8875 - 4.5 * (_VALUES * 0.8875 * 0.1125) ** 0.5
 #: Rows of a region in which all are compared; larger regions are split at the next depth.
 REGION = 256
 #: Shingles in a block of a candidate class; a class is compared block by block.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 _ROWS = np.random.default_rng(5).integers(0, 1 << 63, _VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(16)]
 
