@@ -19,7 +19,7 @@ from .url_filter import url_filter
 
 
 #: Shares of expected tokens by quality label that mixing aims at.
-QUALITY_WEIGHTS = {"1": 0.9, "0": 0.1}
+QUALITY_WEIGHTS = {"1": 0.85, "0": 0.15}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
