@@ -27,15 +27,15 @@ def _residuals(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
 def fit_arma(x: np.ndarray, moving: bool = True) -> tuple[float, float, float]:
     """(phi, theta, variance) by conditional sum of squares: a grid inside the unit square that closes in on its best point."""
     centre, width = np.zeros(2), 0.98
-    for _ in range(7):
-        side = np.linspace(-width, width, 15)
+    for _ in range(4):
+        side = np.linspace(-width, width, 25)
         p = np.clip(centre[0] + side, -0.98, 0.98)
         q = np.clip(centre[1] + side, -0.98, 0.98) if moving else np.zeros(1)
         phi, theta = (g.ravel() for g in np.meshgrid(p, q))
         cost = (_residuals(x, phi, theta) ** 2).sum(axis=1)
         best = int(np.argmin(cost))
         centre = np.array([phi[best], theta[best]])
-        width /= 4
+        width /= 10
     return float(centre[0]), float(centre[1]), float(cost[best] / max(1, len(x)))
 
 
