@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, where no PYTHONPATH tells them of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_has_package", False) or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    package = Path(tempfile.mkdtemp(prefix="spark-")) / f"{__package__}.zip"
+    with zipfile.ZipFile(package, "w") as z:
+        for f in sorted((ROOT / __package__).rglob("*.py")):
+            z.write(f, f.relative_to(ROOT))
+    sc.addPyFile(str(package))
+    sc._has_package = True
+
 
 def get_session(app: str = "pricelattice", cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session with UTC dates and adaptive execution; on a cluster, bring your own."""
@@ -25,4 +43,5 @@ def get_session(app: str = "pricelattice", cpus: int | None = None, **conf: str)
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
