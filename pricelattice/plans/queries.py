@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text
 from ..operators import api, detect, features, forecast, ingest, reports, sensitivity
+from ..session import shared_folder
 from ..sources import files, views
 from ..streaming import streams
 from . import jobs, snapshot
@@ -30,11 +29,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _found(spark: SparkSession, d: str) -> tuple[views.PriceTables, DataFrame]:
     t = views.events_view(spark, d)
     # Detected when the newest row came, so that reports over a window select some.
@@ -419,10 +413,10 @@ def list_snapshots(spark, d):
 
 @query
 def stream_change_log(spark, d):
-    return streams.drained(streams.stream_change_log(streams.events_stream(spark, f"{d}/events.parquet")), _folder(spark))
+    return streams.drained(streams.stream_change_log(streams.events_stream(spark, f"{d}/events.parquet")), shared_folder(spark, "stream"))
 
 
 @query
 def stream_daily_last(spark, d):
     """All days that the watermark, one day behind the newest row, has passed at the end."""
-    return streams.drained(streams.stream_daily_last(streams.events_stream(spark, f"{d}/events.parquet")), _folder(spark))
+    return streams.drained(streams.stream_daily_last(streams.events_stream(spark, f"{d}/events.parquet")), shared_folder(spark, "stream"))

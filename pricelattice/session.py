@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,20 @@ def ship_package(spark: SparkSession) -> None:
     sc._has_package = True
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which every executor reaches.
+
+    Where the session has no such setting, the context's checkpoint folder serves; where it has none either (tests on
+    one machine), a temporary one is set.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def get_session(app: str = "pricelattice", cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session with UTC dates and adaptive execution; on a cluster, bring your own."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
