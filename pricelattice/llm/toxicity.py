@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stored
 from .words import ALNUM, pieces, text_bytes, word_bounds, word_hashes
 
 PIECE_BYTES = 2 << 20
@@ -203,8 +204,8 @@ def train(
         .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
         .withColumn("_place", F.row_number().over(_by_hash()))
     )
-    # At most max_rows pairs of numbers, so the texts stay where they are read.
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    # At most max_rows pairs of numbers are broadcast, so one scan of the corpus finds the labelled texts; the passes below read only them.
+    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id"), "labelled")
     lexicon = {w: ("I", 0.5) for w in INSULTS} | {w: ("T", 1.0) for w in THREATS}
     for symbol, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("M", MODALS)):
         lexicon |= {w: (symbol, 1.0) for w in words}
