@@ -38,7 +38,7 @@ def shuffled_shards(
     scattered = (
         docs.withColumn("_bucket", bucket)
         .join(offsets.hint("broadcast") if n_buckets <= 100_000 else offsets, "_bucket")
-        .repartition(max(1, min(n_buckets, 4000)), "_bucket")
+        .repartition(min(n_buckets, 100_000), "_bucket")
         .sortWithinPartitions("_bucket", id_col, F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]))
     )
     schema = T.StructType([*docs.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_slot", T.LongType())])
