@@ -53,14 +53,15 @@ class KDTree:
         """(query, scores, ids): all candidates for the k best of each query, the query's own id left out.
 
         Best-first: the open node with the largest bound comes next. ``kth`` is a score that k candidates are known
-        to reach; it rises as leaves are read, and a node whose bound is below it ends the search.
+        to reach; it rises as leaves are read, and a node whose bound is below it ends the search. Candidates are
+        distinct ids with the best score of their rows, so repeats do not raise it.
         """
         bounds = self.bounds(queries)
         for q in range(len(queries)):
             limit = kth[q]
             mine = bounds[q]
             heap = [(-mine[0], 0)]
-            best: list[tuple[float, int]] = []
+            best: dict[int, float] = {}
             while heap:
                 bound, node = heapq.heappop(heap)
                 if -bound < limit:
@@ -74,13 +75,15 @@ class KDTree:
                 scores = self.vectors[lo:hi] @ queries[q]
                 near = np.flatnonzero(scores >= limit)
                 ids = self.ids[lo:hi][near]
-                best += [(-s, i) for s, i in zip(scores[near].tolist(), ids.tolist()) if i != own[q]]
+                for s, i in zip(scores[near].tolist(), ids.tolist()):
+                    if i != own[q] and s > best.get(i, -np.inf):
+                        best[i] = s
                 if len(best) >= k:
-                    best = heapq.nsmallest(k, best)
-                    limit = max(limit, -best[-1][0])
+                    best = dict(heapq.nsmallest(k, best.items(), key=lambda x: (-x[1], x[0])))
+                    limit = max(limit, min(best.values()))
             if best:
-                best = heapq.nsmallest(k, best)
-                yield q, np.array([-s for s, _ in best]), np.array([i for _, i in best], dtype=np.int64)
+                found = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+                yield q, np.array([s for _, s in found]), np.array([i for i, _ in found], dtype=np.int64)
 
 
 def grid(column: pa.Array, dims: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +110,7 @@ def top_k(
     finds its own id. Rows with a NULL id or a vector that is NULL, of another length, or holds NULL or
     non-finite components take no part. Rows that repeat an id count once for each query with their best score. Result: query_id, rank int (from 1), the id, score.
 
-    Vectors are dealt to shards by a hash of the id; queries travel to every shard in blocks. In a shard's task the vectors
+    Vectors, each once for its id, are dealt to shards by a hash of id and vector; queries travel to every shard in blocks. In a shard's task the vectors
     come first and become a tree, then one block after another is searched, so memory holds a shard and a
     block, whatever the number of queries. The kth best score among a pilot of ``PILOT_ROWS`` vectors, which all tasks know, is
     each query's first bound in every shard. k rows a query leave a shard, and a window takes the k best of them.
@@ -140,8 +143,9 @@ def top_k(
     pilot_rows = rows.orderBy(F.xxhash64("id"), "id").limit(PILOT_ROWS).toArrow()
     fit, pilot = grid(pilot_rows.column("v").combine_chunks(), dims, scale) if n else (np.zeros(0, np.int64), np.zeros((0, dims)))
     held = spark.sparkContext.broadcast((pilot_rows.column("id").to_numpy()[fit] if n else fit, pilot))
-    there = rows.mapInArrow(pack(0), packed).select(
-        F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "ids", "data", "first"
+    # Neither copies of a row nor the vectors of one id may fill a shard.
+    there = rows.mapInArrow(pack(0), packed).distinct().select(
+        F.pmod(F.xxhash64("first", "data"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "ids", "data", "first"
     )
     here = asked.mapInArrow(pack(1), packed).select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "ids", "data", "first"

@@ -36,6 +36,17 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(df.limit(0), df).isEmpty() and top_k(df, df.limit(0)).isEmpty()
 
 
+def test_top_k_with_an_id_repeated_at_the_top(spark):
+    rng = np.random.default_rng(6)
+    data = {i: (rng.integers(-3, 4, 4) / 8).tolist() for i in range(300)}
+    rows = list(data.items()) + [(900, [4.0 + j % 10] * 4) for j in range(20)] + [(901, [3.0] * 4)] * 20
+    df = spark.createDataFrame(rows + [(902, [1.0] * 4)], "vec_id long, embedding array<float>")
+    grid = {i: [int(1024 * x) for x in v] for i, v in data.items()} | {900: [13 * 1024] * 4, 901: [3 * 1024] * 4, 902: [1024] * 4}
+    want = brute_top_k(grid, {902: grid[902]}, 10)
+    for size in (16_384, 50):
+        assert sorted(map(tuple, top_k(df, df.where("vec_id = 902"), 10, shard_rows=size).collect())) == want
+
+
 def test_boxes_bound_their_vectors_and_prune():
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(4000, 3)) * 1024)
