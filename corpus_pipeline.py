@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelattice.llm.lsh_forest import near_duplicates
+from pricelattice.llm.lsh_forest import without_near_duplicates
 from pricelattice.llm.mixing import fit_domains, fit_rates, memberships, mixed
 from pricelattice.llm.queries import QUALITY_WEIGHTS
 from pricelattice.llm.scratch import shared_folder, stored
@@ -30,10 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each component the document with the smallest id stays, once; documents without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    by_id = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"])
-    return by_id.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Operator 5: of each component the row with the smallest id stays, once; rows are told apart by id and text."""
+    return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,11 +59,17 @@ def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, sketch binary, keys array<binary>"
+_SKETCH = "doc_id long, row binary, n_shingles long, digest binary, sketch binary, keys array<binary>"
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """SHA-256 of id and text; NULLs have keys of their own."""
+    text = F.when(F.col(text_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(text_col)))
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), text), 256))
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: shingles, digest of the whole set, 2 bits of every minimum, and each tree's signature as a sort key."""
+    """Per row: key, shingles, digest of the whole set, 2 bits of every minimum, and each tree's signature as a sort key."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE_BYTES):
@@ -82,11 +88,15 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                     bits[d] = packed[i].tobytes()
                     keys[d] = [short[i, t].tobytes() for t in range(TREES)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "n_shingles": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()),
+                "doc_id": batch.column(0), "row": batch.column(2), "n_shingles": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()),
                 "sketch": pa.array(bits, pa.binary()), "keys": pa.array(keys, pa.list_(pa.binary())),
             })
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, _SKETCH)
+    return _keyed(docs, id_col, text_col).mapInArrow(sketch, _SKETCH)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
 
 def _runs(key: np.ndarray, lo: int, hi: int, depth: int) -> Iterator[tuple[int, int]]:
@@ -254,20 +264,62 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        a class may be of any size; a group of blocks sends on a spanning forest of its confirmed links.
     3. Connected components of the confirmed links, and back to all rows by set digest.
     """
-    spark = docs.sparkSession
     sketch = stored(sketches(docs, id_col=id_col, text_col=text_col), "sketches")
-    known = sketch.where("n_shingles > 0 and doc_id is not null")
+    reps, found = _linked(docs, sketch, sketch.where("n_shingles > 0 and doc_id is not null"), id_col, text_col)
+    # The smallest id of a component of several sets; other sets have their own.
+    least = reps.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    label = reps.join(found.join(least, "component").select("node", "least"), "node", "left").select(
+        "digest", F.coalesce("least", "doc_id").alias("component")
+    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return sketch.join(label, "digest", "left").select(
+        F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates: the smallest id (NULL last), of its texts the smallest
+    SHA-256, of rows equal in both the smallest of all columns.
+
+    Links are those of :func:`near_duplicates`, but between rows, whatever their ids: rows that share an id are apart where their texts are, and
+    rows with a NULL id take part. Texts without words are linked with nothing; repeats of such an id and text count once.
+    """
+    sketch = stored(sketches(docs, id_col=id_col, text_col=text_col), "sketches")
+    reps, found = _linked(docs, sketch, sketch.where("n_shingles > 0"), id_col, text_col)
+    kept = (
+        reps.join(found, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("component"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+        .select("first.row")
+        .unionByName(sketch.where("n_shingles = 0").select("row").distinct())
+    )
+    one = docs.groupBy(row_key(id_col, text_col).alias("row")).agg(F.min(F.struct(*docs.columns)).alias("all"))
+    return one.join(kept.hint("shuffle_hash"), "row", "left_semi").select("all.*")
+
+
+def _linked(docs: DataFrame, sketch: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets of ``known`` rows of ``sketch`` (node, digest, n_shingles, and doc_id and row of the first), and
+    (node, component) for those with links. Nodes are numbers of sets, as an id may have several sets or be NULL."""
+    spark = docs.sparkSession
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     reps = stored(
-        known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "reps"
+        known.groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"))
+        .select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.row", "n_shingles"), "reps"
+    )
+    own = (
+        known.select("digest", "row", "n_shingles", "sketch", "keys")
+        .join(reps.select("digest", "row", "node"), ["digest", "row"])
+        .dropDuplicates(["digest"])
     )
-    own = known.join(reps.select("digest", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
-    trees = stored(own.select("doc_id", "n_shingles", "sketch", F.posexplode("keys").alias("tree", "key")), "trees")
+    trees = stored(own.select(F.col("node").alias("doc_id"), "n_shingles", "sketch", F.posexplode("keys").alias("tree", "key")), "trees")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     candidates = (
         trees.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(_candidates, "a long, b long")
     )
     classes = stored(components(candidates), "classes").withColumnRenamed("node", "doc_id")
-    sizes = classes.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id").groupBy("component").agg(F.sum("n").alias("total"))
+    numbers = reps.select(F.col("node").alias("doc_id"), "digest", "row", "n_shingles")
+    sizes = classes.join(numbers.select("doc_id", "n_shingles"), "doc_id").groupBy("component").agg(F.sum("n_shingles").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
     placed = (
         classes.join(sizes.select("component", blocks.alias("n_blocks")), "component")
@@ -276,14 +328,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("doc_id", "component", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
         .distinct()
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = numbers.join(classes.select("doc_id"), "doc_id").select("row", F.col("doc_id").alias("node"))
     sets = stored(
-        texts.join(classes.select("doc_id").hint("shuffle_hash"), "doc_id")
-        .mapInArrow(_sets, "doc_id long, digest binary, set binary")
-        .join(reps.select("digest", "doc_id"), ["digest", "doc_id"], "left_semi")
-        .dropDuplicates(["digest"]),
+        _keyed(docs, id_col, text_col).select("text", "row")
+        .join(wanted.hint("shuffle_hash"), "row")
+        .select(F.col("node").alias("doc_id"), "text")
+        .mapInArrow(_sets, "doc_id long, set binary")
+        .dropDuplicates(["doc_id"]),
         "sets",
-    )
+    )
     links = (
         placed.join(sets, "doc_id")
         .select("component", "b1", "b2", "doc_id", "set")
@@ -291,20 +344,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .sortWithinPartitions("component", "b1", "b2", "doc_id")
         .mapInArrow(_links, "a long, b long")
     )
-    found = components(links)
-    label = reps.join(found, reps["doc_id"] == found["node"], "left").select(
-        "digest", F.coalesce("component", "doc_id").alias("component")
-    )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sketch.join(label, "digest", "left").select(
-        F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    return reps, components(links)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", PIECE_BYTES):
         h, at = shingle_hashes(batch.column(1))
         sets = [np.unique(h[s:e]).tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
-        digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "set": pa.array(sets, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "set": pa.array(sets, pa.binary())})

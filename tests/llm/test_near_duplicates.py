@@ -3,6 +3,7 @@
 import random
 import re
 
+import corpus_pipeline
 from pricelattice.llm.graph import components
 from pricelattice.llm.lsh_forest import near_duplicates
 from pricelattice.llm.queries import QUERIES
@@ -91,3 +92,16 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (901, 900)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    words = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c, d = words("a"), words("b"), words("c"), words("d")
+    rows = [(7, a), (7, b), (7, b), (3, b + " more"), (None, c), (None, c), (None, c + " more"), (None, a), (None, d), (7, ""), (7, ""), (None, None), (8, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
+    kept = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])[:2]) for r in kept if r["text"] and not r["text"].startswith("c0")) == [("3", "b0"), ("7", "a0"), ("None", "d0")]
+    assert sum((r["text"] or "").startswith("c0") for r in kept) == 1 and sorted(r["place"] for r in kept if not r["text"]) == [9, 11, 12]
+    assert len(kept) == 7 and {r["place"] for r in kept} == {r["place"] for r in corpus_pipeline.near_dedup(spark, df.repartition(5, "place"), "").collect()}
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df.where("text <> ''")).collect()}
+    assert got == {(7, 7, True), (7, 3, False), (3, 3, True), (None, None, True)}
