@@ -139,20 +139,27 @@ def _several(spark: SparkSession, ledger: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def span_digest(docs: DataFrame, findings: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> DataFrame:
-    """A row for each row of ``docs``: counts by kind and the spans as text, by start, then kind as listed."""
+def span_digest(
+    docs: DataFrame, findings: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """A row for each row of ``docs``: counts by kind and the spans as text, by start, then kind as listed.
+
+    A row's findings are those of its path and its own blob, at most one for each kind, so texts that share an id (or have
+    none) keep their own.
+    """
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    per_path = (
+    per_version = (
         findings.withColumn("k", order[F.col("kind")])
-        .groupBy("path")
+        .groupBy("path", "blob")
         .agg(
             F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("k").alias("k"), s["end"].alias("end"), F.col("kind").alias("kind"))))).alias("s"),
             *[F.sum(F.when(F.col("kind") == r.kind, F.size("spans")).otherwise(0)).alias(f"n_{r.kind}") for r in rules],
         )
     )
     spans = F.coalesce(F.array_join(F.transform(F.sort_array("s"), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","), F.lit(""))
-    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
-    return ids.join(per_path, F.col("_id").eqNullSafe(F.col("path")), "left").select(
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_blob"))
+    own = F.col("_id").eqNullSafe(F.col("path")) & (F.col("_blob") == F.col("blob"))
+    return ids.join(per_version, own, "left").select(
         F.col("_id").alias(id_col),
         *[F.coalesce(F.col(f"n_{r.kind}"), F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules],
         F.sha2(spans, 256).alias("base_sha256"),

@@ -99,6 +99,15 @@ def test_secret_spans(spark, tmp_path):
     assert scan_versions(docs.limit(0), f"file://{tmp_path}/b").isEmpty()
 
 
+def test_texts_that_share_an_id_keep_their_own_spans(spark, tmp_path):
+    texts = ["token=aaaaaa", "x AKIA" + "A" * 16, "none", None, "hex " + "0a" * 12]
+    rows = [(i, t) for i in (1, None) for t in texts] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = span_digest(docs, scan_versions(docs, f"file://{tmp_path}/s")).collect()
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in got) == sorted((str(i), ",".join(secrets(t))) for i, t in rows)
+    assert all(r["n_assign"] + r["n_access"] + r["n_hex"] == (r["spans"] != "") for r in got)
+
+
 def test_ledger_scans_new_blobs_and_new_rules_only(spark, tmp_path):
     ledger = f"file://{tmp_path}/l"
     first = spark.createDataFrame([(1, "token=aaaaaa"), (2, "token=aaaaaa"), (3, "none")], "doc_id long, text string")
