@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +123,6 @@ class TestBlock:
     """The word sequences of benchmark items that are searched for together, and every test suffix's length."""
 
     ids: list[str]
-    words: list[bytes] = field(default_factory=list)
     window: int = 10
 
     @classmethod
@@ -132,51 +130,81 @@ class TestBlock:
         block = cls(ids, window=window)
         data, at = text_bytes(pa.array(texts, pa.large_string()))
         starts, ends, first = word_bounds(data, at, ALNUM)
-        low = bytes(data).lower()
-        block.words = [low[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-        block.first = first
         n = np.diff(first)
         block.item = np.repeat(np.arange(len(ids)), n)
         left = np.repeat(first[1:], n) - np.arange(first[-1])
         whole = np.repeat(n, n)
-        head = np.arange(first[-1]) == np.repeat(first[:-1], n)
+        block.head = np.arange(first[-1]) == np.repeat(first[:-1], n)
         #: Words that a test suffix must share to count: a window, or the whole of a shorter item.
-        block.need = np.where(left >= window, window, np.where(head, whole, 0))
+        block.need = np.where(left >= window, window, np.where(block.head, whole, 0))
         block.left = left
         block.raw = (data, starts, ends)
+        block._windows()
         return block
 
     def hashes(self, seed: int) -> np.ndarray:
         return word_hashes(*self.raw, seed=seed)
 
+    def _windows(self) -> None:
+        """Different windows once each, with the test suffixes that begin with each: equal windows are searched for together."""
+        self.query = np.flatnonzero(self.need > 0)
+        words = _numbers(self.raw)[0].astype(np.int64)
+        rows = np.full((len(self.query), int(self.need.max(initial=0))), -1, dtype=np.int64)
+        for j in range(rows.shape[1]):
+            use = self.need[self.query] > j
+            rows[use, j] = words[self.query[use] + j]
+        _, once, group = np.unique(rows, axis=0, return_index=True, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        #: The first test suffix of each window, and all of them in order of their window.
+        self.once = self.query[once]
+        order = np.argsort(group.ravel(), kind="stable")
+        self.members = self.query[order]
+        self.member_at = np.searchsorted(group.ravel()[order], np.arange(len(once) + 1))
+
+
+def _bytes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    low = bytes(data).lower()
+    return [low[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+
+
+#: Seeds under which a shard's words are hashed in turn before they are numbered by their bytes.
+SEEDS = 3
+#: Occurrences that are extended at a time.
+_STEP = 1 << 18
+
+
+def _numbers(*raws: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Numbers of the words of several texts, equal where their bytes are."""
+    number: dict[bytes, int] = {}
+    return [np.array([number.setdefault(w, len(number)) for w in _bytes_of(*raw)], dtype=np.uint64) for raw in raws]
+
 
 def search_shard(column: pa.Array, block: TestBlock) -> dict[str, list]:
     """Per text: words, hit words as merged spans (first word, end), items with occurring windows, longest match.
 
-    Longest matches are extended from each occurrence of a window to the end of what both texts share.
-    Hash matches are confirmed byte for byte; should one fail, the shard is searched again under another seed.
+    Longest matches are extended from the first window of each stretch that both texts share to its end.
+    Hash matches are confirmed byte for byte; should one fail, the shard is searched again under another seed, and after ``SEEDS`` of them with
+    words numbered by their bytes.
     """
     data, at = text_bytes(column)
     starts, ends, first = word_bounds(data, at, ALNUM)
     n = len(column)
     out: dict[str, list] = {"n_words": np.diff(first).tolist(), "spans": [[] for _ in range(n)], "items": [[] for _ in range(n)], "longest": [0] * n}
-    query = np.flatnonzero(block.need > 0)
-    if not len(starts) or not len(query):
+    if not len(starts) or not len(block.once):
         return out
-    for seed in count():
-        own = word_hashes(data, starts, ends, seed)
+    for seed in range(SEEDS + 1):
+        if seed < SEEDS:
+            own, tests = word_hashes(data, starts, ends, seed), block.hashes(seed)
+        else:
+            own, tests = _numbers((data, starts, ends), block.raw)
         array = SuffixArray(own, first, int(block.need.max()))
-        tests = block.hashes(seed)
         words = array.ids(tests)
-        lo, hi = array.ranges(words, query, block.need[query])
+        lo, hi = array.ranges(words, block.once, block.need[block.once])
         times = hi - lo
         if not times.sum():
             return out
-        q = np.repeat(query, times)
-        step = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
-        place = array.order[np.repeat(lo, times) + step]
-        need = block.need[q]
-        doc = np.searchsorted(array.first, place, "right") - 1
+        w = np.repeat(np.arange(len(times)), times)
+        place = array.order[_ranges(lo, times)]
+        need = block.need[block.once][w]
         edge = np.zeros(len(array.seq) + 1, dtype=np.int64)
         np.add.at(edge, place, 1)
         np.add.at(edge, place + need, -1)
@@ -184,21 +212,48 @@ def search_shard(column: pa.Array, block: TestBlock) -> dict[str, list]:
         spots = np.flatnonzero(hit)
         word = spots - np.searchsorted(array.first, spots, "right") + 1
         known, back = np.unique(tests, return_index=True)
-        if same_words(data, starts[word], ends[word], [block.words[i] for i in back], np.searchsorted(known, own[word])):
+        which = back[np.searchsorted(known, own[word])]
+        test_data, test_starts, test_ends = block.raw
+        if seed == SEEDS or same_words(data, starts[word], ends[word], test_data, test_starts[which], test_ends[which]).all():
             break
     flips = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
     for s, e in zip(flips[::2].tolist(), flips[1::2].tolist()):
         d = int(np.searchsorted(array.first, s, "right")) - 1
         out["spans"][d].append((s - int(array.first[d]), e - int(array.first[d])))
-    for pair in np.unique(doc * len(block.ids) + block.item[q]).tolist():
-        out["items"][pair // len(block.ids)].append(block.ids[pair % len(block.ids)])
-    longest = _extend(array.seq, words, place + need, q + need, (block.left - block.need)[q]) + need
-    best = np.zeros(n, dtype=np.int64)
-    np.maximum.at(best, doc, longest)
-    out["longest"] = best.tolist()
+    doc = np.searchsorted(array.first, place, "right") - 1
+    for pair in np.unique(doc * len(times) + w).tolist():
+        d, k = divmod(pair, len(times))
+        out["items"][d] += [block.ids[i] for i in block.item[block.members[block.member_at[k] : block.member_at[k + 1]]].tolist()]
+    out["items"] = [sorted(set(x)) for x in out["items"]]
+    out["longest"] = _longest(array.seq, words, block, w, place, doc, n).tolist()
     return out
 
 
+def _ranges(lo: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... of each range, one range after another."""
+    return np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def _longest(seq: np.ndarray, words: np.ndarray, block: TestBlock, w: np.ndarray, place: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The longest match of each text, in words. Every occurrence meets every test suffix that begins with its window, some at a time."""
+    best = np.zeros(n, dtype=np.int64)
+    times = (block.member_at[1:] - block.member_at[:-1])[w]
+    upto = np.cumsum(times)
+    lo = 0
+    while lo < len(w):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _STEP, "right")))
+        own = np.repeat(np.arange(lo, hi), times[lo:hi])
+        q = block.members[_ranges(block.member_at[w[lo:hi]], times[lo:hi])]
+        at = place[own]
+        # One word to the left both go on alike: that occurrence's window begins the same stretch.
+        first = block.head[q] | (at == 0) | (seq[np.maximum(at - 1, 0)] != words[np.maximum(q - 1, 0)])
+        own, q, at = own[first], q[first], at[first]
+        need = block.need[q]
+        np.maximum.at(best, doc[own], need + _extend(seq, words, at + need, q + need, block.left[q] - need))
+        lo = hi
+    return best
+
+
 def _extend(seq: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
     """How many more words two sequences share from ``a`` and ``b``, up to ``left``."""
     more = np.zeros(len(a), dtype=np.int64)
@@ -221,8 +276,8 @@ _FOUND = [
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[tuple[int, bool, TestBlock]]:
-    """The benchmark in blocks of bounded size, one at a time on the driver: number, whether it is the last, block."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null")
+    """The benchmark in blocks of bounded size, one at a time on the driver: number, whether it is the last, block. Repeated rows count once."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 1).alias("b")).first()["b"] or 0
     n = max(1, -(-int(size) // block_bytes))
     for k in range(n):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import SPACES, pieces, text_bytes, word_bounds, word_hashes
+from .words import SPACES, lowered, pieces, same_words, text_bytes, word_bounds, word_hashes
 
 PIECE_BYTES = 2 << 20
 #: A chunk ends where the rolling hash of the last WINDOW ids has its top bits zero (one id in 2**CUT_BITS), or at MOST ids.
@@ -54,7 +54,8 @@ class WordEncoder:
 
     For such a tokenizer the ids of a text are those of its parts between ASCII white space in turn, whatever else they hold; a single comma or
     full stop after a Latin letter at the end of a part is a part of its own. Each distinct part is encoded once, and ids are
-    gathered by part. Parts are told apart by 64-bit hashes of their bytes with A-Z lower-cased. ``most`` bounds the parts remembered between batches.
+    gathered by part. Parts are found by 64-bit hashes and confirmed byte for byte, A-Z lower-cased; one that only shares another's hash
+    is encoded by itself. ``most`` bounds the parts remembered between batches.
     """
 
     def __init__(self, path: str, most: int = 600_000, joined: int = 64) -> None:
@@ -70,6 +71,8 @@ class WordEncoder:
     def _clear(self) -> None:
         self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        #: The parts' bytes one after another, and where each ends.
+        self.bytes, self.stops = np.zeros(0, np.uint8), np.zeros(0, np.int64)
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by ``end_id``, and how many each text has with it."""
@@ -85,17 +88,30 @@ class WordEncoder:
         if new.any():
             spots = np.flatnonzero(new)
             fresh, once = np.unique(hashes[spots], return_index=True)
-            low = bytes(data).lower()
-            self._learn(fresh, [low[s:e].decode() for s, e in zip(starts[spots[once]].tolist(), ends[spots[once]].tolist())])
+            self._learn(fresh, self._words(data, starts[spots[once]], ends[spots[once]]))
             k = np.searchsorted(self.known, hashes)
         which = self.place[k] if len(k) else k
-        n = self.sizes[which]
+        flat, sizes = self.flat, self.sizes
+        sure = same_words(data, starts, ends, self.bytes, np.concatenate(([0], self.stops))[which], self.stops[which])
+        if not sure.all():
+            odd = np.flatnonzero(~sure)
+            apart = self._ids([w.decode() for w in self._words(data, starts[odd], ends[odd])])
+            which[odd] = len(sizes) + np.arange(len(odd))
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(apart), np.uint32)])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, apart), np.int64, len(apart))])
+        n = sizes[which]
         upto = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat((np.cumsum(self.sizes) - self.sizes)[which] - upto[:-1], n) + np.arange(upto[-1])]
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], n) + np.arange(upto[-1])]
         stops = upto[first[1:]]
         return np.insert(ids, stops, np.uint32(end_id)), np.diff(np.concatenate(([0], stops))) + 1
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    @staticmethod
+    def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        low = lowered(data).tobytes()
+        return [low[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        words = [w.decode() for w in parts]
         plain = [i for i, w in enumerate(words) if w.isalpha()]
         other = [i for i, w in enumerate(words) if not w.isalpha()]
         order, flat, sizes = [], [], []
@@ -116,6 +132,10 @@ class WordEncoder:
         at = len(self.sizes)
         self.flat = np.concatenate([self.flat, *flat])
         self.sizes = np.concatenate([self.sizes, *sizes])
+        learned = [parts[i] for i in order]
+        last = self.stops[-1] if len(self.stops) else 0
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(learned), np.uint8)])
+        self.stops = np.concatenate([self.stops, last + np.cumsum(np.fromiter(map(len, learned), np.int64, len(learned)))])
         known = np.concatenate([self.known, hashes[order]])
         place = np.concatenate([self.place, np.arange(at, at + len(order))])
         by = np.argsort(known)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,9 @@ ALNUM = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 17
-_powers: dict[str, np.ndarray] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes of a word from which on it is hashed by itself.
+LONG = 64
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,42 +86,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n + 1:
-        size = max(n + 1, 1 << 16)
-        back = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        for name, base in (("up", _ODD), ("down", back)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def lowered(data: np.ndarray) -> np.ndarray:
+    """``data`` with A-Z lower-cased and 8 zero bytes after it, so that 8 bytes can be read at every place."""
+    out = np.zeros(len(data) + 8, dtype=np.uint8)
+    np.take(_LOWER, data, out=out[: len(data)])
+    return out
+
+
+def _eights(low: np.ndarray) -> np.ndarray:
+    """The 8 bytes at every place of ``low`` as one number."""
+    return np.ndarray((len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased, from differences of running sums over blocks of some 100 kB."""
-    value = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
-    out = np.empty(len(starts), dtype=np.uint64)
-    lo = 0
-    while lo < len(starts):
-        base = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
-        block = value[data[base : int(ends[hi - 1])]]
-        up, down = _power(len(block))
-        sums = np.zeros(len(block) + 1, dtype=np.uint64)
-        np.cumsum(block * up[: len(block)], out=sums[1:])
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        lo = hi
-    return mix(out)
-
-
-def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[bytes], which: np.ndarray) -> bool:
-    """Whether every word in ``data`` (A-Z lower-cased) is, byte for byte, the one of ``words`` that ``which`` names."""
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    """A keyed 64-bit hash of each word with A-Z lower-cased.
+
+    Words are folded 8 bytes at a time, all of them in step, by one-to-one mixing: words below 8 bytes never collide with each other.
+    Words beyond ``LONG`` bytes are hashed by keyed BLAKE2b.
+    """
+    low = lowered(data)
+    eights = _eights(low)
+    keys = np.random.default_rng([seed, 64]).integers(0, 1 << 64, 3, dtype=np.uint64)
+    n = (ends - starts).astype(np.int64)
+    size = n.astype(np.uint64)
+    start = np.where(n < 8, keys[0] ^ (size << np.uint64(56)), keys[1] + size * _ODD)
+    out = mix(start ^ (eights[starts] & _MASK[np.minimum(n, 8)]))
+    live = np.flatnonzero((n > 8) & (n <= LONG))
+    at = 8
+    while len(live):
+        more = eights[starts[live] + at] & _MASK[np.minimum(n[live] - at, 8)]
+        out[live] = mix(out[live] * _ODD ^ more ^ keys[2])
+        at += 8
+        live = live[n[live] > at]
+    key = keys.tobytes()
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def same_words(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray
+) -> np.ndarray:
+    """Which words of ``data`` are, byte for byte with A-Z lower-cased, those of ``other`` in the same order."""
+    a, b = lowered(data), lowered(other)
+    a8, b8 = _eights(a), _eights(b)
     n = ends - starts
-    if not np.array_equal(n, sizes[which]):
-        return False
-    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-    first = np.cumsum(sizes) - sizes
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return bool(np.array_equal(_LOWER[data[np.repeat(starts, n) + step]], flat[np.repeat(first[which], n) + step]))
+    same = n == other_ends - other_starts
+    live = np.flatnonzero(same)
+    at = 0
+    while len(live):
+        left = np.minimum(n[live] - at, 8)
+        ok = ((a8[starts[live] + at] ^ b8[other_starts[live] + at]) & _MASK[left]) == 0
+        same[live[~ok]] = False
+        at += 8
+        live = live[ok & (n[live] > at)]
+        if at >= LONG:
+            for i in live.tolist():
+                same[i] = np.array_equal(a[starts[i] : ends[i]], b[other_starts[i] : other_ends[i]])
+            break
+    return same

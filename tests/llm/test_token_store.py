@@ -45,6 +45,16 @@ def test_ids_are_those_of_whole_texts(texts):
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+def test_parts_with_one_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(ts, "word_hashes", lambda data, starts, ends, seed=0: np.full(len(starts), 7, np.uint64))
+    encoder = ts.WordEncoder(PATH)
+    texts = ["some words, then others", "other words.", ""]
+    for _ in range(2):
+        ids, counts = encoder.encode(pa.array(texts, pa.string()), 2)
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
 def test_chunks_depend_on_near_ids_only():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 49_000, 40_000).astype(np.uint32), rng.integers(0, 49_000, 5_000).astype(np.uint32)

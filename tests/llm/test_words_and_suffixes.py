@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from pricelattice.llm import suffix_search as ss
 from pricelattice.llm.queries import QUERIES
-from pricelattice.llm.words import ALNUM, SPACES, pieces, text_bytes, word_bounds, word_hashes
+from pricelattice.llm.words import ALNUM, SPACES, pieces, same_words, text_bytes, word_bounds, word_hashes
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -99,3 +99,61 @@ def test_longest_match(spark):
     docs = spark.createDataFrame([(1, "x a b c d e y")], "doc_id long, text string")
     items = spark.createDataFrame([("p", "q a b c d e f")], "item_id string, text string")
     assert ss.benchmark_matches(docs, items, window=2).first()["longest"] == 5
+
+
+def thue_morse(n):
+    """Two words of 2**n letters that polynomial hashes modulo a power of 2 cannot tell apart."""
+    flip = str.maketrans("ab", "ba")
+    w = "a"
+    for _ in range(n):
+        w += w.translate(flip)
+    return w, w.translate(flip)
+
+
+def test_words_made_to_collide_do_not():
+    for n in (3, 5, 6, 7, 10, 12):
+        data, at = text_bytes(pa.array(thue_morse(n)))
+        for seed in range(3):
+            assert len(set(word_hashes(data, at[:-1], at[1:], seed).tolist())) == 2
+    block = ss.TestBlock.of(["p"], [thue_morse(10)[0]], 10)
+    assert ss.search_shard(pa.array([thue_morse(10)[1], thue_morse(10)[0].upper()]), block)["items"] == [[], ["p"]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="aAb", max_size=90), st.text(alphabet="aAb", max_size=90), st.booleans()), max_size=6))
+def test_same_words_compares_bytes(pairs):
+    pairs = [(x, x.swapcase() if same else y) for x, y, same in pairs]
+    (a, i), (b, j) = (text_bytes(pa.array(c, pa.string())) for c in ([x for x, _ in pairs], [y for _, y in pairs]))
+    assert same_words(a, i[:-1], i[1:], b, j[:-1], j[1:]).tolist() == [x.lower() == y.lower() for x, y in pairs]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", max_size=60), min_size=1, max_size=5), st.lists(st.text(alphabet="abc ", max_size=30), max_size=4))
+def test_search_where_every_hash_collides(docs, items):
+    """With one hash for all words each seed fails to confirm, and bytes decide."""
+    own = ss.word_hashes
+    try:
+        ss.word_hashes = lambda data, starts, ends, seed=0: ends * 0 + 7
+        block = ss.TestBlock.of([str(i) for i in range(len(items))], items, 3)
+        found = ss.search_shard(pa.array(docs, pa.string()), block)
+    finally:
+        ss.word_hashes = own
+    want = brute(list(enumerate(docs)), list(enumerate(items)), 3)
+    assert [(sum(e - s for s, e in found["spans"][d]), len(found["items"][d])) for d in range(len(docs))] == [want[d][1:3] for d in range(len(docs))]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", max_size=60), min_size=1, max_size=4), st.lists(st.text(alphabet="ab ", max_size=30), max_size=4))
+def test_longest_match_equals_brute_force(docs, items):
+    found = ss.search_shard(pa.array(docs, pa.string()), ss.TestBlock.of([str(i) for i in range(len(items))], items, 3))
+
+    def common(x, y):
+        n = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        return n if n >= min(3, len(whole)) and (n >= 3 or len(y) == len(whole)) else 0
+
+    for d, text in enumerate(docs):
+        w, best = text.split(), 0
+        for item in items:
+            whole = item.split()
+            best = max([best, *(common(w[i:], whole[j:]) for i in range(len(w)) for j in range(len(whole)))])
+        assert found["longest"][d] == best
