@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import drop, stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each node's smallest neighbour comes from an aggregate with map-side combine, and
     the edges are then linked to it in an equi-join, which adaptive execution splits where a hub is hot. Every round is written
-    to the shared folder. Rounds grow with the logarithm of the longest chain.
+    to the shared folder and the one before it removed. Rounds grow with the logarithm of the longest chain.
     """
     now = stored(_both(edges).where("u > v").distinct(), "edges")
     for _ in range(max_rounds):
@@ -22,8 +22,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = stored(small, "edges")
         # Stars only: no node that is someone's centre has a smaller neighbour of its own.
         chained = after.select(F.col("v").alias("u")).distinct().join(after.select("u").distinct(), "u", "left_semi")
+        done = chained.isEmpty()
+        drop(now)
         now = after
-        if chained.isEmpty():
+        if done:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -12,20 +12,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .scratch import stored
+from .scratch import drop, stored
 from .words import SPACES, mix, pieces, text_bytes, word_bounds, word_hashes
 
 PIECE_BYTES = 2 << 20
 #: Trees of the forest, values of a tree's signature, and those that candidates share at least. A pair of similarity 0.85
 #: shares 2 values of one tree with 0.7225, and misses all 10 trees with 3 in a million.
 TREES, DEPTH, LEAST_DEPTH = 10, 8, 2
-#: Signature bits that two sets of similarity 0.85 agree in, less 4.5 standard deviations: below, a pair is no candidate.
 _VALUES = TREES * DEPTH
-LEAST_AGREEING = int(_VALUES * 0.8875 - 4.5 * (_VALUES * 0.8875 * 0.1125) ** 0.5)
 #: Rows of a region in which all are compared; larger regions are split at the next depth.
-REGION = 256
-#: Shingles in a block of a candidate class; a class is compared block by block.
+REGION = 1024
+#: Rows on either side that each row is compared with wherever regions, batches and partitions are cut.
+NEAR = 8
+#: Rows that are looked at together; a region that goes on is carried over, its last ``REGION`` rows at least.
+BUFFER = 20_000
+#: Trees whose candidate links are confirmed one by one; all trees say which rows may belong together.
+LINK_TREES = 3
+#: Shingles in a block of a candidate class.
 BLOCK_SHINGLES = 100_000
+
+
+def least_agreeing(percent: int) -> int:
+    """Of a sketch's 2-bit values two sets of this similarity agree in so many, less 5.5 standard deviations: below, a pair is no candidate
+    (at the similarity itself, 2 pairs in ten million)."""
+    p = (1 + 3 * percent / 100) / 4
+    return int(_VALUES * p - 5.5 * (_VALUES * p * (1 - p)) ** 0.5)
+
+
 _ROWS = np.random.default_rng(5).integers(0, 1 << 63, _VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(16)]
 
@@ -100,108 +113,139 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _runs(key: np.ndarray, lo: int, hi: int, depth: int) -> Iterator[tuple[int, int]]:
-    """Regions of rows ``lo:hi``, which share ``depth`` values: small enough to compare all, or as deep as signatures go."""
-    if hi - lo < 2:
+    """Regions of rows ``lo:hi``, which share ``depth`` values: small enough to compare all, or as deep as signatures go (then in windows that
+    overlap by half)."""
+    if hi - lo <= NEAR + 1:
         return
     if hi - lo <= REGION or depth == DEPTH:
-        for at in range(lo, hi, REGION):  # of more than REGION equal signatures, neighbours share half a window
+        for at in range(lo, max(lo + 1, hi - REGION // 2), REGION // 2):
             yield at, min(hi, at + REGION)
-            if at + REGION < hi:
-                yield at + REGION // 2, min(hi, at + REGION + REGION // 2)
         return
-    cuts = lo + 1 + np.flatnonzero(key[lo + 1 : hi, depth] != key[lo : hi - 1, depth])
-    # Neighbours across the cuts share a prefix all the same: each keeps its next-door rows as candidates.
-    for c in cuts.tolist():
-        yield max(lo, c - 8), min(hi, c + 8)
-    for a, b in zip([lo, *cuts.tolist()], [*cuts.tolist(), hi]):
+    cuts = (lo + 1 + np.flatnonzero(key[lo + 1 : hi, depth] != key[lo : hi - 1, depth])).tolist()
+    for a, b in zip([lo, *cuts], [*cuts, hi]):
         yield from _runs(key, a, b, depth + 1)
 
 
-class _Forest:
-    """Union-find over small integers."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many 2-bit values agree between rows of packed sketches."""
     x = a ^ b
     return _VALUES - np.bitwise_count((x | (x >> 1)) & 0x55).sum(axis=-1, dtype=np.int32)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links in sorted signatures of one tree after another: in each region, a spanning forest of the pairs whose
-    sizes and sketches allow the similarity."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= 20_000:
-            done, held = _split_last(held)
-            if done is not None:
-                yield from _region_links(done)
-    if held:
-        yield from _region_links(pa.Table.from_batches(held))
-
-
-def _split_last(held: list[pa.RecordBatch]) -> tuple[pa.Table | None, list[pa.RecordBatch]]:
-    """Rows up to the last change of region; the rest stays, unless that is all and already large."""
-    table = pa.Table.from_batches(held).combine_chunks()
-    heads = _heads(table)
-    last = np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1))
-    if not len(last):
-        return (table, []) if table.num_rows >= 200_000 else (None, [table.to_batches()[0]])
-    cut = int(last[-1]) + 1
-    return table.slice(0, cut), table.slice(cut).combine_chunks().to_batches()
+_TREE_ROW = "tree int, key binary, doc_id long, n_shingles long, sketch binary"
+_CANDIDATE = f"a long, b long, {_TREE_ROW}"
+
+
+def _candidates(percent: int):
+    """From rows sorted by (tree, key): candidate links (a, b, tree), and the rows of the first and last region, whose region may go on in
+    the partition before or after (a and b NULL)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        first = True
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < BUFFER:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _region_starts(table)
+            if first:
+                yield _border(table.slice(0, min(REGION, int(np.append(starts, table.num_rows)[1]))))
+                first = False
+            yield _region_links(table, percent)
+            held = table.slice(max(int(starts[-1]), table.num_rows - REGION)).combine_chunks().to_batches()
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows:
+            table = table.combine_chunks()
+            starts = _region_starts(table)
+            if first:
+                yield _border(table.slice(0, min(REGION, int(np.append(starts, table.num_rows)[1]))))
+            yield _region_links(table, percent)
+            yield _border(table.slice(max(int(starts[-1]), table.num_rows - REGION)))
+
+    return run
 
 
 def _keys(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("key").to_pylist()), dtype=">u4").reshape(table.num_rows, DEPTH)
 
 
-def _heads(table: pa.Table) -> np.ndarray:
-    return np.column_stack([table.column("tree").to_numpy(), _keys(table)[:, :LEAST_DEPTH]])
+def _region_starts(table: pa.Table) -> np.ndarray:
+    heads = np.column_stack([table.column("tree").to_numpy(), _keys(table)[:, :LEAST_DEPTH]])
+    return np.concatenate(([0], 1 + np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1))))
 
 
-def _region_links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    key, heads = _keys(table), _heads(table)
-    doc = table.column("doc_id").to_numpy()
-    n = table.column("n_shingles").to_numpy()
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
-    cuts = (1 + np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1))).tolist()
-    a, b = [], []
-    for lo, hi in zip([0, *cuts], [*cuts, table.num_rows]):
-        if hi - lo < 2:
-            continue
-        forest = _Forest(hi - lo)
+def _border(table: pa.Table) -> pa.RecordBatch:
+    none = pa.nulls(table.num_rows, pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, *(table.column(c).combine_chunks() for c in range(5))], names=["a", "b", *table.column_names])
+
+
+def _region_links(table: pa.Table, percent: int) -> pa.RecordBatch:
+    """In each region a spanning forest, made of near neighbours first, of the pairs whose sizes and sketches allow the similarity."""
+    starts = _region_starts(table)
+    size = np.diff(np.append(starts, table.num_rows))
+    rows = np.flatnonzero(np.repeat(size > 1, size))
+    table = table.take(pa.array(rows)).combine_chunks()
+    size = size[size > 1]
+    at = np.concatenate(([0], np.cumsum(size)))
+    region = np.repeat(np.arange(len(size)), size)
+    doc, n = table.column("doc_id").to_numpy(), table.column("n_shingles").to_numpy()
+    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(rows), _VALUES // 4)
+    key, label, least = _keys(table), np.arange(len(rows)), least_agreeing(percent)
+    a: list[int] = []
+    b: list[int] = []
+
+    def alike(i, j: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        return (100 * small >= percent * large) & (_agree(bits[i], bits[j]) >= least)
+
+    def join(i: int, j: int) -> None:
+        if label[i] != label[j]:
+            own = label[at[region[i]] : at[region[i] + 1]]
+            own[own == label[j]] = label[i]
+            a.append(i)
+            b.append(j)
+
+    for step in range(1, NEAR + 1):
+        i = np.flatnonzero((region[:-step] == region[step:]) & (label[:-step] != label[step:])) if len(rows) > step else np.zeros(0, np.int64)
+        for x in i[alike(i, i + step)].tolist():
+            join(x, x + step)
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
         for s, e in _runs(key, lo, hi, LEAST_DEPTH):
-            for i in range(s, e - 1):
-                small, large = np.minimum(n[i], n[i + 1 : e]), np.maximum(n[i], n[i + 1 : e])
-                fit = np.flatnonzero((100 * small >= 85 * large) & (_agree(bits[i], bits[i + 1 : e]) >= LEAST_AGREEING))
-                for j in fit.tolist():
-                    if forest.join(i - lo, i + 1 + j - lo):
-                        a.append(doc[i])
-                        b.append(doc[i + 1 + j])
-    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            for i in range(s, e - NEAR - 1):
+                if (label[s:e] == label[i]).all():
+                    break
+                others = i + NEAR + 1 + np.flatnonzero(label[i + NEAR + 1 : e] != label[i])
+                for j in others[alike(i, others)].tolist():
+                    join(i, j)
+    none, no_bytes = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())
+    tree = pa.array(table.column("tree").to_numpy()[a], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(doc[a], pa.int64()), pa.array(doc[b], pa.int64()), tree, no_bytes, none, none, no_bytes], names=["a", "b", *table.column_names])
+
+
+def _confirm(percent: int):
+    """Those of (a, b, set of a, set of b) that are links."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links in rows sorted by (class, first block, second block), as a spanning forest for each group."""
-    for group in _groups(batches):
-        yield _group_links(group)
+    return run
+
+
+def _links(percent: int):
+    """Links between components in rows sorted by (class, block, chunk): each row of the chunk against the rows of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            yield _group_links(group, percent)
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -223,49 +267,52 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _group_links(group: pa.Table) -> pa.RecordBatch:
-    doc = group.column("doc_id").to_numpy()
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("set").to_pylist()]
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(-size, kind="stable")
-    doc, size, sets = doc[order], size[order], [sets[i] for i in order]
+def _group_links(group: pa.Table, percent: int) -> pa.RecordBatch:
+    """A spanning forest, over components, of the links between the asking rows and the others."""
+    doc, label = group.column("doc_id").to_numpy(), group.column("own").to_numpy().copy()
+    asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("set").combine_chunks()]
+    size = np.array([len(x) for x in sets])
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate(([0], np.cumsum(size)))
     mark = np.zeros(len(values), dtype=bool)
-    forest = _Forest(len(doc))
     a, b = [], []
-    for i in range(len(doc) - 1):
-        end = int(np.searchsorted(-size, -(85 * size[i] // 100 + (85 * size[i] % 100 > 0)), "right"))
-        if end <= i + 1:
+    for i in np.flatnonzero(asks).tolist():
+        small, large = np.minimum(size, size[i]), np.maximum(size, size[i])
+        others = np.flatnonzero(~asks & (label != label[i]) & (100 * small >= percent * large))
+        if not len(others):
             continue
-        own = flat[at[i] : at[i + 1]]
-        mark[own] = True
-        common = np.add.reduceat(mark[flat[at[i + 1] : at[end]]], at[i + 1 : end] - at[i + 1], dtype=np.int64)
-        mark[own] = False
-        for j in np.flatnonzero(100 * common >= 85 * (size[i] + size[i + 1 : end] - common)).tolist():
-            if forest.join(i, i + 1 + j):
+        mark[flat[at[i] : at[i + 1]]] = True
+        own = np.repeat(at[others] - np.cumsum(size[others]) + size[others], size[others]) + np.arange(size[others].sum())
+        common = np.add.reduceat(mark[flat[own]], np.cumsum(size[others]) - size[others], dtype=np.int64)
+        mark[flat[at[i] : at[i + 1]]] = False
+        for j in others[100 * common >= percent * (size[i] + size[others] - common)].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
                 a.append(doc[i])
-                b.append(doc[i + 1 + j])
+                b.append(doc[j])
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id that links reach), kept (it is that id).
 
     Sets are the distinct 5-word shingles of the whole text (A-Z lower-cased, words end at ASCII white space); two sets are linked where
-    100 * intersection >= 85 * union. Texts without words are linked with nothing. Rows with equal sets are one class,
+    100 * intersection >= percent * union. Texts without words are linked with nothing. Rows with equal sets are one class,
     found by digest. Rows with a NULL id take part in no link (component_id NULL, kept true); rows that repeat an id
     have the component of their own set each. Other columns are ignored.
 
     1. One representative of each distinct set enters the forest: in every tree the representatives are
        range-sorted by that tree's signature, so a hot region spans partitions; rows that share 2 values or more are candidates, and regions beyond
-       256 rows go deeper. Sketches drop pairs far below the similarity. What is left joins into candidate classes.
-    2. Full sets of the documents in classes of two or more are compared within a class, all with all, block by block, so
-       a class may be of any size; a group of blocks sends on a spanning forest of its confirmed links.
+       1,024 rows go deeper. Whatever is cut (regions, batches, partitions), rows meet their 8 nearest on each side of the cut, and a region
+       of up to 1,024 rows is always seen whole. Sketches drop pairs far below the similarity. What is left joins into candidate classes.
+    2. The candidate links of three trees are confirmed on full sets, pair by pair. Where a class then falls into several components, the
+       rows outside its largest one are compared with all rows of the class on full sets, block by block; nothing within a
+       component is compared again, so a large family of copies costs little more than its links.
     3. Connected components of the confirmed links, and back to all rows by set digest.
     """
     sketch = stored(sketches(docs, id_col=id_col, text_col=text_col), "sketches")
-    reps, found = _linked(docs, sketch, sketch.where("n_shingles > 0 and doc_id is not null"), id_col, text_col)
+    reps, found = _linked(docs, sketch, sketch.where("n_shingles > 0 and doc_id is not null"), id_col, text_col, percent)
     # The smallest id of a component of several sets; other sets have their own.
     least = reps.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     label = reps.join(found.join(least, "component").select("node", "least"), "node", "left").select(
@@ -278,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near-duplicates: the smallest id (NULL last), of its texts the smallest
     SHA-256, of rows equal in both the smallest of all columns.
 
@@ -286,7 +333,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     rows with a NULL id take part. Texts without words are linked with nothing; repeats of such an id and text count once.
     """
     sketch = stored(sketches(docs, id_col=id_col, text_col=text_col), "sketches")
-    reps, found = _linked(docs, sketch, sketch.where("n_shingles > 0"), id_col, text_col)
+    reps, found = _linked(docs, sketch, sketch.where("n_shingles > 0"), id_col, text_col, percent)
     kept = (
         reps.join(found, "node", "left")
         .groupBy(F.coalesce("component", "node").alias("component"))
@@ -298,7 +345,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     return one.join(kept.hint("shuffle_hash"), "row", "left_semi").select("all.*")
 
 
-def _linked(docs: DataFrame, sketch: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, sketch: DataFrame, known: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """The distinct sets of ``known`` rows of ``sketch`` (node, digest, n_shingles, and doc_id and row of the first), and
     (node, component) for those with links. Nodes are numbers of sets, as an id may have several sets or be NULL."""
     spark = docs.sparkSession
@@ -307,44 +354,64 @@ def _linked(docs: DataFrame, sketch: DataFrame, known: DataFrame, id_col: str, t
         known.groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"))
         .select(F.monotonically_increasing_id().alias("node"), "digest", "first.doc_id", "first.row", "n_shingles"), "reps"
     )
-    own = (
-        known.select("digest", "row", "n_shingles", "sketch", "keys")
-        .join(reps.select("digest", "row", "node"), ["digest", "row"])
-        .dropDuplicates(["digest"])
-    )
-    trees = stored(own.select(F.col("node").alias("doc_id"), "n_shingles", "sketch", F.posexplode("keys").alias("tree", "key")), "trees")
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    candidates = (
-        trees.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(_candidates, "a long, b long")
-    )
-    classes = stored(components(candidates), "classes").withColumnRenamed("node", "doc_id")
-    numbers = reps.select(F.col("node").alias("doc_id"), "digest", "row", "n_shingles")
-    sizes = classes.join(numbers.select("doc_id", "n_shingles"), "doc_id").groupBy("component").agg(F.sum("n_shingles").alias("total"))
-    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    placed = (
-        classes.join(sizes.select("component", blocks.alias("n_blocks")), "component")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-        .select("doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-        .select("doc_id", "component", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-        .distinct()
-    )
-    wanted = numbers.join(classes.select("doc_id"), "doc_id").select("row", F.col("doc_id").alias("node"))
+    candidates = _candidate_links(known, reps, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), percent)
+    classes = stored(components(candidates), "classes")
+    numbers = reps.join(classes, "node")
     sets = stored(
         _keyed(docs, id_col, text_col).select("text", "row")
-        .join(wanted.hint("shuffle_hash"), "row")
+        .join(numbers.select("row", "node").hint("shuffle_hash"), "row")
         .select(F.col("node").alias("doc_id"), "text")
         .mapInArrow(_sets, "doc_id long, set binary")
         .dropDuplicates(["doc_id"]),
         "sets",
     )
-    links = (
-        placed.join(sets, "doc_id")
-        .select("component", "b1", "b2", "doc_id", "set")
-        .repartition("component", "b1", "b2")
-        .sortWithinPartitions("component", "b1", "b2", "doc_id")
-        .mapInArrow(_links, "a long, b long")
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
+    links = candidates.where(F.col("tree") < LINK_TREES).select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    sure = stored(components(links.mapInArrow(_confirm(percent), "a long, b long")), "sure")
+
+    rows = numbers.join(sure.withColumnRenamed("component", "own"), "node", "left").select(
+        F.col("node").alias("doc_id"), F.col("component").alias("class"), F.coalesce("own", "node").alias("own"), "n_shingles"
+    )
+    parts = rows.groupBy("class", "own").agg(F.sum("n_shingles").alias("n"))
+    apart = parts.groupBy("class").agg(F.max(F.struct("n", "own"))["own"].alias("main"), F.max("n").alias("largest"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks, chunks = (F.ceil(F.col(n) / BLOCK_SHINGLES).cast("int") for n in ("n", "others"))
+    # Written, as both kinds of rows below come from it.
+    placed = stored(
+        rows.join(apart.select("class", "main", "n", (F.col("n") - F.col("largest")).alias("others")), "class")
+        .select("doc_id", "class", "own", (F.col("own") != F.col("main")).alias("minor"), blocks.alias("blocks"), chunks.alias("chunks")), "placed"
+    )
+    block, chunk = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "chunks").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = placed.select("class", block.alias("b"), every("chunks").alias("c"), F.lit(False).alias("asks"), "doc_id", "own")
+    asked = placed.where("minor").select("class", every("blocks").alias("b"), chunk.alias("c"), F.lit(True).alias("asks"), "doc_id", "own")
+    more = (
+        held.unionByName(asked).join(sets, "doc_id")
+        .select("class", "b", "c", "asks", "doc_id", "own", "set")
+        .repartition("class", "b", "c")
+        .sortWithinPartitions("class", "b", "c", "doc_id")
+        .mapInArrow(_links(percent), "a long, b long")
+    )
+    return reps, components(sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def _candidate_links(known: DataFrame, reps: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Candidate links (a, b, tree) of nodes: of all trees' sorted orders, and of the regions at the borders of partitions."""
+    own = (
+        known.select("digest", "row", "n_shingles", "sketch", "keys")
+        .join(reps.select("digest", "row", "node"), ["digest", "row"])
+        .dropDuplicates(["digest"])
     )
-    return reps, components(links)
+    names = [c.split()[0] for c in _TREE_ROW.split(", ")]
+    trees = stored(own.select(F.posexplode("keys").alias("tree", "key"), F.col("node").alias("doc_id"), "n_shingles", "sketch").select(*names), "trees")
+    find = lambda df, n: df.repartitionByRange(n, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(_candidates(percent), _CANDIDATE)
+    inner = stored(find(trees, parts), "inner")
+    drop(trees)
+    # Regions met at borders come together again, dealt by tree and shared values; those of many partitions are cut once more, but elsewhere.
+    outer = find(inner.where("a is null").select(*names).distinct(), max(1, parts // 16))
+    both = inner.where("a is not null").select("a", "b", "tree").unionByName(outer.where("a is not null").select("a", "b", "tree"))
+    found = stored(both, "candidates")
+    drop(inner)
+    return found
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

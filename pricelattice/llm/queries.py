@@ -188,9 +188,49 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
+# Shingle sets, links by counting shared shingles, and what each set reaches.
+_OP5 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (SELECT row, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+-- Rows with equal sets are linked; of each different set one stands for all.
+c AS (SELECT min(doc_id) AS a, any_value(s) AS s, len(any_value(s)) AS n FROM (SELECT doc_id, s, list_sort(s) AS k FROM s WHERE len(s) > 0 AND doc_id IS NOT NULL) GROUP BY k),
+x AS (SELECT a, n, unnest(s) AS x FROM c),
+l AS (SELECT p.a AS a, q.a AS b FROM x p JOIN x q ON p.x = q.x AND p.a <> q.a AND 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n)
+  GROUP BY p.a, q.a, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+r AS (SELECT a, a AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT list_sort(c.s) AS k, component_id FROM c JOIN m ON c.a = m.a)
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END AS component_id,
+  coalesce(coalesce(component_id, doc_id) = doc_id, true) AS kept
+FROM s LEFT JOIN k ON list_sort(s.s) = k.k AND s.doc_id IS NOT NULL
+"""
+
+# Every window of an item (or the whole of a shorter one) against every window of a document of its size.
+_OP9 = r"""
+WITH low AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+v AS (SELECT DISTINCT id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS x
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+o AS (SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS x FROM (
+    SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM low, (SELECT DISTINCT size FROM v) WHERE len(w) >= size)),
+h AS (SELECT o.row, o.i, o.size, v.id FROM o JOIN v ON o.size = v.size AND o.x = v.x),
+n AS (SELECT row, count(DISTINCT pos) AS hit FROM (SELECT row, unnest(range(i, i + size)) AS pos FROM h) GROUP BY row),
+t AS (SELECT row, count(*) AS items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, id FROM h) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN n ON low.row = n.row LEFT JOIN t ON low.row = t.row
+"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": _OP1,
     "op2_chat_formatting": _OP2,
+    "op5_minhash_near_dedup": _OP5,
     "op6_secret_scans": _OP6,
+    "op9_benchmark_decontamination": _OP9,
     "op10_url_filters": _OP10,
 }

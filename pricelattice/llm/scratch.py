@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
 
-__all__ = ["drop_folder", "shared_folder", "stored"]
+__all__ = ["drop", "shared_folder", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -14,11 +14,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Remove a folder that :func:`shared_folder` named, in whatever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Remove the folders of tables from :func:`stored` that nothing reads any more, in whatever file system they lie."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -176,10 +176,10 @@ class Tables:
         if known.any():
             symbols[known], weights[known] = self.symbols[k[known]], self.weights[k[known]]
         open_ = np.flatnonzero(~known)
-        heads = _characters(data)
+        characters = _characters(data)
         for size, (table, own) in self.openings.items():
             s, e = starts[first[open_]], ends[first[open_]]
-            stop = _opening_ends(heads, s, e, size)
+            stop = _opening_ends(characters, s, e, size)
             longer = np.flatnonzero(stop > 0)
             k, hit = _look_up(word_hashes(data, s[longer], stop[longer]), table)
             found = open_[longer[hit]]
@@ -188,17 +188,20 @@ class Tables:
         return symbols[back], weights[back]
 
 
-def _characters(data: np.ndarray) -> np.ndarray:
-    """Where characters begin in UTF-8 bytes."""
-    return np.flatnonzero((data & 0xC0) != 0x80)
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters begin in UTF-8 bytes, and the number of each byte's character."""
+    head = (data & 0xC0) != 0x80
+    return np.flatnonzero(head), np.cumsum(head) - 1
 
 
-def _opening_ends(heads: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+def _opening_ends(characters: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """Where the first ``size`` characters of each word end; -1 for words that are no longer than that."""
-    at = np.searchsorted(heads, starts) + size
-    inside = at < len(heads)
-    stop = heads[np.minimum(at, max(len(heads) - 1, 0))] if len(heads) else np.zeros(len(starts), np.int64)
-    return np.where(inside & (stop < ends), stop, -1)
+    heads, number = characters
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    at = number[starts] + size
+    stop = heads[np.minimum(at, len(heads) - 1)]
+    return np.where((at < len(heads)) & (stop < ends), stop, -1)
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -300,10 +303,10 @@ def evidence(bad: float, good: float, toxic: int, clean: int) -> tuple[float, fl
 
 def _forms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Whole words of 3 characters or more (size 0), then openings of each size: which words, and where the form ends."""
-    heads = _characters(data)
-    yield 0, *_kept(np.where(_opening_ends(heads, starts, ends, 2) > 0, ends, -1))
+    characters = _characters(data)
+    yield 0, *_kept(np.where(_opening_ends(characters, starts, ends, 2) > 0, ends, -1))
     for size in OPENINGS:
-        yield size, *_kept(_opening_ends(heads, starts, ends, size))
+        yield size, *_kept(_opening_ends(characters, starts, ends, size))
 
 
 def _kept(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

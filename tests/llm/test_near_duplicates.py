@@ -2,8 +2,13 @@
 
 import random
 import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
+from pricelattice.llm import lsh_forest as lf
 from pricelattice.llm.graph import components
 from pricelattice.llm.lsh_forest import near_duplicates
 from pricelattice.llm.queries import QUERIES
@@ -105,3 +110,72 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert len(kept) == 7 and {r["place"] for r in kept} == {r["place"] for r in corpus_pipeline.near_dedup(spark, df.repartition(5, "place"), "").collect()}
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df.where("text <> ''")).collect()}
     assert got == {(7, 7, True), (7, 3, False), (3, 3, True), (None, None, True)}
+
+
+def linked_pairs(rows, percent=85):
+    """All linked pairs of different sets: rare shingles first, linked sets share one of the first few."""
+    sets = {}
+    for d, t in sorted(rows):
+        own = frozenset(map(hash, shingles(t)))
+        if own and own not in sets:
+            sets[own] = d
+    count = Counter(x for s in sets for x in s)
+    by = defaultdict(list)
+    pairs = set()
+    for s, d in sets.items():
+        for x in sorted(s, key=lambda x: (count[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]:
+            for other, e in by[x]:
+                both = len(s & other)
+                if 100 * both >= percent * (len(s) + len(other) - both):
+                    pairs.add((d, e))
+            by[x].append((s, d))
+    return pairs
+
+
+def test_recall_over_ten_thousand_documents(spark):
+    data = "/root/testdata/sf0.1"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    own = {r["doc_id"]: r["component_id"] for r in QUERIES["op5_minhash_near_dedup"](spark, data).collect()}
+    pairs = linked_pairs(rows)
+    assert len(pairs) > 300 and np.mean([own[a] == own[b] for a, b in pairs]) >= 0.999
+    known = {frozenset(map(hash, shingles(t))): d for d, t in sorted(rows, reverse=True)}
+    least = {d: known[frozenset(map(hash, shingles(t)))] for d, t in rows if t and t.split()}
+    reach = {r["node"]: r["component"] for r in components(spark.createDataFrame([*pairs, (-1, -2)], "a long, b long")).collect()}
+    assert all(own[d] == reach.get(k, k) for d, k in least.items())  # no link that is none
+
+
+def test_cut_regions_stay_connected(monkeypatch):
+    """One hot region in three partitions and many buffers: links within them and across their borders connect all."""
+    monkeypatch.setattr(lf, "BUFFER", 300)
+    monkeypatch.setattr(lf, "REGION", 64)
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 256, lf._VALUES // 4, dtype=np.uint8).tobytes()
+    key = rng.integers(0, 1 << 32, (2000, lf.DEPTH)).astype(">u4")
+    key[:, : lf.LEAST_DEPTH] = 7
+    order = sorted(range(2000), key=lambda i: key[i].tobytes())
+    table = pa.Table.from_pydict({
+        "tree": pa.array([0] * 2000, pa.int32()), "key": [key[i].tobytes() for i in order], "doc_id": order, "n_shingles": [50] * 2000, "sketch": [bits] * 2000,
+    })
+    found = [pa.Table.from_batches(lf._candidates(85)(iter(part.to_batches(max_chunksize=100)))) for part in (table.slice(0, 700), table.slice(700, 1), table.slice(701))]
+    both = pa.concat_tables(found).to_pandas()
+    border = both[both["a"].isna()].drop(columns=["a", "b"]).drop_duplicates(["doc_id"]).astype({"doc_id": "int64", "n_shingles": "int64"}).sort_values(["tree", "key", "doc_id"])
+    more = pa.Table.from_batches(lf._candidates(85)(iter(pa.Table.from_pandas(border, preserve_index=False).to_batches()))).to_pandas()
+    up = list(range(2000))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for frame in (both, more):
+        for a, b in frame.dropna(subset=["a"])[["a", "b"]].astype(int).to_numpy().tolist():
+            up[top(a)] = top(b)
+    assert len({top(i) for i in range(2000)}) == 1
+
+
+def test_words_made_to_collide_are_different_shingles(spark):
+    flip = str.maketrans("ab", "ba")
+    w = "a"
+    for _ in range(10):
+        w += w.translate(flip)
+    check(spark, [(1, w), (2, w.translate(flip)), (3, w.upper())])
