@@ -189,7 +189,7 @@ def _encoder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             yield _rows("chunk", [None] * len(fresh), [e - s for s, e in zip(lo, hi)], [digests[i] for i in fresh], packed, [None] * len(fresh))
             upto = np.searchsorted(ends, np.cumsum(counts), "left") + 1
             recipes = [digests[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
-            roots = [hashlib.blake2b(b"".join(r), digest_size=16).digest() for r in recipes]
+            roots = [recipe_root(r) for r in recipes]
             yield _rows("recipe", batch.column(0), counts, roots, [None] * len(roots), recipes)
 
     return encode
@@ -261,9 +261,7 @@ def write_store(
         .select("part", "doc_id", "start", "n_tokens", "chunks", "root")
     )
     placed.write.partitionBy("part").parquet(f"{folder}/recipes")
-    read_recipes(spark, folder).select("part", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start").mapInArrow(
-        _manifest, "part int, first_start long, n_docs long, n_tokens long, root binary"
-    ).write.parquet(f"{folder}/manifest")
+    _roots(spark, folder).write.parquet(f"{folder}/manifest")
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -275,15 +273,26 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _roots(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each part of the recipes as they now are: its Merkle root, whose leaves are hashed from the recipes' chunks."""
+    rows = read_recipes(spark, folder).select("part", "start", "n_tokens", "chunks").repartition("part").sortWithinPartitions("part", "start")
+    return rows.mapInArrow(_manifest, "part int, first_start long, n_docs long, n_tokens long, root binary")
+
+
+def recipe_root(chunks: list[bytes]) -> bytes:
+    """The hash of a document's chunk digests in order."""
+    return hashlib.blake2b(b"".join(chunks), digest_size=16).digest()
+
+
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each part, from rows sorted by (part, start)."""
     parts: dict[int, list] = {}
     for batch in batches:
-        for part, start, n, root in zip(*(c.to_pylist() for c in batch.columns)):
+        for part, start, n, chunks in zip(*(c.to_pylist() for c in batch.columns)):
             held = parts.setdefault(part, [start, 0, 0, []])
             held[1] += 1
             held[2] += n
-            held[3].append(root)
+            held[3].append(recipe_root(chunks))
     cols = list(zip(*((p, s, d, n, merkle_root(r)) for p, (s, d, n, r) in sorted(parts.items())))) or [()] * 5
     yield pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
@@ -382,8 +391,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Per document from the files: doc_id, start, n_tokens, ids_crc32.
 
     Every chunk is read, unpacked and held against its digest once; only CRCs and lengths, not ids, are
-    then joined to the recipes, and a document's CRC follows from those of its chunks in order. A missing chunk raises.
+    then joined to the recipes, and a document's CRC follows from those of its chunks in order. A missing chunk raises, and so do
+    recipes that no longer give the Merkle roots of the manifest (a changed, moved, added or lost chunk or document).
     """
+    if broken := verify_manifest(spark, folder).where("not intact").orderBy("part").limit(1).collect():
+        raise ValueError(f"the recipes of part {broken[0]['part']} do not give the manifest's Merkle root")
     chunks = read_chunks(spark, folder).mapInArrow(_checked, "digest binary, n long, crc long")
     entries = read_recipes(spark, folder).select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("pos", "digest"))
     joined = entries.join(chunks, "digest", "left").withColumn(
@@ -396,14 +408,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, intact): whether each part's recipes still give the Merkle root in its manifest."""
-    kept = spark.read.parquet(f"{folder}/manifest")
-    now = (
-        read_recipes(spark, folder).select("part", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
-        .mapInArrow(_manifest, "part int, first_start long, n_docs long, n_tokens long, root binary")
-        .select("part", F.col("root").alias("now"), F.col("n_docs").alias("docs_now"))
-    )
-    return kept.join(now, "part", "full").select("part", (F.col("root").eqNullSafe(F.col("now")) & F.col("n_docs").eqNullSafe(F.col("docs_now"))).alias("intact"))
+    """(part, intact): whether each part's recipes, hashed again from their chunks, give the Merkle root, documents and ids in its manifest."""
+    kept = spark.read.schema("part int, first_start long, n_docs long, n_tokens long, root binary").parquet(f"{folder}/manifest")
+    now = _roots(spark, folder).select("part", *[F.col(c).alias(f"{c}_now") for c in ("first_start", "n_docs", "n_tokens", "root")])
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_now")) for c in ("first_start", "n_docs", "n_tokens", "root")]
+    return kept.join(now, "part", "full").select("part", (same[0] & same[1] & same[2] & same[3]).alias("intact"))
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -117,3 +117,32 @@ def test_empty_table(spark, tmp_path):
 def test_merkle_root_sees_order():
     leaves = [bytes([i]) * 16 for i in range(5)]
     assert ts.merkle_root(leaves) != ts.merkle_root(leaves[::-1]) and ts.merkle_root(leaves[:1]) == leaves[0]
+
+
+def test_a_changed_recipe_is_noticed(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    rng = np.random.default_rng(3)
+    text = " ".join(f"word{i}" for i in rng.integers(0, 5000, 6000))
+    ts.write_store(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), folder, PATH)
+    recipes = spark.createDataFrame(ts.read_recipes(spark, folder).collect(), ts.read_recipes(spark, folder).schema)
+    chunks = recipes.where("doc_id = 1").first()["chunks"]
+    assert len(chunks) > 3
+    # The same chunks in another order: digests, counts and the stored root are as before.
+    recipes.withColumn("chunks", F.reverse("chunks")).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/recipes")
+    with pytest.raises(ValueError, match="Merkle root"):
+        ts.read_documents(spark, folder)
+    recipes.where("doc_id = 1").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/recipes")
+    with pytest.raises(ValueError, match="Merkle root"):
+        ts.read_documents(spark, folder)
+    recipes.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/recipes")
+    assert ts.read_documents(spark, folder).count() == 2
+
+
+def test_repeated_ids_and_clashing_names(spark, tmp_path, tokenizer):
+    folder = f"file://{tmp_path}/store"
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (None, None)]
+    ts.write_store(spark.createDataFrame([(d, t, 9, "k", 1) for d, t in rows], "doc_id long, text string, part int, kind string, digest int"), folder, PATH)
+    got = sorted((r["doc_id"] or 0, r["start"], r["n_tokens"]) for r in ts.read_documents(spark, folder).collect())
+    sizes = {t: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows}
+    assert sorted(n for _, _, n in got) == sorted(sizes[t] for _, t in rows) and [d for d, _, _ in got] == [0, 0, 1, 1, 1]
+    assert [s for _, s, _ in got] == [sum(n for _, _, n in got[:i]) for i in range(5)]
