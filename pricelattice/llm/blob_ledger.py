@@ -2,7 +2,7 @@
 
 Every version of a text is a blob, named by its SHA-256. A ledger folder keeps which blob each path
 held and what each rule version found in each blob; a run scans only the (blob, rule version)
-pairs that the ledger has not seen, then joins findings to all paths.
+pairs that the ledger has not seen, then joins findings to all paths of all versions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import drop, stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -50,21 +52,28 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     p = F.lit(_tight(rule))
     hits = F.regexp_extract_all(text, p, F.lit(0))
     gaps = F.split(text, _tight(rule), -1)
-    lengths = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).cast("long").alias("g"), F.length(h).cast("long").alias("h"), h.alias("m")))
+    lengths = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).cast("long").alias("g"), F.coalesce(F.length(h), F.lit(0)).cast("long").alias("h"), h.alias("m")))
+    none = F.array().cast(SPANS)
     long_enough = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
-        end = start + F.coalesce(x["h"], F.lit(0))
+        end = start + x["h"]
         keep = x["m"].isNotNull() & long_enough(x["m"])
-        return F.struct(
-            end.alias("at"),
-            F.when(keep, F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        )
+        more = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
+        return F.struct(end.alias("at"), F.when(keep, more).otherwise(acc["spans"]).alias("spans"))
+
+    # Appending copies an array, so matches are walked in runs of _RUN, each from the place that the one before has come to.
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN)), lambda k: F.slice(lengths, (k * _RUN + 1).cast("int"), F.lit(_RUN)))
+    place = lambda at: F.struct(at.alias("at"), none.alias("spans"))
+    walked = F.aggregate(
+        runs, F.array(place(F.lit(0).cast("long"))), lambda acc, run: F.concat(acc, F.array(F.aggregate(run, place(F.element_at(acc, -1)["at"]), step)))
+    )
+    return F.when(F.regexp_like(text, p), F.flatten(F.transform(walked, lambda w: w["spans"]))).otherwise(none)
 
-    found = F.aggregate(lengths, zero, step, lambda acc: acc["spans"])
-    return F.when(F.regexp_like(text, p), found).otherwise(F.array().cast(SPANS))
+
+#: Matches that are walked together.
+_RUN = 256
 
 
 def _tight(rule: Rule) -> str:
@@ -90,20 +99,20 @@ def scan_versions(
 ) -> DataFrame:
     """Scan what the ledger folder has not seen, add to it, and return (path, blob, kind, version, spans).
 
-    A row for each path of this run and each kind that its blob holds; blobs without findings are
-    in the ledger too (with an empty ``spans``), so that no later run scans them again, but are left
+    A row for each path that the ledger holds, in any version that the path ever had, and each kind that this blob holds under these
+    rules. Blobs without findings are in the ledger too (with an empty ``spans``), so that no later run scans them again, but are left
     out of the result. NULL text counts as empty; repeated rows count once; rows with
     a NULL id are scanned with the rest under the path NULL. Other columns are ignored.
 
     A blob's copies may be a third of all rows: the smallest path of each blob is found with
-    map-side aggregation, and only that path's text goes to the scan.
+    map-side aggregation, and only that path's text goes to the scan. Findings are written before paths, so a run that dies
+    leaves no path without its findings.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     versions = docs.select(F.col(id_col).cast("long").alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
     held = f"{ledger}/paths"
-    versions.select("path", "blob").write.mode("append").parquet(held)
-    now = versions.select("path", "blob").distinct() if _several(spark, ledger) else _table(spark, held, _PATHS).distinct()
+    now = stored(versions.select("path", "blob").distinct(), "versions")
 
     first = now.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("n"), F.col("path"))).alias("p"))
     wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version string")
@@ -129,14 +138,11 @@ def scan_versions(
     found = todo.select("blob", F.explode(F.array_compact(kinds)).alias("f")).select("blob", "f.kind", "f.version", "f.spans")
     found.write.mode("append").parquet(f"{ledger}/findings")
     spark.catalog.refreshByPath(f"{ledger}/findings")
+    now.subtract(_table(spark, held, _PATHS)).write.mode("append").parquet(held)
+    drop(now)
     live = _table(spark, f"{ledger}/findings", _FOUND).where(F.size("spans") > 0).join(F.broadcast(wanted), ["kind", "version"])
-    return now.join(live.dropDuplicates(["blob", "kind", "version"]), "blob").select("path", "blob", "kind", "version", "spans")
-
-
-def _several(spark: SparkSession, ledger: str) -> bool:
-    """Whether the ledger holds an earlier run, so that its paths are not this run's alone."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ledger}/findings")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    spark.catalog.refreshByPath(held)
+    return _table(spark, held, _PATHS).join(live.dropDuplicates(["blob", "kind", "version"]), "blob").select("path", "blob", "kind", "version", "spans")
 
 
 def span_digest(
