@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pricelattice.llm.blob_ledger import RULES, Rule, scan_versions, span_digest
 from pricelattice.llm.chat_format import chat_digests, format_chats, read_chats
 from pricelattice.llm.queries import ORACLES, QUERIES
-from pricelattice.llm.shards import shuffled_shards
+from pricelattice.llm.shards import row_hashes, shuffled, shuffled_shards
 from pricelattice.llm.url_filter import url_filter
 
 DATA = "/root/testdata/sf0.001"
@@ -151,8 +152,35 @@ def test_shards(spark):
     assert shuffled_shards(docs.limit(0)).isEmpty()
 
 
+def test_shards_equal_brute_force(spark):
+    """Buckets, each one's order, its Fisher-Yates shuffle and the places that follow, over rows with hot ids, hot copies and clashing names."""
+    data = [(i if i % 3 else None, "t" * (i % 40), {"k": i % 5}, i, 7, 9) for i in range(400)] + [(5, "hot copy", {"k": 1}, 0, 7, 9)] * 300 + [(6, None, None, 1, 7, 9)] + [(8, "z" * 100_000, None, 2, 7, 9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, bucket map<string, int>, row int, _shard int, offset int")
+    got = sorted((r["_slot"] * 5 + r["_shard"], r["doc_id"], r["text"], r["row"]) for r in shuffled_shards(docs, 5, bucket_bytes=4000).collect())
+    one, two = row_hashes(docs.drop("_shard"))
+    rows = [tuple(r) for r in docs.drop("_shard").select("doc_id", "text", "row", one, two).collect()]
+    total = sum(len(t or "") + 1 for _, t, *_ in rows)
+    n = max(5, -(-total // 4000))
+    hot = {h for h, k in Counter(r[3:] for r in rows).items() if k > 1 and k * max(len(r[1] or "") + 1 for r in rows if r[3:] == h) > 1000}
+    seen, keyed = Counter(), []
+    for r in rows:
+        seen[r[3:]] += 1
+        keyed.append((*r, seen[r[3:]] if r[3:] in hot else 0))
+    copies = spark.createDataFrame([(*r[3:], i) for i, r in enumerate(keyed)], "h1 long, h2 long, copy long, i int")
+    bucket = {r["i"]: r["b"] for r in copies.select("i", F.pmod(F.xxhash64(F.lit(20), "h1", "h2", "copy"), F.lit(n)).cast("int").alias("b")).collect()}
+    want, at = [], 0
+    for b in range(n):
+        own = sorted((r for i, r in enumerate(keyed) if bucket[i] == b), key=lambda r: (r[0] is not None, r[0] or 0, r[3], r[4]))
+        for i in shuffled(len(own), 20, b).tolist():
+            want.append((at, *own[i][:3]))
+            at += 1
+    assert len(hot) == 1 and got == want
+    assert max(Counter(bucket.values()).values()) < 200  # neither the NULL ids nor the copies share a bucket
+
+
 def test_shard_query(spark):
     got = QUERIES["op4_sharding"](spark, DATA).toPandas()
     text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert len(got) == len(text) and got["grown_shard"].isna().all()
+    assert set(got["law"]) == {"rows"} and sorted(zip(got["slot"] * 16 + got["shard"])) == [(i,) for i in range(len(got))]
     assert all(s == len(text[d]) + 1 and c == zlib.crc32(text[d]) for d, s, c in zip(got["doc_id"], got["size"], got["text_crc32"]))
