@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import drop, stored
 from .words import SPACES, pieces, text_bytes, word_bounds, word_hashes
 
 PIECE_BYTES = 2 << 20
@@ -67,6 +67,7 @@ class Mixture:
     natural: np.ndarray | None = None
     target: np.ndarray | None = None
     reached: np.ndarray | None = None
+    rounds: int = 0
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         """Each gradient step moved a document's rate by its posteriors times one vector; then came the projection."""
@@ -79,7 +80,10 @@ class Mixture:
 def fit_domains(
     docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 5_000
 ) -> DomainModel:
-    """Train on the first ``max_rows`` labelled rows by a hash of the id; their features, some MB, come to the driver."""
+    """Train on the first ``max_rows`` labelled rows by a hash of the id; their features, some MB, come to the driver.
+
+    Rows with NULL id or label are not used; an id labelled twice has its largest label; rows of ``docs`` that repeat an id all carry its
+    label; NULL and empty texts have features of zeros. Without labels there is one domain, NULL. Other columns are ignored."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(F.col(label_col).cast("string")).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -116,7 +120,9 @@ def _softmax_fit(z: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float =
 
 
 def memberships(docs: DataFrame, model: DomainModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens (words between ASCII white space), posteriors (in the order of ``model.domains``)."""
+    """Per row: id, n_tokens (words between ASCII white space), posteriors (in the order of ``model.domains``).
+
+    Repeated rows and NULL ids are rows of their own; NULL and empty texts have no tokens. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE_BYTES):
@@ -130,15 +136,18 @@ def memberships(docs: DataFrame, model: DomainModel, *, id_col: str = "doc_id",
 
 
 def fit_rates(
-    members: DataFrame, model: DomainModel, weights: dict, *, least: float = 0.0, headroom: float | None = None, rounds: int = 60, tolerance: float = 1e-6
-) -> Mixture:
+    members: DataFrame, model: DomainModel, weights: dict, *, least: float = 0.0, headroom: float | None = None, rounds: int = 200,
+    tolerance: float = 1e-6, gap: float = 1e-3,
+) -> Mixture:
     """Rates r >= ``least`` that minimise the squared distance of expected domain tokens from ``weights`` times a total.
 
     ``weights`` gives each domain's share (missing: 0; they are scaled to 1). The total is the corpus' own tokens, or, with ``headroom``, that
     multiple of the least total at which no domain has to shrink. In the metric that counts each document by its tokens, the gradient of a rate is
     posteriors . residual, so a step is one vector of as many numbers as domains; each round is one distributed sum of
     that many numbers over ``members``. Steps have Barzilai-Borwein length. Every 8 rounds the rates are
-    written out, which keeps expressions short. No documents or no tokens: every rate stays 1.
+    written out, which keeps expressions short. Rounds end when every domain is within ``tolerance`` of its target (both as parts of the
+    corpus' tokens); if after ``rounds`` one is further than ``gap`` from it, the target cannot be reached and ValueError says by how much.
+    No documents or no tokens: every rate stays 1. Rows that repeat count each; NULL texts have no tokens.
     """
     d = len(model.domains)
     p = [F.col("posteriors")[k] for k in range(d)]
@@ -153,8 +162,8 @@ def fit_rates(
     share = share / share.sum() if share.sum() > 0 else np.full(d, 1 / d)
     state = members.select("n_tokens", "posteriors", F.lit(1.0).alias("rate"))
     step = 1 / high
-    before = None
-    for k in range(rounds):
+    before = written = None
+    while True:
         sums = state.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * p[i]).alias(f"s{i}") for i in range(d)]).first()
         reached = np.array([sums[f"s{i}"] for i in range(d)]) / t
         if mix.natural is None:
@@ -163,17 +172,25 @@ def fit_rates(
             mix.target = share * (headroom * float((reached[want] / share[want]).max()) if headroom else 1.0)
         mix.reached = reached
         residual = reached - mix.target
-        if np.abs(residual).max() < tolerance:
+        if np.abs(residual).max() < tolerance or mix.rounds == rounds:
             break
         if before is not None and (change := float(((residual - before) ** 2).sum())) > 0:
             step = float(np.clip(step**2 * (before @ gram @ before) / change, 1 / high, 1 / max(low, high * 1e-3)))
         move = step * residual
         mix.moves.append(move)
+        mix.rounds += 1
         before = residual
         dot = sum((p[i] * float(move[i]) for i in range(1, d)), p[0] * float(move[0]))
         state = state.select("n_tokens", "posteriors", F.greatest(F.lit(float(least)), F.col("rate") - dot).alias("rate"))
-        if k % 8 == 7:
+        if mix.rounds % 8 == 0:
             state = stored(state, "rates")
+            if written is not None:
+                drop(written)
+            written = state
+    if written is not None:
+        drop(written)
+    if (far := float(np.abs(residual).max())) > gap:
+        raise ValueError(f"the target {mix.target.round(4).tolist()} is out of reach: {far:.4f} of all tokens off after {mix.rounds} rounds")
     return mix
 
 
@@ -192,15 +209,20 @@ def mixed_rates(members: DataFrame, mix: Mixture, *, id_col: str = "doc_id") ->
 
 def mixed(docs: DataFrame, mix: Mixture, *, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its rate says: the whole part, and once more with the
-    fraction's chance, by a seeded hash of id and text. Rates below 1 may drop rows; rates of 1 and more never do."""
+    fraction's chance, by a seeded hash of id and text. Rates below 1 may drop rows; rates of 1 and more never do. Equal rows draw alike, so they
+    are repeated equally often. NULL and empty texts have rates of their own like others; columns may have any name."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = docs.columns
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, _rate double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col, PIECE_BYTES):
             x, _ = text_features(batch.column(batch.schema.get_field_index(text_col)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix.rates(mix.model.posteriors(x)))], names=[*batch.schema.names, "_rate"])
-
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    times = (F.floor("_rate") + F.when(chance < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
-    return docs.mapInArrow(run, schema).withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("_copy") < times).select(*names)
+            rates = pa.array(mix.rates(mix.model.posteriors(x)))
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, names=names), rates], names=["row", "rate"])
+
+    rated = docs.mapInArrow(run, f"row struct<{kinds.replace('` ', '`: ')}>, rate double")
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("row")[id_col], F.col("row")[text_col]), F.lit(1 << 30)) / float(1 << 30)
+    times = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    # A row of no copies has an empty sequence and goes.
+    again = rated.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
+    return again.select("row.*")

@@ -1,5 +1,7 @@
 """Top-k search, toxicity, mixing and the pipeline."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,37 @@ def test_mixing_edge_cases(spark):
     assert mixing.fit_rates(members.limit(0), model, {"1": 1.0}).moves == []
 
 
+def test_rates_equal_brute_force(spark):
+    """The query's rates on whole tables against projected gradient with all documents in memory."""
+    got = QUERIES["op7_mixing"](spark, DATA).toPandas().sort_values("doc_id")
+    p, n, rate = np.array(got["posteriors"].tolist()), got["n_tokens"].to_numpy(float), got["rate"].to_numpy()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas().sort_values("doc_id")
+    assert got["doc_id"].tolist() == docs["doc_id"].tolist() and n.tolist() == [len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) for t in docs["text"]]
+    a = (p * n[:, None]).T / n.sum()
+    target, r = np.array([0.1, 0.9]), np.ones(len(n))
+    for _ in range(20_000):  # fixed short steps, in the metric that counts documents by their tokens
+        r = np.maximum(0, r - 0.5 * p @ (a @ r - target))
+    assert np.abs(a @ r - target).max() < 1e-6 and np.abs(a @ rate - target).max() < 1e-5
+    assert (rate >= 0).all()
+    cost = lambda x: (n * (x - 1) ** 2).sum() / n.sum()
+    assert abs(cost(rate) - cost(r)) < 0.05 * cost(r)
+
+
+def test_a_target_out_of_reach_is_reported(spark):
+    model = mixing.DomainModel(["0", "1"], np.zeros(1), np.ones(1), np.zeros((2, 2)))
+    members = spark.createDataFrame([(i, 10, [0.5, 0.5]) for i in range(20)], "doc_id long, n_tokens long, posteriors array<double>")
+    with pytest.raises(ValueError, match="out of reach"):
+        mixing.fit_rates(members, model, {"0": 0.1, "1": 0.9}, rounds=10)
+
+
+def test_mixed_keeps_clashing_names_and_repeats(spark):
+    docs = spark.createDataFrame([(i % 4, "a b c", 1.5, 2, {"k": i}) for i in range(8)], "doc_id long, text string, _rate double, _copy int, row map<string, int>")
+    model = mixing.DomainModel(["0"], np.zeros(mixing._N_FEATURES), np.ones(mixing._N_FEATURES), np.zeros((mixing._N_FEATURES + 1, 1)))
+    out = mixing.mixed(docs, mixing.Mixture(model, 0.0, [np.array([-2.0])]))  # every rate is 3
+    assert out.columns == docs.columns and out.count() == 24 and {r["_rate"] for r in out.collect()} == {1.5}
+    assert mixing.mixed(docs, mixing.Mixture(model, 0.0, [np.array([1.0])])).isEmpty()
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names = docs.columns
