@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a leaf, vectors in a shard, queries in a block, and vectors of the pilot that gives first bounds.
-LEAF, SHARD_ROWS, BLOCK_ROWS, PILOT_ROWS = 128, 16_384, 512, 1_024
+from .scratch import stored
+
+#: Vectors in a leaf, vectors in a shard, queries in a block, vectors of the pilot that gives first bounds and the cells, most cells.
+LEAF, SHARD_ROWS, BLOCK_ROWS, PILOT_ROWS, MOST_CELLS = 128, 16_384, 512, 1_024, 128
 
 
 class KDTree:
@@ -46,8 +48,7 @@ class KDTree:
         self.ids, self.vectors = ids[order], vectors[order]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, nodes): no vector in a node's box has a larger inner product."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return box_bounds(queries, self.low, self.high)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, scores, ids): all candidates for the k best of each query, the query's own id left out.
@@ -86,6 +87,34 @@ class KDTree:
                 yield q, np.array([s for _, s in found]), np.array([i for i, _ in found], dtype=np.int64)
 
 
+class Cells:
+    """A partition of space by median splits of the pilot's vectors along their widest side: a KD-tree above the shards."""
+
+    def __init__(self, pilot: np.ndarray, wanted: int) -> None:
+        self.depth = min(MOST_CELLS, max(1, wanted)).bit_length() - 1 if len(pilot) else 0
+        self.n = 1 << self.depth
+        self.side, self.cut = np.zeros(self.n, np.int64), np.zeros(self.n)
+        parts = {0: pilot}
+        for node in range(self.n - 1):
+            part = parts.pop(node)
+            if len(part):
+                self.side[node] = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+                self.cut[node] = np.median(part[:, self.side[node]])
+            above = part[:, self.side[node]] >= self.cut[node]
+            parts[2 * node + 1], parts[2 * node + 2] = part[~above], part[above]
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(vectors), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (vectors[np.arange(len(vectors)), self.side[node]] >= self.cut[node])
+        return node - (self.n - 1)
+
+
+def box_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(queries, boxes): no vector in a box has a larger inner product."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
 def grid(column: pa.Array, dims: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
     """Which rows take part (no NULL, no non-finite component, ``dims`` components), and their floor(scale * x)."""
     sizes = np.array([-1 if x is None else x for x in column.value_lengths().to_pylist()], dtype=np.int64)
@@ -110,83 +139,179 @@ def top_k(
     finds its own id. Rows with a NULL id or a vector that is NULL, of another length, or holds NULL or
     non-finite components take no part. Rows that repeat an id count once for each query with their best score. Result: query_id, rank int (from 1), the id, score.
 
-    Vectors, each once for its id, are dealt to shards by a hash of id and vector; queries travel to every shard in blocks. In a shard's task the vectors
-    come first and become a tree, then one block after another is searched, so memory holds a shard and a
-    block, whatever the number of queries. The kth best score among a pilot of ``PILOT_ROWS`` vectors, which all tasks know, is
-    each query's first bound in every shard. k rows a query leave a shard, and a window takes the k best of them.
+    1. Vectors, each once for its id, go to cells, the leaves of a KD-tree over a pilot of ``PILOT_ROWS`` vectors, and a cell of more than ``shard_rows``
+       to several shards by a hash of id and vector. The tight boxes of the cells, ``MOST_CELLS`` at most, come to the driver.
+    2. Every query first searches one shard of its own cell. The kth best score that it finds there, or among the pilot, is its bound.
+    3. With that bound it goes on to those other cells whose boxes can hold a better score, and to the other shards of its own.
+
+    In a shard's task the vectors come first and become a tree, then one block of queries after another is searched, so memory holds a shard and a
+    block, whatever the number of queries. k rows a query leave a shard, and a window takes the k best of them.
     """
     spark = vectors.sparkSession
     if dims is None:
         row = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").first()
         dims = row["n"] if row else 0
+    none = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
+    if not dims:
+        return none
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
     n = rows.count()
-    shards = max(1, -(-n // shard_rows))
+    pilot_rows = rows.orderBy(F.xxhash64("id"), "id").limit(PILOT_ROWS).toArrow()
+    fit, pilot = grid(pilot_rows.column("v").combine_chunks(), dims, scale) if n else (np.zeros(0, np.int64), np.zeros((0, dims)))
+    cells = Cells(pilot, n // shard_rows)
+    held = spark.sparkContext.broadcast((pilot_rows.column("id").to_numpy()[fit] if n else fit, pilot, cells))
 
-    def pack(kind: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit, x = grid(batch.column(1), dims, scale)
+            ids = batch.column(0).to_numpy()[fit]
+            yield pa.RecordBatch.from_pydict({
+                "cell": pa.array(held.value[2].of(x), pa.int32()), "id": pa.array(ids, pa.int64()), "data": pa.array([_packed(v) for v in x], pa.binary()),
+            })
+
+    packed = "cell int, id long, data binary"
+    # Neither copies of a row nor the vectors of one id may fill a shard.
+    there = stored(rows.mapInArrow(pack, packed).distinct(), "vectors")
+    here = stored(asked.mapInArrow(pack, packed), "queries")
+    boxes = _cell_boxes(there, dims)
+    first, shards = {}, 0  # of each cell: its first shard and their number
+    for c, (count, _, _) in sorted(boxes.items()):
+        first[c] = (shards, max(1, -(-count // shard_rows)))
+        shards += first[c][1]
+    if not shards:
+        return none
+    names = spark.createDataFrame([(c, at, k) for c, (at, k) in first.items()], "cell int, at int, k int")
+    placed = there.join(F.broadcast(names), "cell").select(
+        (F.col("at") + F.pmod(F.xxhash64("id", "data"), "k")).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "data", F.lit(None).cast("double").alias("kth")
+    )
+    low, high = np.array([boxes[c][1] for c in sorted(boxes)]), np.array([boxes[c][2] for c in sorted(boxes)])
+    numbers = [first[c] for c in sorted(boxes)]
+    own_cell = {c: i for i, c in enumerate(sorted(boxes))}
+
+    def home(x: np.ndarray, cell: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """A shard of the query's own cell, or of the cell with the best bound where its own is empty."""
+        at = np.array([own_cell.get(c, -1) for c in cell.tolist()], dtype=np.int64)
+        empty = np.flatnonzero(at < 0)
+        at[empty] = box_bounds(x[empty], low, high).argmax(axis=1)
+        return np.array([numbers[c][0] + i % numbers[c][1] for c, i in zip(at.tolist(), ids.tolist())], dtype=np.int64)
+
+    def route(later: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                fit, x = grid(batch.column(1), dims, scale)
-                ids = batch.column(0).to_numpy()[fit]
-                size = 1 if kind == 0 else BLOCK_ROWS
-                at = list(range(0, len(ids), size))
-                yield pa.RecordBatch.from_pydict({
-                    "ids": pa.array([ids[i : i + size].astype("<i8").tobytes() for i in at], pa.binary()),
-                    "data": pa.array([_packed(x[i : i + size]) for i in at], pa.binary()),
-                    "first": pa.array([int(ids[i]) for i in at], pa.int64()),
-                })
+                cell, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(-1, dims)
+                own = home(x, cell, ids)
+                kth = batch.column(3).to_numpy(zero_copy_only=False) if later else np.full(len(ids), -np.inf)
+                bounds = box_bounds(x, low, high) if later else None
+                if later:
+                    going = ((s, np.flatnonzero((own != s) & (bounds[:, c] >= kth))) for c in range(len(numbers)) for s in range(numbers[c][0], sum(numbers[c])))
+                else:
+                    going = ((s, np.flatnonzero(own == s)) for s in np.unique(own).tolist())
+                for shard, use in going:
+                    if len(use):
+                        yield pa.RecordBatch.from_pydict({
+                            "shard": pa.array(np.full(len(use), shard, np.int32)), "kind": pa.array(np.ones(len(use), np.int32)), "id": pa.array(ids[use], pa.int64()),
+                            "data": batch.column(2).take(pa.array(use)), "kth": pa.array(kth[use], pa.float64()),
+                        })
 
         return run
 
-    packed = "ids binary, data binary, first long"
-    pilot_rows = rows.orderBy(F.xxhash64("id"), "id").limit(PILOT_ROWS).toArrow()
-    fit, pilot = grid(pilot_rows.column("v").combine_chunks(), dims, scale) if n else (np.zeros(0, np.int64), np.zeros((0, dims)))
-    held = spark.sparkContext.broadcast((pilot_rows.column("id").to_numpy()[fit] if n else fit, pilot))
-    # Neither copies of a row nor the vectors of one id may fill a shard.
-    there = rows.mapInArrow(pack(0), packed).distinct().select(
-        F.pmod(F.xxhash64("first", "data"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "ids", "data", "first"
-    )
-    here = asked.mapInArrow(pack(1), packed).select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "ids", "data", "first"
-    )
-    # As many partitions as shards, and a shard is whole in one: hashes may put several into a partition, one after another.
-    dealt = there.unionByName(here).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "first")
+    search = _searcher(held, dims, k)
+    parts = min(shards, 20_000)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, shard, ids, data = None, None, [], []
-        pilot_ids, pilot = held.value
-        for batch in batches:
-            for s, kind, i, x in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if s != shard:
-                    tree, shard, ids, data = None, s, [], []
-                if kind == 0:
-                    ids.append(i)
-                    data.append(x)
-                    continue
-                if tree is None and ids:
-                    tree = KDTree(np.frombuffer(b"".join(ids), "<i8"), np.frombuffer(b"".join(data), "<f8").reshape(-1, dims))
-                    ids, data = [], []
-                if tree is None:
-                    continue
-                own = np.frombuffer(i, "<i8")
-                block = np.frombuffer(x, "<f8").reshape(-1, dims)
-                kth = _pilot_kth(block, own, pilot, pilot_ids, k)
-                out = list(tree.search(block, own, k, kth))
-                if out:
-                    yield pa.RecordBatch.from_pydict({
-                        "query_id": pa.array(np.repeat(own[[q for q, _, _ in out]], [len(i) for _, _, i in out]), pa.int64()),
-                        "id": pa.array(np.concatenate([i for _, _, i in out]), pa.int64()),
-                        "score": pa.array(np.concatenate([s for _, s, _ in out]).astype(np.int64), pa.int64()),
-                    })
-
-    found = dealt.mapInArrow(search, "query_id long, id long, score long").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    def found(going: DataFrame) -> DataFrame:
+        # Every shard is whole in one partition, and a partition has one shard, or a few one after another.
+        dealt = placed.unionByName(going).repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "kind", "id")
+        return dealt.mapInArrow(search, "query_id long, id long, score long")
+
+    way = "shard int, kind int, id long, data binary, kth double"
+    near = stored(found(here.mapInArrow(route(False), way)), "near")
+    score = near.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+    kth = score.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
+    onward = here.join(kth, "id", "left").select("cell", "id", "data", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+    far = found(onward.mapInArrow(route(True), way))
+    whole = near.unionByName(far).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score"
     )
 
 
+def _cell_boxes(there: DataFrame, dims: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Vectors and tight box of each cell; tasks send on one row a cell and batch, and those of a cell meet in one task."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(-1, dims)
+            yield from _boxes(batch.column(0).to_numpy(), np.ones(len(x), np.int64), x, x)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f8").reshape(-1, dims) for c in ("low", "high"))
+            yield from _boxes(batch.column(0).to_numpy(), batch.column(1).to_numpy(), low, high)
+
+    kind = "cell int, n long, low binary, high binary"
+    rows = there.mapInArrow(part, kind).repartition("cell").mapInArrow(whole, kind).toArrow().to_pydict()
+    out: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    for c, n, low, high in zip(rows["cell"], rows["n"], rows["low"], rows["high"]):
+        low, high = np.frombuffer(low, "<f8"), np.frombuffer(high, "<f8")
+        if c in out:
+            n, low, high = n + out[c][0], np.minimum(low, out[c][1]), np.maximum(high, out[c][2])
+        out[c] = (n, low, high)
+    return out
+
+
+def _boxes(cell: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(cell):
+        return
+    order = np.argsort(cell, kind="stable")
+    own, at = np.unique(cell[order], return_index=True)
+    yield pa.RecordBatch.from_pydict({
+        "cell": pa.array(own, pa.int32()), "n": pa.array(np.add.reduceat(n[order], at), pa.int64()),
+        "low": pa.array([_packed(v) for v in np.minimum.reduceat(low[order], at)], pa.binary()), "high": pa.array([_packed(v) for v in np.maximum.reduceat(high[order], at)], pa.binary()),
+    })
+
+
+def _searcher(held, dims: int, k: int):
+    """From rows sorted by (shard, vectors before queries): the candidates for each query's k best."""
+
+    def block_of(tree: KDTree, ids: list, data: list, kth: list) -> pa.RecordBatch | None:
+        own, block = np.array(ids, np.int64), np.frombuffer(b"".join(data), "<f8").reshape(-1, dims)
+        pilot_ids, pilot, _ = held.value
+        limit = np.maximum(np.array(kth), _pilot_kth(block, own, pilot, pilot_ids, k))
+        out = list(tree.search(block, own, k, limit))
+        if not out:
+            return None
+        return pa.RecordBatch.from_pydict({
+            "query_id": pa.array(np.repeat(own[[q for q, _, _ in out]], [len(i) for _, _, i in out]), pa.int64()),
+            "id": pa.array(np.concatenate([i for _, _, i in out]), pa.int64()),
+            "score": pa.array(np.concatenate([s for _, s, _ in out]).astype(np.int64), pa.int64()),
+        })
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, shard, before = None, None, 0
+        ids, data, kths = [], [], []
+        for batch in batches:
+            for s, kind, i, x, kth in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if s != shard or kind != before or (kind and len(ids) == BLOCK_ROWS):
+                    if before == 0 and ids:
+                        tree = KDTree(np.array(ids, np.int64), np.frombuffer(b"".join(data), "<f8").reshape(-1, dims)) if s == shard else None
+                    elif ids and tree and (out := block_of(tree, ids, data, kths)):
+                        yield out
+                    if s != shard:
+                        tree = None
+                    shard, before = s, kind
+                    ids, data, kths = [], [], []
+                ids.append(i)
+                data.append(x)
+                kths.append(kth)
+        if before == 1 and ids and tree and (out := block_of(tree, ids, data, kths)):
+            yield out
+
+    return search
+
+
 def _pilot_kth(block: np.ndarray, own: np.ndarray, pilot: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """A score that k other vectors reach, for each query; -inf where the pilot has fewer."""
     distinct = np.unique(ids, return_index=True)[1]

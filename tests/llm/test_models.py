@@ -61,6 +61,21 @@ def test_boxes_bound_their_vectors_and_prune():
         assert scores.tolist() == np.sort(x @ q[i])[::-1][:5].tolist()
 
 
+def test_cells_prune_and_split(spark):
+    """Clustered vectors in many cells, one vector of many ids that fills a cell's shards, queries from empty corners."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 3)) * 4
+    data = {i: (centres[i % 12] + rng.normal(size=3) * 0.1).tolist() for i in range(1500)} | {3000 + i: [2.0, 2.0, 2.0] for i in range(700)}
+    df = spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")
+    asked = {-1 - i: (rng.normal(size=3) * 9).tolist() for i in range(15)} | {i: data[i] for i in (0, 5, 3001)}
+    queries = spark.createDataFrame(list(asked.items()), "vec_id long, embedding array<double>")
+    grid = {i: [int(np.floor(1024 * x)) for x in v] for i, v in data.items()}
+    got = sorted(map(tuple, top_k(df, queries, 10, shard_rows=60).collect()))
+    assert got == brute_top_k(grid, {i: [int(np.floor(1024 * x)) for x in v] for i, v in asked.items()}, 10)
+    empty = spark.createDataFrame([(1, []), (2, None)], "vec_id long, embedding array<double>")
+    assert top_k(empty, empty).isEmpty()
+
+
 def outputs(text):
     words = {"idiot": ("I", 1.0), "kill": ("T", 1.0), "you": ("Y", 1.0), "not": ("N", 1.0), "said": ("R", 1.0), "will": ("M", 1.0)}
     model = toxicity.ToxicityModel(words, np.zeros(8))
