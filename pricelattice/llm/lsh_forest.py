@@ -375,9 +375,10 @@ def _linked(docs: DataFrame, sketch: DataFrame, known: DataFrame, id_col: str, t
     parts = rows.groupBy("class", "own").agg(F.sum("n_shingles").alias("n"))
     apart = parts.groupBy("class").agg(F.max(F.struct("n", "own"))["own"].alias("main"), F.max("n").alias("largest"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
     blocks, chunks = (F.ceil(F.col(n) / BLOCK_SHINGLES).cast("int") for n in ("n", "others"))
-    # Written, as both kinds of rows below come from it.
+    # Rows of one class may be many, so they meet their class' figures under 32 salts. Written, as both kinds of rows below come from it.
+    figures = apart.select("class", "main", "n", (F.col("n") - F.col("largest")).alias("others"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
     placed = stored(
-        rows.join(apart.select("class", "main", "n", (F.col("n") - F.col("largest")).alias("others")), "class")
+        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(figures, ["class", "salt"])
         .select("doc_id", "class", "own", (F.col("own") != F.col("main")).alias("minor"), blocks.alias("blocks"), chunks.alias("chunks")), "placed"
     )
     block, chunk = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "chunks").cast("int")
