@@ -15,10 +15,21 @@ def oldest_first(key: str = "product_id") -> WindowSpec:
 
 
 def mark_actual(history: DataFrame, key: str = "product_id") -> DataFrame:
-    """``is_actual``: the newest row of each product."""
+    """``is_actual``: the newest row of each product. For listings that show it; reports take :func:`current_point`."""
     return history.withColumn("is_actual", F.row_number().over(newest_first(key)) == 1)
 
 
+def current_rows(history: DataFrame) -> DataFrame:
+    """The rows among which each product's newest is its current one: those that a change log marks actual, or all."""
+    return history.where("is_actual") if "is_actual" in history.columns else history
+
+
+def current_point(history: DataFrame) -> Column:
+    """An aggregate: the current row of a product as a struct of (ts, tie, price). It combines on the map side and needs no sort."""
+    point = F.struct("ts", "tie", "price")
+    return F.max(F.when(F.col("is_actual"), point) if "is_actual" in history.columns else point)
+
+
 def latest(history: DataFrame, key: str = "product_id") -> DataFrame:
     """The newest row of each key, by aggregation: partial maxima on the map side, no sort."""
     row = F.struct("ts", "tie", "price")

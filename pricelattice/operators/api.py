@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import latest
+from ..functions.series import current_rows, latest, mark_actual
 from ..functions.text import matches_search
 
+#: Fixed value: rows of a page.
 PAGE = 20
 
 
@@ -20,14 +21,18 @@ def list_products(history: DataFrame, product: DataFrame, search: str = "", cate
     """Products that match every search term by name or code, with their current price (NULL without one)."""
     rows = product.where(matches_search(search, F.col("name"), F.col("vendor_code")))
     rows = rows.where(F.col("category") == category) if category else rows
-    one = paged(rows.orderBy(order, "product_id"), page).select("product_id", "name", "category", "vendor_code")
+    # Products that were never parsed come first.
+    one = paged(rows.orderBy(F.col(order).asc_nulls_first(), "product_id"), page).select("product_id", "name", "category", "vendor_code")
     # A page of 20 ids is broadcast; only their rows are aggregated.
-    near = history.where("is_actual").join(F.broadcast(one.select("product_id")), "product_id", "left_semi")
+    near = current_rows(history).join(F.broadcast(one.select("product_id")), "product_id", "left_semi")
     return one.join(latest(near).select("product_id", F.col("price").alias("current_price")), "product_id", "left")
 
 
 def product_prices(history: DataFrame, product_id: int, most: int = 100) -> DataFrame:
-    return history.where(F.col("product_id") == product_id).orderBy(F.desc("ts"), F.desc("tie")).limit(most).select("product_id", "price", "ts", "is_actual")
+    """A product's newest rows, 100 as the reference's endpoint has it; one product's rows alone are sorted."""
+    rows = history.where(F.col("product_id") == product_id)
+    rows = rows if "is_actual" in history.columns else mark_actual(rows)
+    return rows.orderBy(F.desc("ts"), F.desc("tie")).limit(most).select("product_id", "price", "ts", "is_actual")
 
 
 def list_anomalies(anomalies: DataFrame, severity: str | None = None, kind: str | None = None, resolved: bool | None = None, product_id: int | None = None, page: int = 1) -> DataFrame:

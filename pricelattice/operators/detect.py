@@ -22,22 +22,27 @@ def _at(i: Column | int) -> Column:
     return F.get("s", F.lit(i) if isinstance(i, int) else i)
 
 
-def detect_spike(series: DataFrame, least_rows: int = 2) -> DataFrame:
-    """The newest price against the one before: a relative change above 10 % (exactly 10 % is none; a price before of 0 is skipped)."""
+def _spike(least_rows: int) -> Column:
+    """The newest price against the one before, as a struct; NULL without a spike."""
     n = F.size("s")
-    pair = series.where(n >= max(2, least_rows)).select("product_id", _at(n - 2).alias("a"), _at(n - 1).alias("b"))
-    change = F.try_divide(F.abs(F.col("b.price") - F.col("a.price")), F.col("a.price"))
-    days = F.abs(F.unix_micros(F.col("b.ts").cast("timestamp")) - F.unix_micros(F.col("a.ts").cast("timestamp"))) / 86_400e6
-    return (
-        pair.withColumn("change", change).where(F.col("change") > SPIKE)
-        .select(
-            "product_id", F.lit("spike").alias("anomaly_type"), spike_severity(F.col("change")).alias("severity"), F.col("b.ts").alias("ts"),
-            F.col("a.price").alias("previous"), F.col("b.price").alias("current"), "change",
-            F.when(F.col("b.price") > F.col("a.price"), "up").otherwise("down").alias("direction"), days.alias("days"),
-        )
+    a, b = _at(n - 2), _at(n - 1)
+    change = F.try_divide(F.abs(b["price"] - a["price"]), a["price"])
+    days = F.abs(F.unix_micros(b["ts"].cast("timestamp")) - F.unix_micros(a["ts"].cast("timestamp"))) / 86_400e6
+    return F.when(
+        (n >= max(2, least_rows)) & (change > SPIKE),
+        F.struct(
+            spike_severity(change).alias("severity"), b["ts"].alias("ts"), a["price"].alias("previous"), b["price"].alias("current"), change.alias("change"),
+            F.when(b["price"] > a["price"], "up").otherwise("down").alias("direction"), days.alias("days"),
+        ),
     )
 
 
+def detect_spike(series: DataFrame, least_rows: int = 2) -> DataFrame:
+    """The newest price against the one before: a relative change above 10 % (exactly 10 % is none; a price before of 0 is skipped)."""
+    hit = series.select("product_id", _spike(least_rows).alias("hit")).where("hit is not null")
+    return hit.select("product_id", F.lit("spike").alias("anomaly_type"), "hit.*")
+
+
 def past_similar_spike(spikes: DataFrame, history: DataFrame, older_than_days: int = 14, rows: int = 60) -> DataFrame:
     """For each spike, the first step of at least 0.7 times its change among the newest 60 rows older than 14 days."""
     newest = Window.partitionBy("product_id").orderBy(F.desc("ts"), F.desc("tie"))
@@ -58,8 +63,8 @@ def past_similar_spike(spikes: DataFrame, history: DataFrame, older_than_days: i
     )
 
 
-def detect_manipulation(series: DataFrame) -> DataFrame:
-    """A rise of 10 % or more above a base within two rows, then a price below the base: the first such four rows."""
+def _manipulation() -> Column:
+    """The first rise above a base with a fall below it after, as a struct; NULL without one."""
     n = F.size("s")
 
     def fires(i: Column) -> Column:
@@ -67,50 +72,63 @@ def detect_manipulation(series: DataFrame) -> DataFrame:
         peak = F.greatest(_at(i + 1)["price"], _at(i + 2)["price"])
         return (base != 0) & (F.try_divide(peak - base, base) >= RISE) & (after < base)
 
-    where = F.filter(F.sequence(F.lit(0), n - 4), fires)
-    hit = series.where(n >= 4).select("product_id", "s", F.get(where, F.lit(0)).alias("i")).where("i is not null")
-    i = F.col("i")
-    peak_at = F.when(_at(i + 1)["price"] >= _at(i + 2)["price"], i + 1).otherwise(i + 2)
-    return hit.select(
-        "product_id", F.lit("manipulation").alias("anomaly_type"), F.lit("high").alias("severity"), _at(i + 3)["ts"].alias("ts"),
-        _at(i)["price"].alias("base"), _at(peak_at)["price"].alias("peak"), _at(i + 3)["price"].alias("after"), i.cast("int").alias("position"),
-    )
+    def figures(i: Column) -> Column:
+        peak_at = F.when(_at(i + 1)["price"] >= _at(i + 2)["price"], i + 1).otherwise(i + 2)
+        return F.struct(
+            F.lit("high").alias("severity"), _at(i + 3)["ts"].alias("ts"), _at(i)["price"].alias("base"), _at(peak_at)["price"].alias("peak"),
+            _at(i + 3)["price"].alias("after"), i.cast("int").alias("position"),
+        )
 
+    where = F.filter(F.sequence(F.lit(0), F.greatest(n - 4, F.lit(0))), fires)
+    return F.when(n >= 4, F.get(F.transform(F.slice(where, 1, 1), figures), F.lit(0)))
 
-def detect_cyclic(series: DataFrame) -> DataFrame:
-    """A dominant frequency in six rows or more, detrended by the line through the first and last value: the largest amplitude
-    of the spectrum without its mean is more than 0.3 of their sum."""
+
+def detect_manipulation(series: DataFrame) -> DataFrame:
+    """A rise of 10 % or more above a base within two rows, then a price below the base: the first such four rows."""
+    hit = series.select("product_id", _manipulation().alias("hit")).where("hit is not null")
+    return hit.select("product_id", F.lit("manipulation").alias("anomaly_type"), "hit.*")
+
+
+def _with_cycle(series: DataFrame) -> DataFrame:
+    """``series`` with ``cycle``, a struct on its dominant frequency; NULL without one. The steps are columns, so each is worked out once."""
     n = F.size("s")
-    d = series.where(n >= 6).select(
-        "product_id", n.alias("n"), _at(n - 1)["ts"].alias("ts"),
-        F.transform("s", lambda x, i: x["price"] - (_at(0)["price"] + (_at(n - 1)["price"] - _at(0)["price"]) * i / (n - 1))).alias("x"),
-        (F.unix_micros(_at(n - 1)["ts"].cast("timestamp")) - F.unix_micros(_at(0)["ts"].cast("timestamp"))).alias("span"),
-    )
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
-    mean = total(F.col("x")) / F.col("n")
-    d = d.withColumn("mean", mean).withColumn("std", F.sqrt(total(F.transform("x", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / F.col("n")))
+    line = lambda i: _at(0)["price"] + (_at(n - 1)["price"] - _at(0)["price"]) * i / (n - 1)
+    d = series.withColumn("_x", F.when(n >= 6, F.transform("s", lambda x, i: x["price"] - line(i))))
+    d = d.withColumn("_mean", total(F.col("_x")) / n)
+    d = d.withColumn("_std", F.sqrt(total(F.transform("_x", lambda v: (v - F.col("_mean")) * (v - F.col("_mean")))) / n))
 
     def amplitude(k: Column) -> Column:
-        part = lambda f: total(F.transform("x", lambda v, t: v * f(2 * pi * k * t / F.col("n"))))
+        part = lambda f: total(F.transform("_x", lambda v, t: v * f(2 * pi * k * t / n)))
         return F.sqrt(F.pow(part(F.cos), 2) + F.pow(part(F.sin), 2))
 
-    a = d.where(F.col("std") >= 1.0).withColumn("amps", F.transform(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int")), amplitude))
-    a = a.withColumn("sum", total(F.col("amps"))).withColumn("top", F.array_max("amps"))
-    k = F.array_position("amps", F.col("top"))
-    ratio = F.try_divide(F.col("top"), F.col("sum"))
-    return a.where((F.col("sum") >= 1e-6) & (ratio > 0.3)).select(
-        "product_id", F.lit("cyclic").alias("anomaly_type"), F.lit("low").alias("severity"), "ts", ratio.alias("ratio"),
-        (F.col("n") / k).alias("period_rows"), (F.col("span") / 86_400e6 / k).alias("period_days"),
-    )
+    d = d.withColumn("_amps", F.when(F.col("_std") >= 1.0, F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int")), amplitude)))
+    d = d.withColumn("_sum", total(F.col("_amps"))).withColumn("_top", F.array_max("_amps"))
+    ratio = F.try_divide(F.col("_top"), F.col("_sum"))
+    k = F.array_position("_amps", F.col("_top"))
+    span = F.unix_micros(_at(n - 1)["ts"].cast("timestamp")) - F.unix_micros(_at(0)["ts"].cast("timestamp"))
+    cycle = F.struct(
+        F.lit("low").alias("severity"), _at(n - 1)["ts"].alias("ts"), ratio.alias("ratio"), (n / k).alias("period_rows"), (span / 86_400e6 / k).alias("period_days")
+    )
+    return d.withColumn("cycle", F.when((F.col("_sum") >= 1e-6) & (ratio > 0.3), cycle)).drop("_x", "_mean", "_std", "_amps", "_sum", "_top")
+
+
+def detect_cyclic(series: DataFrame) -> DataFrame:
+    """A dominant frequency in six rows or more, detrended by the line through the first and last value: the largest amplitude
+    of the spectrum without its mean is more than 0.3 of their sum."""
+    hit = _with_cycle(series).where("cycle is not null")
+    return hit.select("product_id", F.lit("cyclic").alias("anomaly_type"), "cycle.*")
 
 
 def full_detection(history: DataFrame, detected_at: datetime, recent: int = 14, least_rows: int = 3) -> DataFrame:
-    """Spike, manipulation and cyclic anomalies of all products with three rows or more."""
-    s = recent_series(history, recent).where(F.size("s") >= least_rows)
-    cols = ["product_id", "anomaly_type", "severity", "ts"]
-    found = detect_spike(s, least_rows).select(*cols, F.col("change").alias("metric"))
-    found = found.unionByName(detect_manipulation(s).select(*cols, F.try_divide(F.col("peak") - F.col("base"), F.col("base")).alias("metric")))
-    found = found.unionByName(detect_cyclic(s).select(*cols, F.col("ratio").alias("metric")))
+    """Spike, manipulation and cyclic anomalies of all products with three rows or more: one scan, one exchange, all detectors on each row."""
+    s = _with_cycle(recent_series(history, recent).where(F.size("s") >= least_rows))
+    s = s.select("product_id", _spike(least_rows).alias("spike"), _manipulation().alias("manipulation"), "cycle")
+    one = lambda name, hit, metric: F.when(F.col(hit).isNotNull(), F.struct(F.lit(name).alias("anomaly_type"), F.col(hit)["severity"].alias("severity"), F.col(hit)["ts"].alias("ts"), metric.alias("metric")))
+    rise = F.try_divide(F.col("manipulation.peak") - F.col("manipulation.base"), F.col("manipulation.base"))
+    found = s.select("product_id", F.inline(F.array_compact(F.array(
+        one("spike", "spike", F.col("spike.change")), one("manipulation", "manipulation", rise), one("cyclic", "cycle", F.col("cycle.ratio"))
+    ))))
     return found.withColumn("detected_at", F.lit(detected_at).cast("timestamp_ntz")).withColumn("resolved", F.lit(False))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import latest
+from ..functions.series import current_rows, latest
 from ..functions.text import product_slug
 
 
@@ -79,7 +79,7 @@ def seed_categories(old: DataFrame, rows: DataFrame, update: bool = False) -> Da
 
 def check_alerts(history: DataFrame, subscriptions: DataFrame, product: DataFrame) -> DataFrame:
     """Active subscriptions whose product's current price is at or below their target."""
-    current = latest(history.where("is_actual")).select("product_id", F.col("price").alias("current_price"))
+    current = latest(current_rows(history)).select("product_id", F.col("price").alias("current_price"))
     return (
         subscriptions.where("is_active").join(current, "product_id").where("current_price <= target_price")
         .join(product.select("product_id", "name"), "product_id").select("user_id", "product_id", "name", "current_price", "target_price")

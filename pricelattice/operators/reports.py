@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import direction, heat_indicator
-from ..functions.series import last_n, latest
+from ..functions.series import current_point, current_rows, last_n, latest
 from .detect import window_start
 
 
@@ -25,7 +25,7 @@ def best_deals(history: DataFrame, product: DataFrame, now: datetime, days: int
     inside = F.col("ts") >= window_start(now, days)
     p = F.col("price")
     agg = history.groupBy("product_id").agg(
-        F.max(F.when(F.col("is_actual"), F.struct("ts", "tie", "price"))).alias("r"),
+        current_point(history).alias("r"),
         F.min(F.when(inside, p)).alias("min_price"),
         (F.sum(F.when(inside, p)).cast("double") / F.count(F.when(inside, p))).alias("avg_price"),
     )
@@ -46,10 +46,11 @@ def category_index(history: DataFrame, product: DataFrame, now: datetime, period
     """Mean and exact median of current prices by category, against rows of the period before the last one."""
     lo, hi = window_start(now, 2 * period_days), window_start(now, period_days)
     before = (F.col("ts") >= lo) & (F.col("ts") < hi)
-    p = F.col("price")
-    rows = history.where(F.col("is_actual") | before).join(product.select("product_id", "category"), "product_id")
-    cur, prev = F.when(F.col("is_actual"), p), F.when(before, p)
-    g = rows.groupBy("category").agg(
+    none = F.lit(None).cast(history.schema["price"].dataType)
+    now_rows = latest(current_rows(history)).select("product_id", F.col("price").alias("cur"), none.alias("prev"))
+    past = history.where(before).select("product_id", none.alias("cur"), F.col("price").alias("prev"))
+    cur, prev = F.col("cur"), F.col("prev")
+    g = now_rows.unionByName(past).join(product.select("product_id", "category"), "product_id").groupBy("category").agg(
         F.count(cur).alias("product_count"),
         (F.sum(cur).cast("double") / F.count(cur)).alias("mean_price"),
         F.median(cur.cast("double")).alias("median_price"),
@@ -90,7 +91,7 @@ def compare_products(history: DataFrame, product: DataFrame, forecasts: DataFram
     inside, p = F.col("ts") >= window_start(now, days), F.col("price")
     point = F.struct("ts", "tie", "price")
     agg = rows.groupBy("product_id").agg(
-        F.max(F.when(F.col("is_actual"), point)).alias("r"),
+        current_point(history).alias("r"),
         F.min(F.when(inside, p)).alias("min_price"), F.max(F.when(inside, p)).alias("max_price"),
         F.try_divide(F.sum(F.when(inside, p)).cast("double"), F.count(F.when(inside, p))).alias("avg"),
         F.min(F.when(inside, point))["price"].cast("double").alias("first"), F.max(F.when(inside, point))["price"].cast("double").alias("last"),

@@ -1,7 +1,7 @@
 """Canonical price tables over the star-schema test tables.
 
 ``events_view``: a month of unique timestamps a product; ``lineitem_view``: seven years of days with ties.
-Every price history has product_id, price decimal(12,2), ts, tie (a total order with ts), is_actual.
+Every price history has product_id, price decimal(12,2), ts and tie (a total order with ts).
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.series import mark_actual
-
 
 @dataclass
 class PriceTables:
@@ -63,7 +61,7 @@ def events_view(spark: SparkSession, sf_dir: str) -> PriceTables:
     raw = raw_events_history(spark, sf_dir)
     product = events_product(spark, sf_dir)
     category = product.select(F.col("category").alias("name")).distinct()
-    return PriceTables(mark_actual(raw), product, category, events_rates(spark, sf_dir), newest(raw))
+    return PriceTables(raw, product, category, events_rates(spark, sf_dir), newest(raw))
 
 
 def lineitem_view(spark: SparkSession, sf_dir: str) -> PriceTables:
@@ -79,7 +77,7 @@ def lineitem_view(spark: SparkSession, sf_dir: str) -> PriceTables:
         read(spark, sf_dir, "orders").select(code.alias("currency"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").cast("decimal(14,2)").alias("v"))
         .groupBy("currency", "date").agg((F.sum("v").cast("double") / F.count("v") / 1000).cast("decimal(10,4)").alias("rate"))
     )
-    return PriceTables(mark_actual(raw), product, product.select(F.col("category").alias("name")).distinct(), rates, newest(raw))
+    return PriceTables(raw, product, product.select(F.col("category").alias("name")).distinct(), rates, newest(raw))
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
