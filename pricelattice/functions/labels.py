@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .formats import signed
+
 #: Edges of the heat map's buckets and of the correlation verdicts.
 HEAT_STRONG, HEAT_WEAK = 5.0, 0.5
 STRONG, MODERATE, WEAK = 0.7, 0.4, 0.2
@@ -18,6 +20,22 @@ def heat_indicator(change: Column) -> Column:
     )
 
 
+#: What stands for each bucket before the change in per cent.
+HEAT_MARKS = {"up2": "▲▲", "up1": " ▲", "down2": "▼▼", "down1": " ▼", "flat": "  ●"}
+HEAT_NONE = "  -  "
+
+
+def heat_text(change: Column) -> Column:
+    """A heat map's cell: the bucket's mark and the change without digits after the point."""
+    marks = F.create_map(*[F.lit(x) for kv in HEAT_MARKS.items() for x in kv])
+    return F.coalesce(F.concat(marks[heat_indicator(change)], signed(change), F.lit("%")), F.lit(HEAT_NONE))
+
+
+def label_of(value: Column, names: dict[str, str]) -> Column:
+    """The label of a code, or the code where it has none."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[value], value) if names else value
+
+
 def corr_verdict(r: Column) -> Column:
     """Strength and direction of a correlation; NULL or NaN: none."""
     size = F.abs(r)

@@ -18,7 +18,7 @@ def first_digits(text: Column) -> Column:
 
 
 def squeeze(text: Column, most: int = 220) -> Column:
-    """White space runs as one blank, trimmed and cut."""
+    """White space runs as one blank, trimmed and cut at the 220 characters that a name holds (a fixed value)."""
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
 
 
@@ -29,7 +29,7 @@ def slugify(text: Column) -> Column:
 
 
 def product_slug(name: Column, vendor_code: Column, url: Column) -> Column:
-    """Name (420), vendor code (80) and the URL's digest (12), joined by hyphens, 500 characters at most."""
+    """Name (420), vendor code (80) and the URL's digest (12), joined by hyphens, 500 characters at most (fixed values)."""
     parts = [F.substring(slugify(name), 1, 420), F.substring(slugify(vendor_code), 1, 80), F.substring(F.sha2(url, 256), 1, 12)]
     return F.substring(F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "-"), 1, 500)
 
@@ -57,7 +57,8 @@ _NOTICE = ("доступ к сайту", "запрещ")
 
 
 def blocked_page(title: Column, html: Column) -> Column:
-    """Whether a page is a refusal: by its title, by the start of its text, or by a block notice in its first 12,000 characters."""
+    """Whether a page is a refusal: by its title, by the start of its text, or by a block notice in its first 12,000 characters (fixed values: the
+    notice stands at a page's head, and what a page says further down is no refusal)."""
     t = F.coalesce(title, F.lit(""))
     low = F.lower(F.concat(t, F.lit("\n"), F.substring(F.coalesce(html, F.lit("")), 1, 12_000)))
     has = lambda c, s: F.contains(c, F.lit(s))

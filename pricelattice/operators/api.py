@@ -21,8 +21,9 @@ def list_products(history: DataFrame, product: DataFrame, search: str = "", cate
     """Products that match every search term by name or code, with their current price (NULL without one)."""
     rows = product.where(matches_search(search, F.col("name"), F.col("vendor_code")))
     rows = rows.where(F.col("category") == category) if category else rows
-    # Products that were never parsed come first.
-    one = paged(rows.orderBy(F.col(order).asc_nulls_first(), "product_id"), page).select("product_id", "name", "category", "vendor_code")
+    # As the reference's database has it, NULLs come last, and first where the order is reversed: products that were never parsed.
+    by = F.col(order[1:]).desc_nulls_first() if order.startswith("-") else F.col(order).asc_nulls_last()
+    one = paged(rows.orderBy(by, "product_id"), page).select("product_id", "name", "category", "vendor_code")
     # A page of 20 ids is broadcast; only their rows are aggregated.
     near = current_rows(history).join(F.broadcast(one.select("product_id")), "product_id", "left_semi")
     return one.join(latest(near).select("product_id", F.col("price").alias("current_price")), "product_id", "left")

@@ -12,6 +12,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formats import date_text, fixed, percent
 from ..functions.labels import spike_severity
 from ..functions.series import recent_series
 
@@ -32,7 +33,7 @@ def _spike(least_rows: int) -> Column:
         (n >= max(2, least_rows)) & (change > SPIKE),
         F.struct(
             spike_severity(change).alias("severity"), b["ts"].alias("ts"), a["price"].alias("previous"), b["price"].alias("current"), change.alias("change"),
-            F.when(b["price"] > a["price"], "up").otherwise("down").alias("direction"), days.alias("days"),
+            F.when(b["price"] > a["price"], "up").otherwise("down").alias("direction"), days.alias("days"), a["ts"].alias("previous_ts"),
         ),
     )
 
@@ -63,6 +64,20 @@ def past_similar_spike(spikes: DataFrame, history: DataFrame, older_than_days: i
     )
 
 
+def spike_text(spikes: DataFrame, past: DataFrame | None = None) -> DataFrame:
+    """``product_id`` and ``message`` for each spike; with :func:`past_similar_spike`, a hint to the change before it that was like it."""
+    rise = F.col("direction") == "up"
+    message = F.concat(
+        F.lit("Sharp "), F.when(rise, "rise").otherwise("fall"), F.lit(" of "), percent(F.col("change")), F.lit(" in "), fixed(F.col("days"), 1), F.lit(" days: "),
+        fixed(F.col("previous")), F.lit(" ("), date_text(F.col("previous_ts")), F.lit(") -> "), fixed(F.col("current")), F.lit(" ("), date_text(F.col("ts")), F.lit(")"),
+    )
+    if past is None:
+        return spikes.select("product_id", message.alias("message"))
+    hint = F.concat(F.lit(". A change of "), percent(F.col("past_change")), F.lit(" like it came on "), date_text(F.col("past_ts")), F.lit(" ("), F.col("days_ago").cast("string"), F.lit(" days before)"))
+    both = spikes.join(past.select("product_id", "past_change", "past_ts", "days_ago"), "product_id", "left")
+    return both.select("product_id", F.concat(message, F.coalesce(hint, F.lit(""))).alias("message"))
+
+
 def _manipulation() -> Column:
     """The first rise above a base with a fall below it after, as a struct; NULL without one."""
     n = F.size("s")

@@ -32,7 +32,7 @@ def product_features(history: DataFrame, product: DataFrame, least_rows: int = 3
     )
 
 
-def cluster_products(features: DataFrame, k: int = 4, starts: int = 3, seed: int = 42) -> DataFrame:
+def cluster_products(features: DataFrame, k: int = 4, starts: int = 10, seed: int = 42) -> DataFrame:
     """K-means on scaled volatility, trend and largest step; the best of several starts. Clusters are named by their means: lowest volatility stable,
     highest volatile, others rising, falling or numbered; clusters of one name merge. Fewer than k products: one label."""
     if features.limit(k).count() < k:
@@ -49,4 +49,5 @@ def cluster_products(features: DataFrame, k: int = 4, starts: int = 3, seed: int
             STABLE if i == 0 else VOLATILE if i == len(means) - 1 else RISING if r["t"] > 0.02 else FALLING if r["t"] < -0.02 else f"cluster {r['cluster']}"
         )
     label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("cluster")]
+    scaled.unpersist()
     return marked.select(*features.columns, label.alias("label"))

@@ -10,44 +10,64 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.series import last_n
+
 #: Fixed value: the normal quantile of a two-sided 90 % interval.
 Z90 = 1.6448536269514722
 SCHEMA = "product_id long, forecast_date date, predicted_price decimal(12,2), lower_bound decimal(12,2), upper_bound decimal(12,2), method string"
 
 
-def _residuals(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """(parameters, n) conditional residuals of x[t] = phi x[t-1] + e[t] + theta e[t-1], from e = 0."""
-    e = np.zeros((len(phi), len(x)))
-    for t in range(len(x)):
-        before = phi * x[t - 1] + theta * e[:, t - 1] if t else 0.0
-        e[:, t] = x[t] - before
-    return e
+def innovations(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For x[t] = phi x[t-1] + e[t] + theta e[t-1], started in its stationary state, and for each parameter pair: the sum of squared one-step errors
+    by their relative variances, the sum of the logarithms of these, the last error, and its weight in the next step.
+
+    One value of ``x`` is read at a time, so memory holds a few numbers for each pair, whatever the length of the series.
+    """
+    r = 1 + (phi + theta) ** 2 / np.maximum(1e-12, 1 - phi**2)  # variance of the first value, that of e being 1
+    guess, squares, logs, error, weight = np.zeros_like(phi), np.zeros_like(phi), np.zeros_like(phi), np.zeros_like(phi), np.zeros_like(phi)
+    for value in x.tolist():
+        error = value - guess
+        squares += error**2 / r
+        logs += np.log(r)
+        weight = theta / r
+        guess = phi * value + weight * error
+        r = 1 + theta**2 - theta**2 / r
+    return squares, logs, error, weight
+
+
+def log_likelihood(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Exact Gaussian log likelihood at the best variance for each parameter pair."""
+    squares, logs, _, _ = innovations(x, phi, theta)
+    n = len(x)
+    return -0.5 * (n * np.log(2 * np.pi * np.maximum(squares, 1e-300) / n) + n + logs)
 
 
 def fit_arma(x: np.ndarray, moving: bool = True) -> tuple[float, float, float]:
-    """(phi, theta, variance) by conditional sum of squares: a grid inside the unit square that closes in on its best point."""
+    """(phi, theta, variance) of the largest exact likelihood: a grid inside the unit square that closes in on its best point."""
     centre, width = np.zeros(2), 0.98
     for _ in range(4):
         side = np.linspace(-width, width, 25)
         p = np.clip(centre[0] + side, -0.98, 0.98)
         q = np.clip(centre[1] + side, -0.98, 0.98) if moving else np.zeros(1)
         phi, theta = (g.ravel() for g in np.meshgrid(p, q))
-        cost = (_residuals(x, phi, theta) ** 2).sum(axis=1)
-        best = int(np.argmin(cost))
+        best = int(np.argmax(log_likelihood(x, phi, theta)))
         centre = np.array([phi[best], theta[best]])
         width /= 10
-    return float(centre[0]), float(centre[1]), float(cost[best] / max(1, len(x)))
+    squares = innovations(x, centre[:1], centre[1:])[0]
+    return float(centre[0]), float(centre[1]), float(squares[0] / max(1, len(x)))
 
 
 def arima_forecast(prices: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means and standard errors of ARIMA(1,1,1); a series without changes falls back to ARIMA(1,0,0) with a constant."""
+    """Means and standard errors of ARIMA(1,1,1); where it has no likelihood (no changes, or not a number) ARIMA(1,0,0) with a constant."""
     d = np.diff(prices)
-    if np.allclose(d, 0):
-        return np.full(horizon, prices[-1]), np.zeros(horizon)
+    if not len(d) or not np.isfinite(d).all() or np.allclose(d, 0):
+        return ar_forecast(prices, horizon)
     phi, theta, var = fit_arma(d)
-    last_e = _residuals(d, np.array([phi]), np.array([theta]))[0, -1]
+    if not np.isfinite([phi, theta, var]).all():
+        return ar_forecast(prices, horizon)
+    _, _, error, weight = innovations(d, np.array([phi]), np.array([theta]))
     steps = np.empty(horizon)
-    steps[0] = phi * d[-1] + theta * last_e
+    steps[0] = phi * d[-1] + weight[0] * error[0]
     for h in range(1, horizon):
         steps[h] = phi * steps[h - 1]
     psi = np.concatenate(([1.0], (phi + theta) * phi ** np.arange(horizon - 1)))  # of the differences
@@ -55,19 +75,37 @@ def arima_forecast(prices: np.ndarray, horizon: int) -> tuple[np.ndarray, np.nda
     return prices[-1] + np.cumsum(steps), np.sqrt(var * np.cumsum(level**2))
 
 
+def ar_forecast(prices: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard errors of ARIMA(1,0,0) with a constant; raises where there is no finite price."""
+    x = np.asarray(prices, float)
+    if not len(x) or not np.isfinite(x).all():
+        raise ValueError("no finite prices")
+    mean = x.mean()
+    if np.allclose(x, mean):
+        return np.full(horizon, mean), np.zeros(horizon)
+    phi, _, var = fit_arma(x - mean, moving=False)
+    powers = phi ** np.arange(1, horizon + 1)
+    return mean + powers * (x[-1] - mean), np.sqrt(var * np.cumsum(np.concatenate(([1.0], powers[:-1])) ** 2))
+
+
 def forecast_products(history: DataFrame, product: DataFrame, horizon: int = 7, least_rows: int = 7, recent: int | None = None) -> DataFrame:
     """The next ``horizon`` days after each active product's last row, 90 % bounds, all clamped at 0.
 
-    Rows count as equally spaced. A product's own history is one group, ordered in the group; ``recent`` may bound it.
+    Rows count as equally spaced. A product's own prices, two numbers and a time each, are one group, ordered in the group; ``recent`` may bound it to its
+    newest rows. A product that cannot be fitted has no rows, and the others theirs.
     """
     rows = history.join(product.where("is_active").select("product_id"), "product_id", "left_semi")
+    rows = last_n(rows, recent) if recent else rows
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=["product_id", "forecast_date", "predicted_price", "lower_bound", "upper_bound", "method"])
         if len(pdf) < least_rows:
-            return pd.DataFrame(columns=["product_id", "forecast_date", "predicted_price", "lower_bound", "upper_bound", "method"])
+            return none
         pdf = pdf.sort_values(["ts", "tie"])
-        pdf = pdf.tail(recent) if recent else pdf
-        mean, se = arima_forecast(pdf["p"].to_numpy(float), horizon)
+        try:
+            mean, se = arima_forecast(pdf["p"].to_numpy(float), horizon)
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+            return none
         last = pdf["ts"].iloc[-1].date()
         two = lambda v: pd.Series(np.maximum(v, 0)).map(lambda x: Decimal(f"{x:.2f}"))
         return pd.DataFrame({
@@ -76,3 +114,15 @@ def forecast_products(history: DataFrame, product: DataFrame, horizon: int = 7,
         })
 
     return rows.select("product_id", "ts", "tie", F.col("price").cast("double").alias("p")).groupBy("product_id").applyInPandas(run, SCHEMA)
+
+
+def forecast_for_ids(history: DataFrame, product: DataFrame, ids: list[int], horizon: int = 7) -> DataFrame:
+    """Forecasts of the products asked for; ids that repeat, are unknown or not active change nothing."""
+    wanted = sorted(set(ids))
+    return forecast_products(history.where(F.col("product_id").isin(wanted)), product.where(F.col("product_id").isin(wanted)), horizon)
+
+
+def forecast_counts(history: DataFrame, product: DataFrame, forecasts: DataFrame, least_rows: int = 7) -> dict[str, int]:
+    """How many forecast days were made, and for how many active products with enough rows there are none."""
+    enough = history.groupBy("product_id").count().where(F.col("count") >= least_rows).join(product.where("is_active").select("product_id"), "product_id", "left_semi")
+    return {"forecasts_created": forecasts.count(), "errors": enough.join(forecasts.select("product_id"), "product_id", "left_anti").count()}

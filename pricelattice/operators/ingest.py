@@ -77,6 +77,27 @@ def seed_categories(old: DataFrame, rows: DataFrame, update: bool = False) -> Da
     )
 
 
+def seed_rows(builtin: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """A built-in list of categories, then those of a file; ``arrival`` keeps that order, so of one slug the file's row counts."""
+    cols = ["name", "slug", "source_path"]
+    rows = builtin.select(F.struct(F.lit(0).alias("of"), F.col("arrival").cast("long").alias("at")).alias("arrival"), *cols)
+    return rows if more is None else rows.unionByName(more.select(F.struct(F.lit(1).alias("of"), F.col("arrival").cast("long").alias("at")).alias("arrival"), *cols))
+
+
+def seed_counts(seeded: DataFrame) -> dict[str, int]:
+    """How many categories :func:`seed_categories` would create, update and skip."""
+    found = {r["action"]: r["count"] for r in seeded.groupBy("action").count().collect()}
+    return {a: found.get(a, 0) for a in ("created", "updated", "skipped")}
+
+
+def apply_seed(seeded: DataFrame, path: str, dry_run: bool = False) -> dict[str, int]:
+    """Write the seeded categories as the new table at ``path``, or only count what would happen. ``path`` must not be a table that ``seeded`` reads."""
+    counts = seed_counts(seeded)
+    if not dry_run:
+        seeded.drop("action").write.mode("overwrite").parquet(path)
+    return counts
+
+
 def check_alerts(history: DataFrame, subscriptions: DataFrame, product: DataFrame) -> DataFrame:
     """Active subscriptions whose product's current price is at or below their target."""
     current = latest(current_rows(history)).select("product_id", F.col("price").alias("current_price"))

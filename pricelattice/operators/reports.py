@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import direction, heat_indicator
+from ..functions.formats import MINUTE, date_text
+from ..functions.labels import direction, heat_indicator, label_of
 from ..functions.series import current_point, current_rows, last_n, latest
 from .detect import window_start
 
@@ -146,6 +147,21 @@ def find_product(product: DataFrame, text: str, most: int = 5) -> DataFrame:
     return product.where(F.contains(F.lower("name"), F.lit(text.lower()))).orderBy("product_id").limit(most).select("product_id", "name")
 
 
+def one_product(product: DataFrame, *, product_id: int | None = None, slug: str | None = None, text: str | None = None, most: int = 5) -> int:
+    """The id of the one product that a selector names: its id, its slug, or a part of its name. Anything but one selector and one product raises."""
+    given = [x for x in (product_id, slug, text) if x is not None]
+    if len(given) != 1:
+        raise ValueError("name a product by its id, its slug or a part of its name: one of the three")
+    if text is not None:
+        found = find_product(product, text, most)
+    else:
+        found = product.where(F.col("product_id") == product_id if slug is None else F.col("slug") == slug).select("product_id", "name").limit(most)
+    rows = found.collect()  # a few at most
+    if len(rows) != 1:
+        raise ValueError(f"{len(rows) or 'no'} products fit {given[0]!r}: {', '.join(str(r['name']) for r in rows)}")
+    return rows[0]["product_id"]
+
+
 def anomaly_report(anomalies: DataFrame, product: DataFrame, now: datetime, days: int = 7, severity: str | None = None, kind: str | None = None, category: str | None = None) -> DataFrame:
     """Anomalies of the window with product and category names, newest first."""
     rows = anomalies.where(F.col("detected_at") >= window_start(now, days))
@@ -153,8 +169,9 @@ def anomaly_report(anomalies: DataFrame, product: DataFrame, now: datetime, days
     rows = rows.where(F.col("anomaly_type") == kind) if kind else rows
     items = product.where(F.col("category") == category) if category else product
     return rows.join(items.select("product_id", "name", "category"), "product_id").select(
-        "product_id", "name", F.coalesce("category", F.lit("")).alias("category"), "anomaly_type", "severity", "detected_at", "resolved"
-    )
+        "product_id", "name", F.coalesce("category", F.lit("")).alias("category"), "anomaly_type", "severity", "detected_at", "resolved",
+        *[c for c in ("description",) if c in rows.columns],
+    )
 
 
 def anomaly_summary(anomalies: DataFrame, now: datetime, days: int = 7) -> DataFrame:
@@ -170,6 +187,46 @@ def report_lines(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.desc("detected_at"), "product_id", "anomaly_type").select(line.alias("value"))
 
 
+#: Labels of the codes in reports.
+TYPE_LABELS = {"spike": "sharp change", "manipulation": "rise before a discount", "cyclic": "cyclic change"}
+SEVERITY_LABELS = {"high": "high", "medium": "medium", "low": "low"}
+
+
+def report_text(entries: DataFrame, types: dict[str, str] = TYPE_LABELS, severities: dict[str, str] = SEVERITY_LABELS) -> DataFrame:
+    """A whole report as ``value`` rows in order: a head, a block of lines for each anomaly, the newest first, and totals; one line where there is none.
+
+    ``entries`` is :func:`anomaly_report`, with a ``description`` if there is one.
+    """
+    kind, grade = label_of(F.col("anomaly_type"), types), label_of(F.col("severity"), severities)
+    about = F.col("description") if "description" in entries.columns else F.lit("")
+    rows = entries.select("product_id", "name", "category", "anomaly_type", "detected_at", "resolved", kind.alias("kind"), grade.alias("grade"), about.alias("about"))
+    block = F.concat_ws(
+        "\n", F.concat(F.lit("\n["), F.upper("grade"), F.lit("] "), "kind"), F.concat(F.lit("  Product: "), "name", F.lit(" (id="), F.col("product_id").cast("string"), F.lit(")")),
+        F.concat(F.lit("  Category: "), "category"), F.concat(F.lit("  Date: "), date_text(F.col("detected_at"), MINUTE)),
+        F.concat(F.lit("  Status: "), F.when(F.col("resolved"), "resolved").otherwise("active")), F.concat(F.lit("  Description: "), F.coalesce("about", F.lit(""))),
+    )
+    body = rows.select(F.lit(1).alias("part"), F.col("detected_at").alias("at"), "product_id", "anomaly_type", block.alias("value"))
+    # A few labels, so a map of counts is small.
+    counted = rows.select(F.inline(F.array(F.struct(F.lit("t").alias("of"), F.col("kind").alias("label")), F.struct(F.lit("s").alias("of"), F.col("grade").alias("label"))))).groupBy("of", "label").count()
+    text = F.concat("label", F.lit(": "), F.col("count").cast("string"))
+    listed = lambda of: F.array_join(F.sort_array(F.collect_list(F.when(F.col("of") == of, text))), ", ")
+    totals = counted.agg(listed("t").alias("types"), listed("s").alias("grades")).withColumn("_one", F.lit(1))
+    n = rows.agg(F.count("*").alias("n"), F.count_if("resolved").alias("done")).withColumn("_one", F.lit(1)).join(totals, "_one")
+    bar = F.lit("=" * 60)
+    head = F.array(F.concat(F.lit("Anomaly report ("), F.col("n").cast("string"), F.lit(")")), bar)
+    foot = F.array(
+        F.concat(F.lit("\n"), bar), F.lit("Summary:"), F.concat(F.lit("  By type: "), "types"), F.concat(F.lit("  By severity: "), "grades"),
+        F.concat(F.lit("  Active: "), (F.col("n") - F.col("done")).cast("string"), F.lit(", resolved: "), F.col("done").cast("string")),
+    )
+    none = F.array(F.lit("No anomalies in this period."))
+    ends = n.select(F.explode(F.when(F.col("n") == 0, F.array(F.struct(F.lit(0).alias("part"), none.alias("lines")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("part"), head.alias("lines")), F.struct(F.lit(2).alias("part"), foot.alias("lines")))
+    )).alias("e")).select("e.part", F.posexplode("e.lines").alias("at_line", "value"))
+    body = body.withColumn("at_line", F.lit(0))
+    whole = body.unionByName(ends, allowMissingColumns=True)
+    return whole.orderBy("part", "at_line", F.desc("at"), "product_id", "anomaly_type").select("value")
+
+
 def report_json(entries: DataFrame) -> DataFrame:
     """A report as JSON lines."""
     return entries.select(F.to_json(F.struct(*entries.columns)).alias("value"))

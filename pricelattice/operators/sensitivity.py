@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formats import date_text, fixed
 from ..functions.labels import corr_verdict
 from ..functions.stats import pearson, student_p
 
@@ -12,7 +13,8 @@ from ..functions.stats import pearson, student_p
 def fx_sensitivity(history: DataFrame, product: DataFrame, rates: DataFrame, currency: str = "USD", least_rows: int = 5, least_dates: int = 5, limit: int | None = None) -> DataFrame:
     """Pearson correlation of each product's last price a day with the currency's rate, on common dates.
 
-    ``limit`` takes the first products by id before anything else. The rates of one currency, a row a day, are broadcast.
+    ``limit`` takes the first products by id before anything else. The strongest correlation comes first, undefined ones last. The rates of one currency, a row a
+    day, are broadcast.
     """
     items = product.where("is_active").select("product_id", "name")
     items = items.orderBy("product_id").limit(limit) if limit else items
@@ -22,8 +24,15 @@ def fx_sensitivity(history: DataFrame, product: DataFrame, rates: DataFrame, cur
     )
     fx = rates.where(F.col("currency") == currency).select("date", F.col("rate").cast("double").alias("r"))
     rows = daily.groupBy("product_id").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= least_rows).select("product_id")
-    g = daily.join(F.broadcast(fx), "date").groupBy("product_id").agg(pearson("p", "r").alias("correlation"), F.count("*").alias("sample_size"))
-    return (
+    g = daily.join(F.broadcast(fx), "date").groupBy("product_id").agg(pearson("p", "r").alias("correlation"), F.count("*").alias("sample_size"), F.min("date").alias("first"), F.max("date").alias("last"))
+    verdict, p = corr_verdict(F.col("correlation")), student_p(F.col("correlation"), F.col("sample_size"))
+    detail = F.concat(
+        F.lit("Pearson correlation "), fixed(F.col("correlation"), 3), F.lit(" (p="), fixed(F.col("p_value"), 4), F.lit("), "), date_text(F.col("first")), F.lit(" to "),
+        date_text(F.col("last")), F.lit(", "), F.col("sample_size").cast("string"), F.lit(" common dates. "), F.initcap("verdict"), F.lit(f": as {currency} rises, the price "),
+        F.when(F.col("correlation") > 0, "rises").otherwise("falls"),
+    )
+    out = (
         g.where(F.col("sample_size") >= least_dates).join(rows, "product_id").join(items, "product_id")
-        .select("product_id", "name", "correlation", student_p(F.col("correlation"), F.col("sample_size")).alias("p_value"), "sample_size", corr_verdict(F.col("correlation")).alias("verdict"))
+        .select("product_id", "name", "correlation", p.alias("p_value"), "sample_size", verdict.alias("verdict"), "first", "last")
     )
+    return out.withColumn("detail", detail).drop("first", "last").orderBy(F.abs("correlation").desc_nulls_last(), "product_id")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.text import _NOTICE
+# Two phrases that a block notice holds together.
+_NOTICE = ("доступ к сайту", "запрещ")
 
 _E = """
 now AS (SELECT max(ts) AS now FROM events),
@@ -109,6 +110,22 @@ k AS (SELECT * FROM c WHERE before IS NULL OR before <> price)
 """
 _SLUG = "lower(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_\\s-]', '', 'g'), '[-\\s]+', '-', 'g'))"
 
+
+
+def _seeds_sql(update: bool) -> str:
+    taken, action = ("lower(r_name) || 's'", "updated") if update else ("r_name", "skipped")
+    return f"""SELECT 'r-' || r_regionkey AS slug, {taken} AS name, '{"c" if update else "a"}' AS source_path, '{action}' AS action FROM region
+UNION ALL SELECT DISTINCT c_mktsegment, c_mktsegment, 'b', 'kept' FROM customer UNION ALL SELECT 'n-' || n_nationkey, n_name, 'd/e', 'created' FROM nation"""
+
+
+_HINT = """
+o AS (SELECT ph.product_id, ph.ts, tie, CAST(price AS DOUBLE) AS p, sp.ts AS seen, change, row_number() OVER (PARTITION BY ph.product_id ORDER BY ph.ts DESC, tie DESC) AS k
+  FROM ph JOIN sp ON ph.product_id = sp.product_id WHERE ph.ts < sp.ts - INTERVAL 14 DAY),
+b AS (SELECT *, lag(p) OVER (PARTITION BY product_id ORDER BY ts, tie) AS before FROM o WHERE k <= 60),
+h AS (SELECT product_id, ts AS past_ts, abs(p - before) / before AS step, CAST(CAST(seen AS DATE) - CAST(ts AS DATE) AS INTEGER) AS days_ago,
+  row_number() OVER (PARTITION BY product_id ORDER BY ts, tie) AS first FROM b WHERE before <> 0 AND abs(p - before) / before >= 0.7 * change)
+"""
+
 ORACLES: dict[str, str] = {
     "active_products": f"WITH {_E} SELECT * FROM product",
     "by_category": f"WITH {_L} SELECT product_id, name, category FROM product WHERE category = 'Brand#13'",
@@ -146,6 +163,12 @@ o AS (SELECT ph.product_id, ph.ts, tie, CAST(price AS DOUBLE) AS p, sp.ts AS see
 b AS (SELECT *, lag(p) OVER (PARTITION BY product_id ORDER BY ts, tie) AS before FROM o WHERE k <= 60),
 h AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY ts, tie) AS first FROM b WHERE before <> 0 AND abs(p - before) / before >= 0.7 * change)
 SELECT product_id, round(change, 6) AS change, ts AS past_ts, round(abs(p - before) / before, 6) AS past_change, CAST(CAST(seen AS DATE) - CAST(ts AS DATE) AS INTEGER) AS days_ago FROM h WHERE first = 1""",
+    "spike_messages": f"""WITH {_E}, {_SERIES}, {_SPIKE}, {_HINT}
+SELECT sp.product_id, 'Sharp ' || CASE WHEN current > previous THEN 'rise' ELSE 'fall' END || ' of ' || printf('%.1f', change * 100) || '% in '
+  || printf('%.1f', date_diff('microsecond', before_ts, sp.ts) / 86400000000.0) || ' days: ' || printf('%.0f', previous) || ' (' || strftime(before_ts, '%d.%m.%Y') || ') -> '
+  || printf('%.0f', current) || ' (' || strftime(sp.ts, '%d.%m.%Y') || ')'
+  || coalesce('. A change of ' || printf('%.1f', step * 100) || '% like it came on ' || strftime(past_ts, '%d.%m.%Y') || ' (' || days_ago || ' days before)', '') AS message
+FROM sp LEFT JOIN h ON sp.product_id = h.product_id AND h.first = 1""",
     "manipulation": f"WITH {_E}, {_SERIES}, {_MANIP} SELECT product_id, 'high' AS severity, ts, base, peak, after, CAST(position AS INTEGER) AS position FROM mp",
     "cyclic": f"""WITH {_E}, {_SERIES}, {_CYCLE} SELECT product_id, 'low' AS severity, ts, round(ratio, 6) AS ratio, round(period_rows, 6) AS period_rows,
   round(period_days, 6) AS period_days FROM cy""",
@@ -158,6 +181,14 @@ FROM an JOIN product p ON p.product_id = an.product_id, now WHERE ts >= now - IN
 SELECT 'severity' AS kind, severity AS label, count(*) AS n FROM r GROUP BY severity UNION ALL SELECT 'type', anomaly_type, count(*) FROM r GROUP BY anomaly_type""",
     "anomaly_report_lines": f"""WITH {_FULL} SELECT strftime(ts, '%Y-%m-%d %H:%M') || ' [' || upper(severity) || '] ' || anomaly_type || ' ' || name || ' (' || category || ')' AS value
 FROM an JOIN product p ON p.product_id = an.product_id, now WHERE ts >= now - INTERVAL 1 DAY AND severity = 'high'""",
+    "report_text": f"""WITH {_FULL}, names AS (SELECT * FROM (VALUES ('spike', 'sharp change'), ('manipulation', 'rise before a discount'), ('cyclic', 'cyclic change')) v(code, label)),
+r AS (SELECT an.*, name, category, label FROM an JOIN product p ON p.product_id = an.product_id JOIN names ON code = anomaly_type, now WHERE ts >= now - INTERVAL 1 DAY)
+SELECT chr(10) || '[' || upper(severity) || '] ' || label || chr(10) || '  Product: ' || name || ' (id=' || product_id || ')' || chr(10) || '  Category: ' || category || chr(10) || '  Date: '
+  || strftime(ts, '%Y-%m-%d %H:%M') || chr(10) || '  Status: active' || chr(10) || '  Description: change ' || printf('%.1f', metric * 100) || '%' AS value FROM r
+UNION ALL SELECT 'Anomaly report (' || count(*) || ')' FROM r UNION ALL SELECT repeat('=', 60) UNION ALL SELECT chr(10) || repeat('=', 60) UNION ALL SELECT 'Summary:'
+UNION ALL SELECT '  By type: ' || string_agg(label || ': ' || n, ', ' ORDER BY label) FROM (SELECT label, count(*) AS n FROM r GROUP BY label)
+UNION ALL SELECT '  By severity: ' || string_agg(severity || ': ' || n, ', ' ORDER BY severity) FROM (SELECT severity, count(*) AS n FROM r GROUP BY severity)
+UNION ALL SELECT '  Active: ' || count(*) || ', resolved: 0' FROM r""",
     "anomaly_report_json": f"""WITH {_FULL} SELECT '{{"product_id":' || CAST(an.product_id AS VARCHAR) || ',"name":"' || name || '","anomaly_type":"cyclic"}}' AS value
 FROM an JOIN product p ON p.product_id = an.product_id, now WHERE ts >= now - INTERVAL 1 DAY AND anomaly_type = 'cyclic'""",
     "changed_products_detection": f"""WITH {_FULL} SELECT product_id, anomaly_type, severity, ts FROM an
@@ -170,6 +201,13 @@ SELECT g.product_id, name, category, n_records, mean AS mean_price, round(std /
     "fx_sensitivity": f"""WITH {_E}, {_sens("USD")} SELECT g.product_id, name, round(correlation, 6) AS correlation, sample_size,
   CASE WHEN correlation IS NULL THEN 'none' WHEN abs(correlation) > 0.7 THEN 'strong ' || w WHEN abs(correlation) > 0.4 THEN 'moderate ' || w WHEN abs(correlation) > 0.2 THEN 'weak ' || w ELSE 'none' END AS verdict
 FROM (SELECT *, CASE WHEN correlation > 0 THEN 'direct' ELSE 'inverse' END AS w FROM g) g JOIN product p ON p.product_id = g.product_id""",
+    "fx_sensitivity_ranked": f"""WITH {_E}, {_sens("USD")}, chosen AS (SELECT product_id FROM product ORDER BY product_id LIMIT 30),
+p AS (SELECT product_id, min(date) AS a, max(date) AS b FROM daily WHERE date IN (SELECT date FROM rates WHERE currency = 'USD') GROUP BY product_id)
+SELECT g.product_id, CAST(row_number() OVER (ORDER BY abs(round(correlation, 9)) DESC NULLS LAST, g.product_id) AS INTEGER) AS place,
+  'Pearson correlation ' || printf('%.3f', correlation) || ', ' || strftime(a, '%d.%m.%Y') || ' to ' || strftime(b, '%d.%m.%Y') || ', ' || sample_size || ' common dates. '
+  || CASE WHEN abs(correlation) > 0.7 THEN 'Strong ' || w WHEN abs(correlation) > 0.4 THEN 'Moderate ' || w WHEN abs(correlation) > 0.2 THEN 'Weak ' || w ELSE 'None' END
+  || ': as USD rises, the price ' || CASE WHEN correlation > 0 THEN 'rises' ELSE 'falls' END AS detail
+FROM (SELECT *, CASE WHEN correlation > 0 THEN 'Direct' ELSE 'Inverse' END AS w FROM g) g JOIN chosen USING (product_id) JOIN p ON p.product_id = g.product_id""",
     "fx_sensitivity_p": f"""WITH {_E}, {_sens("EUR")}, a AS (SELECT product_id, correlation AS r, sample_size - 2 AS v, atan(abs(correlation) * sqrt((sample_size - 2) / (1 - correlation * correlation)) / sqrt(sample_size - 2)) AS th FROM g WHERE abs(correlation) < 1),
 t AS (SELECT product_id, k, CASE WHEN v % 2 = 1 THEN ln(cos(th)) + sum(CASE WHEN k = 0 THEN 0 ELSE ln(2.0 * k / (2.0 * k + 1)) END) OVER w + 2 * k * ln(cos(th))
     ELSE sum(CASE WHEN k = 0 THEN 0 ELSE ln((2.0 * k - 1) / (2.0 * k)) END) OVER w + 2 * k * ln(cos(th)) END AS l
@@ -183,31 +221,40 @@ JOIN product p ON p.product_id = s.product_id WHERE price <= target_price""",
     "alerts_state": f"""WITH {_L} SELECT is_active, count(*) AS n, CAST(sum(target_price) AS DOUBLE) AS targets FROM (
   SELECT target_price, NOT coalesce(price <= target_price, false) AS is_active FROM subs s LEFT JOIN ph ON ph.product_id = s.product_id AND is_actual) GROUP BY is_active""",
     "product_upsert": f"""WITH o AS (SELECT {_URL} AS url, p_partkey AS id, p_name AS name, p_brand AS category, p_type AS code FROM part WHERE p_partkey % 3 <> 0),
-n AS (SELECT {_URL} AS url, p_partkey AS id, upper(p_name) AS name, CASE WHEN p_size > 25 THEN p_type ELSE '' END AS code FROM part WHERE p_partkey % 2 = 0)
+n AS (SELECT {_URL} AS url, p_partkey AS id, upper(p_name) AS name, CASE WHEN p_size > 25 THEN p_type ELSE '' END AS code FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0)
 SELECT coalesce(o.url, n.url) AS url, coalesce(n.name, o.name) AS name, coalesce(o.category, 'new') AS category, coalesce(nullif(n.code, ''), o.code) AS vendor_code,
   CASE WHEN o.url IS NOT NULL THEN 'a.png' END AS image_url, CASE WHEN n.url IS NOT NULL THEN DATE '2024-02-01' ELSE DATE '2024-01-01' END AS last_parsed_at,
   CASE WHEN o.url IS NOT NULL THEN 's-' || CAST(o.id AS VARCHAR) ELSE replace(lower(n.name), ' ', '-') || CASE WHEN n.code = '' THEN '' ELSE '-' || {_SLUG.format("n.code")} END
     || '-' || substr(sha256(n.url), 1, 12) END AS slug, o.url IS NULL AS created
 FROM o FULL JOIN n ON o.url = n.url""",
-    "seed_merge": "SELECT * FROM (VALUES ('tv', 'TV', 'a', 'skipped'), ('pc', 'PC', 'b', 'skipped'), ('old', 'Old', 'c', 'kept'), ('phones', 'Phone', 'p/r', 'created')) v(slug, name, source_path, action)",
-    "seed_merge_update": "SELECT * FROM (VALUES ('tv', 'Tele', 'x', 'updated'), ('pc', 'PC', 'b', 'updated'), ('old', 'Old', 'c', 'kept'), ('phones', 'Phone', 'p/r', 'created')) v(slug, name, source_path, action)",
+    "seed_merge": _seeds_sql(False),
+    "seed_merge_update": _seeds_sql(True),
     "fx_upsert": f"WITH {_E} SELECT currency, date, CAST(CASE WHEN day(date) >= 15 THEN rate + 1 ELSE rate END AS DECIMAL(10,4)) AS rate FROM rates",
     "forecast_upsert": f"""WITH f AS ({_FC}) SELECT product_id, forecast_date, CAST(CASE WHEN product_id % 2 = 0 THEN predicted_price * 2 ELSE predicted_price END AS DECIMAL(12,2)) AS predicted_price, method FROM f
 UNION ALL SELECT product_id, DATE '2024-02-02', CAST(predicted_price * 2 AS DECIMAL(12,2)), method FROM f WHERE product_id % 2 = 0""",
-    "subscription_create": f"WITH {_L} SELECT user_id, product_id, target_price FROM subs WHERE product_id % 2 = 0 AND product_id % 3 <> 0",
-    "fx_rates_xml": "SELECT currency, DATE '2024-01-05' AS date, CAST(rate AS DECIMAL(10,4)) AS rate FROM (VALUES ('USD', 90.1234), ('CNY', 12.55), ('EUR', 98.7)) v(currency, rate)",
-    "fx_backfill_calendar": "SELECT CAST(DATE '2024-01-30' - CAST(unnest(range(0, 90)) AS INTEGER) AS DATE) AS date",
+    "subscription_create": f"WITH {_L} SELECT user_id, product_id, target_price FROM subs WHERE product_id % 3 <> 0",
+    "fx_rates_xml": f"WITH {_E} SELECT currency, date, rate FROM rates",
+    "fx_backfill_calendar": "SELECT CAST(CAST(max(ts) AS DATE) - CAST(k AS INTEGER) AS DATE) AS date FROM events, (SELECT unnest(range(0, 90)) AS k) GROUP BY k",
     "clean_price": """SELECT raw, CAST(nullif(regexp_replace(split_part(raw, '₽', 1), '[^0-9]', '', 'g'), '') AS DOUBLE) AS price FROM (
   SELECT * FROM (VALUES ('12 499 ₽'), ('999₽'), (''), ('none in stock'), ('from 5 499 ₽/pc'), ('1 000')) v(raw) UNION ALL SELECT 'from ' || CAST(p_partkey AS VARCHAR) || ' 00 ₽/1 pc' FROM part)""",
     "slugify": f"SELECT p_partkey, replace(lower(p_name), ' ', '-') || '-' || replace(lower(p_brand), '#', '') || '-' || substr(sha256({_URL}), 1, 12) AS slug FROM part",
-    "proxy_parts": """SELECT url, scheme, host, CAST(port AS INTEGER) AS port FROM (VALUES ('http://a.example.com:8080', 'http', 'a.example.com', 8080), ('b.example.com:1234', 'http', 'b.example.com', 1234),
-  ('socks5://c.example.com', 'socks5', 'c.example.com', 3128), ('d.example.com', 'http', 'd.example.com', 3128)) v(url, scheme, host, port)""",
+    "proxy_parts": """SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'http://' WHEN s_suppkey % 3 = 1 THEN 'socks5://' ELSE '' END || 'p' || s_suppkey || '.example.com' ||
+  CASE WHEN s_suppkey % 2 = 0 THEN ':' || (s_suppkey + 1000) ELSE '' END AS url, CASE WHEN s_suppkey % 3 = 1 THEN 'socks5' ELSE 'http' END AS scheme,
+  'p' || s_suppkey || '.example.com' AS host, CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey + 1000 ELSE 3128 END AS INTEGER) AS port FROM supplier""",
+    "heat_text": """SELECT event_id, CASE WHEN c IS NULL THEN '  -  ' ELSE CASE WHEN c > 5 THEN '▲▲' WHEN c > 0.5 THEN ' ▲' WHEN c < -5 THEN '▼▼' WHEN c < -0.5 THEN ' ▼' ELSE '  ●' END
+  || printf('%+.0f', c) || '%' END AS cell FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN round((value - 50) / 10, 3) END AS c FROM events)""",
+    "number_texts": """SELECT p_partkey, printf('%10.0f', p_retailprice) AS price, printf('%+.1f', p_retailprice - 1000) AS change, printf('%.1f', p_retailprice / 4096 * 100) || '%' AS share,
+  CASE p_type WHEN 'PROMO' THEN 'promoted' WHEN 'SMALL' THEN 'small' ELSE p_type END AS kind FROM part""",
     "heat_indicator": """SELECT event_id, CASE WHEN c IS NULL THEN 'none' WHEN c > 5 THEN 'up2' WHEN c > 0.5 THEN 'up1' WHEN c < -5 THEN 'down2' WHEN c < -0.5 THEN 'down1' ELSE 'flat' END AS indicator FROM (
   SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN round((value - 50) / 10, 3) END AS c FROM events)""",
     "corr_verdict": """SELECT event_id, CASE WHEN r IS NULL THEN 'none' WHEN abs(r) > 0.7 THEN 'strong ' || w WHEN abs(r) > 0.4 THEN 'moderate ' || w WHEN abs(r) > 0.2 THEN 'weak ' || w ELSE 'none' END AS verdict FROM (
   SELECT event_id, r, CASE WHEN r > 0 THEN 'direct' ELSE 'inverse' END AS w FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN round(CAST(event_id % 201 AS DOUBLE) / 100 - 1, 2) END AS r FROM events))""",
     "page_extract": r"""SELECT page_id, substr(trim(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1), ''), ''), '\s+', ' ', 'g')), 1, 220) AS name,
-  regexp_extract(url, '(\d+)', 1) AS vendor_code, CAST(NULL AS DOUBLE) AS price FROM pages""",
+  regexp_extract(url, '(\d+)', 1) AS vendor_code, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS old_price,
+  nullif(regexp_extract(html, '(?is)<img[^>]*\b(?:data-)?src=["'']([^"'']+)', 1), '') AS image_url FROM pages""",
+    "card_extract": """SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS card_no, p_name || ' ' || p_type AS name, floor(p_retailprice) AS price,
+  CASE WHEN p_partkey % 4 = 0 THEN floor(p_retailprice) + 100 END AS old_price, CAST(p_partkey AS VARCHAR) AS vendor_code,
+  CASE WHEN p_partkey % 5 <> 0 THEN '/i/' || p_partkey || '.png' END AS image_url FROM part""",
     "page_blocked": f"""SELECT page_id, contains(t, '403') OR contains(substr(low, 1, 800), '403 error') OR contains(lower(t), 'forbidden') OR contains(low, 'http 403') OR (contains(low, '{_NOTICE[0]}') AND contains(low, '{_NOTICE[1]}')) AS blocked
 FROM (SELECT page_id, t, lower(t || chr(10) || substr(html, 1, 12000)) AS low FROM (SELECT page_id, html, regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1) AS t FROM pages))""",
     "dedupe_first": """SELECT page_id, url, host FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k FROM (
@@ -219,14 +266,28 @@ SELECT l.product_id, name, category, vendor_code, price AS current_price FROM l
     "api_anomalies": f"WITH {_FULL} SELECT product_id, anomaly_type, severity, ts FROM an WHERE severity = 'high' ORDER BY ts DESC, product_id, anomaly_type LIMIT 20",
     "api_subscriptions": f"WITH {_L} SELECT s.product_id, user_id, target_price, true AS is_active, name FROM subs s JOIN product p ON p.product_id = s.product_id WHERE user_id = 10",
     "api_notifications": f"""WITH {_L} SELECT user_id, s.product_id, name || ': ' || CAST(price AS VARCHAR) || ' <= ' || CAST(target_price AS VARCHAR) AS message FROM subs s
-JOIN ph ON ph.product_id = s.product_id AND is_actual JOIN product p ON p.product_id = s.product_id WHERE price <= target_price AND user_id < 100""",
+JOIN ph ON ph.product_id = s.product_id AND is_actual JOIN product p ON p.product_id = s.product_id WHERE price <= target_price""",
     "dashboard_summary": f"""WITH {_FULL}, w AS (SELECT ph.* FROM ph, now WHERE ts >= now - INTERVAL 7 DAY), r AS (SELECT an.* FROM an, now WHERE ts >= now - INTERVAL 7 DAY),
 c AS (SELECT product_id, name FROM product ORDER BY name, product_id LIMIT 30)
-SELECT (SELECT count(*) FROM w) AS records_in_window, (SELECT count(DISTINCT product_id) FROM w) AS products_updated, (SELECT count(*) FROM product) AS total_products,
+SELECT CAST(7 AS INTEGER) AS period_days, (SELECT count(*) FROM w) AS records_in_window, (SELECT count(DISTINCT product_id) FROM w) AS products_updated, (SELECT count(*) FROM product) AS total_products,
   (SELECT count(DISTINCT category) FROM product) AS active_categories, (SELECT count(*) FROM product WHERE product_id NOT IN (SELECT product_id FROM ph)) AS products_without_data,
   (SELECT count(*) FROM r) AS anomalies, (SELECT count(*) FROM r WHERE severity = 'high') AS anomalies_high, (SELECT count(*) FROM r WHERE severity = 'medium') AS anomalies_medium,
   (SELECT count(*) FROM r WHERE severity = 'low') AS anomalies_low, (SELECT count(DISTINCT category) FROM product WHERE product_id IN (SELECT product_id FROM ph)) AS index_rows,
-  (SELECT count(*) FROM ({_deals(30, 50)})) AS deals_listed, (SELECT count(DISTINCT w.product_id) FROM w JOIN c ON c.product_id = w.product_id) AS heat_products, CAST(8 AS BIGINT) AS heat_dates""",
+  (SELECT count(*) FROM ({_deals(30, 50)})) AS deals_listed, (SELECT count(DISTINCT w.product_id) FROM w JOIN c ON c.product_id = w.product_id) AS heat_products, CAST(8 AS BIGINT) AS heat_dates,
+  (SELECT count(*) FROM r WHERE anomaly_type = 'spike') AS anomalies_spike, (SELECT count(*) FROM r WHERE anomaly_type = 'manipulation') AS anomalies_manipulation,
+  (SELECT count(*) FROM r WHERE anomaly_type = 'cyclic') AS anomalies_cyclic, (SELECT count(*) FROM (WITH {_sens("USD")} SELECT g.product_id FROM g JOIN (SELECT product_id FROM product ORDER BY product_id LIMIT 30) USING (product_id))) AS sensitivity_rows""",
+    "dashboard_payload": f"""WITH {_FULL}, {_sens("USD")}, w AS (SELECT ph.* FROM ph, now WHERE ts >= now - INTERVAL 7 DAY), r AS (SELECT an.* FROM an, now WHERE ts >= now - INTERVAL 7 DAY),
+deals AS ({_deals(30, 50)}), c AS (SELECT product_id, name FROM product ORDER BY name, product_id LIMIT 30),
+sold AS (SELECT category FROM product WHERE product_id IN (SELECT product_id FROM ph)),
+sens AS (SELECT g.* FROM g JOIN (SELECT product_id FROM product ORDER BY product_id LIMIT 30) USING (product_id)),
+fx AS (SELECT * FROM rates ORDER BY date DESC, currency LIMIT 9)
+SELECT 'metrics' AS section, CAST(1 AS BIGINT) AS items, CAST(count(*) AS VARCHAR) AS first FROM w
+UNION ALL SELECT 'category_index', count(DISTINCT category), min(category) FROM sold
+UNION ALL SELECT 'deals_top', count(*), CAST((SELECT product_id FROM deals ORDER BY discount_pct DESC, product_id LIMIT 1) AS VARCHAR) FROM deals
+UNION ALL SELECT 'heatmap', count(DISTINCT w.product_id), CAST(arg_min(c.product_id, (name, c.product_id)) AS VARCHAR) FROM w JOIN c ON c.product_id = w.product_id
+UNION ALL SELECT 'sensitivity', count(*), CAST(arg_min(product_id, (-abs(correlation), product_id)) AS VARCHAR) FROM sens
+UNION ALL SELECT 'anomalies_summary', 1, CAST(count(*) AS VARCHAR) FROM r
+UNION ALL SELECT 'currency_rates_latest', count(*), arg_min(currency, (-epoch(date), currency)) FROM fx""",
     "latest_rates": f"WITH {_E} SELECT currency, date, rate FROM rates ORDER BY date DESC, currency LIMIT 9",
     "list_snapshots": f"""WITH {_E} SELECT kind, now - CAST(h AS INTEGER) * INTERVAL 1 HOUR AS created_at, summary FROM (
   SELECT 'index' AS kind, 0 AS h, '{{"rows":' || CAST((SELECT count(DISTINCT category) FROM product WHERE product_id IN (SELECT product_id FROM ph)) AS VARCHAR) || '}}' AS summary

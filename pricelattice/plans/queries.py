@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..functions.formats import fixed, padded, percent, signed
 from ..operators import api, detect, features, forecast, ingest, reports, sensitivity
 from ..session import shared_folder
 from ..sources import files, views
@@ -125,6 +126,13 @@ def spike(spark, d):
     return found.select("product_id", "severity", "ts", "previous", "current", F.round("change", 6).alias("change"), "direction", F.round("days", 6).alias("days"))
 
 
+@query
+def spike_messages(spark, d):
+    t = views.events_view(spark, d)
+    found = detect.detect_spike(detect.recent_series(t.history), 3)
+    return detect.spike_text(found, detect.past_similar_spike(found, t.history))
+
+
 @query
 def past_similar_spike(spark, d):
     t = views.events_view(spark, d)
@@ -179,6 +187,14 @@ def anomaly_report_lines(spark, d):
     return reports.report_lines(reports.anomaly_report(found, t.product, t.now, 1, severity="high"))
 
 
+@query
+def report_text(spark, d):
+    """The whole report, its lines numbered in order."""
+    t, found = _found(spark, d)
+    entries = reports.anomaly_report(found.withColumn("description", F.concat(F.lit("change "), percent(F.col("metric")))), t.product, t.now, 1)
+    return reports.report_text(entries)
+
+
 @query
 def anomaly_report_json(spark, d):
     t, found = _found(spark, d)
@@ -223,6 +239,15 @@ def fx_sensitivity_p(spark, d):
     return _sensitivity(spark, d, "EUR").select("product_id", F.round("p_value", 5).alias("p_value"))
 
 
+@query
+def fx_sensitivity_ranked(spark, d):
+    """The first 30 products by id, the strongest correlation first, with the text that a report shows."""
+    t = views.events_view(spark, d)
+    found = sensitivity.fx_sensitivity(t.history, t.product, t.rates, limit=30)
+    place = F.row_number().over(Window.orderBy(F.abs(F.round("correlation", 9)).desc_nulls_last(), "product_id"))  # 30 rows
+    return found.select("product_id", place.alias("place"), F.regexp_replace("detail", r" \(p=[^)]*\)", "").alias("detail"))
+
+
 @query
 def forecasts(spark, d):
     t = views.events_view(spark, d)
@@ -250,27 +275,35 @@ def product_upsert(spark, d):
         url.alias("url"), F.col("p_name").alias("name"), F.col("p_brand").alias("category"), F.col("p_type").alias("vendor_code"), F.lit("a.png").alias("image_url"),
         F.lit(date(2024, 1, 1)).alias("last_parsed_at"), F.concat(F.lit("s-"), F.col("p_partkey").cast("string")).alias("slug"),
     )
-    new = part.where("p_partkey % 2 = 0").select(
+    new = part.where("p_partkey % 2 = 0 or p_partkey % 3 = 0").select(
         url.alias("url"), F.upper("p_name").alias("name"), F.lit("new").alias("category"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise("").alias("vendor_code"),
         F.lit("").alias("image_url"), F.lit(date(2024, 2, 1)).alias("parsed_at"), F.col("p_partkey").alias("arrival"),
     )
     return ingest.upsert_products(old, new)
 
 
-def _seeds(spark) -> tuple[DataFrame, DataFrame]:
-    old = spark.createDataFrame([("tv", "TV", "a"), ("pc", "PC", "b"), ("old", "Old", "c")], "slug string, name string, source_path string")
-    rows = spark.createDataFrame([(0, "Tele", "tv", "/x/"), (1, "Phones", "phones", "p/q"), (2, "Phone ", "phones", "p/r/"), (3, "PC", "pc", "b")], "arrival long, name string, slug string, source_path string")
-    return old, rows
+def _seeds(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Known: regions and market segments. A built-in list names the regions otherwise; a file has them once more, last, and the nations."""
+    region, nation = views.read(spark, d, "region"), views.read(spark, d, "nation")
+    slug = F.concat(F.lit("r-"), F.col("r_regionkey").cast("string"))
+    old = region.select(slug.alias("slug"), F.col("r_name").alias("name"), F.lit("a").alias("source_path")).unionByName(
+        views.events_product(spark, d).select("category").distinct().select(F.col("category").alias("slug"), F.col("category").alias("name"), F.lit("b").alias("source_path"))
+    )
+    builtin = region.select(F.col("r_regionkey").cast("long").alias("arrival"), F.lower("r_name").alias("name"), slug.alias("slug"), F.lit("/c/").alias("source_path"))
+    file = builtin.withColumn("name", F.concat(F.lit(" "), "name", F.lit("s "))).unionByName(
+        nation.select((F.col("n_nationkey") + 100).cast("long").alias("arrival"), F.col("n_name").alias("name"), F.concat(F.lit("n-"), F.col("n_nationkey").cast("string")).alias("slug"), F.lit("d/e/").alias("source_path"))
+    )
+    return old, ingest.seed_rows(builtin, file)
 
 
 @query
 def seed_merge(spark, d):
-    return ingest.seed_categories(*_seeds(spark))
+    return ingest.seed_categories(*_seeds(spark, d))
 
 
 @query
 def seed_merge_update(spark, d):
-    return ingest.seed_categories(*_seeds(spark), update=True)
+    return ingest.seed_categories(*_seeds(spark, d), update=True)
 
 
 @query
@@ -292,23 +325,24 @@ def forecast_upsert(spark, d):
 @query
 def subscription_create(spark, d):
     subs = views.subscriptions(spark, d).where("product_id % 3 = 0").withColumn("is_active", F.col("user_id") % 2 == 0)
-    wanted = views.subscriptions(spark, d).where("product_id % 2 = 0").select("user_id", "product_id", "target_price", F.col("product_id").alias("arrival"))
+    wanted = views.subscriptions(spark, d).where("product_id % 2 = 0 or product_id % 3 <> 0").select("user_id", "product_id", "target_price", F.col("product_id").alias("arrival"))
     return ingest.create_subscriptions(subs, wanted).select("user_id", "product_id", "target_price")
 
 
 @query
 def fx_rates_xml(spark, d):
-    xml = (
-        '<ValCurs><Valute ID="1"><CharCode>USD</CharCode><Nominal>1</Nominal><Value>90,1234</Value></Valute>'
-        '<Valute ID="2"><CharCode>CNY</CharCode><Nominal>10</Nominal><Value>125,50</Value></Valute>'
-        '<Valute ID="3"><CharCode>EUR</CharCode><Value>98,7</Value></Valute><Valute ID="4"><CharCode>GBP</CharCode><Nominal>1</Nominal><Value>1,0</Value></Valute></ValCurs>'
-    )
-    return files.rates_from_xml_text(spark.createDataFrame([(xml, date(2024, 1, 5))], "xml string, date date"))
+    """The rates of every day, written as the bank's XML (a decimal comma, ten units of CNY, currencies that nobody asked for) and read again."""
+    nominal = F.when(F.col("currency") == "CNY", 10).otherwise(1)
+    value = F.replace((F.col("rate") * nominal).cast("string"), F.lit("."), F.lit(","))
+    one = F.concat(F.lit("<Valute><CharCode>"), "currency", F.lit("</CharCode><Nominal>"), nominal.cast("string"), F.lit("</Nominal><Value>"), value, F.lit("</Value></Valute>"))
+    docs = views.events_rates(spark, d).groupBy("date").agg(F.array_join(F.collect_list(one), "").alias("all"))
+    more = F.lit("<Valute><CharCode>GBP</CharCode><Value>1,0</Value></Valute></ValCurs>")
+    return files.rates_from_xml_text(docs.select("date", F.concat(F.lit("<ValCurs>"), "all", more).alias("xml")))
 
 
 @query
 def fx_backfill_calendar(spark, d):
-    return files.backfill_days(spark, date(2024, 1, 30), 90)
+    return files.backfill_days(spark, views.newest(views.read(spark, d, "events")).date(), 90)
 
 
 @query
@@ -329,8 +363,10 @@ def slugify(spark, d):
 
 @query
 def proxy_parts(spark, d):
-    rows = spark.createDataFrame([("http://a.example.com:8080",), ("b.example.com:1234",), ("socks5://c.example.com",), ("d.example.com",)], "url string")
-    return rows.select("url", text.proxy_parts(F.col("url")).alias("p")).select("url", "p.*")
+    key = F.col("s_suppkey")
+    scheme = F.when(key % 3 == 0, "http://").when(key % 3 == 1, "socks5://").otherwise("")
+    url = F.concat(scheme, F.lit("p"), key.cast("string"), F.lit(".example.com"), F.when(key % 2 == 0, F.concat(F.lit(":"), (key + 1000).cast("string"))).otherwise(""))
+    return views.read(spark, d, "supplier").select(url.alias("url"), text.proxy_parts(url).alias("p")).select("url", "p.*")
 
 
 @query
@@ -339,6 +375,22 @@ def heat_indicator(spark, d):
     return views.read(spark, d, "events").select("event_id", labels.heat_indicator(change).alias("indicator"))
 
 
+@query
+def heat_text(spark, d):
+    change = F.when(F.col("event_id") % 10 != 0, F.round((F.col("value") - 50) / 10, 3))
+    return views.read(spark, d, "events").select("event_id", labels.heat_text(change).alias("cell"))
+
+
+@query
+def number_texts(spark, d):
+    """Prices and shares of every part as reports show them."""
+    price = F.col("p_retailprice")
+    return views.read(spark, d, "part").select(
+        "p_partkey", padded(fixed(price), 10).alias("price"), signed(price - 1000, 1).alias("change"), percent(price / 4096).alias("share"),
+        labels.label_of(F.col("p_type"), {"PROMO": "promoted", "SMALL": "small"}).alias("kind"),
+    )
+
+
 @query
 def corr_verdict(spark, d):
     r = F.when(F.col("event_id") % 10 != 0, F.round(F.col("event_id") % 201 / 100.0 - 1, 2))
@@ -347,7 +399,30 @@ def corr_verdict(spark, d):
 
 @query
 def page_extract(spark, d):
-    return files.extract_products(views.read(spark, d, "pages")).select("page_id", "name", "vendor_code", F.col("price").cast("double").alias("price"))
+    found = files.extract_products(views.read(spark, d, "pages"))
+    return found.select("page_id", "name", "vendor_code", F.col("price").cast("double").alias("price"), F.col("old_price").cast("double").alias("old_price"), "image_url")
+
+
+def _list_pages(spark, d) -> DataFrame:
+    """A list page for each brand, a card for each part: every third without its price's own element, every fourth reduced, every fifth without an image."""
+    key, price = F.col("p_partkey"), F.floor("p_retailprice").cast("long")
+    shown = F.when(key % 3 == 0, F.concat(F.lit("<b>only "), price.cast("string"), F.lit(" ₽ today</b>"))).otherwise(F.concat(F.lit('<span class="now big">'), price.cast("string"), F.lit(" ₽</span>")))
+    before = F.when(key % 4 == 0, F.concat(F.lit('<s class="was">'), (price + 100).cast("string"), F.lit(" ₽</s>"))).otherwise("")
+    image = F.when(key % 5 != 0, F.concat(F.lit('<img data-src="/i/'), key.cast("string"), F.lit('.png">'))).otherwise("")
+    card = F.concat(
+        F.lit('<div class="item card">'), image, F.lit('<a class="title">'), "p_name", F.lit("  "), "p_type", F.lit("</a>"), shown, before,
+        F.lit('<i class="sku">No. '), key.cast("string"), F.lit("</i></div>"),
+    )
+    cards = views.read(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("card")))).alias("cards"))
+    body = F.array_join(F.transform("cards", lambda c: c["card"]), "\n")
+    return cards.select("p_brand", F.concat(F.lit("https://shop.example.com/l/"), "p_brand").alias("url"), F.concat(F.lit("<h1>All</h1><p class='cards'>"), body, F.lit("</p>")).alias("html"))
+
+
+@query
+def card_extract(spark, d):
+    chosen = files.Selectors(name=("title",), price=("now",), old_price=("was",), code=("sku",))
+    found = files.extract_products(files.split_cards(_list_pages(spark, d), "card"), chosen)
+    return found.select("p_brand", "card_no", "name", F.col("price").cast("double").alias("price"), F.col("old_price").cast("double").alias("old_price"), "vendor_code", "image_url")
 
 
 @query
@@ -387,7 +462,7 @@ def api_subscriptions(spark, d):
 @query
 def api_notifications(spark, d):
     t = views.lineitem_view(spark, d)
-    return api.notifications(ingest.check_alerts(t.history, views.subscriptions(spark, d).where("user_id < 100"), t.product))
+    return api.notifications(ingest.check_alerts(t.history, views.subscriptions(spark, d), t.product))
 
 
 @query
@@ -396,6 +471,23 @@ def dashboard_summary(spark, d):
     return snapshot.dashboard_summary(t, found)
 
 
+@query
+def dashboard_payload(spark, d):
+    """The full snapshot's JSON read back: a row for each section with its items and the first one's key. What clusters hold is not SQL's to tell."""
+    t, found = _found(spark, d)
+    body = snapshot.snapshot(t, found, "full", t.now)
+    part = lambda path: F.get_json_object("payload", f"$.{path}")
+    sections = {
+        "metrics": ("total_records", None), "category_index": ("[0].category", "category_index"), "deals_top": ("[0].product_id", "deals_top"), "heatmap": (".rows[0].product_id", "heatmap.rows"),
+        "sensitivity": ("[0].product_id", "sensitivity"), "anomalies_summary": ("total", None), "currency_rates_latest": ("[0].currency", "currency_rates_latest"),
+    }
+    rows = [
+        F.struct(F.lit(name).alias("section"), (F.json_array_length(part(many)) if many else F.lit(1)).cast("long").alias("items"), part(name + (key if key[0] in "[." else "." + key)).alias("first"))
+        for name, (key, many) in sections.items()
+    ]
+    return body.select(F.inline(F.array(*rows)))
+
+
 @query
 def latest_rates(spark, d):
     return snapshot.latest_rates(views.events_rates(spark, d))

@@ -16,39 +16,94 @@ from ..sources.views import PriceTables
 KINDS = ("clusters", "index", "metrics", "deals", "anomalies", "full")
 
 
-def dashboard_summary(t: PriceTables, anomalies: DataFrame, days: int = 7, deals_days: int = 30, deals_limit: int = 50, heat_products: int = 30) -> DataFrame:
-    """One row of headline figures. The history is read once for all reports."""
-    history = t.history.persist()
-    one = F.lit(1).alias("_one")
-    metrics = reports.ingest_metrics(history, t.product, t.category, t.now, days).select(
-        one, F.col("total_records").alias("records_in_window"), F.col("unique_products").alias("products_updated"), "total_products",
+#: The windows and limits of the dashboard.
+DEFAULTS = {"period_days": 7, "metrics_days": 7, "deals_days": 30, "heatmap_days": 7, "heatmap_max_products": 30, "deals_limit": 50, "sensitivity_limit": 30, "n_clusters": 4}
+CLUSTER_ITEMS = 200
+
+
+def _one(df: DataFrame) -> DataFrame:
+    return df.withColumn("_one", F.lit(1))
+
+
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one row each, side by side."""
+    out = _one(parts[0])
+    for p in parts[1:]:
+        out = out.join(_one(p), "_one")
+    return out.drop("_one")
+
+
+def _listed(df: DataFrame, name: str, order: list | None = None) -> DataFrame:
+    """A table as one row: an array of its rows in order (as far as ``order`` says, then by all columns). For reports, whose rows are bounded."""
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order or [])], F.struct(*df.columns).alias("row"))
+    return df.agg(F.transform(F.sort_array(F.collect_list(key)), lambda x: x["row"]).alias(name))
+
+
+def _counts(anomalies: DataFrame, now: datetime, days: int) -> DataFrame:
+    """One row: anomalies of the period in all, by severity and by type (maps of a few codes)."""
+    listed = reports.anomaly_summary(anomalies, now, days)
+    entries = lambda kind: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("label", "n")))))
+    return listed.agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == "type", F.col("n"))), F.lit(0)).alias("anomalies"), entries("severity").alias("by_severity"), entries("type").alias("by_type")
+    )
+
+
+def dashboard_summary(t: PriceTables, anomalies: DataFrame, days: int = 7, deals_days: int = 30, deals_limit: int = 50, heat_products: int = 30, sensitivity_limit: int = 30) -> DataFrame:
+    """One row of headline figures, but for the clusters', which :func:`full_dashboard` adds."""
+    metrics = reports.ingest_metrics(t.history, t.product, t.category, t.now, days).select(
+        F.lit(days).alias("period_days"), F.col("total_records").alias("records_in_window"), F.col("unique_products").alias("products_updated"), "total_products",
         "active_categories", "products_without_data",
     )
-    count = lambda df, name: df.agg(F.count("*").alias(name)).select("*", one)
-    recent = anomalies.where(F.col("detected_at") >= window_start(t.now, days))
-    parts = [
-        recent.agg(F.count("*").alias("anomalies"), *[F.count_if(F.col("severity") == s).alias(f"anomalies_{s}") for s in ("high", "medium", "low")]).select("*", one),
-        count(reports.category_index(history, t.product, t.now, days), "index_rows"),
-        count(reports.best_deals(history, t.product, t.now, deals_days, deals_limit), "deals_listed"),
-        reports.heatmap(history, t.product, t.now, days, heat_products).agg(F.count_distinct("product_id").alias("heat_products"), F.count_distinct("date").alias("heat_dates")).select("*", one),
-    ]
-    out = metrics
-    for p in parts:  # one row each
-        out = out.join(p, "_one")
-    return out.drop("_one")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    found = _counts(anomalies, t.now, days)
+    n = lambda of, key: F.coalesce(F.col(of)[key], F.lit(0)).alias(f"anomalies_{key}")
+    return _joined([
+        metrics,
+        found.select("anomalies", *[n("by_severity", s) for s in ("high", "medium", "low")], *[n("by_type", k) for k in ("spike", "manipulation", "cyclic")]),
+        count(reports.category_index(t.history, t.product, t.now, days), "index_rows"),
+        count(reports.best_deals(t.history, t.product, t.now, deals_days, deals_limit), "deals_listed"),
+        reports.heatmap(t.history, t.product, t.now, days, heat_products).agg(F.count_distinct("product_id").alias("heat_products"), F.count_distinct("date").alias("heat_dates")),
+        count(fx_sensitivity(t.history, t.product, t.rates, limit=sensitivity_limit), "sensitivity_rows"),
+    ])
+
+
+def full_dashboard(t: PriceTables, anomalies: DataFrame, **options: int) -> DataFrame:
+    """One row: ``summary`` and ``payload``, structs with all sections of the dashboard; ``options`` as in ``DEFAULTS``."""
+    o = DEFAULTS | options
+    clusters = clusters_payload(product_features(t.history, t.product), o["n_clusters"]).persist()
+    sizes = clusters.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "products")))).alias("cluster_labels"))
+    summary = _joined([dashboard_summary(t, anomalies, o["period_days"], o["deals_days"], o["deals_limit"], o["heatmap_max_products"], o["sensitivity_limit"]), sizes])
+    cells = reports.heatmap(t.history, t.product, t.now, o["heatmap_days"], o["heatmap_max_products"])
+    rows = cells.groupBy("product_id", "name").agg(F.sort_array(F.collect_list(F.struct("date", "price", "change_pct", "indicator"))).alias("cells"))
+    heat = _joined([cells.agg(F.sort_array(F.collect_set("date")).alias("dates")), _listed(rows, "rows", [F.col("name"), F.col("product_id")])])
+    sens = fx_sensitivity(t.history, t.product, t.rates, limit=o["sensitivity_limit"])
+    metrics = reports.ingest_metrics(t.history, t.product, t.category, t.now, o["metrics_days"])
+    found = _counts(anomalies, t.now, o["period_days"]).select(F.struct(F.lit(o["period_days"]).alias("period_days"), F.col("anomalies").alias("total"), "by_severity", "by_type").alias("anomalies_summary"))
+    payload = _joined([
+        metrics.select(F.struct(*metrics.columns).alias("metrics")),
+        _listed(reports.category_index(t.history, t.product, t.now, o["period_days"]), "category_index", [F.col("category")]),
+        _listed(reports.best_deals(t.history, t.product, t.now, o["deals_days"], o["deals_limit"]), "deals_top", [-F.col("discount_pct"), F.col("product_id")]),
+        _listed(clusters, "clusters", [F.col("label")]),
+        heat.select(F.struct("dates", "rows").alias("heatmap")),
+        _listed(sens, "sensitivity", [F.coalesce(-F.abs("correlation"), F.lit(2.0)), F.col("product_id")]),
+        found,
+        _listed(latest_rates(t.rates), "currency_rates_latest", [-F.unix_date("date"), F.col("currency")]),
+    ])
+    return _joined([summary.select(F.struct(*summary.columns).alias("summary")), payload.select(F.struct(F.lit(t.now).alias("generated_at"), *payload.columns).alias("payload"))])
 
 
 def latest_rates(rates: DataFrame, n: int = 9) -> DataFrame:
     return rates.orderBy(F.desc("date"), "currency").limit(n)
 
 
-def clusters_payload(features: DataFrame, k: int = 4, most: int = 200) -> DataFrame:
-    """A row for each label with its products, the most volatile first, ``most`` of them."""
+def clusters_payload(features: DataFrame, k: int = 4, most: int = CLUSTER_ITEMS) -> DataFrame:
+    """A row for each label with the number of its products and its products, the most volatile first, ``most`` of them."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("label").orderBy(F.desc("volatility"), "product_id")
-    ranked = cluster_products(features, k).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-    return ranked.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("rn", "product_id", "name", "volatility", "trend"))).alias("items"))
+    ranked = cluster_products(features, k).withColumn("rn", F.row_number().over(w))
+    item = F.when(F.col("rn") <= most, F.struct("rn", "product_id", "name", "category", "mean_price", "volatility", "trend", "max_change_pct", "n_records"))
+    return ranked.groupBy("label").agg(F.count("*").alias("products"), F.sort_array(F.collect_list(item)).alias("items"))
 
 
 def kind_payload(t: PriceTables, anomalies: DataFrame, kind: str, days: int = 7) -> DataFrame:
@@ -67,17 +122,13 @@ def kind_payload(t: PriceTables, anomalies: DataFrame, kind: str, days: int = 7)
 
 
 def snapshot(t: PriceTables, anomalies: DataFrame, kind: str, created_at: datetime, scope: str = "", days: int = 7) -> DataFrame:
-    """One row for the snapshot table: kind, scope, time, summary and payload as JSON."""
+    """One row for the snapshot table: kind, scope, time, parameters, summary and payload as JSON. :func:`..sources.sinks.append_rows` adds it."""
     if kind == "full":
-        summary = dashboard_summary(t, anomalies, days)
-        body = summary.select(F.to_json(F.struct(*summary.columns)).alias("summary"))
-        sens = fx_sensitivity(t.history, t.product, t.rates, limit=30)
-        extra = sens.agg(F.to_json(F.collect_list(F.struct(*sens.columns))).alias("payload"))
-        body = body.select("summary", F.lit(1).alias("_one")).join(extra.select("payload", F.lit(1).alias("_one")), "_one").drop("_one")
+        body = full_dashboard(t, anomalies, period_days=days, metrics_days=days, heatmap_days=days).select(F.to_json("summary").alias("summary"), F.to_json("payload").alias("payload"))
     else:
         items = kind_payload(t, anomalies, kind, days)
         body = items.agg(F.to_json(F.struct(F.count("*").alias("rows"))).alias("summary"), F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit("]")).alias("payload"))
-    return body.select(F.lit(kind).alias("kind"), F.lit(scope).alias("scope_key"), F.lit(created_at).cast("timestamp_ntz").alias("created_at"), "summary", "payload")
+    return body.select(F.lit(kind).alias("kind"), F.lit(scope).alias("scope_key"), F.lit(created_at).cast("timestamp_ntz").alias("created_at"), F.to_json(F.struct(F.lit(days).alias("period_days"))).alias("parameters"), "summary", "payload")
 
 
 def list_snapshots(snapshots: DataFrame, kind: str | None = None, limit: int = 10) -> DataFrame:

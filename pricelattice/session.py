@@ -29,12 +29,14 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor reaches.
 
-    Where the session has no such setting, the context's checkpoint folder serves; where it has none either (tests on
-    one machine), a temporary one is set.
+    Where the session has no such setting, the context's checkpoint folder serves; where it has none either, a temporary one is set on
+    a local master only: on a cluster executors would not share it, so that raises.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

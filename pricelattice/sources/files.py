@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,16 +54,40 @@ def tag_text(html: Column, tag: str) -> Column:
     return F.when(t != "", t)
 
 
-def extract_products(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Name, price, old price, code and image of captured pages, each by a chain of fallbacks."""
+@dataclass(frozen=True)
+class Selectors:
+    """Classes of the elements that hold a field on a site's pages, those to try first first. They differ from site to site, so none are built in."""
+
+    name: tuple[str, ...] = ()
+    price: tuple[str, ...] = ()
+    old_price: tuple[str, ...] = ()
+    code: tuple[str, ...] = ()
+
+
+def split_cards(pages: DataFrame, card: str, html: str = "html") -> DataFrame:
+    """A row for each card of a list page: every element of class ``card`` with what follows it up to the next; ``card_no`` counts from 0."""
+    opening = rf"(?i)(?=<[a-z][a-z0-9]*\b[^>]*class=[\"'](?:[^\"']*\s)?{card}(?:\s[^\"']*)?[\"'])"
+    parts = F.split(F.coalesce(F.col(html), F.lit("")), opening)
+    has = F.filter(parts, lambda p: F.regexp_like(p, F.lit(rf"(?i)^<[a-z][a-z0-9]*\b[^>]*class=[\"'](?:[^\"']*\s)?{card}(?:\s[^\"']*)?[\"']")))
+    return pages.select(*[c for c in pages.columns if c != html], F.posexplode(has).alias("card_no", html))
+
+
+def extract_products(pages: DataFrame, selectors: Selectors = Selectors(), url: str = "url", html: str = "html") -> DataFrame:
+    """Name, price, old price, code and image of captured pages or cards, each by a chain of fallbacks.
+
+    The name comes from ``selectors``, else from the first heading or the title; a price from ``selectors``, else from the first text with a currency sign;
+    the code from ``selectors``, else from the URL, its first digits; the image from the first ``src`` or ``data-src``. What is missing is NULL (a name: empty).
+    """
     h = F.coalesce(F.col(html), F.lit(""))
-    first = lambda names: F.coalesce(*[clean_price(class_text(h, n)) for n in names])
+    first = lambda names, of: F.coalesce(*[of(class_text(h, n)) for n in names], F.lit(None))
     signed = F.regexp_extract(h, r">([^<]*₽)", 1)
     image = F.regexp_extract(h, r"(?is)<img[^>]*\b(?:data-)?src=[\"']([^\"']+)", 1)
+    digits = lambda c: F.nullif(first_digits(c), F.lit(""))
     return pages.select(
-        F.col("page_id"), F.col(url).alias("url"), squeeze(F.coalesce(class_text(h, "product-name"), tag_text(h, "h1"), tag_text(h, "title"), F.lit(""))).alias("name"),
-        F.coalesce(first(["product-price", "catalog-price", "price-main"]), clean_price(signed)).alias("price"), first(["price-prev", "old-price", "price-old"]).alias("old_price"),
-        first_digits(F.col(url)).alias("vendor_code"), image.alias("image_url"),
+        *[c for c in pages.columns if c not in (url, html)], F.col(url).alias("url"),
+        squeeze(F.coalesce(first(selectors.name, lambda c: c), tag_text(h, "h1"), tag_text(h, "title"), F.lit(""))).alias("name"),
+        F.coalesce(first(selectors.price, clean_price), clean_price(signed)).alias("price"), first(selectors.old_price, clean_price).cast("bigint").alias("old_price"),
+        F.coalesce(first(selectors.code, digits), first_digits(F.col(url))).alias("vendor_code"), F.nullif(image, F.lit("")).alias("image_url"),
     )
 
 

@@ -46,6 +46,12 @@ def stream_daily_last(stream: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
+def stream_new_anomalies(stream: DataFrame, within: str = "24 hours") -> DataFrame:
+    """Of anomalies (product_id, anomaly_type, detected_at, ...), those whose product and type had none ``within`` that time: the state is one entry for each such
+    pair, and goes when the watermark passes it."""
+    return stream.withWatermark("detected_at", within).dropDuplicatesWithinWatermark(["product_id", "anomaly_type"])
+
+
 def stream_alerts(stream: DataFrame, subscriptions: DataFrame, folder: str):
     """Alerts once a subscription: each batch joins its prices with the subscriptions that have not fired, and appends those that do."""
 
