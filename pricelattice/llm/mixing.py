@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -137,7 +138,7 @@ def memberships(docs: DataFrame, model: DomainModel, *, id_col: str = "doc_id",
 
 def fit_rates(
     members: DataFrame, model: DomainModel, weights: dict, *, least: float = 0.0, headroom: float | None = None, rounds: int = 200,
-    tolerance: float = 1e-6, gap: float = 1e-3,
+    tolerance: float = 1e-6, gap: float = 1e-3, strict: bool = True,
 ) -> Mixture:
     """Rates r >= ``least`` that minimise the squared distance of expected domain tokens from ``weights`` times a total.
 
@@ -146,7 +147,8 @@ def fit_rates(
     posteriors . residual, so a step is one vector of as many numbers as domains; each round is one distributed sum of
     that many numbers over ``members``. Steps have Barzilai-Borwein length. Every 8 rounds the rates are
     written out, which keeps expressions short. Rounds end when every domain is within ``tolerance`` of its target (both as parts of the
-    corpus' tokens); if after ``rounds`` one is further than ``gap`` from it, the target cannot be reached and ValueError says by how much.
+    corpus' tokens); if after ``rounds`` one is further than ``gap`` from it, the target is out of reach: ValueError says by how much, or, not
+    ``strict``, a warning does and the nearest rates found are the result.
     No documents or no tokens: every rate stays 1. Rows that repeat count each; NULL texts have no tokens.
     """
     d = len(model.domains)
@@ -190,7 +192,10 @@ def fit_rates(
     if written is not None:
         drop(written)
     if (far := float(np.abs(residual).max())) > gap:
-        raise ValueError(f"the target {mix.target.round(4).tolist()} is out of reach: {far:.4f} of all tokens off after {mix.rounds} rounds")
+        said = f"the target {mix.target.round(4).tolist()} is out of reach: {far:.4f} of all tokens off after {mix.rounds} rounds"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     return mix
 
 

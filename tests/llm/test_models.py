@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from pricelattice.llm import mixing, toxicity
 from pricelattice.llm.kd_search import KDTree, top_k
 from pricelattice.llm.queries import QUERIES
@@ -97,6 +96,92 @@ def test_grammar(text, want):
     assert outputs(text) == want
 
 
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def by_hand(text, model):
+    """The grammar's sums as four rewritings of each clause, one word after another."""
+    longest = sorted(model.openings, key=len, reverse=True)
+    sums = dict.fromkeys(toxicity.OUTPUT, 0.0)
+    n_words = 0
+    for clause in re.split(rb"[.!?;:|\n\r]", (text or "").encode()):
+        words = [w.decode() for w in WORD.findall(clause.lower())]
+        n_words += len(words)
+        marked = []
+        for w in words:
+            opening = next((o for o in longest if w.startswith(o) and len(w) > len(o)), None)
+            marked.append(model.lexicon.get(w) or (("S", model.openings[opening]) if opening else ("O", 1.0)))
+        symbols, weights = [x for x, _ in marked], [w for _, w in marked]
+        left = 0
+        for i, x in enumerate(symbols):  # negation
+            if x in "ITS" and left:
+                symbols[i] = "n"
+            left = 3 if x == "N" else max(0, left - 1)
+        told = False
+        for i, x in enumerate(symbols):  # reported speech
+            if told and x in "IST":
+                symbols[i] = "u" if x == "T" else "r"
+            told = told or x == "R"
+        left = 0
+        for i, x in enumerate(symbols):  # threats
+            if x == "T" and left:
+                symbols[i], left = "H", 0
+            else:
+                left = 3 if x == "M" else max(0, left - 1)
+        left = 0
+        for i, x in enumerate(symbols):  # targets
+            if x in "IH" and left:
+                symbols[i] = "J" if x == "I" else "H"
+                weights[i] *= 1.5 if x == "H" else 1.0
+                left = 4
+            else:
+                left = 4 if x == "Y" else max(0, left - 1)
+        for x, w in zip(symbols, weights):
+            if x in sums:
+                sums[x] += w
+    return [*sums.values(), n_words]
+
+
+def hand_score(text, model):
+    return float(model.score(np.array([by_hand(text, model)]))[0])
+
+
+def test_scores_equal_rewriting_by_hand(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    model.openings |= {"thi": 0.5, "éré": 0.3, "der": 0.7}  # frequent ones, as a small sample may teach none
+    rows = docs.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, model).collect()}
+    assert all(abs(got[r["doc_id"]] - hand_score(r["text"], model)) < 1e-9 for r in rows) and len({round(x, 6) for x in got.values()}) > 100
+    extra = ["you will not kill an idiot said they", "they said you idiot will kill you. Kill him, thing and derder!", "nobody, idiot idiot\nidiot you are idiot", "thi thi7 thinking you idiot|will will kill kill"]
+    assert [round(r["score"], 9) for r in toxicity.toxicity(spark.createDataFrame(list(enumerate(extra)), "doc_id int, text string").coalesce(1), model).collect()] == [round(hand_score(t, model), 9) for t in extra]
+
+
+def test_openings_are_learned_from_different_words_only(spark):
+    rng = np.random.default_rng(5)
+    filler = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(400):
+        w = rng.choice(filler, 12).tolist()
+        if i % 4 == 0:
+            w[int(rng.integers(12))] = f"grob{'abcdefghijk'[int(rng.integers(11))]}"
+        if i % 8 == 0:
+            w = [*texts[0][0].split()[:-1], f"w{i % 80}"] if texts and i % 16 == 0 else w  # near copies of one toxic text
+        texts.append((" ".join(w), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int"))
+    assert "grob" in model.openings and not any(w.startswith("w") for w in (*model.openings, *model.lexicon) if w[1:].isdigit())
+
+
+def test_toxicity_recall_in_every_language(spark):
+    data = "/root/testdata/sf0.1"
+    got = QUERIES["op3_toxicity"](spark, data).where("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id")
+    pdf = got.join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    found = pdf[pdf["toxic"] == 1].groupby("lang")["predicted"].mean()
+    assert pdf[pdf["toxic"] == 1]["predicted"].mean() >= 0.85 and found.min() > 0.4
+    assert (pdf[pdf["toxic"] == 0]["predicted"] == 0).mean() >= 0.98
+
+
 def test_toxicity_held_out_accuracy(spark):
     data = "/root/testdata/sf0.01"
     got = QUERIES["op3_toxicity"](spark, data)
@@ -179,27 +264,3 @@ def test_mixed_keeps_clashing_names_and_repeats(spark):
     out = mixing.mixed(docs, mixing.Mixture(model, 0.0, [np.array([-2.0])]))  # every rate is 3
     assert out.columns == docs.columns and out.count() == 24 and {r["_rate"] for r in out.collect()} == {1.5}
     assert mixing.mixed(docs, mixing.Mixture(model, 0.0, [np.array([1.0])])).isEmpty()
-
-
-def test_pipeline_stage_by_stage(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    names = docs.columns
-    steps = dict(corpus_pipeline.STAGES)
-    after = {}
-    for name, stage in corpus_pipeline.STAGES:
-        before = docs
-        docs = stage(spark, docs, DATA).cache()
-        after[name] = (before, docs)
-        if name != "token_ids":
-            assert docs.columns == names
-    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
-    before, kept = after["benchmark_decontamination"]
-    bad = ids(QUERIES["op9_benchmark_decontamination"](spark, DATA).where("contaminated"))
-    assert ids(kept) == ids(before) - bad
-    before, kept = after["minhash_near_dedup"]
-    near = QUERIES["op5_minhash_near_dedup"](spark, DATA)
-    assert kept.count() == len(ids(kept)) and ids(kept) <= ids(before) and ids(near.where("kept")) & ids(before) <= ids(kept) | bad
-    before, kept = after["mixing_sources"]
-    assert ids(before) == ids(kept) and kept.count() >= before.count()
-    assert after["token_ids"][1].count() == kept.count()
-    assert set(steps) == {"toxicity", "minhash_near_dedup", "benchmark_decontamination", "mixing_sources", "token_ids"}
