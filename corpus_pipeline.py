@@ -30,7 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each component the row with the smallest id stays, once; rows are told apart by id and text."""
+    """Operator 5: of each component the row with the smallest id stays, once; rows are told apart by id and text. Links are at similarity 0.85, as in
+    the operator's query."""
     return without_near_duplicates(docs)
 
 
@@ -40,10 +41,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents are repeated by their rates, 1 at least, towards the target weights; none is dropped."""
+    """Operator 7: documents are repeated by their rates, 1 at least, towards the target weights; none is dropped. Where the target is out
+    of reach (a corpus without tokens of a domain), the nearest mixture is used and a warning says so."""
     model = fit_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), label_col="quality")
     members = stored(memberships(docs, model), "members")
-    return mixed(docs, fit_rates(members, model, QUALITY_WEIGHTS, least=1.0, headroom=1.1))
+    return mixed(docs, fit_rates(members, model, QUALITY_WEIGHTS, least=1.0, headroom=1.1, strict=False))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
