@@ -111,3 +111,28 @@ def test_cards_of_captured_html(spark):
     cards = split_cards(spark.createDataFrame([(1, "u/55", page), (2, "u/6", None)], "page_id long, url string, html string"), "card")
     got = [tuple(r) for r in extract_products(cards, Selectors(name=("t",), price=("p",))).orderBy("card_no").select("name", "price", "old_price", "vendor_code", "image_url").collect()]
     assert got == [("One", 1200, None, "55", "/1.png"), ("Two", 7, None, "55", None)]
+
+
+def test_reports_by_name(spark, tmp_path):
+    from pricelattice.operators import detect
+    from pricelattice.plans.commands import Reports
+    from pricelattice.sources import views
+
+    t = views.events_view(spark, "/root/testdata/sf0.001")
+    r = Reports(t, detect.full_detection(t.history, t.now).withColumn("detected_at", F.col("ts")))
+    lines = [x["value"] for x in r.anomalies(days=30, severity="high", out=str(tmp_path / "a")).collect()]
+    assert "\n".join(lines) + "\n" == "".join(p.read_text() for p in sorted((tmp_path / "a").glob("part-*")))
+    assert "product_id" in json.loads(r.anomalies(days=30, json=True).first()["value"])
+    some = t.product.join(t.history, "product_id").first()["category"]
+    assert {x["category"] for x in r.deals(category=some).collect()} == {some} and r.index().count() >= 1 and r.metrics().count() == 1
+    assert r.forecast(limit=3, horizon=2).groupBy("product_id").count().where("count = 2").count() <= 3
+    assert r.sensitivity(limit=4).count() <= 4 and r.heatmap(most=2).select("product_id").distinct().count() <= 2
+    assert r.compare([1, 1], r.forecast(product_id=1)).count() == 2 and r.backfill(3).count() == 3
+    r.save_snapshot(str(tmp_path / "s"), "index")
+    r.save_snapshot(str(tmp_path / "s"), "deals")
+    assert r.list_snapshots(str(tmp_path / "s")).count() == 2 and r.list_snapshots(str(tmp_path / "s"), "full_dashboard").isEmpty()
+    counts = r.sync(horizon=2)
+    assert counts["errors"] == 0 and counts["forecasts_created"] > 0
+    for wrong in (lambda: r.anomalies(severity="loud"), lambda: r.sensitivity(currency="GBP"), lambda: r.save_snapshot("x", "none")):
+        with pytest.raises(ValueError):
+            wrong()
