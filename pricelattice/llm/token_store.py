@@ -58,7 +58,7 @@ class WordEncoder:
     is encoded by itself. ``most`` bounds the parts remembered between batches.
     """
 
-    def __init__(self, path: str, most: int = 600_000, joined: int = 64) -> None:
+    def __init__(self, path: str, most: int = 250_000, joined: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

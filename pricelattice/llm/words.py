@@ -20,6 +20,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: Bytes of a word from which on it is hashed by itself.
 LONG = 64
+#: Words that are looked at together.
+_BLOCK = 1 << 16
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +107,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     Words beyond ``LONG`` bytes are hashed by keyed BLAKE2b.
     """
     low = lowered(data)
-    eights = _eights(low)
     keys = np.random.default_rng([seed, 64]).integers(0, 1 << 64, 3, dtype=np.uint64)
+    out = np.empty(len(starts), dtype=np.uint64)
+    for lo in range(0, len(starts), _BLOCK):
+        out[lo : lo + _BLOCK] = _folded(low, starts[lo : lo + _BLOCK], ends[lo : lo + _BLOCK], keys)
+    return out
+
+
+def _folded(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    eights = _eights(low)
     n = (ends - starts).astype(np.int64)
     size = n.astype(np.uint64)
     start = np.where(n < 8, keys[0] ^ (size << np.uint64(56)), keys[1] + size * _ODD)
@@ -129,6 +138,14 @@ def same_words(
 ) -> np.ndarray:
     """Which words of ``data`` are, byte for byte with A-Z lower-cased, those of ``other`` in the same order."""
     a, b = lowered(data), lowered(other)
+    out = np.empty(len(starts), dtype=bool)
+    for lo in range(0, len(starts), _BLOCK):
+        part = slice(lo, lo + _BLOCK)
+        out[part] = _same(a, starts[part], ends[part], b, other_starts[part], other_ends[part])
+    return out
+
+
+def _same(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, b: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
     a8, b8 = _eights(a), _eights(b)
     n = ends - starts
     same = n == other_ends - other_starts
