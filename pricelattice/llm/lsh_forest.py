@@ -29,7 +29,7 @@ BUFFER = 20_000
 #: Trees whose candidate links are confirmed one by one; all trees say which rows may belong together.
 LINK_TREES = 3
 #: Shingles in a block of a candidate class.
-BLOCK_SHINGLES = 100_000
+BLOCK_SHINGLES = 20_000
 
 
 def least_agreeing(percent: int) -> int:
