@@ -72,6 +72,8 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, p), F.flatten(F.transform(walked, lambda w: w["spans"]))).otherwise(none)
 
 
+#: Parts that the paths of one blob are dealt to.
+_SALTS = 16
 #: Matches that are walked together.
 _RUN = 256
 
@@ -142,7 +144,11 @@ def scan_versions(
     drop(now)
     live = _table(spark, f"{ledger}/findings", _FOUND).where(F.size("spans") > 0).join(F.broadcast(wanted), ["kind", "version"])
     spark.catalog.refreshByPath(held)
-    return _table(spark, held, _PATHS).join(live.dropDuplicates(["blob", "kind", "version"]), "blob").select("path", "blob", "kind", "version", "spans")
+    # A blob may have a third of all paths: paths meet findings under salts, which only blobs with findings are repeated for.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    found = live.dropDuplicates(["blob", "kind", "version"]).select("blob", "kind", "version", "spans", salts)
+    paths = _table(spark, held, _PATHS).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
+    return paths.join(found, ["blob", "salt"]).select("path", "blob", "kind", "version", "spans")
 
 
 def span_digest(
