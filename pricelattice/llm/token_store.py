@@ -58,7 +58,7 @@ class WordEncoder:
     is encoded by itself. ``most`` bounds the parts remembered between batches.
     """
 
-    def __init__(self, path: str, most: int = 250_000, joined: int = 64) -> None:
+    def __init__(self, path: str, most: int = 500_000, joined: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,17 +80,13 @@ class WordEncoder:
             self._clear()
         data, at = text_bytes(column)
         starts, ends, first = _parts(data, at)
-        hashes = word_hashes(data, starts, ends)
-        k = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), dtype=bool)
-        inside = np.flatnonzero(k < len(self.known))
-        new[inside] = self.known[k[inside]] != hashes[inside]
-        if new.any():
-            spots = np.flatnonzero(new)
-            fresh, once = np.unique(hashes[spots], return_index=True)
-            self._learn(fresh, self._words(data, starts[spots[once]], ends[spots[once]]))
+        hashes, once, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        k = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[k] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(new):
+            self._learn(hashes[new], self._words(data, starts[once[new]], ends[once[new]]))
             k = np.searchsorted(self.known, hashes)
-        which = self.place[k] if len(k) else k
+        which = self.place[k][back]
         flat, sizes = self.flat, self.sizes
         sure = same_words(data, starts, ends, self.bytes, np.concatenate(([0], self.stops))[which], self.stops[which])
         if not sure.all():
@@ -136,10 +132,10 @@ class WordEncoder:
         last = self.stops[-1] if len(self.stops) else 0
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(learned), np.uint8)])
         self.stops = np.concatenate([self.stops, last + np.cumsum(np.fromiter(map(len, learned), np.int64, len(learned)))])
-        known = np.concatenate([self.known, hashes[order]])
-        place = np.concatenate([self.place, np.arange(at, at + len(order))])
-        by = np.argsort(known)
-        self.known, self.place = known[by], place[by]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(at, at + len(order))
+        spots = np.searchsorted(self.known, hashes)  # both are in order
+        self.known, self.place = np.insert(self.known, spots, hashes), np.insert(self.place, spots, place)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
