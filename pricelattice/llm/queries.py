@@ -10,6 +10,9 @@ from .chat_format import chat_digests, format_chats
 from .kd_search import top_k
 from .lsh_forest import near_duplicates
 from .mixing import fit_domains, fit_rates, memberships, mixed_rates
+from .phrases import collocations
+from .resample import resample
+from .rules import quality, train_rules
 from .scratch import shared_folder, stored
 from .shards import shuffled_shards
 from .suffix_search import benchmark_matches, match_digests
@@ -100,6 +103,22 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"), rules)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_rules(docs, _read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    return quality(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_chat_formatting": op2_chat_formatting,
@@ -111,6 +130,9 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _OP1 = """
@@ -226,6 +248,57 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGIN
 FROM low LEFT JOIN n ON low.row = n.row LEFT JOIN t ON low.row = t.row
 """
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# All phrases counted; products in 128 bits.
+_OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')) AS x FROM documents),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY lang, size, phrase),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE size > 1 AND n >= 10),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.size, k.a, k.k, l.n AS l, r.n AS r, CAST(1000000 AS HUGEINT) * k.a * k.a // (CAST(l.n AS HUGEINT) * r.n) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ')
+  JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:k.size], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (
+  SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY lang, phrase),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score FROM o JOIN t ON o.lang = t.lang WHERE rank <= 2000
+"""
+
+# CRC-32 four bits at a time: the remainders of 0 to 15 are fixed values of the polynomial.
+_NIBBLES = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+m AS (SELECT regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+z AS (SELECT unnest([1, 2, 3]) AS size),
+f AS (SELECT row, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS x FROM d, z WHERE len(w) >= size),
+g AS (SELECT unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS x FROM m, z WHERE len(w) >= size),
+h AS (SELECT x, hex(encode(x)) AS b FROM (SELECT x FROM f UNION SELECT x FROM g)),
+v AS (SELECT x, list_transform(range(0, len(b)), lambda i: strpos('0123456789ABCDEF', b[i + (CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END):i + (CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END)]) - 1) AS q FROM h),
+k AS (SELECT x, xor(list_reduce(list_prepend(4294967295, q), lambda c, e: xor(c >> 4, ({_NIBBLES})[(xor(c, e) & 15) + 1])), 4294967295) % 10000 AS bucket FROM v),
+dc AS (SELECT row, bucket, count(*) AS c FROM f JOIN k USING (x) GROUP BY row, bucket),
+s AS (SELECT bucket, sum(c) AS s FROM dc GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN k USING (x) GROUP BY bucket),
+a AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS s, coalesce((SELECT sum(t) FROM t), 0) AS t),
+n AS (SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.t, 0) + 1 AS DOUBLE) * CAST(a.s + 10000 AS DOUBLE) / (CAST(s.s + 1 AS DOUBLE) * CAST(a.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t ON s.bucket = t.bucket, a),
+w AS (SELECT row, sum(c * gain) AS weight FROM dc JOIN n USING (bucket) GROUP BY row),
+y AS (SELECT d.row, doc_id, len(w) AS words, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+  list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: CAST(strpos('0123456789abcdef', sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[i:i]) - 1 AS BIGINT))), lambda c, e: c * 16 + e) AS h
+  FROM d LEFT JOIN w ON d.row = w.row),
+u AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM y),
+o AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id, row) END AS place, count(*) FILTER (words >= 20) OVER () AS able FROM u)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CAST(CASE WHEN place <= 5 * able // 100 THEN place END AS BIGINT) AS rank FROM o
+"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": _OP1,
     "op2_chat_formatting": _OP2,
@@ -233,4 +306,6 @@ ORACLES: dict[str, str] = {
     "op6_secret_scans": _OP6,
     "op9_benchmark_decontamination": _OP9,
     "op10_url_filters": _OP10,
+    "op11_phrase_collocations": _OP11,
+    "op13_importance_resampling": _OP13,
 }
