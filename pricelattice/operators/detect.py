@@ -6,9 +6,11 @@ higher-order functions work without Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 from math import pi
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,5 +157,43 @@ def new_anomalies(found: DataFrame, known: DataFrame, hours: int = 24) -> DataFr
     return f.join(k, same & (F.col("k.known_at") >= F.col("f.detected_at") - F.expr(f"INTERVAL {hours} HOURS")), "left_anti")
 
 
+def first_of_runs(rows: list[tuple[int, bool]], open_at: int | None, span: int) -> tuple[list[int], int | None]:
+    """Of rows (time, resolved) in order, the times of anomalies that none within ``span`` before them, kept and unresolved, stands for; and the last such one
+    that is still open. ``open_at`` is the one left by the rows before."""
+    kept = []
+    for t, resolved in rows:
+        if resolved:
+            open_at = None
+        elif open_at is None or t - open_at > span:
+            kept.append(t)
+            open_at = t
+    return kept, open_at
+
+
+def anomalies_once(events: DataFrame, hours: int = 24) -> DataFrame:
+    """Anomalies (product_id, anomaly_type, detected_at, resolved) in order of time: one is kept unless its product and type have a kept and unresolved one in the
+    ``hours`` before, the end included. A row with ``resolved`` resolves those; at one time anomalies come first.
+
+    Rows are walked in order, one key's in one task; a key's open anomaly is all that is held.
+    """
+    span = hours * 3_600_000_000
+    cols = ["product_id", "anomaly_type", "at", "resolved"]
+    rows = events.select("product_id", "anomaly_type", F.unix_micros(F.col("detected_at").cast("timestamp")).alias("at"), F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, open_at = None, None
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby(["product_id", "anomaly_type"], sort=False, dropna=False):
+                same = before is not None and key == before
+                kept, open_at = first_of_runs(list(zip(part["at"].tolist(), part["resolved"].tolist())), open_at if same else None, span)
+                before = key
+                out += [(*key, t) for t in kept]
+            yield pd.DataFrame(out, columns=["product_id", "anomaly_type", "at"])
+
+    kept = rows.repartition("product_id", "anomaly_type").sortWithinPartitions(*cols).mapInPandas(walk, "product_id long, anomaly_type string, at long")
+    return kept.select("product_id", "anomaly_type", F.timestamp_micros("at").alias("detected_at"))
+
+
 def window_start(now: datetime, days: int) -> Column:
     return F.lit(now - timedelta(days=days)).cast("timestamp_ntz")

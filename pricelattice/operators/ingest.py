@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.series import current_rows, latest
 from ..functions.text import product_slug
+from ..session import shared_folder
 
 
 def change_log(arrivals: DataFrame) -> DataFrame:
@@ -21,14 +22,31 @@ def change_log(arrivals: DataFrame) -> DataFrame:
     return kept.withColumn("is_actual", F.row_number().over(back) == 1).withColumn("old_price", F.when(F.col("before") != 0, F.col("before"))).drop("before")
 
 
+def new_changes(log: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The rows that arrivals (product_id, price, arrival, ts) add to a log: only products that arrive are read of it.
+
+    Where the log keeps its rows' ``arrival``, arrivals up to a product's last logged one are known and add nothing: delivering them again is harmless.
+    """
+    kept = "arrival" in log.columns
+    at = F.col("arrival") if kept else F.lit(None).cast("long")
+    current = log.where("is_actual").select("product_id", F.col("price").alias("_price"), at.alias("_at"), F.lit(True).alias("_known"))
+    ids = arrivals.select("product_id").distinct()
+    known = current.join(ids, "product_id", "left_semi")
+    fresh = arrivals.select("product_id", "price", "arrival", "ts")
+    if kept:
+        fresh = fresh.join(known.select("product_id", "_at"), "product_id", "left").where("_at is null or arrival > _at").drop("_at")
+    # A product's current row goes before all of its arrivals.
+    first = known.select("product_id", F.col("_price").alias("price"), F.lit(None).cast("long").alias("arrival"), F.lit(None).cast(log.schema["ts"].dataType).alias("ts"))
+    return change_log(first.unionByName(fresh)).where("arrival is not null")
+
+
 def append_changes(log: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """An existing log with new arrivals: only products that arrive are read again."""
-    current = log.where("is_actual").select("product_id", "price", F.lit(-1).cast("long").alias("arrival"), "ts")
-    touched = current.join(arrivals.select("product_id").distinct(), "product_id", "left_semi")
-    new = change_log(touched.unionByName(arrivals.select("product_id", "price", "arrival", "ts"))).where("arrival >= 0")
+    """An existing log with :func:`new_changes`; the rows that were actual before them no longer are."""
+    cols = [c for c in ("product_id", "price", "ts", "arrival", "is_actual", "old_price") if c != "arrival" or c in log.columns]
+    new = new_changes(log, arrivals)
     ids = new.select("product_id").distinct().withColumn("_new", F.lit(True))
     old = log.join(ids, "product_id", "left").withColumn("is_actual", F.col("is_actual") & F.col("_new").isNull()).drop("_new")
-    return old.select("product_id", "price", "ts", "is_actual", "old_price").unionByName(new.select("product_id", "price", "ts", "is_actual", "old_price"))
+    return old.select(*cols).unionByName(new.select(*cols))
 
 
 def filled(new: str, old: str) -> Column:
@@ -41,25 +59,45 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def upsert_products(old: DataFrame, parsed: DataFrame) -> DataFrame:
-    """By url. A known product takes the new name and time, and code and image where they are not empty; its category stays. A new one gets all, and a slug
-    that repeats take a number after it. The last of several rows for one url in ``parsed`` (by ``arrival``) names it."""
+def allocate_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """A free slug for each row of ``wanted`` (key, slug, arrival), as if they came one by one: where a slug is taken, a number goes after it, ``-d1``, and
+    where that is taken as well, the next after that.
+
+    All rows ask at once and the earliest gets a slug; the others ask on with their next one, and may push out a later row. As one order decides everywhere, that ends
+    in what one by one would give. Only rows that have lost take another round, each written to the shared folder.
+    """
+    spark = wanted.sparkSession
+    asks = wanted.select("key", "arrival", "slug", F.lit(0).alias("n"))
+    owned = taken.select("slug").where("slug is not null").distinct().withColumn("_owned", F.lit(True))
+    while True:
+        first = Window.partitionBy("slug").orderBy("arrival", "key")
+        asked = asks.join(owned, "slug", "left").withColumn("lost", F.col("_owned").isNotNull() | (F.row_number().over(first) > 1)).drop("_owned")
+        path = shared_folder(spark, "slugs")
+        asked.write.parquet(path)
+        asked = spark.read.parquet(path)
+        if asked.where("lost").isEmpty():
+            return asked.select("key", "slug")
+        longer = F.substring(F.concat(F.substring("slug", 1, 480), F.lit("-d"), (F.col("n") + 1).cast("string")), 1, 512)
+        asks = asked.select("key", "arrival", F.when(F.col("lost"), longer).otherwise(F.col("slug")).alias("slug"), (F.col("n") + F.col("lost").cast("int")).alias("n"))
+
+
+def upsert_products(old: DataFrame, parsed: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """By url. A known product takes the new name and time, and code and image where they are not empty; its category stays. A new one gets all, and a slug that
+    no other has (``taken``: slugs of products besides ``old``). The last of several rows for one url in ``parsed`` (by ``arrival``) names it."""
     w = Window.partitionBy("url").orderBy(F.desc("arrival"))
     last = parsed.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(
-        "url", F.col("name").alias("n_name"), F.col("category").alias("n_category"), F.col("vendor_code").alias("n_code"), F.col("image_url").alias("n_image"), F.col("parsed_at").alias("n_at")
+        "url", F.col("name").alias("n_name"), F.col("category").alias("n_category"), F.col("vendor_code").alias("n_code"), F.col("image_url").alias("n_image"), F.col("parsed_at").alias("n_at"),
+        F.col("arrival").alias("n_arrival"),
     )
-    both = old.join(last, "url", "full")
+    fresh = last.join(old.select("url"), "url", "left_anti").select(F.col("url").alias("key"), product_slug(F.col("n_name"), F.col("n_code"), F.col("url")).alias("slug"), F.col("n_arrival").alias("arrival"))
+    slugs = allocate_slugs(fresh, old.select("slug") if taken is None else taken)
+    both = old.join(last.join(slugs.select(F.col("key").alias("url"), F.col("slug").alias("n_slug")), "url", "left"), "url", "full")
     known = F.col("slug").isNotNull()
-    fresh = product_slug(F.col("n_name"), F.col("n_code"), F.col("url"))
-    out = both.select(
+    return both.select(
         "url", F.coalesce("n_name", "name").alias("name"), F.when(known, F.col("category")).otherwise(F.col("n_category")).alias("category"),
         filled("n_code", "vendor_code").alias("vendor_code"), filled("n_image", "image_url").alias("image_url"),
-        F.coalesce("n_at", "last_parsed_at").alias("last_parsed_at"), F.coalesce("slug", fresh).alias("slug"), (~known).alias("created"),
+        F.coalesce("n_at", "last_parsed_at").alias("last_parsed_at"), F.coalesce("slug", "n_slug").alias("slug"), (~known).alias("created"),
     )
-    again = F.row_number().over(Window.partitionBy("slug").orderBy("created", "url")) - 1
-    return out.withColumn("again", again).withColumn(
-        "slug", F.when(F.col("again") > 0, F.concat(F.substring("slug", 1, 480), F.lit("-d"), F.col("again").cast("string"))).otherwise(F.col("slug"))
-    ).drop("again")
 
 
 def seed_categories(old: DataFrame, rows: DataFrame, update: bool = False) -> DataFrame:

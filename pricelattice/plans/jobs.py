@@ -22,7 +22,7 @@ class IngestResult:
 
 def changed_products(arrivals: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Products whose price the arrivals change, each once."""
-    log = ingest.change_log(arrivals) if before is None else ingest.append_changes(before, arrivals).join(arrivals.select("product_id", "ts"), ["product_id", "ts"], "left_semi")
+    log = ingest.change_log(arrivals) if before is None else ingest.new_changes(before, arrivals)
     return log.select("product_id").distinct()
 
 

@@ -298,12 +298,34 @@ UNION ALL SELECT 'currency_rates_latest', count(*), arg_min(currency, (-epoch(da
 WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= now - INTERVAL 1 DAY GROUP BY user_id, CAST(ts AS DATE)""",
 }
 
+# A key's rows in order, folded: the last kept and open one, and all kept.
+_ONCE = """e AS (SELECT user_id AS product_id, ['spike', 'manipulation', 'cyclic'][event_id % 3 + 1] AS anomaly_type, epoch_us(ts) AS us, event_type = 'signup' AS resolved FROM events),
+f AS (SELECT product_id, anomaly_type, list_reduce(list_prepend({'open': NULL::BIGINT, 'kept': []::BIGINT[]},
+    list({'open': CASE WHEN resolved THEN -us ELSE us END, 'kept': []::BIGINT[]} ORDER BY us, resolved)),
+    lambda a, x: CASE WHEN x.open < 0 THEN {'open': NULL::BIGINT, 'kept': a.kept}
+      WHEN a.open IS NULL OR x.open - a.open > 86400000000 THEN {'open': x.open, 'kept': list_append(a.kept, x.open)} ELSE a END).kept AS kept
+  FROM e GROUP BY product_id, anomaly_type),
+k AS (SELECT product_id, anomaly_type, make_timestamp(unnest(kept)) AS detected_at FROM f)"""
+ORACLES["anomalies_once"] = f"WITH {_ONCE} SELECT * FROM k"
+ORACLES["stream_anomalies_once"] = f"WITH {_ONCE} SELECT k.* FROM k, (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS passed FROM events) WHERE detected_at <= passed"
+
+_ALERTED = """subs AS (SELECT c_custkey AS user_id, unnest([c_custkey, c_custkey + 1]) AS product_id, CAST(abs(c_acctbal) / 100 AS DECIMAL(12,2)) AS target_price, c_custkey % 5 <> 0 AS is_active FROM customer),
+b AS (SELECT user_id AS product_id, event_id % 3 AS batch, arg_max(CAST(value AS DECIMAL(12,2)), event_id) AS current_price FROM events GROUP BY user_id, event_id % 3),
+h AS (SELECT s.user_id, s.product_id, current_price, target_price, batch FROM subs s JOIN b ON b.product_id = s.product_id WHERE is_active AND current_price <= target_price),
+fired AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY user_id, product_id ORDER BY batch) = 1)"""
+ORACLES["stream_alerts"] = f"WITH {_ALERTED} SELECT user_id, product_id, current_price, target_price, CAST(batch AS BIGINT) AS batch FROM fired"
+ORACLES["stream_alerts_state"] = f"""WITH {_ALERTED} SELECT s.user_id, s.product_id, is_active AND f.user_id IS NULL AS is_active FROM subs s
+LEFT JOIN fired f ON f.user_id = s.user_id AND f.product_id = s.product_id"""
+
+# Merges end in what rewriting the whole table gives.
+ORACLES |= {"product_merge": ORACLES["product_upsert"], "price_log_merge": ORACLES["product_change_log"], "rates_merge": ORACLES["fx_upsert"]}
+
 #: Decimal columns, which leave as doubles.
 _DECIMALS = {
     "latest_price": "price", "price_history": "price delta", "best_deals": "current_price min_price", "best_deals_lineitem": "current_price min_price",
     "compare_products": "current_price min_price max_price forecast_price", "alerts": "current_price target_price", "fx_upsert": "rate",
     "forecast_upsert": "predicted_price", "subscription_create": "target_price", "fx_rates_xml": "rate", "api_products": "current_price",
-    "api_price_history": "price", "api_subscriptions": "target_price", "latest_rates": "rate",
+    "api_price_history": "price", "api_subscriptions": "target_price", "latest_rates": "rate", "rates_merge": "rate", "stream_alerts": "current_price target_price",
 }
 for _name, _columns in _DECIMALS.items():
     _casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _columns.split())

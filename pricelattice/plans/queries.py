@@ -12,7 +12,7 @@ from ..functions import labels, text
 from ..functions.formats import fixed, padded, percent, signed
 from ..operators import api, detect, features, forecast, ingest, reports, sensitivity
 from ..session import shared_folder
-from ..sources import files, views
+from ..sources import files, merge, views
 from ..streaming import streams
 from . import jobs, snapshot
 
@@ -267,8 +267,8 @@ def alerts_state(spark, d):
     return ingest.after_alerts(subs, ingest.check_alerts(t.history, subs, t.product)).groupBy("is_active").agg(F.count("*").alias("n"), F.sum("target_price").cast("double").alias("targets"))
 
 
-@query
-def product_upsert(spark, d):
+def _products(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Known products and parsed ones, with some of both."""
     part = views.read(spark, d, "part")
     url = F.concat(F.lit("https://shop.example.com/"), F.col("p_partkey").cast("string"))
     old = part.where("p_partkey % 3 <> 0").select(
@@ -279,7 +279,47 @@ def product_upsert(spark, d):
         url.alias("url"), F.upper("p_name").alias("name"), F.lit("new").alias("category"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise("").alias("vendor_code"),
         F.lit("").alias("image_url"), F.lit(date(2024, 2, 1)).alias("parsed_at"), F.col("p_partkey").alias("arrival"),
     )
-    return ingest.upsert_products(old, new)
+    return old, new
+
+
+@query
+def product_upsert(spark, d):
+    return ingest.upsert_products(*_products(spark, d))
+
+
+@query
+def product_merge(spark, d):
+    """The same into a table of buckets."""
+    old, new = _products(spark, d)
+    table = merge.MergeTable(spark, shared_folder(spark, "products"), ("url",), 8)
+    table.create(old)
+    known = old.select("url", F.lit(False).alias("created"))
+    merge.merge_products(table, new)
+    return table.read().join(known, "url", "left").withColumn("created", F.coalesce("created", F.lit(True)))
+
+
+@query
+def price_log_merge(spark, d):
+    """The change log of all events, merged into a table of buckets in three deliveries that overlap."""
+    arrivals = views.read(spark, d, "events").select(
+        F.col("user_id").alias("product_id"), (F.floor(F.col("value") / 10) * 10).cast("long").alias("price"), F.col("ts"), F.col("event_id").alias("arrival")
+    )
+    third = F.lit(views.newest(arrivals, "arrival") // 3)
+    table = merge.price_log(spark, shared_folder(spark, "log"), 8)
+    table.create(ingest.change_log(arrivals.where(F.col("arrival") <= third)).select("product_id", "price", "ts", "arrival", "is_actual", "old_price"))
+    merge.append_prices(table, arrivals.where((F.col("arrival") > third / 2) & (F.col("arrival") <= 2 * third)))
+    merge.append_prices(table, arrivals.where(F.col("arrival") > third))
+    return table.read().select("product_id", "price", "arrival", "is_actual", F.col("old_price").cast("double").alias("old_price"))
+
+
+@query
+def rates_merge(spark, d):
+    """Rates of the second half of a month merged into those of the first 20 days."""
+    rates = views.events_rates(spark, d)
+    table = merge.MergeTable(spark, shared_folder(spark, "rates"), ("currency", "date"), 8)
+    table.create(rates.where(F.dayofmonth("date") <= 20))
+    table.upsert(rates.where(F.dayofmonth("date") >= 15).withColumn("rate", (F.col("rate") + 1).cast("decimal(10,4)")))
+    return table.read()
 
 
 def _seeds(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -512,3 +552,44 @@ def stream_change_log(spark, d):
 def stream_daily_last(spark, d):
     """All days that the watermark, one day behind the newest row, has passed at the end."""
     return streams.drained(streams.stream_daily_last(streams.events_stream(spark, f"{d}/events.parquet")), shared_folder(spark, "stream"))
+
+
+def _as_anomalies(df: DataFrame) -> DataFrame:
+    """Every event as an anomaly of one of three types, sign-ups as resolutions."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("spike", "manipulation", "cyclic")]), (F.col("event_id") % 3 + 1).cast("int"))
+    return df.select(F.col("user_id").alias("product_id"), kind.alias("anomaly_type"), F.col("ts").cast("timestamp").alias("detected_at"), (F.col("event_type") == "signup").alias("resolved"))
+
+
+@query
+def anomalies_once(spark, d):
+    return detect.anomalies_once(_as_anomalies(views.read(spark, d, "events")))
+
+
+@query
+def stream_anomalies_once(spark, d):
+    """The same as a stream, as far as the watermark has come at the end: an hour behind the newest row."""
+    rows = _as_anomalies(streams.table_stream(spark, f"{d}/events.parquet"))
+    return streams.drained(streams.stream_anomalies_once(rows), shared_folder(spark, "stream"))
+
+
+def _alert_stream(spark, d) -> tuple[DataFrame, str]:
+    """Alerts over the events in three batches, each with a third of them, the last one run twice. Who bought an even product watches it at half the retail price."""
+    subs = views.event_subscriptions(spark, d)
+    folder = shared_folder(spark, "alerts")
+    batch = streams.alert_batch(subs, folder)
+    events = views.read(spark, d, "events").select(F.col("user_id").alias("product_id"), F.col("value").cast("decimal(12,2)").alias("price"), F.col("event_id").alias("arrival"))
+    for number in (0, 1, 2, 2):
+        batch(events.where(F.col("arrival") % 3 == number), number)
+    return subs, folder
+
+
+@query
+def stream_alerts(spark, d):
+    _, folder = _alert_stream(spark, d)
+    return streams.read_alerts(spark, folder)
+
+
+@query
+def stream_alerts_state(spark, d):
+    subs, folder = _alert_stream(spark, d)
+    return streams.open_subscriptions(subs, folder).select("user_id", "product_id", "is_active")

@@ -87,3 +87,11 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_retailprice") * 25).cast("decimal(12,2)").alias("target_price"))
     return pairs.join(part, "product_id").select("user_id", "product_id", "target_price", F.lit(True).alias("is_active"))
+
+
+def event_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who watches which product of the events' view: everyone the one with their own number and the one after it, at a price from their balance."""
+    c = read(spark, sf_dir, "customer")
+    target = (F.abs("c_acctbal") / 100).cast("decimal(12,2)").alias("target_price")
+    watched = c.select(F.col("c_custkey").alias("user_id"), F.explode(F.array("c_custkey", F.col("c_custkey") + 1)).alias("product_id"), target)
+    return watched.withColumn("is_active", F.col("user_id") % 5 != 0)

@@ -95,11 +95,3 @@ def test_change_log_stream_keeps_state_between_batches(spark, tmp_path):
     assert [(r["price"], r["arrival"]) for r in got] == [(10, 0), (30, 3)]
 
 
-def test_alert_stream_fires_once(spark, tmp_path):
-    src = tmp_path / "in"
-    schema = "product_id long, price long, arrival long"
-    subs = spark.createDataFrame([(5, 1, 20, True)], "user_id long, product_id long, target_price long, is_active boolean")
-    for k in range(2):
-        spark.createDataFrame([(1, 10 + k, k)], schema).coalesce(1).write.mode("append").parquet(str(src))
-        streams.stream_alerts(spark.readStream.schema(schema).parquet(str(src)), subs, str(tmp_path / "s")).start().awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "s/fired")).count() == 1
