@@ -18,8 +18,8 @@ def paged(df: DataFrame, page: int = 1, size: int = PAGE) -> DataFrame:
 
 
 def list_products(history: DataFrame, product: DataFrame, search: str = "", category: str | None = None, order: str = "name", page: int = 1) -> DataFrame:
-    """Products that match every search term by name or code, with their current price (NULL without one)."""
-    rows = product.where(matches_search(search, F.col("name"), F.col("vendor_code")))
+    """Active products that match every search term by name or code, with their current price (NULL without one)."""
+    rows = product.where("is_active").where(matches_search(search, F.col("name"), F.col("vendor_code")))
     rows = rows.where(F.col("category") == category) if category else rows
     # As the reference's database has it, NULLs come last, and first where the order is reversed: products that were never parsed.
     by = F.col(order[1:]).desc_nulls_first() if order.startswith("-") else F.col(order).asc_nulls_last()
@@ -29,18 +29,29 @@ def list_products(history: DataFrame, product: DataFrame, search: str = "", cate
     return one.join(latest(near).select("product_id", F.col("price").alias("current_price")), "product_id", "left")
 
 
-def product_prices(history: DataFrame, product_id: int, most: int = 100) -> DataFrame:
-    """A product's newest rows, 100 as the reference's endpoint has it; one product's rows alone are sorted."""
-    rows = history.where(F.col("product_id") == product_id)
+def product_detail(history: DataFrame, product: DataFrame, product_id: int) -> DataFrame:
+    """One active product, all its columns, with its current price (NULL without one). No row where there is none."""
+    one = product.where("is_active").where(F.col("product_id") == product_id)
+    near = current_rows(history.where(F.col("product_id") == product_id))
+    return one.join(latest(near).select("product_id", F.col("price").alias("current_price")), "product_id", "left")
+
+
+def product_prices(history: DataFrame, product: DataFrame, product_id: int, most: int = 100) -> DataFrame:
+    """An active product's newest rows, 100 as the reference's endpoint has it; one product's rows alone are sorted."""
+    rows = history.where(F.col("product_id") == product_id).join(product.where("is_active").where(F.col("product_id") == product_id).select("product_id"), "product_id", "left_semi")
     rows = rows if "is_actual" in history.columns else mark_actual(rows)
     return rows.orderBy(F.desc("ts"), F.desc("tie")).limit(most).select("product_id", "price", "ts", "is_actual")
 
 
-def list_anomalies(anomalies: DataFrame, severity: str | None = None, kind: str | None = None, resolved: bool | None = None, product_id: int | None = None, page: int = 1) -> DataFrame:
+def list_anomalies(anomalies: DataFrame, severity: str | None = None, kind: str | None = None, resolved: bool | None = None, product_id: int | None = None, page: int = 1, order: str = "-detected_at") -> DataFrame:
+    """Anomalies that fit all filters, the last detected first; ``order`` is ``detected_at`` or ``severity``, a minus before it for the reverse."""
+    if order.lstrip("-") not in ("detected_at", "severity"):
+        raise ValueError(f"no order by {order}")
+    by = F.col(order.lstrip("-"))
     rows = anomalies
     for col, value in (("severity", severity), ("anomaly_type", kind), ("resolved", resolved), ("product_id", product_id)):
         rows = rows if value is None else rows.where(F.col(col) == value)
-    return paged(rows.orderBy(F.desc("ts"), "product_id", "anomaly_type"), page)
+    return paged(rows.orderBy(by.desc() if order.startswith("-") else by.asc(), "product_id", "anomaly_type"), page)
 
 
 def list_subscriptions(subscriptions: DataFrame, product: DataFrame, user_id: int) -> DataFrame:

@@ -43,15 +43,22 @@ def best_deals(history: DataFrame, product: DataFrame, now: datetime, days: int
     return out.orderBy(F.desc("discount_pct"), "product_id").limit(limit)
 
 
-def category_index(history: DataFrame, product: DataFrame, now: datetime, period_days: int = 7) -> DataFrame:
-    """Mean and exact median of current prices by category, against rows of the period before the last one."""
+def active_categories(category: DataFrame) -> DataFrame:
+    """The active rows of a table of categories; all where it does not tell."""
+    return category.where("is_active") if "is_active" in category.columns else category
+
+
+def category_index(history: DataFrame, product: DataFrame, now: datetime, period_days: int = 7, category: DataFrame | None = None) -> DataFrame:
+    """Mean and exact median of current prices by category, of the active ones in ``category`` (name), against rows of the period before the last one. Products that
+    are not active count."""
     lo, hi = window_start(now, 2 * period_days), window_start(now, period_days)
     before = (F.col("ts") >= lo) & (F.col("ts") < hi)
     none = F.lit(None).cast(history.schema["price"].dataType)
     now_rows = latest(current_rows(history)).select("product_id", F.col("price").alias("cur"), none.alias("prev"))
     past = history.where(before).select("product_id", none.alias("cur"), F.col("price").alias("prev"))
     cur, prev = F.col("cur"), F.col("prev")
-    g = now_rows.unionByName(past).join(product.select("product_id", "category"), "product_id").groupBy("category").agg(
+    items = product if category is None else product.join(active_categories(category).select(F.col("name").alias("category")), "category", "left_semi")
+    g = now_rows.unionByName(past).join(items.select("product_id", "category"), "product_id").groupBy("category").agg(
         F.count(cur).alias("product_count"),
         (F.sum(cur).cast("double") / F.count(cur)).alias("mean_price"),
         F.median(cur.cast("double")).alias("median_price"),
@@ -123,7 +130,7 @@ def ingest_metrics(history: DataFrame, product: DataFrame, category: DataFrame,
         F.count("*").alias("total_records"), F.count_distinct("product_id").alias("unique_products"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
     total = product.where("is_active").agg(F.count("*").alias("total_products"))
-    cats = category.agg(F.count("*").alias("active_categories"))
+    cats = active_categories(category).agg(F.count("*").alias("active_categories"))
     without = products_without_data(history, product).agg(F.count("*").alias("products_without_data"))
     one = F.lit(1).alias("_one")
     joined = w.select("*", one)

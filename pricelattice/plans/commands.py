@@ -47,7 +47,7 @@ class Reports:
         return snapshot.clusters_payload(features.product_features(self.tables.history, self._products(category)), clusters)
 
     def index(self, period: int = 7) -> DataFrame:
-        return reports.category_index(self.tables.history, self.tables.product, self.tables.now, period)
+        return reports.category_index(self.tables.history, self.tables.product, self.tables.now, period, self.tables.category)
 
     def heatmap(self, category: str | None = None, days: int = 7, most: int = 30) -> DataFrame:
         return reports.heatmap(self.tables.history, self._products(category), self.tables.now, days, most)

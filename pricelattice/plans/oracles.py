@@ -10,7 +10,9 @@ now AS (SELECT max(ts) AS now FROM events),
 ph AS (SELECT user_id AS product_id, CAST(value AS DECIMAL(12,2)) AS price, ts, event_id AS tie,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS is_actual FROM events),
-product AS (SELECT c_custkey AS product_id, c_name AS name, c_mktsegment AS category FROM customer),
+product AS (SELECT c_custkey AS product_id, c_name AS name, c_mktsegment AS category, c_acctbal >= 0 AS is_active FROM customer),
+active AS (SELECT * FROM product WHERE is_active),
+cats AS (SELECT category AS kind, category <> 'MACHINERY' AS open FROM product GROUP BY category),
 rates AS (SELECT currency, date, CAST(CAST(sum(v) AS DOUBLE) / count(v) AS DECIMAL(10,4)) AS rate FROM (
   SELECT CASE event_type WHEN 'purchase' THEN 'USD' WHEN 'view' THEN 'EUR' WHEN 'click' THEN 'CNY' END AS currency,
     CAST(ts AS DATE) AS date, CAST(value AS DECIMAL(12,2)) AS v FROM events) WHERE currency IS NOT NULL GROUP BY currency, date)
@@ -19,8 +21,9 @@ _L = """
 now AS (SELECT max(l_shipdate) AS now FROM lineitem),
 ph AS (SELECT l_partkey AS product_id, CAST(l_extendedprice AS DECIMAL(12,2)) AS price, l_shipdate AS ts, l_orderkey * 8 + l_linenumber AS tie,
   row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey * 8 + l_linenumber DESC) = 1 AS is_actual FROM lineitem),
-product AS (SELECT p_partkey AS product_id, p_name AS name, p_brand AS category FROM part),
-subs AS (SELECT user_id, product_id, CAST(p_retailprice * 25 AS DECIMAL(12,2)) AS target_price FROM (
+product AS (SELECT p_partkey AS product_id, p_name AS name, p_brand AS category, p_size > 5 AS is_active FROM part),
+active AS (SELECT * FROM product WHERE is_active),
+subs AS (SELECT user_id, product_id, CAST(p_retailprice * 25 AS DECIMAL(12,2)) AS target_price, (user_id + product_id) % 7 <> 0 AS is_active FROM (
   SELECT DISTINCT o_custkey AS user_id, l_partkey AS product_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN part ON product_id = p_partkey)
 """
 _SERIES = """
@@ -66,7 +69,7 @@ SELECT * FROM (
   FROM (SELECT product_id, max(CASE WHEN is_actual THEN price END) AS current_price,
       min(CASE WHEN ts >= now - INTERVAL {days} DAY THEN price END) AS min_price,
       CAST(sum(CASE WHEN ts >= now - INTERVAL {days} DAY THEN price END) AS DOUBLE) / nullif(count(CASE WHEN ts >= now - INTERVAL {days} DAY THEN price END), 0) AS avg
-    FROM ph, now GROUP BY product_id) g JOIN product p ON p.product_id = g.product_id
+    FROM ph, now GROUP BY product_id) g JOIN active p ON p.product_id = g.product_id
   WHERE min_price <> 0 AND avg <> 0)
 ORDER BY discount_pct DESC, product_id LIMIT {limit}"""
 
@@ -78,10 +81,10 @@ SELECT category, count(c) AS product_count, round(CAST(sum(c) AS DOUBLE) / count
   round((median(CAST(c AS DOUBLE)) - median(CAST(v AS DOUBLE))) / nullif(median(CAST(v AS DOUBLE)), 0) * 100, 4) AS median_change_pct
 FROM (SELECT category, CASE WHEN is_actual THEN price END AS c,
     CASE WHEN ts >= now - INTERVAL 14 DAY AND ts < now - INTERVAL 7 DAY THEN price END AS v
-  FROM ph JOIN product ON ph.product_id = product.product_id, now) GROUP BY category HAVING count(c) > 0"""
+  FROM ph JOIN product ON ph.product_id = product.product_id JOIN cats ON kind = category AND open, now) GROUP BY category HAVING count(c) > 0"""
 
 _HEAT = """
-chosen AS (SELECT product_id, name FROM product ORDER BY name, product_id LIMIT 30),
+chosen AS (SELECT product_id, name FROM active ORDER BY name, product_id LIMIT 30),
 daily AS (SELECT ph.product_id, CAST(ts AS DATE) AS date, arg_max(CAST(price AS DOUBLE), (ts, tie)) AS price FROM ph JOIN chosen ON ph.product_id = chosen.product_id, now
   WHERE ts >= now - INTERVAL 7 DAY GROUP BY ph.product_id, CAST(ts AS DATE)),
 grid AS (SELECT DISTINCT c.product_id, name, CAST(CAST(now AS DATE) - k AS DATE) AS date FROM chosen c JOIN daily ON daily.product_id = c.product_id, now, (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS k)),
@@ -97,7 +100,7 @@ def _sens(currency: str) -> str:
 daily AS (SELECT product_id, CAST(ts AS DATE) AS date, arg_max(CAST(price AS DOUBLE), (ts, tie)) AS p, count(*) AS n FROM ph GROUP BY product_id, CAST(ts AS DATE)),
 g AS (SELECT product_id, covar_pop(p, r) / nullif(stddev_pop(p) * stddev_pop(r), 0) AS correlation, count(*) AS sample_size FROM daily JOIN (
     SELECT date, CAST(rate AS DOUBLE) AS r FROM rates WHERE currency = '{currency}') fx ON daily.date = fx.date
-  WHERE product_id IN (SELECT product_id FROM daily GROUP BY product_id HAVING sum(n) >= 5) GROUP BY product_id HAVING count(*) >= 5)
+  WHERE product_id IN (SELECT product_id FROM active) AND product_id IN (SELECT product_id FROM daily GROUP BY product_id HAVING sum(n) >= 5) GROUP BY product_id HAVING count(*) >= 5)
 """
 
 
@@ -127,8 +130,8 @@ h AS (SELECT product_id, ts AS past_ts, abs(p - before) / before AS step, CAST(C
 """
 
 ORACLES: dict[str, str] = {
-    "active_products": f"WITH {_E} SELECT * FROM product",
-    "by_category": f"WITH {_L} SELECT product_id, name, category FROM product WHERE category = 'Brand#13'",
+    "active_products": f"WITH {_E} SELECT product_id, name, category FROM active",
+    "by_category": f"WITH {_L} SELECT product_id, name, category FROM active WHERE category = 'Brand#13'",
     "name_search": f"WITH {_E} SELECT product_id, name FROM product WHERE contains(lower(name), 'r#00000001') ORDER BY product_id LIMIT 5",
     "latest_price": f"WITH {_L} SELECT product_id, price, ts FROM ph WHERE is_actual",
     "price_history": f"""WITH {_E}, r AS (SELECT *, lag(price) OVER (ORDER BY ts, tie) AS prev FROM ph WHERE product_id = 7 AND rn <= 30)
@@ -142,10 +145,10 @@ FROM r JOIN product p ON p.product_id = r.product_id""",
     "heatmap": f"WITH {_E}, {_HEAT}",
     "ingest_metrics": f"""WITH {_E}, w AS (SELECT ph.* FROM ph, now WHERE ts >= now - INTERVAL 7 DAY)
 SELECT (SELECT count(*) FROM w) AS total_records, (SELECT count(DISTINCT product_id) FROM w) AS unique_products, (SELECT min(ts) FROM w) AS first_ts,
-  (SELECT max(ts) FROM w) AS last_ts, (SELECT count(*) FROM product) AS total_products, (SELECT count(DISTINCT category) FROM product) AS active_categories,
-  (SELECT count(*) FROM product WHERE product_id NOT IN (SELECT product_id FROM ph)) AS products_without_data,
+  (SELECT max(ts) FROM w) AS last_ts, (SELECT count(*) FROM active) AS total_products, (SELECT count(*) FROM cats WHERE open) AS active_categories,
+  (SELECT count(*) FROM active WHERE product_id NOT IN (SELECT product_id FROM ph)) AS products_without_data,
   coalesce(round(CAST((SELECT count(*) FROM w) AS DOUBLE) / nullif((SELECT count(DISTINCT product_id) FROM w), 0), 1), 0.0) AS avg_records_per_product""",
-    "products_without_data": f"WITH {_E} SELECT product_id, category FROM product WHERE product_id NOT IN (SELECT product_id FROM ph)",
+    "products_without_data": f"WITH {_E} SELECT product_id, category FROM active WHERE product_id NOT IN (SELECT product_id FROM ph)",
     "compare_products": f"""WITH {_E}, fc AS ({_FC}), ask AS (SELECT * FROM (VALUES (0, 2), (1, 2), (2, 999999999), (3, 5), (4, 1), (5, 14)) v(position, product_id)),
 g AS (SELECT product_id, max(CASE WHEN is_actual THEN price END) AS current_price, min(price) FILTER (WHERE inside) AS min_price, max(price) FILTER (WHERE inside) AS max_price,
     CAST(sum(price) FILTER (WHERE inside) AS DOUBLE) / nullif(count(*) FILTER (WHERE inside), 0) AS avg, count(*) FILTER (WHERE inside) AS n,
@@ -197,11 +200,11 @@ WHERE product_id IN (SELECT user_id FROM events, now WHERE ts >= now - INTERVAL
 g AS (SELECT product_id, count(*) AS n_records, CAST(sum(price) AS DOUBLE) / count(*) AS mean, stddev_pop(p) AS std, arg_min(p, (ts, tie)) AS first, arg_max(p, (ts, tie)) AS last,
   max(CASE WHEN before IS NOT NULL THEN CASE WHEN before > 0 THEN abs((p - before) / before) ELSE 0 END END) AS step FROM r GROUP BY product_id)
 SELECT g.product_id, name, category, n_records, mean AS mean_price, round(std / mean, 6) AS volatility, round(CASE WHEN first = 0 THEN 0 ELSE (last - first) / first END, 6) AS trend,
-  round(step * 100, 6) AS max_change_pct FROM g JOIN product p ON p.product_id = g.product_id WHERE n_records >= 3 AND mean <> 0""",
+  round(step * 100, 6) AS max_change_pct FROM g JOIN active p ON p.product_id = g.product_id WHERE n_records >= 3 AND mean <> 0""",
     "fx_sensitivity": f"""WITH {_E}, {_sens("USD")} SELECT g.product_id, name, round(correlation, 6) AS correlation, sample_size,
   CASE WHEN correlation IS NULL THEN 'none' WHEN abs(correlation) > 0.7 THEN 'strong ' || w WHEN abs(correlation) > 0.4 THEN 'moderate ' || w WHEN abs(correlation) > 0.2 THEN 'weak ' || w ELSE 'none' END AS verdict
 FROM (SELECT *, CASE WHEN correlation > 0 THEN 'direct' ELSE 'inverse' END AS w FROM g) g JOIN product p ON p.product_id = g.product_id""",
-    "fx_sensitivity_ranked": f"""WITH {_E}, {_sens("USD")}, chosen AS (SELECT product_id FROM product ORDER BY product_id LIMIT 30),
+    "fx_sensitivity_ranked": f"""WITH {_E}, {_sens("USD")}, chosen AS (SELECT product_id FROM active ORDER BY product_id LIMIT 30),
 p AS (SELECT product_id, min(date) AS a, max(date) AS b FROM daily WHERE date IN (SELECT date FROM rates WHERE currency = 'USD') GROUP BY product_id)
 SELECT g.product_id, CAST(row_number() OVER (ORDER BY abs(round(correlation, 9)) DESC NULLS LAST, g.product_id) AS INTEGER) AS place,
   'Pearson correlation ' || printf('%.3f', correlation) || ', ' || strftime(a, '%d.%m.%Y') || ' to ' || strftime(b, '%d.%m.%Y') || ', ' || sample_size || ' common dates. '
@@ -217,9 +220,9 @@ SELECT g.product_id, round(CASE WHEN correlation IS NULL THEN NULL WHEN abs(corr
   WHEN v % 2 = 1 THEN greatest(0, 1 - 2 / pi() * (th + sin(th) * coalesce(s, 0))) ELSE greatest(0, 1 - sin(th) * coalesce(s, 0)) END, 5) AS p_value
 FROM g LEFT JOIN a ON a.product_id = g.product_id LEFT JOIN s ON s.product_id = g.product_id""",
     "alerts": f"""WITH {_L} SELECT user_id, s.product_id, name, price AS current_price, target_price FROM subs s JOIN ph ON ph.product_id = s.product_id AND is_actual
-JOIN product p ON p.product_id = s.product_id WHERE price <= target_price""",
+JOIN product p ON p.product_id = s.product_id WHERE s.is_active AND price <= target_price""",
     "alerts_state": f"""WITH {_L} SELECT is_active, count(*) AS n, CAST(sum(target_price) AS DOUBLE) AS targets FROM (
-  SELECT target_price, NOT coalesce(price <= target_price, false) AS is_active FROM subs s LEFT JOIN ph ON ph.product_id = s.product_id AND is_actual) GROUP BY is_active""",
+  SELECT target_price, s.is_active AND NOT coalesce(price <= target_price, false) AS is_active FROM subs s LEFT JOIN ph ON ph.product_id = s.product_id AND is_actual) GROUP BY is_active""",
     "product_upsert": f"""WITH o AS (SELECT {_URL} AS url, p_partkey AS id, p_name AS name, p_brand AS category, p_type AS code FROM part WHERE p_partkey % 3 <> 0),
 n AS (SELECT {_URL} AS url, p_partkey AS id, upper(p_name) AS name, CASE WHEN p_size > 25 THEN p_type ELSE '' END AS code FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0)
 SELECT coalesce(o.url, n.url) AS url, coalesce(n.name, o.name) AS name, coalesce(o.category, 'new') AS category, coalesce(nullif(n.code, ''), o.code) AS vendor_code,
@@ -259,27 +262,27 @@ UNION ALL SELECT product_id, DATE '2024-02-02', CAST(predicted_price * 2 AS DECI
 FROM (SELECT page_id, t, lower(t || chr(10) || substr(html, 1, 12000)) AS low FROM (SELECT page_id, html, regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1) AS t FROM pages))""",
     "dedupe_first": """SELECT page_id, url, host FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k FROM (
   SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)) WHERE k = 1""",
-    "api_products": f"""WITH {_E}, l AS (SELECT *, 'V' || CAST(product_id AS VARCHAR) AS vendor_code FROM product WHERE (contains(lower(name), 'customer') OR contains('v' || CAST(product_id AS VARCHAR), 'customer'))
+    "api_products": f"""WITH {_E}, l AS (SELECT *, 'V' || CAST(product_id AS VARCHAR) AS vendor_code FROM active WHERE (contains(lower(name), 'customer') OR contains('v' || CAST(product_id AS VARCHAR), 'customer'))
   AND (contains(lower(name), '1') OR contains('v' || CAST(product_id AS VARCHAR), '1')) ORDER BY name, product_id LIMIT 20 OFFSET 20)
 SELECT l.product_id, name, category, vendor_code, price AS current_price FROM l LEFT JOIN ph ON ph.product_id = l.product_id AND is_actual""",
-    "api_price_history": f"WITH {_E} SELECT product_id, price, ts, is_actual FROM ph WHERE product_id = 3 ORDER BY ts DESC, tie DESC LIMIT 100",
+    "api_price_history": f"WITH {_E} SELECT product_id, price, ts, is_actual FROM ph WHERE product_id = 3 AND product_id IN (SELECT product_id FROM active) ORDER BY ts DESC, tie DESC LIMIT 100",
     "api_anomalies": f"WITH {_FULL} SELECT product_id, anomaly_type, severity, ts FROM an WHERE severity = 'high' ORDER BY ts DESC, product_id, anomaly_type LIMIT 20",
-    "api_subscriptions": f"WITH {_L} SELECT s.product_id, user_id, target_price, true AS is_active, name FROM subs s JOIN product p ON p.product_id = s.product_id WHERE user_id = 10",
+    "api_subscriptions": f"WITH {_L} SELECT s.product_id, user_id, target_price, s.is_active, name FROM subs s JOIN product p ON p.product_id = s.product_id WHERE user_id = 10",
     "api_notifications": f"""WITH {_L} SELECT user_id, s.product_id, name || ': ' || CAST(price AS VARCHAR) || ' <= ' || CAST(target_price AS VARCHAR) AS message FROM subs s
-JOIN ph ON ph.product_id = s.product_id AND is_actual JOIN product p ON p.product_id = s.product_id WHERE price <= target_price""",
+JOIN ph ON ph.product_id = s.product_id AND is_actual JOIN product p ON p.product_id = s.product_id WHERE s.is_active AND price <= target_price""",
     "dashboard_summary": f"""WITH {_FULL}, w AS (SELECT ph.* FROM ph, now WHERE ts >= now - INTERVAL 7 DAY), r AS (SELECT an.* FROM an, now WHERE ts >= now - INTERVAL 7 DAY),
-c AS (SELECT product_id, name FROM product ORDER BY name, product_id LIMIT 30)
-SELECT CAST(7 AS INTEGER) AS period_days, (SELECT count(*) FROM w) AS records_in_window, (SELECT count(DISTINCT product_id) FROM w) AS products_updated, (SELECT count(*) FROM product) AS total_products,
-  (SELECT count(DISTINCT category) FROM product) AS active_categories, (SELECT count(*) FROM product WHERE product_id NOT IN (SELECT product_id FROM ph)) AS products_without_data,
+c AS (SELECT product_id, name FROM active ORDER BY name, product_id LIMIT 30)
+SELECT CAST(7 AS INTEGER) AS period_days, (SELECT count(*) FROM w) AS records_in_window, (SELECT count(DISTINCT product_id) FROM w) AS products_updated, (SELECT count(*) FROM active) AS total_products,
+  (SELECT count(*) FROM cats WHERE open) AS active_categories, (SELECT count(*) FROM active WHERE product_id NOT IN (SELECT product_id FROM ph)) AS products_without_data,
   (SELECT count(*) FROM r) AS anomalies, (SELECT count(*) FROM r WHERE severity = 'high') AS anomalies_high, (SELECT count(*) FROM r WHERE severity = 'medium') AS anomalies_medium,
-  (SELECT count(*) FROM r WHERE severity = 'low') AS anomalies_low, (SELECT count(DISTINCT category) FROM product WHERE product_id IN (SELECT product_id FROM ph)) AS index_rows,
+  (SELECT count(*) FROM r WHERE severity = 'low') AS anomalies_low, (SELECT count(DISTINCT category) FROM product JOIN cats ON kind = category AND open WHERE product_id IN (SELECT product_id FROM ph)) AS index_rows,
   (SELECT count(*) FROM ({_deals(30, 50)})) AS deals_listed, (SELECT count(DISTINCT w.product_id) FROM w JOIN c ON c.product_id = w.product_id) AS heat_products, CAST(8 AS BIGINT) AS heat_dates,
   (SELECT count(*) FROM r WHERE anomaly_type = 'spike') AS anomalies_spike, (SELECT count(*) FROM r WHERE anomaly_type = 'manipulation') AS anomalies_manipulation,
-  (SELECT count(*) FROM r WHERE anomaly_type = 'cyclic') AS anomalies_cyclic, (SELECT count(*) FROM (WITH {_sens("USD")} SELECT g.product_id FROM g JOIN (SELECT product_id FROM product ORDER BY product_id LIMIT 30) USING (product_id))) AS sensitivity_rows""",
+  (SELECT count(*) FROM r WHERE anomaly_type = 'cyclic') AS anomalies_cyclic, (SELECT count(*) FROM (WITH {_sens("USD")} SELECT g.product_id FROM g JOIN (SELECT product_id FROM active ORDER BY product_id LIMIT 30) USING (product_id))) AS sensitivity_rows""",
     "dashboard_payload": f"""WITH {_FULL}, {_sens("USD")}, w AS (SELECT ph.* FROM ph, now WHERE ts >= now - INTERVAL 7 DAY), r AS (SELECT an.* FROM an, now WHERE ts >= now - INTERVAL 7 DAY),
-deals AS ({_deals(30, 50)}), c AS (SELECT product_id, name FROM product ORDER BY name, product_id LIMIT 30),
-sold AS (SELECT category FROM product WHERE product_id IN (SELECT product_id FROM ph)),
-sens AS (SELECT g.* FROM g JOIN (SELECT product_id FROM product ORDER BY product_id LIMIT 30) USING (product_id)),
+deals AS ({_deals(30, 50)}), c AS (SELECT product_id, name FROM active ORDER BY name, product_id LIMIT 30),
+sold AS (SELECT category FROM product JOIN cats ON kind = category AND open WHERE product_id IN (SELECT product_id FROM ph)),
+sens AS (SELECT g.* FROM g JOIN (SELECT product_id FROM active ORDER BY product_id LIMIT 30) USING (product_id)),
 fx AS (SELECT * FROM rates ORDER BY date DESC, currency LIMIT 9)
 SELECT 'metrics' AS section, CAST(1 AS BIGINT) AS items, CAST(count(*) AS VARCHAR) AS first FROM w
 UNION ALL SELECT 'category_index', count(DISTINCT category), min(category) FROM sold
@@ -290,7 +293,7 @@ UNION ALL SELECT 'anomalies_summary', 1, CAST(count(*) AS VARCHAR) FROM r
 UNION ALL SELECT 'currency_rates_latest', count(*), arg_min(currency, (-epoch(date), currency)) FROM fx""",
     "latest_rates": f"WITH {_E} SELECT currency, date, rate FROM rates ORDER BY date DESC, currency LIMIT 9",
     "list_snapshots": f"""WITH {_E} SELECT kind, now - CAST(h AS INTEGER) * INTERVAL 1 HOUR AS created_at, summary FROM (
-  SELECT 'index' AS kind, 0 AS h, '{{"rows":' || CAST((SELECT count(DISTINCT category) FROM product WHERE product_id IN (SELECT product_id FROM ph)) AS VARCHAR) || '}}' AS summary
+  SELECT 'index' AS kind, 0 AS h, '{{"rows":' || CAST((SELECT count(DISTINCT category) FROM product JOIN cats ON kind = category AND open WHERE product_id IN (SELECT product_id FROM ph)) AS VARCHAR) || '}}' AS summary
   UNION ALL SELECT 'deals', 1, '{{"rows":' || CAST((SELECT count(*) FROM ({_deals(30, 100)})) AS VARCHAR) || '}}'
   UNION ALL SELECT 'anomalies', 2, '{{"rows":' || CAST((SELECT count(*) FROM (WITH {_FULL}, r AS (SELECT an.* FROM an, now WHERE ts >= now - INTERVAL 7 DAY) SELECT severity FROM r GROUP BY severity UNION ALL SELECT anomaly_type FROM r GROUP BY anomaly_type)) AS VARCHAR) || '}}'), now""",
     "stream_change_log": f"WITH {_CHANGES} SELECT product_id, price, arrival FROM k",
@@ -320,12 +323,16 @@ LEFT JOIN fired f ON f.user_id = s.user_id AND f.product_id = s.product_id"""
 # Merges end in what rewriting the whole table gives.
 ORACLES |= {"product_merge": ORACLES["product_upsert"], "price_log_merge": ORACLES["product_change_log"], "rates_merge": ORACLES["fx_upsert"]}
 
+ORACLES["api_product_detail"] = f"""WITH {_E} SELECT p.product_id, name, category, 'V' || CAST(p.product_id AS VARCHAR) AS vendor_code, 'https://shop.example.com/p/' || CAST(p.product_id AS VARCHAR) AS url,
+  p.is_active, price AS current_price FROM active p LEFT JOIN ph ON ph.product_id = p.product_id AND is_actual WHERE p.product_id = 14"""
+ORACLES["api_inactive"] = f"WITH {_E} SELECT product_id, name, category FROM product WHERE NOT is_active"
+
 #: Decimal columns, which leave as doubles.
 _DECIMALS = {
     "latest_price": "price", "price_history": "price delta", "best_deals": "current_price min_price", "best_deals_lineitem": "current_price min_price",
     "compare_products": "current_price min_price max_price forecast_price", "alerts": "current_price target_price", "fx_upsert": "rate",
     "forecast_upsert": "predicted_price", "subscription_create": "target_price", "fx_rates_xml": "rate", "api_products": "current_price",
-    "api_price_history": "price", "api_subscriptions": "target_price", "latest_rates": "rate", "rates_merge": "rate", "stream_alerts": "current_price target_price",
+    "api_price_history": "price", "api_subscriptions": "target_price", "latest_rates": "rate", "rates_merge": "rate", "api_product_detail": "current_price", "stream_alerts": "current_price target_price",
 }
 for _name, _columns in _DECIMALS.items():
     _casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _columns.split())

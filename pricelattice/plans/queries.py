@@ -85,7 +85,7 @@ def best_deals_lineitem(spark, d):
 @query
 def category_index(spark, d):
     t = views.events_view(spark, d)
-    return reports.category_index(t.history, t.product, t.now)
+    return reports.category_index(t.history, t.product, t.now, category=t.category)
 
 
 @query
@@ -485,7 +485,20 @@ def api_products(spark, d):
 
 @query
 def api_price_history(spark, d):
-    return api.product_prices(views.events_view(spark, d).history, 3)
+    t = views.events_view(spark, d)
+    return api.product_prices(t.history, t.product, 3)
+
+
+@query
+def api_product_detail(spark, d):
+    t = views.events_view(spark, d)
+    return api.product_detail(t.history, t.product, 14)
+
+
+@query
+def api_inactive(spark, d):
+    """What listings leave out."""
+    return views.events_product(spark, d).where("not is_active").select("product_id", "name", "category")
 
 
 @query

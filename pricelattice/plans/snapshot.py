@@ -60,7 +60,7 @@ def dashboard_summary(t: PriceTables, anomalies: DataFrame, days: int = 7, deals
     return _joined([
         metrics,
         found.select("anomalies", *[n("by_severity", s) for s in ("high", "medium", "low")], *[n("by_type", k) for k in ("spike", "manipulation", "cyclic")]),
-        count(reports.category_index(t.history, t.product, t.now, days), "index_rows"),
+        count(reports.category_index(t.history, t.product, t.now, days, t.category), "index_rows"),
         count(reports.best_deals(t.history, t.product, t.now, deals_days, deals_limit), "deals_listed"),
         reports.heatmap(t.history, t.product, t.now, days, heat_products).agg(F.count_distinct("product_id").alias("heat_products"), F.count_distinct("date").alias("heat_dates")),
         count(fx_sensitivity(t.history, t.product, t.rates, limit=sensitivity_limit), "sensitivity_rows"),
@@ -81,7 +81,7 @@ def full_dashboard(t: PriceTables, anomalies: DataFrame, **options: int) -> Data
     found = _counts(anomalies, t.now, o["period_days"]).select(F.struct(F.lit(o["period_days"]).alias("period_days"), F.col("anomalies").alias("total"), "by_severity", "by_type").alias("anomalies_summary"))
     payload = _joined([
         metrics.select(F.struct(*metrics.columns).alias("metrics")),
-        _listed(reports.category_index(t.history, t.product, t.now, o["period_days"]), "category_index", [F.col("category")]),
+        _listed(reports.category_index(t.history, t.product, t.now, o["period_days"], t.category), "category_index", [F.col("category")]),
         _listed(reports.best_deals(t.history, t.product, t.now, o["deals_days"], o["deals_limit"]), "deals_top", [-F.col("discount_pct"), F.col("product_id")]),
         _listed(clusters, "clusters", [F.col("label")]),
         heat.select(F.struct("dates", "rows").alias("heatmap")),
@@ -110,7 +110,7 @@ def kind_payload(t: PriceTables, anomalies: DataFrame, kind: str, days: int = 7)
     """The rows of one report as JSON; heat map, sensitivity and full snapshots are not of this kind."""
     makers = {
         "clusters": lambda: clusters_payload(product_features(t.history, t.product)),
-        "index": lambda: reports.category_index(t.history, t.product, t.now, days),
+        "index": lambda: reports.category_index(t.history, t.product, t.now, days, t.category),
         "metrics": lambda: reports.ingest_metrics(t.history, t.product, t.category, t.now, days),
         "deals": lambda: reports.best_deals(t.history, t.product, t.now, 30, 100),
         "anomalies": lambda: reports.anomaly_summary(anomalies, t.now, days),
