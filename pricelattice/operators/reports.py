@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import MINUTE, date_text
 from ..functions.labels import direction, heat_indicator, label_of
-from ..functions.series import current_point, current_rows, last_n, latest
+from ..functions.series import current_point, current_rows, exact_medians, last_n, latest
 from .detect import window_start
 
 
@@ -30,11 +30,16 @@ def best_deals(history: DataFrame, product: DataFrame, now: datetime, days: int
         F.min(F.when(inside, p)).alias("min_price"),
         (F.sum(F.when(inside, p)).cast("double") / F.count(F.when(inside, p))).alias("avg_price"),
     )
+    return rank_deals(agg, product, limit, category)
+
+
+def rank_deals(figures: DataFrame, product: DataFrame, limit: int = 20, category: str | None = None) -> DataFrame:
+    """The ``limit`` best of products with their current point ``r`` and the window's ``min_price`` and ``avg_price``."""
     current = F.col("r.price")
     discount = F.round(F.try_divide(F.col("avg_price") - current.cast("double"), F.col("avg_price")) * 100, 1)
     items = product.where("is_active").where(F.col("category") == category) if category else product.where("is_active")
     out = (
-        agg.where("r is not null and min_price <> 0 and avg_price <> 0").join(items.select("product_id", "name", "category"), "product_id")
+        figures.where("r is not null and min_price <> 0 and avg_price <> 0").join(items.select("product_id", "name", "category"), "product_id")
         .select(
             "product_id", "name", "category", current.alias("current_price"), "min_price", F.round("avg_price", 2).alias("avg_price"),
             discount.alias("discount_pct"), (current <= F.col("min_price")).alias("at_min"),
@@ -51,20 +56,22 @@ def active_categories(category: DataFrame) -> DataFrame:
 def category_index(history: DataFrame, product: DataFrame, now: datetime, period_days: int = 7, category: DataFrame | None = None) -> DataFrame:
     """Mean and exact median of current prices by category, of the active ones in ``category`` (name), against rows of the period before the last one. Products that
     are not active count."""
+    now_rows = latest(current_rows(history)).select("product_id", "price")
+    return index_of(now_rows, history, product, now, period_days, category)
+
+
+def index_of(current: DataFrame, history: DataFrame, product: DataFrame, now: datetime, period_days: int = 7, category: DataFrame | None = None) -> DataFrame:
+    """The index from current prices (product_id, price) and the rows of ``history`` in the period before the last one. Prices count in hundredths."""
     lo, hi = window_start(now, 2 * period_days), window_start(now, period_days)
-    before = (F.col("ts") >= lo) & (F.col("ts") < hi)
-    none = F.lit(None).cast(history.schema["price"].dataType)
-    now_rows = latest(current_rows(history)).select("product_id", F.col("price").alias("cur"), none.alias("prev"))
-    past = history.where(before).select("product_id", none.alias("cur"), F.col("price").alias("prev"))
-    cur, prev = F.col("cur"), F.col("prev")
+    past = history.where((F.col("ts") >= lo) & (F.col("ts") < hi)).select("product_id", "price", F.lit("p").alias("of"))
     items = product if category is None else product.join(active_categories(category).select(F.col("name").alias("category")), "category", "left_semi")
-    g = now_rows.unionByName(past).join(items.select("product_id", "category"), "product_id").groupBy("category").agg(
-        F.count(cur).alias("product_count"),
-        (F.sum(cur).cast("double") / F.count(cur)).alias("mean_price"),
-        F.median(cur.cast("double")).alias("median_price"),
-        F.try_divide(F.sum(prev).cast("double"), F.count(prev)).alias("prev_mean"),
-        F.median(prev.cast("double")).alias("prev_median"),
-    )
+    rows = current.select("product_id", "price", F.lit("c").alias("of")).unionByName(past).join(items.select("product_id", "category"), "product_id")
+    found = exact_medians(rows.select("category", "of", (F.col("price") * 100).cast("long").alias("v")), ["category", "of"], "v")
+    one = lambda of, c: F.max(F.when(F.col("of") == of, c))
+    mean, median = F.try_divide(F.col("sum").cast("double"), F.col("n") * 100), F.col("median") / 100
+    g = found.groupBy("category").agg(
+        one("c", F.col("n")).alias("product_count"), one("c", mean).alias("mean_price"), one("c", median).alias("median_price"), one("p", mean).alias("prev_mean"), one("p", median).alias("prev_median"),
+    )
     pct = lambda a, b: F.when(F.col(b) > 0, F.round((F.col(a) - F.col(b)) / F.col(b) * 100, 4))
     return g.where("product_count > 0").select(
         "category", "product_count", F.round("mean_price", 4).alias("mean_price"), F.round("median_price", 4).alias("median_price"),
@@ -79,10 +86,20 @@ def heatmap(history: DataFrame, product: DataFrame, now: datetime, days: int = 7
     Long form. The calendar is a short array exploded per product, after the limit, so the grid is days x max_products.
     Products of the limit without any row in the window have no rows.
     """
-    chosen = product.where("is_active").orderBy("name", "product_id").limit(max_products).select("product_id", "name")
-    start = now - timedelta(days=days)
+    chosen = heat_products(product, max_products)
     inside = history.where(F.col("ts") >= window_start(now, days)).join(F.broadcast(chosen), "product_id")
     daily = inside.groupBy("product_id", F.to_date("ts").alias("date")).agg(F.max(F.struct("ts", "tie", "price"))["price"].cast("double").alias("price"))
+    return heat_cells(daily, chosen, now, days)
+
+
+def heat_products(product: DataFrame, max_products: int = 30) -> DataFrame:
+    """The first active products by name."""
+    return product.where("is_active").orderBy("name", "product_id").limit(max_products).select("product_id", "name")
+
+
+def heat_cells(daily: DataFrame, chosen: DataFrame, now: datetime, days: int = 7) -> DataFrame:
+    """The cells of ``chosen`` products (product_id, name) from their last prices of days (product_id, date, price)."""
+    start = now - timedelta(days=days)
     grid = daily.select("product_id").distinct().join(chosen, "product_id").withColumn("date", F.explode(F.sequence(_day(start), _day(now))))
     before = Window.partitionBy("product_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     full = grid.join(daily, ["product_id", "date"], "left").withColumn("prev", F.last("price", ignorenulls=True).over(before))
@@ -132,9 +149,14 @@ def ingest_metrics(history: DataFrame, product: DataFrame, category: DataFrame,
     total = product.where("is_active").agg(F.count("*").alias("total_products"))
     cats = active_categories(category).agg(F.count("*").alias("active_categories"))
     without = products_without_data(history, product).agg(F.count("*").alias("products_without_data"))
+    return metrics_of(w, total, cats, without)
+
+
+def metrics_of(*rows: DataFrame) -> DataFrame:
+    """Counts of one row each, side by side, with records a product."""
     one = F.lit(1).alias("_one")
-    joined = w.select("*", one)
-    for other in (total, cats, without):  # one row each
+    joined = rows[0].select("*", one)
+    for other in rows[1:]:
         joined = joined.join(other.select("*", one), "_one")
     per = F.coalesce(F.round(F.try_divide(F.col("total_records").cast("double"), F.col("unique_products")), 1), F.lit(0.0))
     return joined.drop("_one").withColumn("avg_records_per_product", per)

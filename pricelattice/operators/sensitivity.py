@@ -16,15 +16,28 @@ def fx_sensitivity(history: DataFrame, product: DataFrame, rates: DataFrame, cur
     ``limit`` takes the first products by id before anything else. The strongest correlation comes first, undefined ones last. The rates of one currency, a row a
     day, are broadcast.
     """
-    items = product.where("is_active").select("product_id", "name")
-    items = items.orderBy("product_id").limit(limit) if limit else items
+    items = sensitive_products(product, limit)
     daily = (
         history.join(items, "product_id", "left_semi").groupBy("product_id", F.to_date("ts").alias("date"))
-        .agg(F.max(F.struct("ts", "tie", "price"))["price"].cast("double").alias("p"), F.count("*").alias("rows"))
+        .agg(F.max(F.struct("ts", "tie", "price"))["price"].cast("double").alias("price"), F.count("*").alias("rows"))
     )
+    return sensitivity_of(daily, items, rates, currency, least_rows, least_dates)
+
+
+def sensitive_products(product: DataFrame, limit: int | None = None) -> DataFrame:
+    """Active products, the first ``limit`` by id."""
+    items = product.where("is_active").select("product_id", "name")
+    return items.orderBy("product_id").limit(limit) if limit else items
+
+
+def sensitivity_of(daily: DataFrame, items: DataFrame, rates: DataFrame, currency: str = "USD", least_rows: int = 5, least_dates: int = 5) -> DataFrame:
+    """The same from last prices of days (product_id, date, price, rows): one aggregation gives a product's rows, on all dates, and the correlation on common ones."""
     fx = rates.where(F.col("currency") == currency).select("date", F.col("rate").cast("double").alias("r"))
-    rows = daily.groupBy("product_id").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= least_rows).select("product_id")
-    g = daily.join(F.broadcast(fx), "date").groupBy("product_id").agg(pearson("p", "r").alias("correlation"), F.count("*").alias("sample_size"), F.min("date").alias("first"), F.max("date").alias("last"))
+    both = daily.join(F.broadcast(fx), "date", "left").withColumn("p", F.when(F.col("r").isNotNull(), F.col("price")))
+    common = F.when(F.col("r").isNotNull(), F.col("date"))
+    g = both.groupBy("product_id").agg(
+        F.sum("rows").alias("rows"), pearson("p", "r").alias("correlation"), F.count("r").alias("sample_size"), F.min(common).alias("first"), F.max(common).alias("last")
+    ).where(F.col("rows") >= least_rows)
     verdict, p = corr_verdict(F.col("correlation")), student_p(F.col("correlation"), F.col("sample_size"))
     detail = F.concat(
         F.lit("Pearson correlation "), fixed(F.col("correlation"), 3), F.lit(" (p="), fixed(F.col("p_value"), 4), F.lit("), "), date_text(F.col("first")), F.lit(" to "),
@@ -32,7 +45,7 @@ def fx_sensitivity(history: DataFrame, product: DataFrame, rates: DataFrame, cur
         F.when(F.col("correlation") > 0, "rises").otherwise("falls"),
     )
     out = (
-        g.where(F.col("sample_size") >= least_dates).join(rows, "product_id").join(items, "product_id")
+        g.where(F.col("sample_size") >= least_dates).join(items, "product_id")
         .select("product_id", "name", "correlation", p.alias("p_value"), "sample_size", verdict.alias("verdict"), "first", "last")
     )
     return out.withColumn("detail", detail).drop("first", "last").orderBy(F.abs("correlation").desc_nulls_last(), "product_id")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import reports
-from ..operators.detect import window_start
+from ..operators import reports, rollup
 from ..operators.features import cluster_products, product_features
-from ..operators.sensitivity import fx_sensitivity
+from ..operators.rollup import RollupTable
+from ..operators.sensitivity import sensitive_products, sensitivity_of
 from ..sources.views import PriceTables
 
 KINDS = ("clusters", "index", "metrics", "deals", "anomalies", "full")
@@ -48,45 +49,104 @@ def _counts(anomalies: DataFrame, now: datetime, days: int) -> DataFrame:
     )
 
 
-def dashboard_summary(t: PriceTables, anomalies: DataFrame, days: int = 7, deals_days: int = 30, deals_limit: int = 50, heat_products: int = 30, sensitivity_limit: int = 30) -> DataFrame:
-    """One row of headline figures, but for the clusters', which :func:`full_dashboard` adds."""
-    metrics = reports.ingest_metrics(t.history, t.product, t.category, t.now, days).select(
-        F.lit(days).alias("period_days"), F.col("total_records").alias("records_in_window"), F.col("unique_products").alias("products_updated"), "total_products",
+@dataclass
+class Board:
+    """What all reports of a dashboard start from: the history rolled up by day, and a row a product with its figures. Both are made once, in one scan of the history and one
+    of the products, or from a kept :class:`..operators.rollup.RollupTable`."""
+
+    t: PriceTables
+    cuts: tuple[datetime, ...]
+    days: DataFrame
+    products: DataFrame
+
+    @staticmethod
+    def of(t: PriceTables, options: dict[str, int], state: RollupTable | None = None) -> Board:
+        windows = {k: t.now - timedelta(days=options[k]) for k in ("period_days", "metrics_days", "deals_days", "heatmap_days")}
+        cuts = tuple(sorted(set(windows.values())))
+        days = rollup.settled(rollup.daily_rollup(t.history, cuts) if state is None else state.windows(t.history, cuts), "rollup")
+        figures = rollup.product_figures(days, metrics=cuts.index(windows["metrics_days"]) + 1, deals=cuts.index(windows["deals_days"]) + 1)
+        items = t.product.select("product_id", "name", "category", "is_active")
+        return Board(t, cuts, days, rollup.settled(items.join(figures, "product_id", "full"), "products"))
+
+    def since(self, days: int) -> Column:
+        return F.col("part") > self.cuts.index(self.t.now - timedelta(days=days))
+
+    def metrics(self) -> DataFrame:
+        active = F.coalesce("is_active", F.lit(False))
+        own = self.products.agg(
+            F.coalesce(F.sum("metrics_n"), F.lit(0)).alias("total_records"), F.count_if(F.col("metrics_n") > 0).alias("unique_products"), F.min("metrics_first").alias("first_ts"),
+            F.max("metrics_last").alias("last_ts"), F.count_if(active).alias("total_products"), F.count_if(active & F.col("rows").isNull()).alias("products_without_data"),
+        )
+        return reports.metrics_of(own, reports.active_categories(self.t.category).agg(F.count("*").alias("active_categories")))
+
+    def index(self, period_days: int) -> DataFrame:
+        current = self.products.where("r is not null").select("product_id", F.col("r.price").alias("price"))
+        return reports.index_of(current, self.t.history, self.products.where("name is not null"), self.t.now, period_days, self.t.category)
+
+    def index_rows(self) -> DataFrame:
+        """How many rows the index has; that takes no medians."""
+        sold = self.products.where("r is not null").select(F.col("category").alias("name")).distinct()
+        return reports.active_categories(self.t.category).join(sold, "name", "left_semi").agg(F.count("*").alias("index_rows"))
+
+    def deals(self, limit: int) -> DataFrame:
+        figures = self.products.select("product_id", "r", F.col("deals_lowest").alias("min_price"), F.try_divide(F.col("deals_total").cast("double"), F.col("deals_n")).alias("avg_price"))
+        return reports.rank_deals(figures, self.products.select("product_id", "name", "category", "is_active"), limit)
+
+    def heat(self, days: int, most: int) -> DataFrame:
+        chosen = reports.heat_products(self.products, most)
+        daily = rollup.daily_last(self.days.join(F.broadcast(chosen), "product_id", "left_semi"), self.since(days)).drop("rows")
+        return reports.heat_cells(daily, chosen, self.t.now, days)
+
+    def sensitivity(self, limit: int) -> DataFrame:
+        items = sensitive_products(self.products, limit)
+        return sensitivity_of(rollup.daily_last(self.days.join(items, "product_id", "left_semi")), items, self.t.rates)
+
+
+def _headline(b: Board, found: DataFrame, o: dict[str, int]) -> DataFrame:
+    metrics = b.metrics().select(
+        F.lit(o["metrics_days"]).alias("period_days"), F.col("total_records").alias("records_in_window"), F.col("unique_products").alias("products_updated"), "total_products",
         "active_categories", "products_without_data",
     )
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    found = _counts(anomalies, t.now, days)
     n = lambda of, key: F.coalesce(F.col(of)[key], F.lit(0)).alias(f"anomalies_{key}")
     return _joined([
         metrics,
         found.select("anomalies", *[n("by_severity", s) for s in ("high", "medium", "low")], *[n("by_type", k) for k in ("spike", "manipulation", "cyclic")]),
-        count(reports.category_index(t.history, t.product, t.now, days, t.category), "index_rows"),
-        count(reports.best_deals(t.history, t.product, t.now, deals_days, deals_limit), "deals_listed"),
-        reports.heatmap(t.history, t.product, t.now, days, heat_products).agg(F.count_distinct("product_id").alias("heat_products"), F.count_distinct("date").alias("heat_dates")),
-        count(fx_sensitivity(t.history, t.product, t.rates, limit=sensitivity_limit), "sensitivity_rows"),
+        b.index_rows(),
+        count(b.deals(o["deals_limit"]), "deals_listed"),
+        b.heat(o["heatmap_days"], o["heatmap_max_products"]).agg(F.count_distinct("product_id").alias("heat_products"), F.count_distinct("date").alias("heat_dates")),
+        count(b.sensitivity(o["sensitivity_limit"]), "sensitivity_rows"),
     ])
 
 
-def full_dashboard(t: PriceTables, anomalies: DataFrame, **options: int) -> DataFrame:
+def dashboard_summary(t: PriceTables, anomalies: DataFrame, state: RollupTable | None = None, **options: int) -> DataFrame:
+    """One row of headline figures, but for the clusters', which :func:`full_dashboard` adds; ``options`` as in ``DEFAULTS``. With ``state`` the history's whole days are
+    not read again."""
+    o = DEFAULTS | options
+    return _headline(Board.of(t, o, state), _counts(anomalies, t.now, o["period_days"]), o)
+
+
+def full_dashboard(t: PriceTables, anomalies: DataFrame, state: RollupTable | None = None, **options: int) -> DataFrame:
     """One row: ``summary`` and ``payload``, structs with all sections of the dashboard; ``options`` as in ``DEFAULTS``."""
     o = DEFAULTS | options
-    clusters = clusters_payload(product_features(t.history, t.product), o["n_clusters"]).persist()
+    b = Board.of(t, o, state)
+    found = rollup.settled(_counts(anomalies, t.now, o["period_days"]), "counts")  # one row
+    clusters = rollup.settled(clusters_payload(product_features(t.history, t.product), o["n_clusters"]), "clusters")  # a row a label
     sizes = clusters.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "products")))).alias("cluster_labels"))
-    summary = _joined([dashboard_summary(t, anomalies, o["period_days"], o["deals_days"], o["deals_limit"], o["heatmap_max_products"], o["sensitivity_limit"]), sizes])
-    cells = reports.heatmap(t.history, t.product, t.now, o["heatmap_days"], o["heatmap_max_products"])
+    summary = _joined([_headline(b, found, o), sizes])
+    cells = b.heat(o["heatmap_days"], o["heatmap_max_products"])
     rows = cells.groupBy("product_id", "name").agg(F.sort_array(F.collect_list(F.struct("date", "price", "change_pct", "indicator"))).alias("cells"))
     heat = _joined([cells.agg(F.sort_array(F.collect_set("date")).alias("dates")), _listed(rows, "rows", [F.col("name"), F.col("product_id")])])
-    sens = fx_sensitivity(t.history, t.product, t.rates, limit=o["sensitivity_limit"])
-    metrics = reports.ingest_metrics(t.history, t.product, t.category, t.now, o["metrics_days"])
-    found = _counts(anomalies, t.now, o["period_days"]).select(F.struct(F.lit(o["period_days"]).alias("period_days"), F.col("anomalies").alias("total"), "by_severity", "by_type").alias("anomalies_summary"))
+    metrics = b.metrics()
+    metrics = metrics.select("total_records", "unique_products", "first_ts", "last_ts", "total_products", "active_categories", "products_without_data", "avg_records_per_product")
     payload = _joined([
         metrics.select(F.struct(*metrics.columns).alias("metrics")),
-        _listed(reports.category_index(t.history, t.product, t.now, o["period_days"], t.category), "category_index", [F.col("category")]),
-        _listed(reports.best_deals(t.history, t.product, t.now, o["deals_days"], o["deals_limit"]), "deals_top", [-F.col("discount_pct"), F.col("product_id")]),
+        _listed(b.index(o["period_days"]), "category_index", [F.col("category")]),
+        _listed(b.deals(o["deals_limit"]), "deals_top", [-F.col("discount_pct"), F.col("product_id")]),
         _listed(clusters, "clusters", [F.col("label")]),
         heat.select(F.struct("dates", "rows").alias("heatmap")),
-        _listed(sens, "sensitivity", [F.coalesce(-F.abs("correlation"), F.lit(2.0)), F.col("product_id")]),
-        found,
+        _listed(b.sensitivity(o["sensitivity_limit"]), "sensitivity", [F.coalesce(-F.abs("correlation"), F.lit(2.0)), F.col("product_id")]),
+        found.select(F.struct(F.lit(o["period_days"]).alias("period_days"), F.col("anomalies").alias("total"), "by_severity", "by_type").alias("anomalies_summary")),
         _listed(latest_rates(t.rates), "currency_rates_latest", [-F.unix_date("date"), F.col("currency")]),
     ])
     return _joined([summary.select(F.struct(*summary.columns).alias("summary")), payload.select(F.struct(F.lit(t.now).alias("generated_at"), *payload.columns).alias("payload"))])
@@ -98,8 +158,6 @@ def latest_rates(rates: DataFrame, n: int = 9) -> DataFrame:
 
 def clusters_payload(features: DataFrame, k: int = 4, most: int = CLUSTER_ITEMS) -> DataFrame:
     """A row for each label with the number of its products and its products, the most volatile first, ``most`` of them."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("label").orderBy(F.desc("volatility"), "product_id")
     ranked = cluster_products(features, k).withColumn("rn", F.row_number().over(w))
     item = F.when(F.col("rn") <= most, F.struct("rn", "product_id", "name", "category", "mean_price", "volatility", "trend", "max_change_pct", "n_records"))
