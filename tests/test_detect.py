@@ -5,7 +5,6 @@ from datetime import datetime, timedelta
 import pytest
 
 from pricelattice.operators import detect
-from pricelattice.operators.forecast import arima_forecast, fit_arma
 from pricelattice.operators.reports import best_deals, category_index, heatmap
 
 T0 = datetime(2024, 1, 1)
@@ -77,37 +76,3 @@ def test_heatmap_compares_with_the_last_day_that_has_a_price(spark):
 def test_category_index_keeps_categories_without_a_past(spark):
     got = category_index(history(spark, (100,)), product(spark, "a"), T0).collect()
     assert got[0]["product_count"] == 1 and got[0]["prev_mean"] is None and got[0]["mean_change_pct"] is None
-
-
-def test_arima_recovers_an_ar_process():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    x = np.zeros(2000)
-    for t in range(1, 2000):
-        x[t] = 0.6 * x[t - 1] + rng.normal()
-    phi, theta, var = fit_arma(x)
-    assert abs(phi - 0.6) < 0.1 and abs(theta) < 0.1 and abs(var - 1) < 0.1
-    mean, se = arima_forecast(np.full(10, 5.0), 3)
-    assert (mean == 5).all() and (se == 0).all()
-
-
-def test_arma_likelihood_equals_that_of_the_whole_covariance():
-    import numpy as np
-
-    from pricelattice.operators.forecast import ar_forecast, log_likelihood
-
-    x = np.random.default_rng(1).normal(size=40).cumsum() * 0.3
-    for phi, theta in ((0.5, 0.3), (-0.7, 0.2), (0.9, -0.4), (0.0, 0.6), (0.4, 0.0)):
-        psi = np.concatenate(([1.0], (phi + theta) * phi ** np.arange(400)))
-        cov = np.array([[(psi[: 401 - abs(i - j)] * psi[abs(i - j) :]).sum() for j in range(40)] for i in range(40)])
-        var = x @ np.linalg.solve(cov, x) / 40
-        want = -0.5 * (40 * np.log(2 * np.pi * var) + np.linalg.slogdet(cov)[1] + 40)
-        assert abs(log_likelihood(x, np.array([phi]), np.array([theta]))[0] - want) < 1e-6
-    phi, theta, _ = fit_arma(x)
-    grid = [log_likelihood(x, np.array([a]), np.array([b]))[0] for a in np.linspace(-0.97, 0.97, 60) for b in np.linspace(-0.97, 0.97, 60)]
-    assert log_likelihood(x, np.array([phi]), np.array([theta]))[0] >= max(grid) - 1e-3
-    mean, se = ar_forecast(10 + x, 5)
-    assert (np.diff(np.abs(mean - (10 + x.mean()))) <= 0).all() and (np.diff(se) >= 0).all()
-    with pytest.raises(ValueError):
-        ar_forecast(np.array([np.nan]), 2)
