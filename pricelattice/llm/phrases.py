@@ -25,7 +25,7 @@ from .scratch import drop, stored
 from .words import SPACES, mix, pieces, same_words, word_bounds, word_hashes
 
 #: Bytes of text that are read together, and of a shard; a piece between delimiters is never cut.
-PIECE_BYTES, SHARD_BYTES = 4 << 20, 6 << 20
+PIECE_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
 #: Cells of a range of the sketch (2 to this power), and the most ranges.
 RANGE_BITS, MOST_RANGES = 22, 1 << 16
 #: Parts of a hot phrase's rows in joins.
@@ -65,7 +65,10 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made += 1
         data = np.frombuffer(text, np.uint8)
         n = len(word_bounds(data, np.array([0, len(data)]), ~SPACES)[0])
-        return pa.RecordBatch.from_pydict({"shard": [f"{TaskContext.get().partitionId()}-{made}"], "lang": [lang], "n_words": pa.array([n], pa.int64()), "text": pa.array([text], pa.binary())})
+        name = f"{TaskContext.get().partitionId()}-{made}"
+        return pa.RecordBatch.from_pydict({
+            "shard": [name], "lang": [lang], "n_words": pa.array([n], pa.int64()), "size": pa.array([len(text)], pa.int64()), "text": pa.array([pa.compress(text, "zstd", asbytes=True)], pa.binary())
+        })
 
     def flush(lang: str) -> Iterator[pa.RecordBatch]:
         text = plain_pieces(b"\n".join(held.pop(lang)))
@@ -84,6 +87,10 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(lang)
 
 
+def _text_of(rows: pa.RecordBatch | pa.Table, i: int) -> bytes:
+    return pa.decompress(rows.column("text")[i].as_py(), rows.column("size")[i].as_py(), "zstd", asbytes=True)
+
+
 def _phrases(text: bytes, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each size: the size, where its phrases begin (numbers of words), their numbers (equal ones, and only these, have one) and hashes, and the
     words' starts and ends."""
@@ -96,18 +103,19 @@ def _phrases(text: bytes, longest: int) -> Iterator[tuple[int, np.ndarray, np.nd
     if not same_words(data, starts, ends, data, starts[once][number], ends[once][number]).all():  # two words of one hash
         known: dict[bytes, int] = {}
         number = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())])
-    piece = np.cumsum(data == 0x0A)[starts]
-    n, width = number.astype(np.int64), int(number.max()) + 1
-    at, h, own = np.arange(len(starts)), mix(hashes), number.astype(np.int64)
+    piece = np.searchsorted(np.flatnonzero(data == 0x0A), starts).astype(np.int32)
+    n, width = number.astype(np.int32), int(number.max()) + 1
+    at, h, own = np.arange(len(starts), dtype=np.int32), mix(hashes), n
+    del once, number, data
     yield 1, at, own, h, starts, ends
     for size in range(2, longest + 1):
-        keep = np.flatnonzero(at + size - 1 < len(starts))
+        keep = np.flatnonzero(at + size - 1 < len(starts)).astype(np.int32)
         keep = keep[piece[at[keep]] == piece[at[keep] + size - 1]]
         at = at[keep]
         if not len(at):
             return
         h = mix(h[keep] * _ODD ^ hashes[at + size - 1])
-        own = np.unique(own[keep] * width + n[at + size - 1], return_inverse=True)[1]
+        own = np.unique(own[keep].astype(np.int64) * width + n[at + size - 1], return_inverse=True)[1].astype(np.int32)
         yield size, at, own, h, starts, ends
 
 
@@ -125,11 +133,13 @@ def _sketcher(bits: int, longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                parts = [_cells(h, lang, bits) for _, _, _, h, _, _ in _phrases(text, longest)]
+            for i in range(batch.num_rows):
+                shard, lang = (batch.column(c)[i].as_py() for c in ("shard", "lang"))
+                parts = [_cells(h, lang, bits) for _, _, _, h, _, _ in _phrases(_text_of(batch, i), longest)]
                 if not parts:
                     continue
                 cells, counts = np.unique(np.concatenate(parts), return_counts=True)
+                del parts
                 of = cells >> low
                 heads = np.flatnonzero(np.diff(of, prepend=-1))
                 stops = np.append(heads[1:], len(cells))
@@ -163,37 +173,37 @@ def _sketcher(bits: int, longest: int):
 def _counter(bits: int, low: int, longest: int):
     def count(shards: pa.Table, found: pa.Table) -> pa.Table:
         """One shard: its phrases in frequent cells, compiled and counted."""
-        rows = []
         got = found.to_pydict()
         live = np.concatenate([np.zeros(0, np.int64), *[unpack_keys(c) + (r << low) for r, c in zip(got["range"], got["cells"])]])
         live.sort()
-        for lang, text in zip(shards.column("lang").to_pylist(), shards.column("text").to_pylist()):
-            rows += _counted(text, lang, live, bits, longest)
-        lang, size, phrase, n = zip(*rows) if rows else ((), (), (), ())
-        return pa.table({"lang": pa.array(lang, pa.string()), "size": pa.array(size, pa.int32()), "phrase": pa.array(phrase, pa.string()), "n": pa.array(n, pa.int64())})
+        lang = shards.column("lang")[0].as_py() if shards.num_rows else ""
+        keys, sizes, counts = _counted(_text_of(shards, 0), lang, live, bits, longest) if shards.num_rows else ([], [], [])
+        return pa.table({
+            "lang": pa.array([lang] * len(keys), pa.string()), "size": pa.array(sizes, pa.int32()), "phrase": pa.array([k[1:-1] for k in keys], pa.string()), "n": pa.array(counts, pa.int64())
+        })
 
     return count
 
 
-def _counted(text: bytes, lang: str, live: np.ndarray, bits: int, longest: int) -> list[tuple]:
+def _counted(text: bytes, lang: str, live: np.ndarray, bits: int, longest: int) -> tuple[list[str], list[int], np.ndarray]:
+    """The phrases of a shard in the cells ``live``, a blank before and after each, their sizes, and how often they occur."""
     keys: list[str] = []
     sizes: list[int] = []
     for size, at, own, hashes, starts, ends in _phrases(text, longest):
         cells = _cells(hashes, lang, bits)
         near = np.searchsorted(live, cells)
-        hit = np.flatnonzero((near < len(live)) & (live[np.minimum(near, len(live) - 1)] == cells)) if len(live) else np.zeros(0, np.int64)
+        hit = np.flatnonzero(live[np.minimum(near, len(live) - 1)] == cells) if len(live) else np.zeros(0, np.int64)
         first = at[hit[np.unique(own[hit], return_index=True)[1]]]
         # Words of a piece stand between single blanks, so a phrase is one slice.
         keys += [text[a:b].decode() for a, b in zip((starts[first] - 1).tolist(), (ends[first + size - 1] + 1).tolist())]
         sizes += [size] * len(first)
     if not keys:
-        return []
+        return keys, sizes, np.zeros(0, np.int64)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i, key in enumerate(keys):
         automaton.add_word(key, i)
     automaton.make_automaton()
-    counts = np.bincount(np.fromiter((i for _, i in automaton.iter(text.decode())), np.int64), minlength=len(keys))
-    return [(lang, s, k[1:-1], c) for s, k, c in zip(sizes, keys, counts.tolist())]
+    return keys, sizes, np.bincount(np.fromiter((i for _, i in automaton.iter(text.decode())), np.int64), minlength=len(keys))
 
 
 def phrase_counts(docs: DataFrame, *, least: int = 10, longest: int = 3, lang_col: str = "lang", text_col: str = "text", bits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -205,14 +215,14 @@ def phrase_counts(docs: DataFrame, *, least: int = 10, longest: int = 3, lang_co
     empty table gives empty results.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shards = stored(rows.mapInArrow(_sharded, "shard string, lang string, n_words long, text binary"), "shards")
+    shards = stored(rows.mapInArrow(_sharded, "shard string, lang string, n_words long, size long, text binary"), "shards")
     words = shards.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0")
     total = shards.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     bits = bits or max(16, int(2 * total).bit_length())
     low, sketch, frequent = _sketcher(bits, longest)
-    cells = shards.select("shard", "lang", "text").mapInArrow(sketch, "shard string, range long, cells binary, counts binary")
+    cells = shards.select("shard", "lang", "size", "text").mapInArrow(sketch, "shard string, range long, cells binary, counts binary")
     found = cells.groupBy("range").applyInArrow(frequent(least), "shard string, range long, cells binary")
-    counted = shards.select("shard", "lang", "text").groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(
+    counted = shards.select("shard", "lang", "size", "text").groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(
         _counter(bits, low, longest), "lang string, size int, phrase string, n long"
     )
     counts = stored(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
@@ -241,17 +251,21 @@ def collocations(docs: DataFrame, *, least: int = 10, longest: int = 3, inside_p
     cuts = cands.select(
         "lang", "phrase", "a",
         F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.struct(k.alias("k"), part(F.col("w"), F.lit(1), k).alias("left"), part(F.col("w"), k + 1, F.col("size") - k).alias("right")))).alias("cut"),
-    ).select("lang", "phrase", "a", "cut.*", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt"))
+    ).select("lang", "phrase", "a", "cut.*")
     # A frequent word begins or ends many phrases: its one row is repeated for each part of them.
-    copies = counts.select("lang", "phrase", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    zero, salts = F.lit(0).cast("long"), F.lit(SALTS).cast("long")
+    copies = counts.select("lang", "phrase", "n", F.explode(F.when(F.col("size") == 1, F.sequence(zero, salts - 1)).otherwise(F.array(zero))).alias("salt"))
     for side, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(copies.select("lang", F.col("phrase").alias(side), "salt", F.col("n").alias(name)), ["lang", side, "salt"])
+        salted = cuts.withColumn("salt", F.when(F.contains(side, F.lit(" ")), zero).otherwise(F.pmod(F.xxhash64("phrase"), salts)))
+        cuts = salted.join(copies.select("lang", F.col("phrase").alias(side), "salt", F.col("n").alias(name)), ["lang", side, "salt"]).drop("salt")
     scored = cuts.withColumn("score", _ratio(F.col("a"), F.col("l"), F.col("r")))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
     whole = cands.where("size >= 3").select("lang", "size", "w", "a")
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: part(F.col("w"), i, n))))
     inside = whole.select("lang", "a", F.explode(spans).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = best.join(inside, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < inside_percent * F.col("a"), F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), "phrase")
-    top = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    order = [F.desc("b.score"), F.desc("a"), "phrase"]
+    # The best of each part of a language first, so that one task sees SALTS * most rows of it at most.
+    some = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
+    top = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
     return top.join(words, "lang").select("lang", "rank", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), "n", F.col("b.score").alias("score"))
