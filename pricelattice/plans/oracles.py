@@ -327,6 +327,11 @@ ORACLES["api_product_detail"] = f"""WITH {_E} SELECT p.product_id, name, categor
   p.is_active, price AS current_price FROM active p LEFT JOIN ph ON ph.product_id = p.product_id AND is_actual WHERE p.product_id = 14"""
 ORACLES["api_inactive"] = f"WITH {_E} SELECT product_id, name, category FROM product WHERE NOT is_active"
 
+ORACLES["crawl_statuses"] = """SELECT p_brand AS category, CASE WHEN p_brand = 'Brand#55' THEN 'skipped' WHEN p_brand = 'Brand#13' THEN 'empty' ELSE 'ok' END AS status,
+  CASE WHEN p_brand IN ('Brand#55', 'Brand#13') THEN 0 ELSE count(*) END AS parsed FROM part GROUP BY p_brand"""
+ORACLES["crawl_counts"] = """SELECT CAST(1 AS INTEGER) AS crawl, count(*) AS created, 0::BIGINT AS updated, count(*) AS saved, 0::BIGINT AS unchanged, 0::BIGINT AS anomalies FROM part WHERE p_brand <> 'Brand#55'
+UNION ALL SELECT 2, 0, count(*), count(*) FILTER (p_partkey % 4 = 0), count(*) FILTER (p_partkey % 4 <> 0), 0 FROM part WHERE p_brand NOT IN ('Brand#55', 'Brand#13')"""
+
 #: Decimal columns, which leave as doubles.
 _DECIMALS = {
     "latest_price": "price", "price_history": "price delta", "best_deals": "current_price min_price", "best_deals_lineitem": "current_price min_price",

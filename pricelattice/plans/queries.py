@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -304,6 +304,7 @@ def price_log_merge(spark, d):
     arrivals = views.read(spark, d, "events").select(
         F.col("user_id").alias("product_id"), (F.floor(F.col("value") / 10) * 10).cast("long").alias("price"), F.col("ts"), F.col("event_id").alias("arrival")
     )
+    arrivals = arrivals.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     third = F.lit(views.newest(arrivals, "arrival") // 3)
     table = merge.price_log(spark, shared_folder(spark, "log"), 8)
     table.create(ingest.change_log(arrivals.where(F.col("arrival") <= third)).select("product_id", "price", "ts", "arrival", "is_actual", "old_price"))
@@ -465,6 +466,34 @@ def card_extract(spark, d):
     return found.select("p_brand", "card_no", "name", F.col("price").cast("double").alias("price"), F.col("old_price").cast("double").alias("old_price"), "vendor_code", "image_url")
 
 
+def _crawls(spark, d) -> tuple[jobs.CrawlResult, jobs.CrawlResult]:
+    """Two crawls of the brands' list pages, a day apart; at the second every fourth part costs 5 more, and one brand's page has no cards."""
+    chosen = files.Selectors(name=("title",), price=("now",), old_price=("was",), code=("sku",))
+    found = files.extract_products(files.split_cards(_list_pages(spark, d), "card"), chosen)
+    code = F.col("vendor_code").cast("long")
+    cards = found.select(F.col("p_brand").alias("category"), F.concat("url", F.lit("/"), "vendor_code").alias("url"), "name", "price", "old_price", "vendor_code", "image_url", code.alias("arrival"))
+    cards = cards.unionByName(cards.where("arrival % 7 = 0").withColumn("price", F.lit(1).cast("long")).withColumn("arrival", F.col("arrival") + 1_000_000_000))  # seen again further down
+    folder = shared_folder(spark, "shop")
+    shop = jobs.Shop(merge.product_table(spark, f"{folder}/products", 8), merge.price_log(spark, f"{folder}/log", 8), f"{folder}/anomalies")
+    shop.products.create(spark.createDataFrame([], merge.PRODUCTS))
+    shop.log.create(spark.createDataFrame([], merge.LOG))
+    kinds = views.lineitem_view(spark, d).category
+    first = jobs.crawl_job(shop, cards, kinds, datetime(2024, 1, 1))
+    dearer = cards.where("category <> 'Brand#13'").withColumn("price", F.when(F.col("arrival") % 4 == 0, F.col("price") + 5).otherwise(F.col("price")))
+    return first, jobs.crawl_job(shop, dearer, kinds, datetime(2024, 1, 2))
+
+
+@query
+def crawl_statuses(spark, d):
+    return _crawls(spark, d)[1].categories
+
+
+@query
+def crawl_counts(spark, d):
+    rows = [(i, c.created, c.updated, c.saved, c.unchanged, c.anomalies) for i, c in enumerate(_crawls(spark, d), 1)]
+    return spark.createDataFrame(rows, "crawl int, created long, updated long, saved long, unchanged long, anomalies long")
+
+
 @query
 def page_blocked(spark, d):
     h = F.col("html")

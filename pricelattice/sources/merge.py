@@ -15,12 +15,14 @@ BUCKET = "_bucket"
 
 @dataclass
 class MergeTable:
-    """A table at ``path`` whose rows are found by ``keys``, in ``buckets`` folders. All tables of one path take the same keys and number."""
+    """A table at ``path`` whose rows are found by ``keys``, in ``buckets`` folders. All users of one path take the same keys and number. A table that may be empty
+    needs its ``schema`` (DDL), as it has no file to tell."""
 
     spark: SparkSession
     path: str
     keys: tuple[str, ...]
     buckets: int = 64
+    schema: str | None = None
 
     def _dealt(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
@@ -33,15 +35,19 @@ class MergeTable:
         """Write ``df`` as the whole table."""
         self._dealt(df).repartition(BUCKET).write.partitionBy(BUCKET).parquet(self.path)
 
+    def _stored(self) -> DataFrame:
+        reader = self.spark.read
+        return (reader.schema(f"{self.schema}, {BUCKET} int") if self.schema else reader).parquet(self.path)
+
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop(BUCKET)
+        return self._stored().drop(BUCKET)
 
     def merge(self, new: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         """Replace the buckets that rows of ``new`` fall into by ``combine(old rows there, new)``, and return them. ``combine`` keeps keys in their bucket and
         removes none. A merge that breaks off leaves each bucket old or new; where ``combine`` gives the same on its own result, running it again completes it."""
         touched = sorted(r[0] for r in self._dealt(new).select(BUCKET).distinct().collect())  # numbers of buckets
         if touched:
-            old = self.spark.read.parquet(self.path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+            old = self._stored().where(F.col(BUCKET).isin(touched)).drop(BUCKET)
             self._write(combine(old, new).select(old.columns))
         return touched
 
@@ -59,14 +65,23 @@ class MergeTable:
 
     def _known(self, new: DataFrame) -> dict[str, int]:
         touched = [r[0] for r in self._dealt(new).select(BUCKET).distinct().collect()]
-        old = self.spark.read.parquet(self.path).where(F.col(BUCKET).isin(touched)).select(*self.keys, F.lit(True).alias("_known"))
+        old = self._stored().where(F.col(BUCKET).isin(touched)).select(*self.keys, F.lit(True).alias("_known"))
         n = new.join(old, list(self.keys), "left").agg(F.count_if(F.col("_known").isNull()).alias("created"), F.count("_known").alias("updated")).first()
         return n.asDict()
 
 
+LOG = "product_id long, price long, ts timestamp_ntz, arrival long, is_actual boolean, old_price long"
+PRODUCTS = "url string, name string, category string, vendor_code string, image_url string, last_parsed_at timestamp_ntz, slug string, product_id long, is_active boolean"
+
+
 def price_log(spark: SparkSession, path: str, buckets: int = 64) -> MergeTable:
-    """The price log by product: product_id, price, ts, arrival, is_actual, old_price."""
-    return MergeTable(spark, path, ("product_id",), buckets)
+    """The price log by product."""
+    return MergeTable(spark, path, ("product_id",), buckets, LOG)
+
+
+def product_table(spark: SparkSession, path: str, buckets: int = 64) -> MergeTable:
+    """Products by url."""
+    return MergeTable(spark, path, ("url",), buckets, PRODUCTS)
 
 
 def append_prices(table: MergeTable, arrivals: DataFrame) -> list[int]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.detect import first_of_runs
+from ..sources.sinks import exists
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -93,11 +94,6 @@ def stream_anomalies_once(stream: DataFrame, late: str = "1 hour", hours: int =
     )
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 #: What each batch of alerts leaves, a folder each: the alerts, and the subscriptions that they switch off.
 ALERTS, OFF = "user_id long, product_id long, current_price decimal(12,2), target_price decimal(12,2)", "user_id long, product_id long"
 
@@ -105,7 +101,7 @@ ALERTS, OFF = "user_id long, product_id long, current_price decimal(12,2), targe
 def _batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All batches' rows of one output, with their ``batch``."""
     schema += ", batch long"
-    return spark.read.schema(schema).parquet(path) if _there(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def alert_batch(subscriptions: DataFrame, folder: str):
