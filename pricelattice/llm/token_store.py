@@ -55,7 +55,7 @@ class WordEncoder:
     For such a tokenizer the ids of a text are those of its parts between ASCII white space in turn, whatever else they hold; a single comma or
     full stop after a Latin letter at the end of a part is a part of its own. Each distinct part is encoded once, and ids are
     gathered by part. Parts are found by 64-bit hashes and confirmed byte for byte, A-Z lower-cased; one that only shares another's hash
-    is encoded by itself. ``most`` bounds the parts remembered between batches.
+    is encoded by itself, as is one with an added token (``<|endoftext|>``, in whatever case). ``most`` bounds the parts remembered between batches.
     """
 
     def __init__(self, path: str, most: int = 600_000, joined: int = 64) -> None:
@@ -63,6 +63,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.joined = most, joined
+        self.added = sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         #: Tokens that end a word. A word of letters is one pre-token, so it has one of these, as its last.
         self.ends = np.zeros(1 << 17, dtype=bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
@@ -89,10 +90,14 @@ class WordEncoder:
         which = self.place[k][back]
         flat, sizes = self.flat, self.sizes
         sure = same_words(data, starts, ends, self.bytes, np.concatenate(([0], self.stops))[which], self.stops[which])
+        sure[self._holding_added(data, starts)] = False
         if not sure.all():
             odd = np.flatnonzero(~sure)
-            apart = self._ids([w.decode() for w in self._words(data, starts[odd], ends[odd])])
-            which[odd] = len(sizes) + np.arange(len(odd))
+            raw = data.tobytes()
+            words = [raw[s:e] for s, e in zip(starts[odd].tolist(), ends[odd].tolist())]
+            own = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            apart = self._ids([w.decode() for w in own])
+            which[odd] = len(sizes) + np.array([own[w] for w in words])
             flat = np.concatenate([flat, np.fromiter(chain.from_iterable(apart), np.uint32)])
             sizes = np.concatenate([sizes, np.fromiter(map(len, apart), np.int64, len(apart))])
         n = sizes[which]
@@ -101,6 +106,16 @@ class WordEncoder:
         stops = upto[first[1:]]
         return np.insert(ids, stops, np.uint32(end_id)), np.diff(np.concatenate(([0], stops))) + 1
 
+    def _holding_added(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The parts that hold an added token in any case. These tokens are found before lower-casing, so such parts are encoded as they stand."""
+        low, found = lowered(data).tobytes(), []
+        for token in self.added:
+            at = low.find(token)
+            while at >= 0:
+                found.append(at)
+                at = low.find(token, at + 1)
+        return np.searchsorted(starts, np.array(found, np.int64), "right") - 1
+
     @staticmethod
     def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         low = lowered(data).tobytes()

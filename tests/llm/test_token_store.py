@@ -45,6 +45,17 @@ def test_ids_are_those_of_whole_texts(texts):
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+_ADDED = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|endoftext|", "<|end", "|>", "<|", "\u017ftartoftext|>", "a", "B", "é", " ", "\n", ".", ",", "'s", "7"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_ADDED), max_size=8).map("".join), min_size=1, max_size=4))
+def test_added_tokens_in_any_case(texts):
+    ids, counts = ENCODER.encode(pa.array(texts, pa.string()), 2)
+    want = [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
 def test_parts_with_one_hash_keep_their_own_ids(monkeypatch):
     monkeypatch.setattr(ts, "word_hashes", lambda data, starts, ends, seed=0: np.full(len(starts), 7, np.uint64))
     encoder = ts.WordEncoder(PATH)
