@@ -90,9 +90,12 @@ def test_token_stage(tables):
 
 @pytest.mark.parametrize("name", list(STAGES)[:-1])
 def test_stages_with_odd_rows(spark, name):
-    """NULL ids and texts, empty and repeated rows, clashing names; and no row at all."""
+    """NULL ids and texts, empty and repeated rows, clashing names, columns of any type; and no row at all."""
     rows = [(None, "a b c", "x"), (None, None, "x"), (1, "", "x"), (1, "", "x"), (2, "word " * 3000, None), (3, "A b  c\nd", "x"), (3, "other text here", "x"), (4, None, None)]
-    docs = spark.createDataFrame([(*r, 0, 1.5, "k", [1]) for r in rows], "doc_id long, text string, lang string, row int, _rate double, _y string, posteriors array<int>")
+    docs = spark.createDataFrame(
+        [(*r, 0, 1.5, "k", [1], {"a": 1, "b": None}, (1, {"x": "y"})) for r in rows],
+        "doc_id long, text string, lang string, row int, _rate double, _y string, posteriors array<int>, all map<string,int>, nested struct<a:int,b:map<string,string>>",
+    )
     out = STAGES[name](spark, docs, DATA)
     assert out.columns == docs.columns
     got = [r for r in out.collect()]
