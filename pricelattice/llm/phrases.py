@@ -28,8 +28,8 @@ from .words import SPACES, mix, pieces, same_words, word_bounds, word_hashes
 PIECE_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
 #: Cells of a range of the sketch (2 to this power), and the most ranges.
 RANGE_BITS, MOST_RANGES = 22, 1 << 16
-#: Parts of a hot phrase's rows in joins.
-SALTS = 16
+#: Parts of a hot phrase's rows in joins; shards that are counted in one task, if they are of one language.
+SALTS, GROUP = 16, 16
 
 #: Bytes as shards hold them: A-Z lower-cased, blanks between words, line ends between pieces.
 _PLAIN = bytes.maketrans(bytes(range(0x41, 0x5B)) + b"\t.,;:!?\x0b\x0c\r", bytes(range(0x61, 0x7B)) + b" " + b"\n" * 9)
@@ -144,7 +144,7 @@ def _sketcher(bits: int, longest: int):
                 heads = np.flatnonzero(np.diff(of, prepend=-1))
                 stops = np.append(heads[1:], len(cells))
                 yield pa.RecordBatch.from_pydict({
-                    "shard": [shard] * len(heads), "range": pa.array(of[heads], pa.int64()),
+                    "shard": [shard] * len(heads), "lang": [lang] * len(heads), "range": pa.array(of[heads], pa.int64()),
                     "cells": pa.array([pack_keys(cells[a:b] - (of[a] << low)) for a, b in zip(heads.tolist(), stops.tolist())], pa.binary()),
                     "counts": pa.array([pack(counts[a:b]) for a, b in zip(heads.tolist(), stops.tolist())], pa.binary()),
                 })
@@ -161,7 +161,7 @@ def _sketcher(bits: int, longest: int):
             hits = [k[total[k] >= least] for k in keys]
             live = [i for i, k in enumerate(hits) if len(k)]
             return pa.table({
-                "shard": pa.array([rows["shard"][i] for i in live], pa.string()), "range": pa.array([rows["range"][i] for i in live], pa.int64()),
+                "shard": pa.array([rows["shard"][i] for i in live], pa.string()), "lang": pa.array([rows["lang"][i] for i in live], pa.string()), "range": pa.array([rows["range"][i] for i in live], pa.int64()),
                 "cells": pa.array([pack_keys(hits[i]) for i in live], pa.binary()),
             })
 
@@ -171,18 +171,25 @@ def _sketcher(bits: int, longest: int):
 
 
 def _counter(bits: int, low: int, longest: int):
-    def count(shards: pa.Table, found: pa.Table) -> pa.Table:
-        """One shard: its phrases in frequent cells, compiled and counted."""
-        got = found.to_pydict()
-        live = np.concatenate([np.zeros(0, np.int64), *[unpack_keys(c) + (r << low) for r, c in zip(got["range"], got["cells"])]])
-        live.sort()
-        lang = shards.column("lang")[0].as_py() if shards.num_rows else ""
-        keys, sizes, counts = _counted(_text_of(shards, 0), lang, live, bits, longest) if shards.num_rows else ([], [], [])
-        return pa.table({
-            "lang": pa.array([lang] * len(keys), pa.string()), "size": pa.array(sizes, pa.int32()), "phrase": pa.array([k[1:-1] for k in keys], pa.string()), "n": pa.array(counts, pa.int64())
-        })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's frequent cells, then its text: the phrases in those cells, compiled and counted."""
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, cells = (batch.column(c)[i].as_py() for c in ("range", "cells"))
+                if cells is not None:
+                    held.append(unpack_keys(cells) + (at << low))
+                    continue
+                if held:
+                    live, lang = np.sort(np.concatenate(held)), batch.column("lang")[i].as_py()
+                    held = []
+                    keys, sizes, counts = _counted(_text_of(batch, i), lang, live, bits, longest)
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": pa.array([lang] * len(keys), pa.string()), "size": pa.array(sizes, pa.int32()), "phrase": pa.array([k[1:-1] for k in keys], pa.string()),
+                        "n": pa.array(counts, pa.int64()),
+                    })
 
-    return count
+    return run
 
 
 def _counted(text: bytes, lang: str, live: np.ndarray, bits: int, longest: int) -> tuple[list[str], list[int], np.ndarray]:
@@ -192,7 +199,7 @@ def _counted(text: bytes, lang: str, live: np.ndarray, bits: int, longest: int)
     for size, at, own, hashes, starts, ends in _phrases(text, longest):
         cells = _cells(hashes, lang, bits)
         near = np.searchsorted(live, cells)
-        hit = np.flatnonzero(live[np.minimum(near, len(live) - 1)] == cells) if len(live) else np.zeros(0, np.int64)
+        hit = np.flatnonzero(live[np.minimum(near, len(live) - 1)] == cells)
         first = at[hit[np.unique(own[hit], return_index=True)[1]]]
         # Words of a piece stand between single blanks, so a phrase is one slice.
         keys += [text[a:b].decode() for a, b in zip((starts[first] - 1).tolist(), (ends[first + size - 1] + 1).tolist())]
@@ -217,14 +224,16 @@ def phrase_counts(docs: DataFrame, *, least: int = 10, longest: int = 3, lang_co
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     shards = stored(rows.mapInArrow(_sharded, "shard string, lang string, n_words long, size long, text binary"), "shards")
     words = shards.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0")
-    total = shards.agg(F.sum("n_words").alias("n")).first()["n"] or 0
-    bits = bits or max(16, int(2 * total).bit_length())
+    made = shards.agg(F.sum("n_words").alias("words"), F.count("*").alias("shards")).first()
+    bits = bits or max(16, int(2 * (made["words"] or 0)).bit_length())
     low, sketch, frequent = _sketcher(bits, longest)
-    cells = shards.select("shard", "lang", "size", "text").mapInArrow(sketch, "shard string, range long, cells binary, counts binary")
-    found = cells.groupBy("range").applyInArrow(frequent(least), "shard string, range long, cells binary")
-    counted = shards.select("shard", "lang", "size", "text").groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(
-        _counter(bits, low, longest), "lang string, size int, phrase string, n long"
-    )
+    cells = shards.select("shard", "lang", "size", "text").mapInArrow(sketch, "shard string, lang string, range long, cells binary, counts binary")
+    found = cells.groupBy("range").applyInArrow(frequent(least), "shard string, lang string, range long, cells binary")
+    # A few shards of one language come to one task, each shard's cells before its text, so that what they share is added up there.
+    both = shards.select("shard", "lang", "size", "text").unionByName(found, allowMissingColumns=True)
+    dealt = both.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(max(1, made["shards"] // GROUP)))).repartition("lang", "group")
+    ordered = dealt.sortWithinPartitions("lang", "group", "shard", F.col("cells").isNull()).select("lang", "range", "cells", "size", "text")
+    counted = ordered.mapInArrow(_counter(bits, low, longest), "lang string, size int, phrase string, n long")
     counts = stored(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
     words = stored(words, "words")
     drop(shards)
@@ -249,16 +258,16 @@ def collocations(docs: DataFrame, *, least: int = 10, longest: int = 3, inside_p
     part = lambda c, a, n: F.array_join(F.slice(c, a, n), " ")
     cands = counts.where("size >= 2").select("lang", "size", "phrase", F.col("n").alias("a"), w.alias("w"))
     cuts = cands.select(
-        "lang", "phrase", "a",
+        "lang", "a",
         F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.struct(k.alias("k"), part(F.col("w"), F.lit(1), k).alias("left"), part(F.col("w"), k + 1, F.col("size") - k).alias("right")))).alias("cut"),
-    ).select("lang", "phrase", "a", "cut.*")
+    ).select("lang", "a", "cut.*")
     # A frequent word begins or ends many phrases: its one row is repeated for each part of them.
     zero, salts = F.lit(0).cast("long"), F.lit(SALTS).cast("long")
     copies = counts.select("lang", "phrase", "n", F.explode(F.when(F.col("size") == 1, F.sequence(zero, salts - 1)).otherwise(F.array(zero))).alias("salt"))
-    for side, name in (("left", "l"), ("right", "r")):
-        salted = cuts.withColumn("salt", F.when(F.contains(side, F.lit(" ")), zero).otherwise(F.pmod(F.xxhash64("phrase"), salts)))
+    for side, other, name in (("left", "right", "l"), ("right", "left", "r")):
+        salted = cuts.withColumn("salt", F.when(F.contains(side, F.lit(" ")), zero).otherwise(F.pmod(F.xxhash64(other), salts)))
         cuts = salted.join(copies.select("lang", F.col("phrase").alias(side), "salt", F.col("n").alias(name)), ["lang", side, "salt"]).drop("salt")
-    scored = cuts.withColumn("score", _ratio(F.col("a"), F.col("l"), F.col("r")))
+    scored = cuts.select("lang", F.concat_ws(" ", "left", "right").alias("phrase"), "a", "k", "l", "r", _ratio(F.col("a"), F.col("l"), F.col("r")).alias("score"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
     whole = cands.where("size >= 3").select("lang", "size", "w", "a")
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: part(F.col("w"), i, n))))
