@@ -36,3 +36,20 @@ def padded(text: Column, width: int) -> Column:
 
 def date_text(ts: Column, style: str = DAY) -> Column:
     return F.date_format(ts, style)
+
+
+def iso_text(ts: Column) -> Column:
+    """A time as ISO 8601 text in UTC, with microseconds where it has any."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(ts, "SSSSSS")
+    return F.concat(whole, F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+
+
+def iso_time(text: Column) -> Column:
+    """The time that ISO 8601 text names, as UTC without a zone: with an offset (``+03:00`` or ``Z``) moved by it, without one as it stands; NULL where it names none."""
+    t = F.trim(text)
+    zone = F.regexp_extract(t, r"(Z|[+-]\d{2}:?\d{2})$", 1)
+    plain = F.regexp_replace(t, r"(?:Z|(?<=[T ].{5,30})[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+    digits = F.regexp_replace(zone, ":", "")
+    minutes = F.when(digits.isin("", "Z"), 0).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("1")).try_cast("int") * (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")))
+    return plain - F.make_dt_interval(mins=minutes)

@@ -28,6 +28,11 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, r"[-\s]+", "-"), r"^[-_]+|[-_]+$", "")
 
 
+def default_slug(slug: Column, name: Column) -> Column:
+    """A given slug, or the name's where it is NULL or empty."""
+    return F.coalesce(F.nullif(slug, F.lit("")), slugify(name))
+
+
 def product_slug(name: Column, vendor_code: Column, url: Column) -> Column:
     """Name (420), vendor code (80) and the URL's digest (12), joined by hyphens, 500 characters at most (fixed values)."""
     parts = [F.substring(slugify(name), 1, 420), F.substring(slugify(vendor_code), 1, 80), F.substring(F.sha2(url, 256), 1, 12)]
@@ -68,10 +73,15 @@ def blocked_page(title: Column, html: Column) -> Column:
     )
 
 
+def search_terms(query: str) -> list[str]:
+    """The terms of a search: what stands between blanks and commas."""
+    return query.replace(",", " ").split()
+
+
 def matches_search(query: str, *fields: Column) -> Column:
     """Every term of the query is in some field, in any case."""
     cond = F.lit(True)
-    for term in query.replace(",", " ").split():
+    for term in search_terms(query):
         some = F.lit(False)
         for f in fields:
             some = some | F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lit(term.lower()))

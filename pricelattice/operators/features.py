@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import step_change
+from .rollup import settled
 
 ALL, STABLE, VOLATILE, RISING, FALLING = "all products", "stable", "volatile", "rising", "falling"
 
@@ -35,10 +36,11 @@ def product_features(history: DataFrame, product: DataFrame, least_rows: int = 3
 def cluster_products(features: DataFrame, k: int = 4, starts: int = 10, seed: int = 42) -> DataFrame:
     """K-means on scaled volatility, trend and largest step; the best of several starts. Clusters are named by their means: lowest volatility stable,
     highest volatile, others rising, falling or numbered; clusters of one name merge. Fewer than k products: one label."""
-    if features.limit(k).count() < k:
+    features = settled(features, "features")  # read by every fit and by the result
+    if features.count() < k:
         return features.withColumn("label", F.lit(ALL))
     vec = VectorAssembler(inputCols=["volatility", "trend", "max_change_pct"], outputCol="raw").transform(features)
-    scaled = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(vec).transform(vec).cache()
+    scaled = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(vec).transform(vec)
     fits = [KMeans(k=k, seed=seed + i, featuresCol="x", predictionCol="cluster").fit(scaled) for i in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     marked = best.transform(scaled)
@@ -49,5 +51,4 @@ def cluster_products(features: DataFrame, k: int = 4, starts: int = 10, seed: in
             STABLE if i == 0 else VOLATILE if i == len(means) - 1 else RISING if r["t"] > 0.02 else FALLING if r["t"] < -0.02 else f"cluster {r['cluster']}"
         )
     label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("cluster")]
-    scaled.unpersist()
     return marked.select(*features.columns, label.alias("label"))

@@ -11,6 +11,7 @@ from ..functions.formats import MINUTE, date_text
 from ..functions.labels import direction, heat_indicator, label_of
 from ..functions.series import current_point, current_rows, exact_medians, last_n, latest
 from .detect import window_start
+from .search import among
 
 
 def _day(ts: datetime) -> F.Column:
@@ -171,9 +172,11 @@ def price_history(history: DataFrame, product: DataFrame, product_id: int, limit
     return d.join(product.select("product_id", "name"), "product_id").select("product_id", "name", "ts", "price", "delta", pct.alias("delta_pct"))
 
 
-def find_product(product: DataFrame, text: str, most: int = 5) -> DataFrame:
-    """Products whose name holds ``text`` in any case, the first few by id: more than one means the name is not unique."""
-    return product.where(F.contains(F.lower("name"), F.lit(text.lower()))).orderBy("product_id").limit(most).select("product_id", "name")
+def find_product(product: DataFrame, text: str, most: int = 5, index: DataFrame | None = None) -> DataFrame:
+    """Products whose name holds ``text`` in any case, the first few by id: more than one means the name is not unique. ``index`` is a :func:`..operators.search.trigrams`
+    table that finds the products to look at."""
+    near = product if index is None else among(product, index, text)
+    return near.where(F.contains(F.lower("name"), F.lit(text.lower()))).orderBy("product_id").limit(most).select("product_id", "name")
 
 
 def one_product(product: DataFrame, *, product_id: int | None = None, slug: str | None = None, text: str | None = None, most: int = 5) -> int:

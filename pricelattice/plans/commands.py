@@ -8,8 +8,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formats import fixed, padded, percent
 from ..operators import features, forecast, reports, sensitivity
-from ..sources import files, sinks
+from ..sources import sinks
+from ..sources.merge import MergeTable
 from ..sources.views import PriceTables
 from . import jobs, snapshot
 
@@ -46,6 +48,18 @@ class Reports:
     def clusters(self, category: str | None = None, clusters: int = 4) -> DataFrame:
         return snapshot.clusters_payload(features.product_features(self.tables.history, self._products(category)), clusters)
 
+    def clusters_text(self, category: str | None = None, clusters: int = 4) -> DataFrame:
+        """The clusters as lines: a head for each, its 15 most volatile products, and how many more there are."""
+        rows = self.clusters(category, clusters)
+        item = lambda x: F.concat(
+            F.lit("  "), F.rpad(F.substring(x["name"], 1, 55), 55, " "), F.lit(" | mean "), padded(fixed(x["mean_price"]), 10), F.lit(" | volatility "), fixed(x["volatility"], 3),
+            F.lit(" | trend "), percent(x["trend"]), F.lit(" | records "), x["n_records"].cast("string"),
+        )
+        head = F.concat(F.lit("--- "), F.upper("label"), F.lit(" ("), F.col("products").cast("string"), F.lit(") ---"))
+        more = F.when(F.col("products") > snapshot.PRINTED_ITEMS, F.concat(F.lit("  ... and "), (F.col("products") - snapshot.PRINTED_ITEMS).cast("string"), F.lit(" more")))
+        lines = F.array_compact(F.concat(F.array(head), F.transform(F.slice("items", 1, snapshot.PRINTED_ITEMS), item), F.array(more)))
+        return rows.select("label", F.posexplode(lines).alias("at", "value")).orderBy("label", "at").select("value")
+
     def index(self, period: int = 7) -> DataFrame:
         return reports.category_index(self.tables.history, self.tables.product, self.tables.now, period, self.tables.category)
 
@@ -70,13 +84,20 @@ class Reports:
     def compare(self, ids: list[int], forecasts: DataFrame, days: int = 30) -> DataFrame:
         return reports.compare_products(self.tables.history, self.tables.product, forecasts, ids, self.tables.now, days)
 
-    def backfill(self, days: int) -> DataFrame:
-        """The days whose rates a backfill asks for."""
-        return files.backfill_days(self.tables.product.sparkSession, self.tables.now.date(), days)
+    def backfill(self, table: MergeTable, url: str, days: int, **options: str) -> int:
+        """Fetch the rates of the last ``days`` days into ``table``; how many are new."""
+        return jobs.backfill_rates(self.tables.product.sparkSession, table, url, days, **({"today": self.tables.now.date().isoformat()} | options))
 
-    def save_snapshot(self, path: str, kind: str = "full", period: int = 7, created_at: datetime | None = None) -> DataFrame:
+    def save_snapshot(
+        self, path: str, kind: str = "full", period: int = 7, category: str | None = None, clusters: int = 4, metrics_days: int = 7, deals_days: int = 30, created_at: datetime | None = None
+    ) -> DataFrame:
+        """Save a snapshot of a kind with the parameters that the kind has."""
         _one_of(kind, snapshot.KINDS)
-        row = snapshot.snapshot(self.tables, self.known, kind, created_at or self.tables.now, days=period)
+        given = {"period": period, "category": category} | {
+            "clusters": {"clusters": clusters}, "metrics": {"days": metrics_days}, "deals": {"days": deals_days, "limit": 100}, "anomalies": {"days": period},
+        }.get(kind, {})
+        given = {"period_days": period, "metrics_days": metrics_days, "deals_days": deals_days} if kind == "full" else given
+        row = snapshot.snapshot(self.tables, self.known, kind, created_at or self.tables.now, **given)
         sinks.append_rows(row, path)
         return row
 

@@ -294,8 +294,8 @@ UNION ALL SELECT 'currency_rates_latest', count(*), arg_min(currency, (-epoch(da
     "latest_rates": f"WITH {_E} SELECT currency, date, rate FROM rates ORDER BY date DESC, currency LIMIT 9",
     "list_snapshots": f"""WITH {_E} SELECT kind, now - CAST(h AS INTEGER) * INTERVAL 1 HOUR AS created_at, summary FROM (
   SELECT 'index' AS kind, 0 AS h, '{{"rows":' || CAST((SELECT count(DISTINCT category) FROM product JOIN cats ON kind = category AND open WHERE product_id IN (SELECT product_id FROM ph)) AS VARCHAR) || '}}' AS summary
-  UNION ALL SELECT 'deals', 1, '{{"rows":' || CAST((SELECT count(*) FROM ({_deals(30, 100)})) AS VARCHAR) || '}}'
-  UNION ALL SELECT 'anomalies', 2, '{{"rows":' || CAST((SELECT count(*) FROM (WITH {_FULL}, r AS (SELECT an.* FROM an, now WHERE ts >= now - INTERVAL 7 DAY) SELECT severity FROM r GROUP BY severity UNION ALL SELECT anomaly_type FROM r GROUP BY anomaly_type)) AS VARCHAR) || '}}'), now""",
+  UNION ALL SELECT 'deals', 1, '{{"count":' || CAST((SELECT count(*) FROM ({_deals(30, 100)})) AS VARCHAR) || '}}'
+  UNION ALL SELECT 'anomalies', 2, '{{"total":' || CAST((SELECT count(*) FROM (WITH {_FULL}, r AS (SELECT an.* FROM an, now WHERE ts >= now - INTERVAL 7 DAY) SELECT * FROM r)) AS VARCHAR) || ',"days":7}}'), now""",
     "stream_change_log": f"WITH {_CHANGES} SELECT product_id, price, arrival FROM k",
     "stream_daily_last": """SELECT user_id AS product_id, CAST(ts AS DATE) AS date, arg_max(CAST(floor(value / 10) * 10 AS BIGINT), (ts, event_id)) AS price FROM events, (SELECT max(ts) AS now FROM events)
 WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= now - INTERVAL 1 DAY GROUP BY user_id, CAST(ts AS DATE)""",
@@ -332,12 +332,41 @@ ORACLES["crawl_statuses"] = """SELECT p_brand AS category, CASE WHEN p_brand = '
 ORACLES["crawl_counts"] = """SELECT CAST(1 AS INTEGER) AS crawl, count(*) AS created, 0::BIGINT AS updated, count(*) AS saved, 0::BIGINT AS unchanged, 0::BIGINT AS anomalies FROM part WHERE p_brand <> 'Brand#55'
 UNION ALL SELECT 2, 0, count(*), count(*) FILTER (p_partkey % 4 = 0), count(*) FILTER (p_partkey % 4 <> 0), 0 FROM part WHERE p_brand NOT IN ('Brand#55', 'Brand#13')"""
 
+ORACLES |= {"name_search_indexed": ORACLES["name_search"], "api_products_indexed": ORACLES["api_products"], "api_products_after": ORACLES["api_products"]}
+ORACLES["api_products_by_parsed"] = f"""WITH {_E}, l AS (SELECT *, 'V' || CAST(product_id AS VARCHAR) AS vendor_code FROM active
+  ORDER BY CASE WHEN product_id % 40 <> 0 THEN DATE '2024-01-01' + CAST(product_id % 50 AS INTEGER) END DESC NULLS FIRST, product_id LIMIT 20)
+SELECT l.product_id, name, category, vendor_code, price AS current_price FROM l LEFT JOIN ph ON ph.product_id = l.product_id AND is_actual"""
+ORACLES["alert_notifications"] = f"""WITH {_L} SELECT user_id, lower(c_name) AS username, replace(lower(c_name), '#', '.') || '@example.com' AS email, s.product_id,
+  name || ': ' || CAST(price AS VARCHAR) || ' <= ' || CAST(target_price AS VARCHAR) || ' https://shop.example.com/p/' || CAST(s.product_id AS VARCHAR) AS message
+FROM subs s JOIN ph ON ph.product_id = s.product_id AND is_actual JOIN product p ON p.product_id = s.product_id JOIN customer ON c_custkey = user_id WHERE s.is_active AND price <= target_price"""
+ORACLES["category_slugs"] = """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'n-' || CAST(n_nationkey AS VARCHAR) ELSE 'the-' || lower(replace(n_name, ' ', '-')) END AS slug FROM nation"""
+ORACLES["iso_times"] = """SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts + INTERVAL 210 MINUTE, '%Y-%m-%dT%H:%M:%S.%f') || '+03:30' WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%SZ')
+  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' END AS shown,
+  CASE WHEN event_id % 3 = 1 THEN date_trunc('second', ts) ELSE ts END AS ts FROM events"""
+
+
+def _fields(section: str, item: str, table: str, *fields: str) -> str:
+    """A row for each of the fields of each row of a table."""
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, CAST({item} AS VARCHAR) AS item, '{f}' AS field, round(CAST({f} AS DOUBLE), 6) AS value FROM ({table})" for f in fields)
+
+
+_METRICS = f"WITH {_E} " + ORACLES["ingest_metrics"].split(f"WITH {_E}, ")[1].replace("w AS (", "SELECT * FROM (WITH w AS (", 1) + ")"
+ORACLES["dashboard_sections"] = " UNION ALL ".join([
+    _fields("deals_top", "product_id", f"WITH {_E} {_deals(30, 50)}", "current_price", "min_price", "avg_price", "discount_pct"),
+    _fields("category_index", "category", f"WITH {_E} {_INDEX}", "product_count", "mean_price", "median_price", "prev_mean", "prev_median"),
+    _fields("metrics", "''", _METRICS, "total_records", "unique_products", "total_products", "active_categories", "products_without_data", "avg_records_per_product"),
+    _fields("sensitivity", "product_id", f"WITH {_E}, {_sens('USD')} SELECT g.* FROM g JOIN (SELECT product_id FROM active ORDER BY product_id LIMIT 30) USING (product_id)", "correlation", "sample_size"),
+    _fields("heatmap", "product_id || ' ' || date", f"WITH {_E}, {_HEAT}", "price", "change_pct"),
+    _fields("anomalies_summary", "label", ORACLES["anomaly_summary"], "n"),
+    _fields("currency_rates_latest", "currency || ' ' || date", ORACLES["latest_rates"], "rate"),
+])
+
 #: Decimal columns, which leave as doubles.
 _DECIMALS = {
     "latest_price": "price", "price_history": "price delta", "best_deals": "current_price min_price", "best_deals_lineitem": "current_price min_price",
     "compare_products": "current_price min_price max_price forecast_price", "alerts": "current_price target_price", "fx_upsert": "rate",
     "forecast_upsert": "predicted_price", "subscription_create": "target_price", "fx_rates_xml": "rate", "api_products": "current_price",
-    "api_price_history": "price", "api_subscriptions": "target_price", "latest_rates": "rate", "rates_merge": "rate", "api_product_detail": "current_price", "stream_alerts": "current_price target_price",
+    "api_price_history": "price", "api_subscriptions": "target_price", "latest_rates": "rate", "rates_merge": "rate", "api_product_detail": "current_price", "api_products_indexed": "current_price", "api_products_after": "current_price", "api_products_by_parsed": "current_price", "stream_alerts": "current_price target_price",
 }
 for _name, _columns in _DECIMALS.items():
     _casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _columns.split())

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..functions.formats import fixed, padded, percent, signed
-from ..operators import api, detect, features, forecast, ingest, reports, sensitivity
+from ..functions.formats import fixed, iso_text, iso_time, padded, percent, signed
+from ..operators import api, detect, features, forecast, ingest, reports, search, sensitivity
 from ..session import shared_folder
 from ..sources import files, merge, views
 from ..streaming import streams
@@ -51,6 +51,17 @@ def name_search(spark, d):
     return reports.find_product(views.events_product(spark, d), "r#00000001")
 
 
+def _index(spark, d, *fields: str) -> DataFrame:
+    path = shared_folder(spark, "trigrams")
+    search.write_index(search.trigrams(views.events_product(spark, d), *fields), path)
+    return search.read_index(spark, path)
+
+
+@query
+def name_search_indexed(spark, d):
+    return reports.find_product(views.events_product(spark, d), "r#00000001", index=_index(spark, d, "name"))
+
+
 @query
 def latest_price(spark, d):
     return reports.latest_prices(views.lineitem_view(spark, d).history)
@@ -512,6 +523,54 @@ def api_products(spark, d):
     return api.list_products(t.history, t.product, search="customer 1", page=2)
 
 
+@query
+def api_products_indexed(spark, d):
+    t = views.events_view(spark, d)
+    return api.list_products(t.history, t.product, search="customer 1", page=2, index=_index(spark, d, "name", "vendor_code"))
+
+
+@query
+def api_products_after(spark, d):
+    """The second page, by the key of the last product on the first."""
+    t = views.events_view(spark, d)
+    first = api.list_products(t.history, t.product, search="customer 1").orderBy("name", "product_id")
+    key = api.last_key(first, ("name", "product_id"))
+    return api.list_products(t.history, t.product, search="customer 1", page=2, after=key) if key else first.limit(0)
+
+
+@query
+def api_products_by_parsed(spark, d):
+    """The last parsed first, before them those that never were."""
+    t = views.events_view(spark, d)
+    parsed = F.when(F.col("product_id") % 40 != 0, F.date_add(F.lit(date(2024, 1, 1)), (F.col("product_id") % 50).cast("int")))
+    return api.list_products(t.history, t.product.withColumn("last_parsed_at", parsed), order="-last_parsed_at")
+
+
+@query
+def alert_notifications(spark, d):
+    """Alerts with whom they go to."""
+    t = views.lineitem_view(spark, d)
+    fired = ingest.check_alerts(t.history, views.subscriptions(spark, d), t.product)
+    url = F.concat(F.lit("https://shop.example.com/p/"), F.col("product_id").cast("string"))
+    return api.addressed(fired, views.users(spark, d), t.product.withColumn("url", url))
+
+
+@query
+def category_slugs(spark, d):
+    """Slugs of nations, given for every other one."""
+    given = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("n-"), F.col("n_nationkey").cast("string"))).when(F.col("n_nationkey") % 3 == 0, F.lit(""))
+    return views.read(spark, d, "nation").select("n_nationkey", text.default_slug(given, F.concat(F.lit(" The "), "n_name", F.lit("! "))).alias("slug"))
+
+
+@query
+def iso_times(spark, d):
+    """Times of the events printed with different offsets, and read again."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    moved = F.when(F.col("event_id") % 3 == 0, F.concat(F.date_format(ts + F.expr("INTERVAL '3:30' HOUR TO MINUTE"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+03:30")))
+    shown = moved.when(F.col("event_id") % 3 == 1, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("Z"))).otherwise(iso_text(ts))
+    return views.read(spark, d, "events").select("event_id", shown.alias("shown")).select("event_id", "shown", iso_time(F.col("shown")).alias("ts"))
+
+
 @query
 def api_price_history(spark, d):
     t = views.events_view(spark, d)
@@ -570,6 +629,40 @@ def dashboard_payload(spark, d):
     return body.select(F.inline(F.array(*rows)))
 
 
+@query
+def dashboard_sections(spark, d):
+    """The full snapshot's JSON read back whole: a row for every number of every item of all sections but the clusters', which SQL cannot tell."""
+    t, found = _found(spark, d)
+    body = snapshot.snapshot(t, found, "full", t.now).select("payload")
+    deal = "product_id: BIGINT, current_price: DOUBLE, min_price: DOUBLE, avg_price: DOUBLE, discount_pct: DOUBLE"
+    index = "category: STRING, product_count: DOUBLE, mean_price: DOUBLE, median_price: DOUBLE, prev_mean: DOUBLE, prev_median: DOUBLE"
+    metrics = "total_records: DOUBLE, unique_products: DOUBLE, total_products: DOUBLE, active_categories: DOUBLE, products_without_data: DOUBLE, avg_records_per_product: DOUBLE"
+    schema = (
+        f"deals_top ARRAY<STRUCT<{deal}>>, category_index ARRAY<STRUCT<{index}>>, metrics STRUCT<{metrics}>, sensitivity ARRAY<STRUCT<product_id: BIGINT, correlation: DOUBLE, sample_size: DOUBLE>>, "
+        "heatmap STRUCT<rows: ARRAY<STRUCT<product_id: BIGINT, cells: ARRAY<STRUCT<date: STRING, price: DOUBLE, change_pct: DOUBLE>>>>>, "
+        "anomalies_summary STRUCT<by_severity: MAP<STRING, DOUBLE>, by_type: MAP<STRING, DOUBLE>>, currency_rates_latest ARRAY<STRUCT<currency: STRING, date: STRING, rate: DOUBLE>>"
+    )
+    p = body.select(F.from_json("payload", schema).alias("p")).select("p.*")
+
+    def rows(section: str, items: DataFrame, key, *fields: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(f).alias("field"), F.round(F.col(f).cast("double"), 6).alias("value")) for f in fields])
+        return items.select(F.lit(section).alias("section"), key.cast("string").alias("item"), F.inline(cells))
+
+    names = lambda s: [x.split(":")[0] for x in s.split(", ")]
+    cells = p.select(F.explode("heatmap.rows").alias("r")).select("r.product_id", F.inline("r.cells"))
+    counts = p.select(F.explode(F.map_concat("anomalies_summary.by_severity", "anomalies_summary.by_type")).alias("label", "n"))
+    parts = [
+        rows("deals_top", p.select(F.inline("deals_top")), F.col("product_id"), *names(deal)[1:]), rows("category_index", p.select(F.inline("category_index")), F.col("category"), *names(index)[1:]),
+        rows("metrics", p.select("metrics.*"), F.lit(""), *names(metrics)), rows("sensitivity", p.select(F.inline("sensitivity")), F.col("product_id"), "correlation", "sample_size"),
+        rows("heatmap", cells, F.concat_ws(" ", F.col("product_id").cast("string"), "date"), "price", "change_pct"), rows("anomalies_summary", counts, F.col("label"), "n"),
+        rows("currency_rates_latest", p.select(F.inline("currency_rates_latest")), F.concat_ws(" ", "currency", "date"), "rate"),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 @query
 def latest_rates(spark, d):
     return snapshot.latest_rates(views.events_rates(spark, d))
@@ -579,8 +672,8 @@ def latest_rates(spark, d):
 def list_snapshots(spark, d):
     t, found = _found(spark, d)
     made = None
-    for i, kind in enumerate(("index", "deals", "anomalies", "metrics")):
-        one = snapshot.snapshot(t, found, kind, t.now - timedelta(hours=i)).select("kind", "created_at", "summary")
+    for i, (kind, given) in enumerate((("index", {}), ("deals", {"limit": 100}), ("anomalies", {}), ("metrics", {}))):
+        one = snapshot.snapshot(t, found, kind, t.now - timedelta(hours=i), **given).select("kind", "created_at", "summary")
         made = one if made is None else made.unionByName(one)
     return snapshot.list_snapshots(made, limit=3)
 

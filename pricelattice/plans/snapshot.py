@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -19,7 +20,8 @@ KINDS = ("clusters", "index", "metrics", "deals", "anomalies", "full")
 
 #: The windows and limits of the dashboard.
 DEFAULTS = {"period_days": 7, "metrics_days": 7, "deals_days": 30, "heatmap_days": 7, "heatmap_max_products": 30, "deals_limit": 50, "sensitivity_limit": 30, "n_clusters": 4}
-CLUSTER_ITEMS = 200
+#: Products of a cluster in the dashboard, in a snapshot of clusters, and in a printed report.
+CLUSTER_ITEMS, KIND_ITEMS, PRINTED_ITEMS = 200, 500, 15
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -164,29 +166,48 @@ def clusters_payload(features: DataFrame, k: int = 4, most: int = CLUSTER_ITEMS)
     return ranked.groupBy("label").agg(F.count("*").alias("products"), F.sort_array(F.collect_list(item)).alias("items"))
 
 
-def kind_payload(t: PriceTables, anomalies: DataFrame, kind: str, days: int = 7) -> DataFrame:
-    """The rows of one report as JSON; heat map, sensitivity and full snapshots are not of this kind."""
-    makers = {
-        "clusters": lambda: clusters_payload(product_features(t.history, t.product)),
-        "index": lambda: reports.category_index(t.history, t.product, t.now, days, t.category),
-        "metrics": lambda: reports.ingest_metrics(t.history, t.product, t.category, t.now, days),
-        "deals": lambda: reports.best_deals(t.history, t.product, t.now, 30, 100),
-        "anomalies": lambda: reports.anomaly_summary(anomalies, t.now, days),
-    }
-    if kind not in makers:
-        raise ValueError(f"no snapshot of kind {kind}")
-    rows = makers[kind]()
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("item"))
-
-
-def snapshot(t: PriceTables, anomalies: DataFrame, kind: str, created_at: datetime, scope: str = "", days: int = 7) -> DataFrame:
-    """One row for the snapshot table: kind, scope, time, parameters, summary and payload as JSON. :func:`..sources.sinks.append_rows` adds it."""
+def _kind(t: PriceTables, anomalies: DataFrame, kind: str, p: dict) -> tuple[DataFrame, Column, Column]:
+    """One row, and its columns for the summary and the payload, of the report ``kind`` with parameters ``p``."""
+    items = t.product if p.get("category") is None else t.product.where(F.col("category") == p["category"])
+    if kind == "clusters":
+        labels = clusters_payload(product_features(t.history, items), int(p.get("clusters", 4)), KIND_ITEMS)
+        keep = ("product_id", "name", "mean_price", "volatility", "trend")
+        rows = F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in keep]))
+        of = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", c))))
+        both = labels.select("label", "products", rows.alias("rows")).agg(of("products").alias("s"), of("rows").alias("p"))
+        return both, F.col("s"), F.col("p")
+    if kind == "index":
+        listed = _listed(reports.category_index(t.history, t.product, t.now, int(p.get("period", 7)), t.category), "data", [F.col("category")])
+        return listed, F.struct(F.size("data").alias("rows")), F.struct("data")
+    if kind == "metrics":
+        m = reports.ingest_metrics(t.history, t.product, t.category, t.now, int(p.get("days", 7)))
+        return m, F.struct("total_records", "unique_products"), F.struct(*m.columns)
+    if kind == "deals":
+        best = reports.best_deals(t.history, t.product, t.now, int(p.get("days", 30)), int(p.get("limit", 50)), p.get("category"))
+        listed = _listed(best, "data", [-F.col("discount_pct"), F.col("product_id")])
+        return listed, F.struct(F.size("data").alias("count")), F.struct("data")
+    if kind == "anomalies":
+        days = int(p.get("days", 7))
+        found = _counts(anomalies, t.now, days)
+        return found, F.struct(F.col("anomalies").alias("total"), F.lit(days).alias("days")), F.struct("by_severity", "by_type", F.lit(days).alias("days"))
+    raise ValueError(f"no snapshot of kind {kind}")
+
+
+def snapshot(t: PriceTables, anomalies: DataFrame, kind: str, created_at: datetime, scope: str = "", **parameters) -> DataFrame:
+    """One row for the snapshot table: kind, scope, time, parameters, summary and payload as JSON. :func:`..sources.sinks.append_rows` adds it.
+
+    A ``full`` one takes ``DEFAULTS`` as parameters; ``clusters`` category and clusters; ``index`` period; ``metrics`` days; ``deals`` days, category and limit; ``anomalies``
+    days. Payloads that are lists are the ``data`` of an object. Heat maps and sensitivities are kept in full ones only.
+    """
+    given = {k: v for k, v in parameters.items() if v is not None}
     if kind == "full":
-        body = full_dashboard(t, anomalies, period_days=days, metrics_days=days, heatmap_days=days).select(F.to_json("summary").alias("summary"), F.to_json("payload").alias("payload"))
+        body, summary, payload = full_dashboard(t, anomalies, **given), F.col("summary"), F.col("payload")
     else:
-        items = kind_payload(t, anomalies, kind, days)
-        body = items.agg(F.to_json(F.struct(F.count("*").alias("rows"))).alias("summary"), F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit("]")).alias("payload"))
-    return body.select(F.lit(kind).alias("kind"), F.lit(scope).alias("scope_key"), F.lit(created_at).cast("timestamp_ntz").alias("created_at"), F.to_json(F.struct(F.lit(days).alias("period_days"))).alias("parameters"), "summary", "payload")
+        body, summary, payload = _kind(t, anomalies, kind, given)
+    return body.select(
+        F.lit(kind).alias("kind"), F.lit(scope).alias("scope_key"), F.lit(created_at).cast("timestamp_ntz").alias("created_at"), F.lit(json.dumps(given)).alias("parameters"),
+        F.to_json(summary).alias("summary"), F.to_json(payload).alias("payload"),
+    )
 
 
 def list_snapshots(snapshots: DataFrame, kind: str | None = None, limit: int = 10) -> DataFrame:

@@ -95,3 +95,9 @@ def event_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = (F.abs("c_acctbal") / 100).cast("decimal(12,2)").alias("target_price")
     watched = c.select(F.col("c_custkey").alias("user_id"), F.explode(F.array("c_custkey", F.col("c_custkey") + 1)).alias("product_id"), target)
     return watched.withColumn("is_active", F.col("user_id") % 5 != 0)
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who subscribes: the customers."""
+    name = F.lower("c_name")
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), name.alias("username"), F.concat(F.replace(name, F.lit("#"), F.lit(".")), F.lit("@example.com")).alias("email"))
