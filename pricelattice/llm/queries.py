@@ -14,7 +14,7 @@ from .phrases import collocations
 from .resample import resample
 from .rules import quality, train_rules
 from .scratch import shared_folder, stored
-from .shards import shuffled_shards
+from .shards import read_shards, write_shards
 from .suffix_search import benchmark_matches, match_digests
 from .token_store import read_documents, write_store
 from .toxicity import held_out, toxicity, train
@@ -53,8 +53,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return shuffled_shards(docs, 16).select(
+    text, folder = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), shared_folder(spark, "shards")
+    write_shards(docs, folder, 16)
+    return read_shards(spark, folder, docs.schema).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),

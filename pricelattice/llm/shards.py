@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,24 @@ def shuffled_shards(
     return scattered.mapInArrow(shuffle, schema)
 
 
+def write_shards(
+    docs: DataFrame, folder: str, n_shards: int = 16, *, seed: int = 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> None:
+    """Write the shards of :func:`shuffled_shards` below ``folder``: a folder a shard, whose files hold rows in the order of their slots. A task writes about as
+    many buckets as there are shards, one after another, so files are about the size of a bucket; a task that runs again writes the same."""
+    rows = shuffled_shards(docs, n_shards, seed=seed, bucket_bytes=bucket_bytes, id_col=id_col, text_col=text_col)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // n_shards)
+    rows.coalesce(tasks).sortWithinPartitions(SHARD, SLOT).write.partitionBy(SHARD).parquet(folder)
+
+
+def read_shards(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
+    """What :func:`write_shards` has written, with ``_slot`` and ``_shard``; ``schema`` is that of the rows, for shards that may be empty."""
+    if schema is None:
+        return spark.read.parquet(folder)
+    own = [f for f in schema.fields if f.name not in (SHARD, SLOT)]
+    return spark.read.schema(T.StructType([*own, T.StructField(SLOT, T.LongType()), T.StructField(SHARD, T.IntegerType())])).parquet(folder)
+
+
 def shuffled(n: int, seed: int, bucket: int) -> np.ndarray:
     """The numbers below ``n`` in the order that a Fisher-Yates shuffle under this seed gives a bucket."""
     order = np.arange(n)

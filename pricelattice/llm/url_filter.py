@@ -29,7 +29,7 @@ def url_filter(
     """Judge each row's URL by the longest rule that fits it.
 
     ``rules`` has ``host``, ``path`` and ``verdict`` (``allow`` or ``block``). A rule fits its host and
-    all subdomains where the URL's path starts with the rule's path. Of several, the longest
+    all subdomains, in whatever case of A-Z, where the URL's path starts with the rule's path. Of several, the longest
     ``host || path`` wins, then the longest host, then ``block``.
 
     Every distinct (host, path) is expanded into those suffix + prefix expressions that have the
@@ -43,7 +43,7 @@ def url_filter(
     are all that the driver sees.
     """
     r = rules.select(
-        F.col("host").alias("_h"), F.coalesce("path", F.lit("")).alias("_p"), F.col("verdict").alias("_v")
+        F.translate("host", _UPPER, _LOWER).alias("_h"), F.coalesce("path", F.lit("")).alias("_p"), F.col("verdict").alias("_v")
     ).where("_h is not null and _h <> ''")
     r = r.select(
         F.concat("_h", "_p").alias("_rule"), "_v", F.size(F.split("_h", r"\.")).alias("_labels"),
