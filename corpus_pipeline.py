@@ -8,14 +8,13 @@ tokenizers, so there is no oracle; tests hold each stage against a brute-force v
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelattice.llm.lsh_forest import without_near_duplicates
 from pricelattice.llm.mixing import fit_domains, fit_rates, memberships, mixed
 from pricelattice.llm.queries import QUALITY_WEIGHTS
-from pricelattice.llm.scratch import shared_folder, stored
+from pricelattice.llm.scratch import drop, shared_folder, stored
 from pricelattice.llm.suffix_search import without_matches
 from pricelattice.llm.token_store import read_documents, write_store
 from pricelattice.llm.toxicity import held_out, train, without_toxic
@@ -50,6 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: a row for each document read back from the store's files."""
+    import public_tokenizers
+
     folder = shared_folder(spark, "tokens")
     write_store(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
     return read_documents(spark, folder)
@@ -65,8 +66,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each one's result written to the shared folder for the next."""
+    """Apply the stages to ``documents``, each one's result written to the shared folder for the next, and removed once that is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        made = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            drop(docs)
+        docs = made
     return docs
