@@ -89,8 +89,8 @@ def heatmap(history: DataFrame, product: DataFrame, now: datetime, days: int = 7
     """
     chosen = heat_products(product, max_products)
     inside = history.where(F.col("ts") >= window_start(now, days)).join(F.broadcast(chosen), "product_id")
-    daily = inside.groupBy("product_id", F.to_date("ts").alias("date")).agg(F.max(F.struct("ts", "tie", "price"))["price"].cast("double").alias("price"))
-    return heat_cells(daily, chosen, now, days)
+    daily = inside.groupBy("product_id", F.to_date("ts").alias("date")).agg(F.max(F.struct("ts", "tie", "price"))["price"].cast("double").alias("price"), F.first("name").alias("name"))
+    return heat_cells(daily, now, days)
 
 
 def heat_products(product: DataFrame, max_products: int = 30) -> DataFrame:
@@ -98,12 +98,13 @@ def heat_products(product: DataFrame, max_products: int = 30) -> DataFrame:
     return product.where("is_active").orderBy("name", "product_id").limit(max_products).select("product_id", "name")
 
 
-def heat_cells(daily: DataFrame, chosen: DataFrame, now: datetime, days: int = 7) -> DataFrame:
-    """The cells of ``chosen`` products (product_id, name) from their last prices of days (product_id, date, price)."""
+def heat_cells(daily: DataFrame, now: datetime, days: int = 7) -> DataFrame:
+    """The cells of products from their last prices of days (product_id, name, date, price): every date of the window looks its price up among the product's few days."""
     start = now - timedelta(days=days)
-    grid = daily.select("product_id").distinct().join(chosen, "product_id").withColumn("date", F.explode(F.sequence(_day(start), _day(now))))
+    prices = daily.groupBy("product_id").agg(F.first("name").alias("name"), F.map_from_entries(F.collect_list(F.struct("date", "price"))).alias("prices"))
+    grid = prices.select("product_id", "name", "prices", F.explode(F.sequence(_day(start), _day(now))).alias("date"))
     before = Window.partitionBy("product_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    full = grid.join(daily, ["product_id", "date"], "left").withColumn("prev", F.last("price", ignorenulls=True).over(before))
+    full = grid.select("product_id", "name", "date", F.col("prices")[F.col("date")].alias("price")).withColumn("prev", F.last("price", ignorenulls=True).over(before))
     change = F.when(F.col("price").isNotNull() & (F.col("prev") > 0), (F.col("price") - F.col("prev")) / F.col("prev") * 100)
     return full.select("product_id", "name", "date", "price", F.round(change, 4).alias("change_pct"), heat_indicator(change).alias("indicator"))
 

@@ -96,8 +96,8 @@ class Board:
 
     def heat(self, days: int, most: int) -> DataFrame:
         chosen = reports.heat_products(self.products, most)
-        daily = rollup.daily_last(self.days.join(F.broadcast(chosen), "product_id", "left_semi"), self.since(days)).drop("rows")
-        return reports.heat_cells(daily, chosen, self.t.now, days)
+        daily = rollup.daily_last(self.days.join(F.broadcast(chosen.select("product_id")), "product_id", "left_semi"), self.since(days)).drop("rows")
+        return reports.heat_cells(daily.join(F.broadcast(chosen), "product_id"), self.t.now, days)
 
     def sensitivity(self, limit: int) -> DataFrame:
         items = sensitive_products(self.products, limit)
