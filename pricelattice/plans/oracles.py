@@ -321,7 +321,7 @@ ORACLES["stream_alerts_state"] = f"""WITH {_ALERTED} SELECT s.user_id, s.product
 LEFT JOIN fired f ON f.user_id = s.user_id AND f.product_id = s.product_id"""
 
 # Merges end in what rewriting the whole table gives.
-ORACLES |= {"product_merge": ORACLES["product_upsert"], "price_log_merge": ORACLES["product_change_log"], "rates_merge": ORACLES["fx_upsert"]}
+ORACLES |= {"dashboard_kept": ORACLES["dashboard_summary"], "forecast_merge": ORACLES["forecast_upsert"], "product_merge": ORACLES["product_upsert"], "price_log_merge": ORACLES["product_change_log"], "rates_merge": ORACLES["fx_upsert"]}
 
 ORACLES["api_product_detail"] = f"""WITH {_E} SELECT p.product_id, name, category, 'V' || CAST(p.product_id AS VARCHAR) AS vendor_code, 'https://shop.example.com/p/' || CAST(p.product_id AS VARCHAR) AS url,
   p.is_active, price AS current_price FROM active p LEFT JOIN ph ON ph.product_id = p.product_id AND is_actual WHERE p.product_id = 14"""
@@ -366,7 +366,7 @@ _DECIMALS = {
     "latest_price": "price", "price_history": "price delta", "best_deals": "current_price min_price", "best_deals_lineitem": "current_price min_price",
     "compare_products": "current_price min_price max_price forecast_price", "alerts": "current_price target_price", "fx_upsert": "rate",
     "forecast_upsert": "predicted_price", "subscription_create": "target_price", "fx_rates_xml": "rate", "api_products": "current_price",
-    "api_price_history": "price", "api_subscriptions": "target_price", "latest_rates": "rate", "rates_merge": "rate", "api_product_detail": "current_price", "api_products_indexed": "current_price", "api_products_after": "current_price", "api_products_by_parsed": "current_price", "stream_alerts": "current_price target_price",
+    "api_price_history": "price", "api_subscriptions": "target_price", "latest_rates": "rate", "rates_merge": "rate", "forecast_merge": "predicted_price", "api_product_detail": "current_price", "api_products_indexed": "current_price", "api_products_after": "current_price", "api_products_by_parsed": "current_price", "stream_alerts": "current_price target_price",
 }
 for _name, _columns in _DECIMALS.items():
     _casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _columns.split())

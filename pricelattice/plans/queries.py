@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import labels, text
 from ..functions.formats import fixed, iso_text, iso_time, padded, percent, signed
 from ..operators import api, detect, features, forecast, ingest, reports, search, sensitivity
+from ..operators.rollup import RollupTable
 from ..session import shared_folder
-from ..sources import files, merge, views
+from ..sources import files, merge, sinks, views
 from ..streaming import streams
 from . import jobs, snapshot
 
@@ -324,6 +325,17 @@ def price_log_merge(spark, d):
     return table.read().select("product_id", "price", "arrival", "is_actual", F.col("old_price").cast("double").alias("old_price"))
 
 
+@query
+def forecast_merge(spark, d):
+    """Forecasts of two days merged into those of one."""
+    old = _forecasts(spark, d)
+    table = merge.MergeTable(spark, shared_folder(spark, "forecasts"), ("product_id", "forecast_date", "method"), 8)
+    table.create(old)
+    new = old.where("product_id % 2 = 0").withColumn("predicted_price", (F.col("predicted_price") * 2).cast("decimal(12,2)"))
+    table.upsert(new.unionByName(new.withColumn("forecast_date", F.lit(date(2024, 2, 2)))))
+    return table.read()
+
+
 @query
 def rates_merge(spark, d):
     """Rates of the second half of a month merged into those of the first 20 days."""
@@ -612,6 +624,18 @@ def dashboard_summary(spark, d):
     return snapshot.dashboard_summary(t, found)
 
 
+@query
+def dashboard_kept(spark, d):
+    """The same from a kept rollup, into which the events of the last week came by appends of a few days."""
+    t, found = _found(spark, d)
+    state = RollupTable(spark, shared_folder(spark, "rollup"))
+    cuts = [detect.window_start(t.now, days) for days in (7, 4)]
+    state.create(t.history.where(F.col("ts") < cuts[0]))
+    state.append(t.history.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])))
+    state.append(t.history.where(F.col("ts") >= cuts[1]))
+    return snapshot.dashboard_summary(t, found, state)
+
+
 @query
 def dashboard_payload(spark, d):
     """The full snapshot's JSON read back: a row for each section with its items and the first one's key. What clusters hold is not SQL's to tell."""
@@ -708,13 +732,20 @@ def stream_anomalies_once(spark, d):
 
 
 def _alert_stream(spark, d) -> tuple[DataFrame, str]:
-    """Alerts over the events in three batches, each with a third of them, the last one run twice. Who bought an even product watches it at half the retail price."""
-    subs = views.event_subscriptions(spark, d)
-    folder = shared_folder(spark, "alerts")
-    batch = streams.alert_batch(subs, folder)
+    """Alerts over the events as a stream that starts three times, each time with another third of them; then its last batch runs once more, as if its end had not been
+    noted. Customers watch the products with their own number and the next."""
+    subs, folder = views.event_subscriptions(spark, d), shared_folder(spark, "alerts")
     events = views.read(spark, d, "events").select(F.col("user_id").alias("product_id"), F.col("value").cast("decimal(12,2)").alias("price"), F.col("event_id").alias("arrival"))
-    for number in (0, 1, 2, 2):
-        batch(events.where(F.col("arrival") % 3 == number), number)
+
+    def run() -> None:
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        streams.stream_alerts(stream, subs, folder).start().awaitTermination()
+
+    for third in range(3):
+        events.where(F.col("arrival") % 3 == third).write.mode("append").parquet(f"{folder}/in")
+        run()
+    sinks.remove(spark, f"{folder}/checkpoint/commits/2")
+    run()
     return subs, folder
 
 

@@ -11,6 +11,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove the file or folder at ``path``, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def append_rows(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Append prices, anomalies or snapshots to the Parquet table at ``path``."""
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
