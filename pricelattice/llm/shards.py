@@ -38,6 +38,11 @@ def shuffled_shards(
     runs again after a lost executor gives the same rows. Adds ``_shard`` int and ``_slot`` long (columns of these names in ``docs`` are replaced; any
     other name may occur). NULL ids and texts take part as any other; repeated rows each keep a place of their own. An empty table gives an empty result.
     """
+    return _shuffled(docs, n_shards, seed, bucket_bytes, id_col, text_col)[0]
+
+
+def _shuffled(docs: DataFrame, n_shards: int, seed: int, bucket_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The rows of :func:`shuffled_shards`, a partition a bucket, and how many buckets there are."""
     docs = docs.drop(SHARD, SLOT)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
     one, two = row_hashes(docs)
@@ -73,17 +78,16 @@ def shuffled_shards(
                 at = place[lo : lo + 2000]
                 yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array((at % n_shards).astype(np.int32)), pa.array(at // n_shards)], names=names)
 
-    return scattered.mapInArrow(shuffle, schema)
+    return scattered.mapInArrow(shuffle, schema), n_buckets
 
 
 def write_shards(
     docs: DataFrame, folder: str, n_shards: int = 16, *, seed: int = 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Write the shards of :func:`shuffled_shards` below ``folder``: a folder a shard, whose files hold rows in the order of their slots. A task writes about as
-    many buckets as there are shards, one after another, so files are about the size of a bucket; a task that runs again writes the same."""
-    rows = shuffled_shards(docs, n_shards, seed=seed, bucket_bytes=bucket_bytes, id_col=id_col, text_col=text_col)
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // n_shards)
-    rows.coalesce(tasks).sortWithinPartitions(SHARD, SLOT).write.partitionBy(SHARD).parquet(folder)
+    """Write the shards of :func:`shuffled_shards` below ``folder``: a folder a shard, whose files hold rows in the order of their slots. A task writes four buckets'
+    rows, so a file has a few MB where buckets have some ten for each shard; a task that runs again writes the same."""
+    rows, buckets = _shuffled(docs, n_shards, seed, bucket_bytes, id_col, text_col)
+    rows.coalesce(-(-min(buckets, 100_000) // 4)).sortWithinPartitions(SHARD, SLOT).write.partitionBy(SHARD).parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
