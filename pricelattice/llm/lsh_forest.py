@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     Sets are the distinct 5-word shingles of the whole text (A-Z lower-cased, words end at ASCII white space); two sets are linked where
     100 * intersection >= percent * union. Texts without words are linked with nothing. Rows with equal sets are one class,
     found by digest. Rows with a NULL id take part in no link (component_id NULL, kept true); rows that repeat an id
-    have the component of their own set each. Other columns are ignored.
+    have the component of their own set each. Ids are whole numbers; what cannot be cast to one raises. Other columns are ignored.
 
     1. One representative of each distinct set enters the forest: in every tree the representatives are
        range-sorted by that tree's signature, so a hot region spans partitions; rows that share 2 values or more are candidates, and regions beyond

@@ -239,7 +239,8 @@ def write_store(
     root over its recipes' roots, from which the root of the whole follows.
 
     Texts are encoded where they are read; only new chunks are shuffled, by digest. NULL text counts as empty (its ids: the
-    end id alone); NULL ids come first; rows that repeat an id are each encoded, in the order of their digests. Other columns are ignored.
+    end id alone); NULL ids come first; rows that repeat an id are each encoded, in the order of their digests. Ids are whole numbers; what cannot be cast to
+    one raises. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
