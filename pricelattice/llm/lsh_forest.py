@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .scratch import drop, stored
-from .shards import row_hashes
 from .words import SPACES, mix, pieces, text_bytes, word_bounds, word_hashes
 
 PIECE_BYTES = 2 << 20
@@ -328,7 +327,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
 
 def without_near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near-duplicates: the smallest id (NULL last), of its texts the smallest
-    SHA-256, of rows equal in both the one with the smallest hashes of the whole row. Columns may be of any type.
+    SHA-256, of rows equal in both the smallest of all columns, in which maps count by their JSON. Columns may be of any type.
 
     Links are those of :func:`near_duplicates`, but between rows, whatever their ids: rows that share an id are apart where their texts are, and
     rows with a NULL id take part. Texts without words are linked with nothing; repeats of such an id and text count once.
@@ -342,7 +341,8 @@ def without_near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str =
         .select("first.row")
         .unionByName(sketch.where("n_shingles = 0").select("row").distinct())
     )
-    one = docs.groupBy(row_key(id_col, text_col).alias("row")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*row_hashes(docs))).alias("all"))
+    ordered = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    one = docs.groupBy(row_key(id_col, text_col).alias("row")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*ordered)).alias("all"))
     return one.join(kept.hint("shuffle_hash"), "row", "left_semi").select("all.*")
 
 
