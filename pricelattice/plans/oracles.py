@@ -74,14 +74,18 @@ SELECT * FROM (
 ORDER BY discount_pct DESC, product_id LIMIT {limit}"""
 
 
-_INDEX = """
+def _index(of: str) -> str:
+    return f"""
 SELECT category, count(c) AS product_count, round(CAST(sum(c) AS DOUBLE) / count(c), 4) AS mean_price, round(median(CAST(c AS DOUBLE)), 4) AS median_price,
   round(CAST(sum(v) AS DOUBLE) / nullif(count(v), 0), 4) AS prev_mean, round(median(CAST(v AS DOUBLE)), 4) AS prev_median,
   round((CAST(sum(c) AS DOUBLE) / count(c) - CAST(sum(v) AS DOUBLE) / nullif(count(v), 0)) / nullif(CAST(sum(v) AS DOUBLE) / nullif(count(v), 0), 0) * 100, 4) AS mean_change_pct,
   round((median(CAST(c AS DOUBLE)) - median(CAST(v AS DOUBLE))) / nullif(median(CAST(v AS DOUBLE)), 0) * 100, 4) AS median_change_pct
 FROM (SELECT category, CASE WHEN is_actual THEN price END AS c,
     CASE WHEN ts >= now - INTERVAL 14 DAY AND ts < now - INTERVAL 7 DAY THEN price END AS v
-  FROM ph JOIN product ON ph.product_id = product.product_id JOIN cats ON kind = category AND open, now) GROUP BY category HAVING count(c) > 0"""
+  FROM ph JOIN product ON ph.product_id = product.product_id{of}, now) GROUP BY category HAVING count(c) > 0"""
+
+
+_INDEX = _index(" JOIN cats ON kind = category AND open")
 
 _HEAT = """
 chosen AS (SELECT product_id, name FROM active ORDER BY name, product_id LIMIT 30),
@@ -141,7 +145,7 @@ FROM r JOIN product p ON p.product_id = r.product_id""",
   CAST(nullif(before, 0) AS DOUBLE) AS old_price FROM k""",
     "best_deals": f"WITH {_E} {_deals(30, 20)}",
     "best_deals_lineitem": f"WITH {_L} {_deals(365, 50)}",
-    "category_index": f"WITH {_E} {_INDEX}",
+    "category_index": f"WITH {_E} {_index('')}",
     "heatmap": f"WITH {_E}, {_HEAT}",
     "ingest_metrics": f"""WITH {_E}, w AS (SELECT ph.* FROM ph, now WHERE ts >= now - INTERVAL 7 DAY)
 SELECT (SELECT count(*) FROM w) AS total_records, (SELECT count(DISTINCT product_id) FROM w) AS unique_products, (SELECT min(ts) FROM w) AS first_ts,
