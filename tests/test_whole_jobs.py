@@ -40,3 +40,7 @@ def both(spark, tables, name):
 def test_category_index_has_every_category(spark, tables):
     got = {r[0]: r[1] for r in both(spark, tables, "category_index")}
     assert got == {"BUILDING": 4, "MACHINERY": 4, None: 1}
+
+
+def test_products_without_data_has_every_product(spark, tables):
+    assert set(both(spark, tables, "products_without_data")) == {(9, None), (10, None), (11, None)}
