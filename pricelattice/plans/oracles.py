@@ -99,12 +99,12 @@ SELECT product_id, name, date, price, round(change, 4) AS change_pct,
   CASE WHEN change IS NULL THEN 'none' WHEN change > 5 THEN 'up2' WHEN change > 0.5 THEN 'up1' WHEN change < -5 THEN 'down2' WHEN change < -0.5 THEN 'down1' ELSE 'flat' END AS indicator FROM c"""
 
 
-def _sens(currency: str) -> str:
+def _sens(currency: str, among: str = "product_id IN (SELECT product_id FROM active) AND ") -> str:
     return f"""
 daily AS (SELECT product_id, CAST(ts AS DATE) AS date, arg_max(CAST(price AS DOUBLE), (ts, tie)) AS p, count(*) AS n FROM ph GROUP BY product_id, CAST(ts AS DATE)),
 g AS (SELECT product_id, covar_pop(p, r) / nullif(stddev_pop(p) * stddev_pop(r), 0) AS correlation, count(*) AS sample_size FROM daily JOIN (
     SELECT date, CAST(rate AS DOUBLE) AS r FROM rates WHERE currency = '{currency}') fx ON daily.date = fx.date
-  WHERE product_id IN (SELECT product_id FROM active) AND product_id IN (SELECT product_id FROM daily GROUP BY product_id HAVING sum(n) >= 5) GROUP BY product_id HAVING count(*) >= 5)
+  WHERE {among}product_id IN (SELECT product_id FROM daily GROUP BY product_id HAVING sum(n) >= 5) GROUP BY product_id HAVING count(*) >= 5)
 """
 
 
@@ -215,7 +215,7 @@ SELECT g.product_id, CAST(row_number() OVER (ORDER BY abs(round(correlation, 9))
   || CASE WHEN abs(correlation) > 0.7 THEN 'Strong ' || w WHEN abs(correlation) > 0.4 THEN 'Moderate ' || w WHEN abs(correlation) > 0.2 THEN 'Weak ' || w ELSE 'None' END
   || ': as USD rises, the price ' || CASE WHEN correlation > 0 THEN 'rises' ELSE 'falls' END AS detail
 FROM (SELECT *, CASE WHEN correlation > 0 THEN 'Direct' ELSE 'Inverse' END AS w FROM g) g JOIN chosen USING (product_id) JOIN p ON p.product_id = g.product_id""",
-    "fx_sensitivity_p": f"""WITH {_E}, {_sens("EUR")}, a AS (SELECT product_id, correlation AS r, sample_size - 2 AS v, atan(abs(correlation) * sqrt((sample_size - 2) / (1 - correlation * correlation)) / sqrt(sample_size - 2)) AS th FROM g WHERE abs(correlation) < 1),
+    "fx_sensitivity_p": f"""WITH {_E}, {_sens("EUR", "")}, a AS (SELECT product_id, correlation AS r, sample_size - 2 AS v, atan(abs(correlation) * sqrt((sample_size - 2) / (1 - correlation * correlation)) / sqrt(sample_size - 2)) AS th FROM g WHERE abs(correlation) < 1),
 t AS (SELECT product_id, k, CASE WHEN v % 2 = 1 THEN ln(cos(th)) + sum(CASE WHEN k = 0 THEN 0 ELSE ln(2.0 * k / (2.0 * k + 1)) END) OVER w + 2 * k * ln(cos(th))
     ELSE sum(CASE WHEN k = 0 THEN 0 ELSE ln((2.0 * k - 1) / (2.0 * k)) END) OVER w + 2 * k * ln(cos(th)) END AS l
   FROM a, (SELECT unnest(range(0, 60)) AS k) WHERE k <= (v - CASE WHEN v % 2 = 1 THEN 3 ELSE 2 END) // 2 WINDOW w AS (PARTITION BY product_id ORDER BY k)),

@@ -44,3 +44,8 @@ def test_category_index_has_every_category(spark, tables):
 
 def test_products_without_data_has_every_product(spark, tables):
     assert set(both(spark, tables, "products_without_data")) == {(9, None), (10, None), (11, None)}
+
+
+def test_fx_sensitivity_p_has_every_product_with_prices(spark, tables):
+    got = dict(both(spark, tables, "fx_sensitivity_p"))
+    assert set(got) == {*range(9), 99} and all(p is not None for p in got.values())
