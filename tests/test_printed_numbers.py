@@ -39,3 +39,13 @@ def test_fixed_prints_as_python_does(spark, digits):
 def test_report_text_prints_ties_as_sql_does(spark, tables):
     got = [r[0] for r in both(spark, tables, "report_text")]
     assert {line.split("  Description: change ")[1] for line in got if "Product" in line} == {text for *_, text in STEPS}
+
+
+def test_spike_messages_print_ties_as_sql_does(spark, tables):
+    """The change, the one like it before and the days between (0.15, which is a little less)."""
+    got = dict(both(spark, tables, "spike_messages"))
+    for u, (a, b, text) in enumerate(STEPS):
+        assert got[u] == (
+            f"Sharp {'rise' if b > a else 'fall'} of {text} in 0.1 days: {a:.0f} (21.01.2024) -> {b:.0f} (21.01.2024)"
+            f". A change of {text} like it came on 02.01.2024 (19 days before)"
+        )
